@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing
+from . import bpe, chat, exact_dedup, mixing, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {
     "op3_chat_perspectives": lambda spark, d: chat.perspective_digests(table(spark, d, "conversations")),
     "op5_source_mix": lambda spark, d: mixing.mix_taken(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup.mark_copies(table(spark, d, "documents")),
+    "op8_wavelet_tokens": lambda spark, d: token_store.round_trip(table(spark, d, "documents")),
+    "op10_bpe_lexicon": lambda spark, d: bpe.encode_digests(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
