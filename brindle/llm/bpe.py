@@ -14,9 +14,10 @@ import json
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from typing import Any
 
@@ -33,10 +34,14 @@ from .lexicon import Lexicon, compile_lexicon
 LEXICON_WORDS = 32_768
 #: Distinct chunks that a task remembers.
 MEMORY = 400_000
+#: Letters of a piece from which a heap finds the next merge.
+LONG = 40
 #: str.split() also cuts at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: Python's \w takes the superscripts and fractions below U+0250 in, which are numbers to the tokenizer.
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w \t-\r\x85\xa0]|_)+")
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -78,42 +83,65 @@ class Encoder:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.letter_ids = {c: self.vocab[c] for c in byte_letters()}
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        #: Rank and result of a pair of ids, each in 32 bits.
+        self.pairs = {self.vocab[a] << 32 | self.vocab[b]: i << 32 | self.vocab[a + b] for i, (a, b) in enumerate(merges)}
+        self.no_pair = len(self.pairs) << 32
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         whole = Tokenizer.from_str(file)
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
-        self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters()) if b < 128})
+        self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces of a text without special tokens, in byte letters."""
-        text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        """Pieces of a text without special tokens, in byte letters. The file's own rules, or for Latin letters ones that give the same."""
         if text.isascii():
-            return [p.translate(self.letters) for p in _ASCII_PIECES.findall(text)]
-        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+            return [p.translate(self.letters) for p in _ASCII_PIECES.findall(text.lower())]
+        if max(text) < "\u0250":
+            return [p.encode().decode("latin-1").translate(self.letters) for p in _LATIN_PIECES.findall(unicodedata.normalize("NFC", text).lower())]
+        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def merge(self, piece: str) -> list[int]:
         """Ids of a piece: the pair of neighbours with the lowest rank merges first, of equal ranks the leftmost."""
-        parts: list[str | None] = [*piece[:-1], piece[-1] + self.suffix]
-        n = len(parts)
+        if len(piece) > LONG:
+            return self._merge_long(piece)
+        ids = [self.letter_ids[c] for c in piece]
+        ids[-1] = self.vocab[piece[-1] + self.suffix]
+        get, none = self.pairs.get, self.no_pair
+        ranked = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranked and (best := min(ranked)) != none:
+            i = ranked.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], ranked[i]
+            if i:
+                ranked[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranked):
+                ranked[i] = get(ids[i] << 32 | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, piece: str) -> list[int]:
+        """merge() with a heap of pairs and linked neighbours: its time grows with n log n."""
+        ids: list[int] = [self.letter_ids[c] for c in piece]
+        ids[-1] = self.vocab[piece[-1] + self.suffix]
+        n, pairs = len(ids), self.pairs
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        ranks = self.ranks
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j < 0 or parts[j] != b:
+            if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            ids[i], ids[j] = best & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := ranks.get((parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
-        return [self.vocab[p] for p in parts if p is not None]
+                if left >= 0 and right >= 0 and (r := pairs.get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
+        return [i for i in ids if i >= 0]
 
     def ids(self, chunk: str) -> list[int]:
         found: list[int] = []
@@ -128,7 +156,8 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens are joined by spaces. Unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,37 +194,62 @@ def ship_lexicon(docs: DataFrame, file: str, limit: int = LEXICON_WORDS) -> str:
     return name
 
 
-_held: dict[Any, Encoder] = {}
+class Memory(dict):
+    """What was worked out of chunks, of pieces and so on: beyond MEMORY entries, those not asked for since it was last half full go."""
 
+    def __init__(self, work_out: Callable[[str], Any]):
+        self.work_out = work_out
+        self.older: dict[str, Any] = {}
 
-def _encoder(file: Broadcast, name: str) -> Encoder:
-    """This worker's encoder, kept between tasks."""
+    def __missing__(self, key: str) -> Any:
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.work_out(key)
+        self[key] = found
+        return found
+
+
+_held: dict[Any, tuple[Encoder, dict[Any, Memory]]] = {}
+
+
+def _worker(file: Broadcast, name: str, kind: Callable[[Encoder], Callable[[str], Any]]) -> Memory:
+    """This worker's memory of chunks, kept between tasks."""
     if name not in _held:
         _held.clear()
-        _held[name] = Encoder(file.value, Lexicon(SparkFiles.get(name)))
-    return _held[name]
+        encoder = Encoder(file.value, Lexicon(SparkFiles.get(name)))
+        encoder.merge = Memory(encoder.merge).__getitem__  # type: ignore[method-assign]
+        _held[name] = encoder, {}
+    encoder, memories = _held[name]
+    if kind not in memories:
+        memories[kind] = Memory(kind(encoder))
+    return memories[kind]
+
+
+def _as_digest_parts(encoder: Encoder) -> Callable[[str], tuple[str, str, int]]:
+    def work_out(chunk: str) -> tuple[str, str, int]:
+        ids = encoder.ids(chunk)
+        return " ".join(map(str, ids)), encoder.decode(ids), len(ids)
+
+    return work_out
+
+
+def _as_ids(encoder: Encoder) -> Callable[[str], list[int]]:
+    return encoder.ids
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(file, name)
-    known: dict[str, tuple[str, str, int]] = {}
-
-    def learn(chunk: str) -> None:
-        ids = encoder.ids(chunk)
-        known[chunk] = (" ".join(map(str, ids)), encoder.decode(ids), len(ids))
+    known = _worker(file, name, _as_digest_parts)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = chunks(text.as_py())
-                if len(known) > MEMORY:
-                    known.clear()
-                for c in set(found).difference(known):
-                    learn(c)
-                parts = [known[c] for c in found]
+                parts = [known[c] for c in chunks(text.as_py())]
                 ids, decoded = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
                 yield doc_id, sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
@@ -215,17 +269,9 @@ def encode_digests(docs: DataFrame, path: str | None = None, limit: int = LEXICO
 
 
 def _ids(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(file, name)
-    known: dict[str, list[int]] = {}
+    known = _worker(file, name, _as_ids)
     for batch in batches:
-        out = []
-        for text in batch.column("text"):
-            found = chunks(text.as_py())
-            if len(known) > MEMORY:
-                known.clear()
-            for c in set(found).difference(known):
-                known[c] = encoder.ids(c)
-            out.append([i for c in found for i in known[c]])
+        out = [[i for c in chunks(text.as_py()) for i in known[c]] for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
 
