@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, substring_dedup, token_store
+from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_network": lambda spark, d: quality.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_hyperminhash_dedup": lambda spark, d: near_dedup.near_components(table(spark, d, "documents"), k=2),
     "op3_chat_perspectives": lambda spark, d: chat.perspective_digests(table(spark, d, "conversations")),
+    "op4_toxicity_compression": lambda spark, d: toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_source_mix": lambda spark, d: mixing.mix_taken(table(spark, d, "documents")),
     "op6_suffix_automata": lambda spark, d: substring_dedup.removal_digests(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup.mark_copies(table(spark, d, "documents")),

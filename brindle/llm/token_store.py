@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMORY, chunks, tokenizer_json
+from .bpe import chunks, tokenizer_json
 from .common import arrow_batches, shared_dir, staged
 from .wavelet import WaveletMatrix, build
 
@@ -25,6 +27,10 @@ SHARD_TOKENS = 4_000_000
 #: Documents of a part, and parts, at most: parts are ranges of doc_id, each written by one task.
 PART_DOCUMENTS, MOST_PARTS = 8192, 16_384
 
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 1_000_000
+_held: dict[int, tuple[Any, dict[str, bytes], dict[str, bytes]]] = {}
+
 _ENCODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
@@ -33,23 +39,31 @@ def _encode(batches: Iterator[pa.RecordBatch], file: Broadcast, bounds: list[int
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(file.value)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    wide = "<u2" if max(END_ID, tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
-    end = np.array([END_ID], wide).tobytes()
-    known: dict[str, bytes] = {}
+    key = hash(file.value)
+    if key not in _held:  # kept by the worker between tasks
+        _held.clear()
+        _held[key] = Tokenizer.from_str(file.value), {}, {}
+        _held[key][0].no_truncation()
+        _held[key][0].no_padding()
+    tokenizer, known, older = _held[key]
+    kind = "H" if max(END_ID, tokenizer.get_vocab_size()) <= 1 << 16 else "I"
+    end = array(kind, [END_ID]).tobytes()
     places = np.array(bounds, np.int64)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 found = chunks(text.as_py())
-                if len(known) > MEMORY:
+                if len(known) > REMEMBERED // 2:  # what is asked for again comes back from the older half
+                    older.clear()
+                    older.update(known)
                     known.clear()
-                if new := list(set(found).difference(known)):
+                if new := set(found).difference(known):
+                    if again := new.intersection(older):
+                        known.update((c, older[c]) for c in again)
+                    new = list(new.difference(again))
                     for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[c] = np.array(e.ids, wide).tobytes()
+                        known[c] = array(kind, e.ids).tobytes()
                 part = 0 if doc_id is None else int(np.searchsorted(places, doc_id, "right"))
                 yield part, doc_id, b"".join([*map(known.__getitem__, found), end])
 

@@ -9,6 +9,7 @@ dictionary explains. How many windows gain one byte, two and so on, is calibrate
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -31,6 +32,11 @@ ORDINARY_BYTES, TOXIC_BYTES = 30_000, 3_600
 #: Gains in bytes that are counted, in a window.
 GAINS = (1, 2, 3, 4, 5, 6)
 THRESHOLD = 0.3
+#: Bytes of a stem: words of toxic documents are told apart as wholes and by stem.
+STEM = 5
+FOLDS = 4
+#: Fixed value of the dictionary format: the three first offsets, which end the header.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 LEVEL = 3
 
 
@@ -51,12 +57,19 @@ def _distinct(texts: Iterable[str | None]) -> list[list[bytes]]:
     return list(seen.values())
 
 
+def _keys(found: list[bytes]) -> set[bytes]:
+    """The words, and the first bytes of longer ones."""
+    distinct = set(found)
+    return distinct | {w[:STEM] + b"-" for w in distinct if len(w) > STEM}
+
+
 def _trained(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary trained on samples; where there are too few to train on, the samples."""
     try:
-        return zstandard.train_dictionary(size + 2048, samples).as_bytes()[-size:]
+        whole = zstandard.train_dictionary(size + 2048, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
+    return whole[whole.find(_OFFSETS) + len(_OFFSETS) :][-size:]
 
 
 class Distance:
@@ -98,22 +111,38 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return w
 
 
-def train(texts: list[str | None], toxic: list[int]) -> dict[str, Any]:
-    """The model: ordinary and toxic dictionary (hex) and the calibration's weights."""
+def dictionaries(texts: list[str | None], toxic: list[int]) -> dict[str, bytes]:
+    """Contents of the ordinary and the toxic dictionary."""
     bad, good = (_distinct(t for t, y in zip(texts, toxic, strict=True) if y == c) for c in (1, 0))
-    in_bad, in_good = (Counter(w for found in docs for w in set(found)) for docs in (bad, good))
-    least = max(3, len(bad) // 100)
-    telling = {w for w, n in in_bad.items() if n >= least and n / len(bad) >= 8 * (in_good[w] + 1) / (len(good) + 1)}
-    runs = [w for found in bad for w in found if w in telling]
+    in_bad, in_good = (Counter(k for found in docs for k in _keys(found)) for docs in (bad, good))
+    # In so many of the toxic documents and in no other, not one of the keys would be found by chance.
+    share = len(bad) / max(1, len(bad) + len(good))
+    least = max(3, math.ceil(math.log(len(in_bad) + 2) / -math.log(min(max(share, 0.01), 0.8))), len(bad) // 100)
+    telling = {k for k, n in in_bad.items() if n >= least and n / len(bad) >= 8 * (in_good[k] + 1) / (len(good) + 1)}
+    runs = [w for found in bad for w in found if w in telling or w[:STEM] + b"-" in telling]
     np.random.default_rng(0).shuffle(runs)
-    dictionary = {
+    return {
         "ordinary": _trained([w for found in good for w in windows(found)], ORDINARY_BYTES),
         "toxic": _trained([b" " + b"  ".join(runs[i : i + 6]) + b" " for i in range(0, len(runs), 6)], TOXIC_BYTES) if runs else b"",
     }
-    distance = Distance(**dictionary)
-    x, y = np.array([distance.features(t) for t in texts]), np.array(toxic, float)
-    weights = _fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0] * (2 * len(GAINS) + 2) + [-5.0 if not y.sum() else 5.0])
-    return {k: v.hex() for k, v in dictionary.items()} | {"weights": weights.tolist()}
+
+
+def train(texts: list[str | None], toxic: list[int]) -> dict[str, Any]:
+    """The model: ordinary and toxic dictionary (hex) and the calibration's weights.
+
+    For the calibration, each of FOLDS parts of the documents is measured with dictionaries of the other parts, since a
+    document gains more from a dictionary that it went into.
+    """
+    weights = np.array([0.0] * (2 * len(GAINS) + 2) + [-5.0 if not any(toxic) else 5.0])
+    if 0 < sum(toxic) < len(toxic):
+        x = np.zeros((len(texts), len(weights) - 1))
+        for part in range(FOLDS):
+            learn = [i for i in range(len(texts)) if i % FOLDS != part]
+            other = Distance(**dictionaries([texts[i] for i in learn], [toxic[i] for i in learn]))
+            if len(texts) > part:
+                x[part::FOLDS] = [other.features(t) for t in texts[part::FOLDS]]
+        weights = _fit_logistic(x, np.array(toxic, float))
+    return {k: v.hex() for k, v in dictionaries(texts, toxic).items()} | {"weights": weights.tolist()}
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
