@@ -196,7 +196,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     here = staged(anchors.join(shared, "anchor"), "shared-anchors")
     classes = here.groupBy("anchor", "class").agg(F.min(F.struct("doc_id", "sub", "start", "n")).alias("f"), F.max("doc_id").alias("last"))
-    hot = here.groupBy("anchor", "class").agg(F.lit(1).alias("_")).groupBy("anchor").count().filter(F.col("count") > MOST_CLASSES).select("anchor", F.lit(True).alias("hot"))
+    # A table of its own, at most one row per MOST_CLASSES classes, so that the join with it can be dealt anew where an anchor is hot.
+    hot = staged(here.select("anchor", "class").distinct().groupBy("anchor").count().filter(F.col("count") > MOST_CLASSES).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     classes = classes.join(hot, "anchor", "left")
     wanted = classes.groupBy("f.doc_id", "f.sub").agg(F.collect_list(F.struct("anchor", "class", "last", F.col("f.start").alias("start"), F.col("f.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     packed = docs.mapInArrow(_pack, "doc_id long, sub int, packed binary")
