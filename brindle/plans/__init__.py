@@ -1 +1,6 @@
+"""Queries over the driver's tables."""
 
+from . import match_queries, scalar_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
