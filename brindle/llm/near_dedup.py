@@ -27,7 +27,9 @@ CELL = 2.0**-MANTISSA * float(np.log(2))
 #: A band's bucket of at most this many members is compared pair by pair at once.
 SMALL = 6
 #: Candidates whose estimate is lower than the threshold by this many standard errors are dropped.
-SLACK = 6.0
+SLACK = 5.0
+#: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
+BLOCK = 4096
 
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _ORDER = np.array([np.random.default_rng(b).permutation(REGISTERS) for b in range(REGISTERS)])
@@ -88,7 +90,18 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     hashes = WordHashes()
     for batch in batches:
         found = [shingle_set(hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()), k).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["node", "shingles"])
+        kept = [batch.column(c) for c in ("doc_id", "n_shingles", "sketch")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=["node", "n_shingles", "sketch", "shingles"])
+
+
+def _least(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Estimates that a pair at the threshold doesn't fall below; a sketch samples no more than there are shingles."""
+    return least - SLACK * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, sizes))
+
+
+def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return den * both >= num * (len(s) + len(t) - both)
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -96,23 +109,63 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-        guess = estimate((a == b).sum(axis=1), *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
-        # Of small sets, few registers differ independently, so the error is taken for as many as there are shingles.
-        few = np.minimum(REGISTERS, np.minimum(*(batch.column(c).to_numpy() for c in ("n_a", "n_b")))) / 2 + 1
-        keep = guess >= least - SLACK * np.sqrt(least * (1 - least) / few)
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        keep = estimate((a == b).sum(axis=1), n_a.astype(float), n_b.astype(float)) >= _least(np.minimum(n_a, n_b), least)
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(s) + len(t) - len(np.union1d(s, t)) if len(s) + len(t) else 0
-            keep.append(den * both >= num * (len(s) + len(t) - both))
+        keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _settle(group: pa.Table, num: int, den: int) -> pa.Table:
+    """Links that join components among the members of one bucket (or of two blocks of it).
+
+    All members of different components are estimated, a row at a time; those that may be linked are compared on their full
+    sets, the likeliest first, unless links found before have joined them. A pair that shares an earlier band is left to that.
+    """
+    nodes, labels, sizes, blocks = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
+    band, across = group.column("band")[0].as_py(), group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    banded = sketches[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)[:, :band]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in group.column("shingles").chunks for x in c]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    pairs: list[tuple[float, int, int]] = []
+    for x in range(len(nodes) - 1):
+        other = labels[x + 1 :] != labels[x]
+        if across:
+            other &= blocks[x + 1 :] != blocks[x]
+        ys = np.flatnonzero(other) + x + 1
+        small, large = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
+        ys = ys[den * small >= num * large]
+        if not len(ys):
+            continue
+        equal = (sketches[ys] == sketches[x]).sum(axis=1)
+        guess = estimate(equal, np.full(len(ys), float(sizes[x])), sizes[ys].astype(float))
+        near = guess >= _least(np.minimum(sizes[ys], sizes[x]), num / den)
+        ys, guess = ys[near], guess[near]
+        if band and len(ys):
+            fresh = ~(banded[ys] == banded[x]).all(axis=2).any(axis=1)
+            ys, guess = ys[fresh], guess[fresh]
+        pairs += zip((-guess).tolist(), [x] * len(ys), ys.tolist(), strict=True)
+    found: list[tuple[int, int]] = []
+    for _, x, y in sorted(pairs):
+        p, q = top(int(labels[x])), top(int(labels[y]))
+        if p != q and _linked(sets[x], sets[y], num, den):
+            up[max(p, q)] = min(p, q)
+            found.append((int(nodes[x]), int(nodes[y])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are linked."""
     size = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"  # else the threshold is out of reach
@@ -142,17 +195,17 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = staged(known.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     width = 2 * BAND_ROWS
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)))
-    bands = classes.select("node", F.explode(keys).alias("key"))
+    bands = classes.select("node", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
-    members = staged(bands.join(buckets, "key").select("key", "node", "members", "first"), "members")
+    members = staged(bands.join(buckets, "key").select("key", "band", "node", "members", "first"), "members")
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     small = members.filter(f"members > 2 and members <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all"))
     rest = small.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    sets = staged(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(partial(_sets, k=k), "node long, shingles binary"), "sets")
+    involved = classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("doc_id"), "n_shingles", "sketch")
+    sets = staged(docs.join(involved, "doc_id").mapInArrow(partial(_sets, k=k), "node long, n_shingles long, sketch binary, shingles binary"), "sets")
     links = staged(_verify(stars.union(rest).distinct(), classes, sets, num, den), "confirmed")
     found = staged(components(links), "components")
-    mixed = _unsettled(members.filter(f"members > {SMALL}"), found)
-    more = _verify(mixed, classes, sets, num, den)
+    more = _unsettled(members.filter(f"members > {SMALL}"), found, sets, num, den)
     found = staged(components(links.union(more)), "components")
     per_class = classes.select("name", "node").join(found, "node", "left").select("name", F.coalesce("component", "node").alias("component"))
     out = sketches.join(per_class, "name", "left")
@@ -160,13 +213,24 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components so far; the bucket's first node has been compared."""
-    labelled = members.join(found, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("component"))
+def _unsettled(members: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between members of a bucket that are in different components so far.
+
+    Only rows of buckets with more than one component move, each once for a bucket of up to BLOCK members; of a larger bucket,
+    once for each pair of blocks. Pairs are compared where the rows meet, and only links leave the task.
+    """
+    labelled = members.join(found, "node", "left").select("key", "band", "node", "members", F.coalesce("component", "node").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    here = staged(labelled.join(open_, "key").filter("node <> first"), "unsettled")
-    x, y = (here.select("key", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("x", "p"), ("y", "q")))
-    return x.join(y, "key").filter("p < q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    here = staged(labelled.join(open_, "key"), "unsettled")
+    blocks = F.ceil(F.col("members") * F.when(F.col("members") > BLOCK, 2).otherwise(1) / BLOCK)
+    here = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    here = here.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    rows = here.join(sets, "node").select("key", "i", "j", "band", "node", "component", "block", "n_shingles", "sketch", "shingles")
+
+    def settle(group: pa.Table) -> pa.Table:
+        return _settle(group, num, den)
+
+    return rows.groupBy("key", "i", "j").applyInArrow(settle, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -141,3 +141,10 @@ def test_removal_odd_rows(spark):
     got = sorted([tuple(r)[:3] for r in substring_dedup.remove_repeats(docs).collect()], key=repr)
     assert got == sorted([(2, 80, 0), (2, 80, 0), (2, 1, 0), (None, 80, 0), (1, 0, 0), (6, 80, 80)], key=repr)
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_are_settled_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    docs = family(150, 90, 9, 3)
+    got = near_dedup.near_components(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert sorted(map(tuple, got.collect())) == brute.near(docs, 2)
