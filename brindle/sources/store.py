@@ -16,7 +16,7 @@ def read_pool(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         files = spark.read.format("binaryFile").load(path).select("length").limit(1).collect()
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    if files and not files[0]["length"]:
+    if not files or not files[0]["length"]:  # files without bytes have no rows here
         raise ValueError(f"{path} is empty")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
