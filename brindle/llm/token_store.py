@@ -59,9 +59,8 @@ def _encode(batches: Iterator[pa.RecordBatch], file: Broadcast, bounds: list[int
                     older.update(known)
                     known.clear()
                 if new := set(found).difference(known):
-                    if again := new.intersection(older):
-                        known.update((c, older[c]) for c in again)
-                    new = list(new.difference(again))
+                    known.update((c, older[c]) for c in new if c in older)
+                    new = list(new.difference(known))
                     for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                         known[c] = array(kind, e.ids).tobytes()
                 part = 0 if doc_id is None else int(np.searchsorted(places, doc_id, "right"))
