@@ -39,6 +39,7 @@ LONG = 40
 #: str.split() also cuts at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 #: Python's \w takes the superscripts and fractions below U+0250 in, which are numbers to the tokenizer.
 _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w \t-\r\x85\xa0]|_)+")
@@ -55,10 +56,11 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 def chunks(text: str | None) -> list[str]:
-    """Runs of other characters than white space. Lower-cased if that can't matter, so that more of them are the same."""
+    """Runs of other characters than white space. Lower-cased if that can't matter, so that more of them are the same: among letters below
+    U+0250 no mark can compose, so lower case may come before the normal form."""
     if not text:
         return []
-    if text.isascii() and "<|" not in text:
+    if (text.isascii() or not _BEYOND_LATIN.search(text)) and "<|" not in text:
         text = text.lower()
     if _SEPARATORS.search(text):
         return [c for c in _WHITE.split(text) if c]

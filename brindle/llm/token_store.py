@@ -60,9 +60,16 @@ def _encode(batches: Iterator[pa.RecordBatch], file: Broadcast, bounds: list[int
                     known.clear()
                 if new := set(found).difference(known):
                     known.update((c, older[c]) for c in new if c in older)
-                    new = list(new.difference(known))
-                    for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    new.difference_update([c for c in new if c in known])
+                    # A word and the mark that ends it are tokens apart, so a word's ids serve for it with either mark.
+                    marked = [c for c in new if c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250"]
+                    new.difference_update(marked)
+                    new.update(c for c in [".", ",", *(m[:-1] for m in marked)] if c not in known)
+                    wanted = list(new)
+                    for c, e in zip(wanted, tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
                         known[c] = array(kind, e.ids).tobytes()
+                    for c in marked:
+                        known[c] = known[c[:-1]] + known[c[-1]]
                 part = 0 if doc_id is None else int(np.searchsorted(places, doc_id, "right"))
                 yield part, doc_id, b"".join([*map(known.__getitem__, found), end])
 
