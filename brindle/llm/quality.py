@@ -188,7 +188,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
     """The model (numpy's npz), from labelled documents whose crc32(doc_id) mod 5 is not 0; None if there are none. The bounded sample is read by one task."""
     chosen = labelled_sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, sample)
-    row = chosen.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_train, "model string").first()
+    row = chosen.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_train, "model string").first()
     return base64.b64decode(row["model"]) if row else None
 
 

@@ -168,7 +168,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable: F.C
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str | None:
     """The model as JSON, from labelled documents whose crc32(doc_id) mod 4 is not 2; None if there are none. The bounded sample is read by one task."""
     chosen = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2, sample)
-    row = chosen.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_train, "model string").first()
+    row = chosen.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_train, "model string").first()
     return row["model"] if row else None
 
 
