@@ -19,8 +19,10 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.broadcast import Broadcast
@@ -33,7 +35,7 @@ from .lexicon import Lexicon, compile_lexicon
 #: Entries of the lexicon, at most.
 LEXICON_WORDS = 32_768
 #: Distinct chunks that a task remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Letters of a piece from which a heap finds the next merge.
 LONG = 40
 #: str.split() also cuts at these four, which are no white space to the tokenizer.
@@ -74,6 +76,17 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+_NO_PAIR = (1 << 63) - 1
+
+
+def _letter_rows(pieces: list[str]) -> np.ndarray:
+    """A row of code points per piece, 0 after its end; one column more than the longest has letters."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    out = np.zeros((len(pieces), int(lengths.max()) + 1), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+    return out
+
+
 class Encoder:
     """Ids of chunks. Takes a tokenizer file of the kind of word_bpe_49k.json: a BPE with a suffix at word ends over byte letters."""
 
@@ -90,6 +103,11 @@ class Encoder:
         #: Rank and result of a pair of ids, each in 32 bits.
         self.pairs = {self.vocab[a] << 32 | self.vocab[b]: i << 32 | self.vocab[a + b] for i, (a, b) in enumerate(merges)}
         self.no_pair = len(self.pairs) << 32
+        self._pair_keys = np.array(sorted(self.pairs), np.int64)
+        self._pair_values = np.array([self.pairs[k] for k in self._pair_keys.tolist()], np.int64)
+        self._letter_table, self._end_table = np.full(512, -1, np.int64), np.full(512, -1, np.int64)
+        for c in byte_letters():
+            self._letter_table[ord(c)], self._end_table[ord(c)] = self.vocab[c], self.vocab[c + self.suffix]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -145,16 +163,58 @@ class Encoder:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
-    def ids(self, chunk: str) -> list[int]:
-        found: list[int] = []
-        for part in self.special_at.split(chunk) if self.special_at and "<|" in chunk else (chunk,):
-            if part in self.special:
-                found.append(self.special[part])
-                continue
-            for piece in self.pieces(part) if part else ():
-                known = self.lexicon.get(piece) if self.lexicon else None
-                found += self.merge(piece) if known is None else known
-        return found
+    def merge_all(self, pieces: list[str]) -> list[list[int]]:
+        """merge() of many pieces of up to LONG letters: each round does every piece's next merge."""
+        if not pieces:
+            return []
+        letters = _letter_rows(pieces)
+        out: list[list[int] | None] = [None] * len(pieces)
+        if self.lexicon:
+            for i in np.flatnonzero((rank := self.lexicon.ranks(letters)) >= 0).tolist():
+                out[i] = self.lexicon.ids_at(int(rank[i]))
+        rows = np.array([i for i, ids in enumerate(out) if ids is None], np.int64)
+        ids = self._letter_table[letters[rows]]
+        last = (letters[rows] != 0).sum(axis=1) - 1
+        ids[np.arange(len(rows)), last] = self._end_table[letters[rows, last]]
+        ranked = self._ranked(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            best = ranked.min(axis=1, initial=_NO_PAIR)
+            for i in np.flatnonzero(best == _NO_PAIR).tolist():
+                out[rows[i]] = ids[i][ids[i] >= 0].tolist()
+            going = best != _NO_PAIR
+            rows, ids, ranked, best = rows[going], ids[going], ranked[going], best[going]
+            if not len(rows):
+                break
+            each, at = np.arange(len(rows)), ranked.argmin(axis=1)
+            ids[each, at] = best & 0xFFFFFFFF
+            shift = np.arange(ids.shape[1] - 1) > at[:, None]
+            ids = np.where(shift, ids[:, 1:], ids[:, :-1])
+            ranked = np.where(np.arange(ranked.shape[1] - 1) >= at[:, None], ranked[:, 1:], ranked[:, :-1])
+            width = ids.shape[1]
+            for left in (at - 1, at):
+                fits = (left >= 0) & (left + 1 < width)
+                where, place = each[fits], left[fits]
+                ranked[where, place] = self._ranked(ids[where, place], ids[where, place + 1])
+        return out  # type: ignore[return-value]
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and result of pairs of ids, as in pairs."""
+        wanted = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+        at = np.minimum(np.searchsorted(self._pair_keys, wanted), len(self._pair_keys) - 1)
+        return np.where(self._pair_keys[at] == wanted, self._pair_values[at], _NO_PAIR)
+
+    def ids_of(self, chunks: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of many chunks."""
+        pieces: dict[str, list[tuple[str, int | None]]] = {}
+        for c in chunks:
+            if self.special_at and "<|" in c:
+                pieces[c] = [x for p in self.special_at.split(c) if p for x in ([(p, self.special[p])] if p in self.special else [(q, None) for q in self.pieces(p)])]
+            else:
+                pieces[c] = [(p, None) for p in self.pieces(c)]
+        distinct = list({p for ps in pieces.values() for p, i in ps if i is None})
+        short = [p for p in distinct if len(p) <= LONG]
+        known = dict(zip(short, self.merge_all(short), strict=True)) | {p: self.merge(p) for p in distinct if len(p) > LONG}
+        return {c: [x for p, i in ps for x in (known[p] if i is None else (i,))] for c, ps in pieces.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens are joined by spaces. Unknown ids are left out."""
@@ -196,64 +256,103 @@ def ship_lexicon(docs: DataFrame, file: str, limit: int = LEXICON_WORDS) -> str:
     return name
 
 
-class Memory(dict):
-    """What was worked out of chunks, of pieces and so on: beyond MEMORY entries, those not asked for since it was last half full go."""
+class Memory:
+    """What was worked out of chunks: beyond MEMORY entries, those not asked for since it was last half full go."""
 
-    def __init__(self, work_out: Callable[[str], Any]):
-        self.work_out = work_out
+    def __init__(self, work_out: Callable[[list[str]], dict[str, Any]], between: Any):
+        self.work_out, self.between = work_out, between
+        self.young: dict[str, Any] = {}
         self.older: dict[str, Any] = {}
 
-    def __missing__(self, key: str) -> Any:
-        if len(self) > MEMORY // 2:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(key)
-        if found is None:
-            found = self.work_out(key)
-        self[key] = found
-        return found
+    def of(self, found: list[str]) -> list[Any]:
+        young = self.young
+        distinct = set(found)
+        if distinct.difference(young):
+            if len(young) > MEMORY // 2:
+                self.older, self.young = young, {}
+                young = self.young
+            missing = self._missing(distinct)
+            # A word and the mark that ends it are tokens apart: the two are put together.
+            marked = [c for c in missing if c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250"]
+            plain = set(missing).difference(marked) | self._missing({".", ",", *(c[:-1] for c in marked)})
+            if plain:
+                young.update(self.work_out(list(plain)))
+            for c in marked:
+                young[c] = young[c[:-1]] + self.between + young[c[-1]]
+        return [young[c] for c in found]
+
+    def _missing(self, wanted: set[str]) -> set[str]:
+        """Those of wanted that aren't known; what only the older half knows comes over."""
+        missing = wanted.difference(self.young)
+        if self.older:
+            back = {c: self.older[c] for c in missing if c in self.older}
+            self.young.update(back)
+            missing.difference_update(back)
+        return missing
 
 
 _held: dict[Any, tuple[Encoder, dict[Any, Memory]]] = {}
 
 
-def _worker(file: Broadcast, name: str, kind: Callable[[Encoder], Callable[[str], Any]]) -> Memory:
-    """This worker's memory of chunks, kept between tasks."""
+def _worker(file: Broadcast, name: str, kind: Callable[[Encoder], Callable[[list[str]], dict[str, Any]]]) -> tuple[Encoder, Memory]:
+    """This worker's encoder and memory of chunks, kept between tasks."""
     if name not in _held:
         _held.clear()
-        encoder = Encoder(file.value, Lexicon(SparkFiles.get(name)))
-        encoder.merge = Memory(encoder.merge).__getitem__  # type: ignore[method-assign]
-        _held[name] = encoder, {}
+        _held[name] = Encoder(file.value, Lexicon(SparkFiles.get(name))), {}
     encoder, memories = _held[name]
     if kind not in memories:
-        memories[kind] = Memory(kind(encoder))
-    return memories[kind]
+        memories[kind] = Memory(kind(encoder), " " if kind is _as_text else [])
+    return encoder, memories[kind]
+
+
+def _as_text(encoder: Encoder) -> Callable[[list[str]], dict[str, str]]:
+    return lambda chunks: {c: " ".join(map(str, ids)) for c, ids in encoder.ids_of(chunks).items()}
+
+
+def _as_ids(encoder: Encoder) -> Callable[[list[str]], dict[str, list[int]]]:
+    return encoder.ids_of
+
 
+#: Texts whose chunks are worked out together, and characters of them.
+TOGETHER, TOGETHER_CHARS = 256, 4 << 20
 
-def _as_digest_parts(encoder: Encoder) -> Callable[[str], tuple[str, str, int]]:
-    def work_out(chunk: str) -> tuple[str, str, int]:
-        ids = encoder.ids(chunk)
-        return " ".join(map(str, ids)), encoder.decode(ids), len(ids)
 
-    return work_out
+def _groups(column: pa.Array) -> Iterator[list[list[str]]]:
+    """Chunks of texts, some texts at a time."""
+    held: list[list[str]] = []
+    size = 0
+    for text in column:
+        raw = text.as_py()
+        held.append(chunks(raw))
+        size += len(raw or "")
+        if len(held) >= TOGETHER or size >= TOGETHER_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def _as_ids(encoder: Encoder) -> Callable[[str], list[int]]:
-    return encoder.ids
+def _known(memory: Memory, column: pa.Array) -> Iterator[list[Any]]:
+    """Per text what is known of its chunks."""
+    for group in _groups(column):
+        everything = iter(memory.of([c for found in group for c in found]))
+        for found in group:
+            yield list(islice(everything, len(found)))
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    known = _worker(file, name, _as_digest_parts)
+    encoder, memory = _worker(file, name, _as_text)
+    tokens = {str(i): t for i, t in encoder.tokens.items()}
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                parts = [known[c] for c in chunks(text.as_py())]
-                ids, decoded = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-                yield doc_id, sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), _known(memory, batch.column("text")), strict=True):
+                ids = " ".join(parts).split()
+                decoded = " ".join([tokens[i] for i in ids])
+                yield doc_id, len(ids), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     yield from arrow_batches(rows(), _DIGESTS)
 
@@ -271,9 +370,9 @@ def encode_digests(docs: DataFrame, path: str | None = None, limit: int = LEXICO
 
 
 def _ids(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    known = _worker(file, name, _as_ids)
+    _, memory = _worker(file, name, _as_ids)
     for batch in batches:
-        out = [[i for c in chunks(text.as_py()) for i in known[c]] for text in batch.column("text")]
+        out = [[i for part in parts for i in part] for parts in _known(memory, batch.column("text"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
 

@@ -100,3 +100,27 @@ class Lexicon:
             rank += self.skip[i]
             state = self.target[i]
         return tuple(self.ids[self.id_from[rank] : self.id_from[rank + 1]]) if self.final[state] else None
+
+    def ranks(self, letters: np.ndarray) -> np.ndarray:
+        """Ranks of many words at once, -1 where the lexicon hasn't the word. letters: a row of code points per word, 0 after its end."""
+        if not hasattr(self, "_keys"):
+            counts = np.diff(np.asarray(self.arc_from).astype(np.int64))
+            self._keys = np.repeat(np.arange(len(counts)), counts) << 32 | np.asarray(self.label).astype(np.int64)
+        keys, target, skip = self._keys, np.asarray(self.target), np.asarray(self.skip)
+        state, rank, rows = np.full(len(letters), self.root, np.int64), np.zeros(len(letters), np.int64), np.arange(len(letters))
+        for column in letters.T:
+            rows = rows[column[rows] != 0]
+            if not len(rows):
+                break
+            wanted = state[rows] << 32 | column[rows]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1) if len(keys) else np.zeros(len(rows), np.int64)
+            hit = keys[at] == wanted if len(keys) else np.zeros(len(rows), bool)
+            state[rows[~hit]] = -1
+            rows, at = rows[hit], at[hit]
+            rank[rows] += skip[at]
+            state[rows] = target[at]
+        found = (state >= 0) & (np.asarray(self.final)[np.maximum(state, 0)] != 0)
+        return np.where(found, rank, -1)
+
+    def ids_at(self, rank: int) -> list[int]:
+        return self.ids[self.id_from[rank] : self.id_from[rank + 1]].tolist()

@@ -32,7 +32,8 @@ def own(tmp_path_factory):
 
 
 def both(own, library, text):
-    ids = [i for c in chunks(text) for i in own.ids(c)]
+    known = own.ids_of(chunks(text))
+    ids = [i for c in chunks(text) for i in known[c]]
     want = library.encode(text, add_special_tokens=False).ids
     assert ids == want
     assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
@@ -49,6 +50,13 @@ def test_any_text_encodes_as_the_library_does(own, library, text):
     both(own, library, text)
 
 
+def test_merging_all_at_once_is_merging_each(own):
+    rnd = random.Random(4)
+    pieces = ["".join(rnd.choice("abcdeinorst") for _ in range(rnd.randrange(1, 40))) for _ in range(400)] + ["a", "house", "x" * 40]
+    assert own.merge_all(pieces) == [own.merge(p) for p in pieces] == [own._merge_long(p) for p in pieces]
+    assert own.merge_all([]) == []
+
+
 def test_lexicon_shares_suffixes_and_finds_just_its_words(tmp_path):
     words = {f"{a}{b}{c}": (i, i + 1) for i, (a, b, c) in enumerate((a, b, c) for a in "abcd" for b in "xyz" for c in ("", "ing", "ings"))}
     (tmp_path / "l").write_bytes(compile_lexicon(words))
