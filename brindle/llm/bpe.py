@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, staged
 from .lexicon import Lexicon, compile_lexicon
 
 #: Entries of the lexicon, at most.
@@ -235,9 +235,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> DataFrame:
-    """word, n: the most frequent alphabetic chunks of up to 64 letters, counted over all texts; of equal counts the first by code point."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word string, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    """word, n: the most frequent alphabetic chunks of up to 64 letters, counted over all texts; of equal counts the first by code point.
+
+    A histogram of the counts (eight bars to a doubling) tells from where on limit words are left, so that only about those are sorted.
+    """
+    counted = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = staged(counted.filter("n > 1").withColumn("bar", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    left, least = limit, 0
+    for bar, words in sorted(counted.groupBy("bar").count().collect(), reverse=True):
+        left, least = left - words, bar
+        if left <= 0:
+            break
+    return counted.filter(F.col("bar") >= least).orderBy(F.desc("n"), "word").limit(limit).drop("bar")
 
 
 def ship_lexicon(docs: DataFrame, file: str, limit: int = LEXICON_WORDS) -> str:
