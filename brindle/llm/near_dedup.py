@@ -237,3 +237,16 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """docs without the documents that near_components doesn't keep; same columns."""
     keep = near_components(docs, k, num, den).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.filter("doc_id is null"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] ELSE ws END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+ee AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, ee.v FROM r JOIN ee ON ee.u = r.v),
+c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.u = w.doc_id
+"""

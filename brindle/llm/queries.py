@@ -24,4 +24,10 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_lexicon": lambda spark, d: bpe.encode_digests(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_hyperminhash_dedup": near_dedup.ORACLE,
+    "op3_chat_perspectives": chat.ORACLE,
+    "op5_source_mix": mixing.ORACLE,
+    "op6_suffix_automata": substring_dedup.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}

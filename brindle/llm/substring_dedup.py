@@ -239,3 +239,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY sha256(array_to_string(ws[i : i + 49], ' '))) AS first FROM k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM f WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
