@@ -3,7 +3,7 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,8 +21,13 @@ from . import duck as D
 from .registry import query
 
 c = F.col
+
+
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 L = "v_listing"
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -38,7 +43,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("upcoming_slice", L, sql=f"SELECT id, name, start_local FROM v_listing WHERE pool = 'active' AND start_local >= {_NOW}")
 def _(t: DataFrame) -> DataFrame:
-    return t.filter((c("pool") == "active") & (c("start_local") >= NOW)).select("id", "name", "start_local")
+    return t.filter((c("pool") == "active") & (c("start_local") >= now())).select("id", "name", "start_local")
 
 
 _SLUG = """trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-') || '-' || lower(id[1:3])"""
@@ -54,7 +59,7 @@ def _(t: DataFrame) -> DataFrame:
   FROM u WHERE pool = 'active' OR recurring""")
 def _(t: DataFrame) -> DataFrame:
     rows = t.join(PB.unique_slugs(t), "id").filter((c("pool") == "active") | c("recurring"))
-    return rows.select(F.concat(F.lit("https://site.example/event/"), "slug").alias("loc"), F.when(c("recurring"), "weekly").otherwise("monthly").alias("changefreq"), F.when(c("start_local") >= NOW, 0.8).otherwise(0.4).alias("priority")).distinct()
+    return rows.select(F.concat(F.lit("https://site.example/event/"), "slug").alias("loc"), F.when(c("recurring"), "weekly").otherwise("monthly").alias("changefreq"), F.when(c("start_local") >= now(), 0.8).otherwise(0.4).alias("priority")).distinct()
 
 
 @query("page_slugs", L, "v_registry", sql=f"WITH {_SLUGS} SELECT slug FROM u UNION SELECT slug FROM v_registry")
@@ -99,7 +104,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("keep_future", L, sql=f"SELECT id FROM v_listing WHERE start_local >= {_NOW} - INTERVAL 1 DAY OR start_local IS NULL")
 def _(t: DataFrame) -> DataFrame:
-    return t.filter((c("start_local") >= NOW - F.expr("INTERVAL '1' DAY")) | c("start_local").isNull()).select("id")
+    return t.filter((c("start_local") >= now() - F.expr("INTERVAL '1' DAY")) | c("start_local").isNull()).select("id")
 
 
 @query("first_per_id", L, sql="SELECT source, url, id FROM v_listing QUALIFY row_number() OVER (PARTITION BY source, url ORDER BY ord) = 1")
@@ -148,14 +153,14 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("upcoming_topk", L, sql=f"SELECT location, id FROM v_listing WHERE start_local >= {_NOW} QUALIFY row_number() OVER (PARTITION BY location ORDER BY start_local, ord) <= 3")
 def _(t: DataFrame) -> DataFrame:
-    return t.filter(c("start_local") >= NOW).withColumn("r", F.row_number().over(W.partitionBy("location").orderBy("start_local", "ord"))).filter("r <= 3").select("location", "id")
+    return t.filter(c("start_local") >= now()).withColumn("r", F.row_number().over(W.partitionBy("location").orderBy("start_local", "ord"))).filter("r <= 3").select("location", "id")
 
 
 @query("publish_feed", L, "v_source", sql=f"""SELECT id, name, start_local AS start, coalesce(location, '') AS place, organizer, array_to_string({D.styles('name')}, ',') AS styles,
   CASE WHEN trim(cost) = '' OR {D.has('cost', r'\bfree\b')} THEN 0 ELSE try_cast(nullif(regexp_extract(cost, '\\$?\\s*(\\d+(?:\\.\\d{{1,2}})?)', 1), '') AS DOUBLE) END AS price, pool = 'archive' OR start_local < {_NOW} AS archived
   FROM v_listing LEFT JOIN v_source USING (source) WHERE pool IN ('active', 'archive') AND NOT coalesce(unreliable, false)""")
 def _(t: DataFrame, s: DataFrame) -> DataFrame:
-    return PB.feed(t, s, NOW)
+    return PB.feed(t, s, now())
 
 
 @query("tripwire", L, sql="SELECT a.n AS n_now, b.n AS n_before, b.n >= 20 AND a.n < b.n * 0.7 AS refuse FROM (SELECT count(*) AS n FROM v_listing WHERE pool = 'active') a, (SELECT count(*) AS n FROM v_listing) b")
@@ -193,7 +198,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("archive_split", L, sql=f"SELECT id, CASE WHEN pool = 'active' AND end_local < {_NOW} - INTERVAL 24 HOUR THEN 'archive' ELSE pool END AS pool FROM v_listing")
 def _(t: DataFrame) -> DataFrame:
-    return LC.archive_split(t, NOW)
+    return LC.archive_split(t, now())
 
 
 _HITS = """d AS (SELECT a AS id, b AS other, grade FROM graded WHERE grade IS NOT NULL UNION ALL SELECT b, a, grade FROM graded WHERE grade IS NOT NULL),
@@ -208,12 +213,12 @@ _ROUTE = f"""WITH {D.PREPARED}, {D.PAIRS}, {D.GRADED}, {_HITS}, r AS (SELECT l.i
 
 @query("route_new", L, "v_source", sql=f"{_ROUTE} SELECT id, status, CASE WHEN status IN ('added', 'merged', 'reactivated') THEN 'active' WHEN status IN ('pending', 'quarantined') THEN 'pending' WHEN starts_with(status, 'rejected') THEN 'rejected' END AS target FROM r")
 def _(t: DataFrame, s: DataFrame) -> DataFrame:
-    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, NOW)
+    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, now())
 
 
 @query("reactivate", L, "v_source", sql=f"{_ROUTE} SELECT id FROM r WHERE status = 'reactivated'")
 def _(t: DataFrame, s: DataFrame) -> DataFrame:
-    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, NOW).filter("status = 'reactivated'").select("id")
+    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, now()).filter("status = 'reactivated'").select("id")
 
 
 @query("apply_decisions", L, "v_decision", sql="""WITH v AS (SELECT item, last(choice ORDER BY seq) AS choice FROM v_decision GROUP BY item)
@@ -354,7 +359,7 @@ def _(t: DataFrame, k: DataFrame) -> DataFrame:
 def _(t: DataFrame) -> DataFrame:
     """Never verified, or longer than two weeks ago."""
     checked = t.filter("ord % 4 <> 0").select("id", F.timestamp_add("DAY", -(c("ord") % 30).cast("int"), c("start_local")).cast("timestamp_ntz").alias("at"))
-    fresh = checked.filter(c("at") >= NOW - F.expr("INTERVAL '14' DAY")).select("id")
+    fresh = checked.filter(c("at") >= now() - F.expr("INTERVAL '14' DAY")).select("id")
     return t.filter("pool = 'active'").select("id").join(fresh, "id", "left_anti")
 
 
@@ -379,7 +384,7 @@ def _(t: DataFrame, k: DataFrame) -> DataFrame:
 
 @query("auto_fixes", L, sql=f"SELECT id, 'drop_past' AS fix FROM v_listing WHERE pool = 'pending' AND end_local < {_NOW} - INTERVAL 24 HOUR UNION ALL SELECT id, 'archive_cancelled' FROM v_listing WHERE pool = 'active' AND ord % 97 = 0")
 def _(t: DataFrame) -> DataFrame:
-    past = t.filter((c("pool") == "pending") & (c("end_local") < NOW - F.expr("INTERVAL '24' HOUR"))).select("id", F.lit("drop_past").alias("fix"))
+    past = t.filter((c("pool") == "pending") & (c("end_local") < now() - F.expr("INTERVAL '24' HOUR"))).select("id", F.lit("drop_past").alias("fix"))
     return past.union(t.filter("pool = 'active' and ord % 97 = 0").select("id", F.lit("archive_cancelled")))
 
 

@@ -3,7 +3,7 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import DAYS
@@ -15,8 +15,13 @@ from .flow_queries import _SLUGS
 from .registry import query
 
 c = F.col
+
+
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 L = "v_listing"
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -39,7 +44,7 @@ def _(t: DataFrame) -> DataFrame:
     until = F.when(c("ord") % 5 == 0, ";UNTIL=19980720").otherwise("")
     kind = F.element_at(F.array(F.lit("FREQ=DAILY"), F.lit("FREQ=WEEKLY;BYDAY=MO,TH"), F.lit("FREQ=YEARLY"), F.lit("")), (c("ord") % 4 + 1).cast("int"))
     rule = F.concat(kind, F.lit(";INTERVAL="), (c("ord") % 3 + 1).cast("string"), until)
-    out = R.feed_dates(near.select(c("id").alias("uid"), c("start_local").alias("start"), rule.alias("rule")), NOW)
+    out = R.feed_dates(near.select(c("id").alias("uid"), c("start_local").alias("start"), rule.alias("rule")), now())
     return out.select("uid", "supported", c("day").cast("string").alias("day"))
 
 
@@ -50,13 +55,13 @@ UNION ALL SELECT item, start::VARCHAR FROM s WHERE kind = 3 AND start >= DATE '1
 def _(t: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ["weekly", "biweekly", "monthly", "once"])), (c("ord") % 4 + 1).cast("int"))
     subs = t.filter("pool = 'pending'").select(c("id").alias("item"), kind.alias("recurrence_type"), (c("ord") % 7).cast("int").alias("dow"), (c("ord") % 4 + 1).cast("int").alias("nth"), F.when(c("ord") % 3 > 0, F.to_date("start_local")).alias("start"))
-    return R.submission_dates(subs, NOW)[0].select("item", c("day").cast("string").alias("day"))
+    return R.submission_dates(subs, now())[0].select("item", c("day").cast("string").alias("day"))
 
 
 @query("submission_needs_date", L, sql="""SELECT id AS item, CASE WHEN ord % 3 = 0 THEN 'no date' ELSE 'past' END AS reason FROM v_listing WHERE pool = 'pending' AND ord % 4 = 3 AND (ord % 3 = 0 OR start_local < TIMESTAMP '1998-06-15 00:00:00')""")
 def _(t: DataFrame) -> DataFrame:
     subs = t.filter("pool = 'pending' and ord % 4 = 3").select(c("id").alias("item"), F.lit("once").alias("recurrence_type"), F.lit(0).alias("dow"), F.lit(1).alias("nth"), F.when(c("ord") % 3 > 0, F.to_date("start_local")).alias("start"))
-    return R.submission_dates(subs, NOW)[1]
+    return R.submission_dates(subs, now())[1]
 
 
 @query("dates_in_text", L, sql="""SELECT id, array_to_string(list_sort(list_distinct([start_local::DATE::VARCHAR, (start_local::DATE + 40)::VARCHAR, (start_local::DATE + 3)::VARCHAR])), ',') AS dates FROM v_listing""")
@@ -76,7 +81,7 @@ def _(t: DataFrame) -> DataFrame:
 @query("capture_validate", L, sql=f"""SELECT id, CASE WHEN ord % 9 = 0 THEN 'version' WHEN ord % 8 = 0 THEN 'no timestamp' WHEN start_local > {_NOW} + INTERVAL 5 MINUTE THEN 'future' WHEN start_local < {_NOW} - INTERVAL 14 DAY THEN 'stale'
   WHEN ord % 7 = 0 THEN 'host' WHEN ord % 2 = 0 AND ord % 3 > 0 THEN 'status' WHEN ord % 2 = 1 AND ord % 3 = 0 THEN 'status' ELSE 'ok' END AS reason FROM v_listing""")
 def _(t: DataFrame) -> DataFrame:
-    reason = R.capture_reason(F.when(c("ord") % 9 == 0, 2).otherwise(1), F.when(c("ord") % 8 != 0, c("start_local")), F.when(c("ord") % 7 == 0, "else.example").otherwise("known.example"), F.when(c("ord") % 2 == 0, "empty").otherwise("ok"), c("ord") % 3, NOW, ["known.example"])
+    reason = R.capture_reason(F.when(c("ord") % 9 == 0, 2).otherwise(1), F.when(c("ord") % 8 != 0, c("start_local")), F.when(c("ord") % 7 == 0, "else.example").otherwise("known.example"), F.when(c("ord") % 2 == 0, "empty").otherwise("ok"), c("ord") % 3, now(), ["known.example"])
     return t.select("id", reason.alias("reason"))
 
 

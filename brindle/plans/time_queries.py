@@ -3,7 +3,7 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +16,12 @@ from . import duck as D
 from .registry import query
 
 c = F.col
-NOW = F.lit(EVENTS_AS_OF).cast("timestamp_ntz")
+
+
+def now() -> Column:
+    return F.lit(EVENTS_AS_OF).cast("timestamp_ntz")
+
+
 _NOW = f"TIMESTAMP '{EVENTS_AS_OF}'"
 
 
@@ -27,7 +32,7 @@ def _(t: DataFrame) -> DataFrame:
 
 @query("display_start", "v_series", sql=f"SELECT series_id, coalesce(min(occ_local) FILTER (occ_local >= {_NOW}), min(occ_local)) AS shown FROM v_series GROUP BY series_id")
 def _(t: DataFrame) -> DataFrame:
-    return S.occurrences(t).select("series_id", T.display_start(c("occ"), NOW).alias("shown"))
+    return S.occurrences(t).select("series_id", T.display_start(c("occ"), now()).alias("shown"))
 
 
 @query("occurrence_end", "v_series", sql="SELECT series_id, occ_local, occ_local + INTERVAL 1 MINUTE * greatest(0, floor(value)::INT) AS stop FROM v_series")
@@ -38,21 +43,21 @@ def _(t: DataFrame) -> DataFrame:
 @query("occurrences_window", "v_series", sql=f"SELECT series_id, occ_local FROM v_series WHERE occ_local >= {_NOW} AND occ_local < {_NOW} + INTERVAL 7 DAY QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY occ_local, ord) <= 3")
 def _(t: DataFrame) -> DataFrame:
     """The next three occurrences of each series within a week: the filter comes before the window."""
-    near = t.filter((c("occ_local") >= NOW) & (c("occ_local") < NOW + F.expr("INTERVAL '7' DAY")))
+    near = t.filter((c("occ_local") >= now()) & (c("occ_local") < now() + F.expr("INTERVAL '7' DAY")))
     return near.withColumn("r", F.row_number().over(W.partitionBy("series_id").orderBy("occ_local", "ord"))).filter("r <= 3").select("series_id", "occ_local")
 
 
 @query("next_occurrence", "v_series", sql=f"SELECT series_id, min(occ_local) AS next, arg_min(ord, (occ_local, ord)) AS ord FROM v_series WHERE occ_local >= {_NOW} GROUP BY series_id")
 def _(t: DataFrame) -> DataFrame:
     m = F.min(F.struct("occ_local", "ord"))
-    return t.filter(c("occ_local") >= NOW).groupBy("series_id").agg(m.alias("m")).select("series_id", c("m.occ_local").alias("next"), "m.ord")
+    return t.filter(c("occ_local") >= now()).groupBy("series_id").agg(m.alias("m")).select("series_id", c("m.occ_local").alias("next"), "m.ord")
 
 
 @query("apply_filters", "v_series", sql=f"""SELECT series_id FROM v_series GROUP BY series_id, event_type HAVING event_type IN ('click', 'purchase', 'view')
   AND bool_or(occ_local >= {_NOW} AND occ_local < {_NOW} + INTERVAL 5 DAY) AND bool_or(dayofweek(occ_local) IN (5, 6))""")
 def _(t: DataFrame) -> DataFrame:
     """Any style, any occurrence in the range, any on a chosen weekday."""
-    return S.filtered(t, ["click", "purchase", "view"], [5, 6], NOW, NOW + F.expr("INTERVAL '5' DAY"))
+    return S.filtered(t, ["click", "purchase", "view"], [5, 6], now(), now() + F.expr("INTERVAL '5' DAY"))
 
 
 @query("feed_by_day", "v_series", sql=f"""SELECT occ_local::DATE::VARCHAR AS day, {D.day_name('occ_local')} AS weekday, count(*) AS n, count(DISTINCT series_id) AS series, min(occ_local) AS first
@@ -60,7 +65,7 @@ def _(t: DataFrame) -> DataFrame:
 def _(t: DataFrame) -> DataFrame:
     """What takes place on each day from as_of on."""
     day = F.to_date("occ_local")
-    out = t.filter(c("occ_local") >= NOW).groupBy(day.alias("d")).agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("series"), F.min("occ_local").alias("first"))
+    out = t.filter(c("occ_local") >= now()).groupBy(day.alias("d")).agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("series"), F.min("occ_local").alias("first"))
     return out.select(c("d").cast("string").alias("day"), T.weekday_name(c("d")).alias("weekday"), "n", "series", "first")
 
 
@@ -69,7 +74,7 @@ def _(t: DataFrame) -> DataFrame:
 def _(t: DataFrame) -> DataFrame:
     """Dates of one series in one row; the first row gives what isn't a date."""
     g = t.groupBy("series_id").agg(F.collect_set("occ_local").alias("occ"), F.min_by("source", "ord").alias("source"), F.max("value").alias("value"))
-    return g.select("series_id", T.display_start(c("occ"), NOW).alias("start"), F.array_max("occ").alias("last"), F.size("occ").cast("long").alias("n"), "source", "value")
+    return g.select("series_id", T.display_start(c("occ"), now()).alias("start"), F.array_max("occ").alias("last"), F.size("occ").cast("long").alias("n"), "source", "value")
 
 
 @query("series_url", "v_series", sql=f"""WITH u AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'https://www.facebook.com/events/' ELSE 'https://h.example/' END || ord::VARCHAR AS url FROM v_series),
@@ -78,7 +83,7 @@ SELECT series_id, arg_min(url, ({D.rank('url')}, (occ_local IS DISTINCT FROM nx)
 def _(t: DataFrame) -> DataFrame:
     """The fittest link, of equals that of the next date."""
     url = F.concat(F.when(c("ord") % 3 == 0, "https://www.facebook.com/events/").otherwise("https://h.example/"), c("ord").cast("string"))
-    return S.series_urls(t.withColumn("url", url), NOW)
+    return S.series_urls(t.withColumn("url", url), now())
 
 
 @query("median_gap", "v_series", sql="""WITH d AS (SELECT DISTINCT series_id, occ_local::DATE AS d FROM v_series), g AS (SELECT series_id, date_diff('day', lag(d) OVER (PARTITION BY series_id ORDER BY d), d) AS gap FROM d)
@@ -99,7 +104,7 @@ def _(t: DataFrame) -> DataFrame:
 SELECT series_id, start AS was, coalesce(nx, start) AS start, coalesce(nx, start) + INTERVAL 3 HOUR AS stop FROM s WHERE start < {_NOW}""")
 def _(t: DataFrame) -> DataFrame:
     """A stale start moves to the next occurrence; the end moves by as much."""
-    s = S.occurrences(t).select("series_id", F.array_min("occ").alias("was"), T.display_start(c("occ"), NOW).alias("start")).filter(c("was") < NOW)
+    s = S.occurrences(t).select("series_id", F.array_min("occ").alias("was"), T.display_start(c("occ"), now()).alias("start")).filter(c("was") < now())
     return s.select("series_id", "was", "start", (c("start") + F.expr("INTERVAL '3' HOUR")).alias("stop"))
 
 
