@@ -37,15 +37,58 @@ def candidate_pairs(listings: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def default_keys() -> dict[str, Column]:
-    """Keys that every certain pair shares one of, and the exact name."""
-    return {"url": F.col("key"), "place_day": F.concat(F.col("place"), F.lit("|"), F.col("day").cast("string")), "name_day": F.concat(F.col("norm"), F.lit("|"), F.col("day").cast("string"))}
+def gradable_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ids with their ords (ao, bo), ao before bo, of prepared rows: all that graded() can give a grade, and few others.
+
+    Each kind of key stands for a branch of the grade. One row probes with a key and its neighbours (days, weeks, cells), the other is found under
+    its own; starts, distance and containment are tested in the join. Names that hold another are found by its first three letters. Cells get too
+    narrow in the far north, where the row of the grid alone is a key.
+    """
+    c, none = F.col, F.array().cast("array<string>")
+    day = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    week, dow, row, col = F.floor(day / 7), F.dayofweek("start_local"), F.floor(c("lat") / CELL), F.floor(c("lng") / CELL)
+    around = lambda x: F.array(x - 1, x, x + 1)
+    join = lambda *parts: F.concat(*(F.concat(p.cast("string"), F.lit("|")) for p in parts))
+    each = lambda xs, *rest: F.transform(xs, lambda x: join(x, *rest))
+    far_north = F.abs(c("lat")) > 56.9
+    cells = F.flatten(F.array(*(F.array(*(join(row + i, col + j) for j in (-1, 0, 1))) for i in (-1, 0, 1))))
+    rows_of_grid, norm = F.array(*(join(row + i) for i in (-1, 0, 1))), F.nullif(c("norm"), F.lit(""))
+    names = F.concat(F.array(norm), c("telling"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - 2, F.lit(1))), lambda i: norm.substr(i, F.lit(3))))
+    unknown, known = F.when(c("start_local").isNull(), F.array(norm)), F.array(norm)
+    weekly = lambda keys: F.when(c("recurring"), F.flatten(F.transform(keys, lambda k: F.transform(names, lambda n: join(k, n, dow)))))
+    # kind: probing keys, own keys, seconds between starts, test
+    kinds = {
+        "id": (F.array("id"), F.array("id"), None, None), "url": (F.array(F.nullif(c("key"), F.lit(""))),) * 2 + (None, None),
+        "place": (each(around(week), c("place")), F.array(join(week, c("place"))), 168, None), "place_series": (weekly(F.array("place")),) * 2 + (None, None),
+        "cell": (each(cells, week), F.transform(around(week), lambda w: join(join(row, col), w)), 168, "km"), "cell_series": (weekly(cells), weekly(F.array(join(row, col))), None, "km"),
+        "north": (F.when(far_north, each(rows_of_grid, week)), F.when(far_north, F.transform(around(week), lambda w: join(join(row), w))), 168, "km"),
+        "north_series": (F.when(far_north, weekly(rows_of_grid)), F.when(far_north, weekly(F.array(join(row)))), None, "km"),
+        "name": (each(around(day), norm), F.array(join(day, norm)), 24, None), "name_unknown": (unknown, known, None, "any"),
+        "word": (F.flatten(F.transform(c("telling"), lambda w: each(around(day), w))), F.transform(c("telling"), lambda w: join(day, w)), 24, None),
+        "inside": (each(around(day), F.when(F.length(norm) > 2, norm.substr(1, 3)).when(norm.isNotNull(), "")), F.transform(F.concat(grams, F.array(F.lit(""))), lambda g: join(day, g)), 24, "in"),
+    }
+    carried = ["id", "ord", "start_local", "lat", "lng", "norm"]
+
+    def side(at: int) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v[2]).cast("int").alias("hours"), F.lit(v[3]).cast("string").alias("test"), F.coalesce(v[at], none).alias("blocks")) for k, v in kinds.items()))
+        return rows.select(*carried, F.explode(keys).alias("k")).select(*carried, "k.kind", "k.hours", "k.test", F.explode("k.blocks").alias("block")).filter("block is not null")
+
+    x, y = side(0).alias("x"), side(1).alias("y")
+    ordered = F.when(c("x.test").isin("in", "any"), c("x.ord") != c("y.ord")).otherwise(c("x.ord") < c("y.ord"))
+    km = F.least(*(distance_km(c(f"{p}.lat"), c(f"{p}.lng"), c(f"{q}.lat"), c(f"{q}.lng")) for p, q in ("xy", "yx"))) <= SAME_PLACE_KM
+    fits = F.when(c("x.test") == "km", km).when(c("x.test") == "in", F.contains(c("y.norm"), c("x.norm"))).otherwise(F.lit(True))
+    soon = c("x.hours").isNull() | (F.abs(seconds_between(c("x.start_local"), c("y.start_local"))) < c("x.hours") * 3600)
+    found = x.join(y, (c("x.kind") == c("y.kind")) & (c("x.block") == c("y.block"))).filter(ordered & soon & fits)
+    first = c("x.ord") < c("y.ord")
+    pick = lambda w, n: F.when(first == F.lit(w), c(f"x.{n}")).otherwise(c(f"y.{n}"))
+    return found.select(pick(True, "id").alias("a"), pick(False, "id").alias("b"), pick(True, "ord").alias("ao"), pick(False, "ord").alias("bo")).distinct()
 
 
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs with the columns of both rows as structs x and y."""
-    for side, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(rows.select(F.col("id").alias(side), F.struct(*rows.columns).alias(name)), side)
+    """pairs with the columns of both rows, found by id and ord, as structs x and y."""
+    for side, at, name in (("a", "ao", "x"), ("b", "bo", "y")):
+        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("ord").alias(at), F.struct(*rows.columns).alias(name)), [side, at])
     return pairs
 
 
@@ -78,10 +121,10 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
     return sides.withColumn("grade", rules.cast("string"))
 
 
-def grade_pairs(listings: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
+def grade_pairs(listings: DataFrame) -> DataFrame:
     """a, b, grade of the pairs that have a grade."""
     rows = prepared(listings)
-    return graded(with_sides(candidate_pairs(rows, keys or default_keys()), rows)).filter("grade is not null").select("a", "b", "grade")
+    return graded(with_sides(gradable_pairs(rows), rows)).filter("grade is not null").select("a", "b", "grade")
 
 
 def reason(sides: DataFrame) -> Column:

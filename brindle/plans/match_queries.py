@@ -23,7 +23,7 @@ _GRADE = f"{_CAND}, {D.GRADED}"
 
 @query("candidate_pairs", L, sql=f"{_CAND} SELECT a, b FROM cand")
 def _(t: DataFrame) -> DataFrame:
-    return M.candidate_pairs(M.prepared(t), M.default_keys())
+    return M.gradable_pairs(M.prepared(t)).select("a", "b")
 
 
 @query("dedup_grade", L, sql=f"{_GRADE} SELECT a, b, grade FROM graded WHERE grade IS NOT NULL")
@@ -41,7 +41,7 @@ def _(t: DataFrame) -> DataFrame:
   FROM cand JOIN prep x ON x.id = a JOIN prep y ON y.id = b""")
 def _(t: DataFrame) -> DataFrame:
     rows = M.prepared(t)
-    sides = M.with_sides(M.candidate_pairs(rows, M.default_keys()), rows)
+    sides = M.with_sides(M.gradable_pairs(rows), rows)
     return sides.select("a", "b", M.reason(sides).alias("reason"))
 
 
@@ -67,7 +67,7 @@ WHERE CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL ELSE gra
 def _(t: DataFrame, d: DataFrame) -> DataFrame:
     """Recorded verdicts stand over the rules. (Here a verdict's key is the sum of the two ords, modulo 500.)"""
     rows = M.prepared(t)
-    sides = M.with_sides(M.candidate_pairs(rows, M.default_keys()), rows)
+    sides = M.with_sides(M.gradable_pairs(rows), rows)
     v = M.latest(d.filter("choice in ('same', 'different')"), ["item"], ["seq"]).select("item", "choice")
     sides = sides.join(v, (c("x.ord") + c("y.ord")) % 500 == c("item"), "left")
     return M.graded(sides, c("choice")).filter("grade is not null").select("a", "b", "grade")
