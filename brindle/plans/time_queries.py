@@ -97,7 +97,7 @@ SELECT series_id, CASE WHEN count(*) < 2 THEN 'once' WHEN count(DISTINCT dayofwe
   WHEN count(DISTINCT (day(d) + 6) // 7) = 1 AND median(gap) BETWEEN 24 AND 35 THEN 'monthly on ' || min({D.day_name('d')}) WHEN median(gap) BETWEEN 6 AND 8 THEN 'weekly on ' || min({D.day_name('d')})
   WHEN median(gap) BETWEEN 13 AND 15 THEN 'every other ' || min({D.day_name('d')}) ELSE min({D.day_name('d')}) || 's' END AS label FROM g GROUP BY series_id""")
 def _(t: DataFrame) -> DataFrame:
-    return S.labels(t.filter("ord % 4 = 0"))
+    return S.labels(t)
 
 
 @query("roll_forward", "v_series", sql=f"""WITH s AS (SELECT series_id, min(occ_local) AS start, max(occ_local) AS last, min(occ_local) FILTER (occ_local >= {_NOW}) AS nx FROM v_series GROUP BY series_id)
@@ -140,7 +140,7 @@ def _(t: DataFrame) -> DataFrame:
 def _(t: DataFrame) -> DataFrame:
     """Dates of posts as rows: source, day, text."""
     kinds = F.array(F.struct(F.lit("flyer").alias("kind"), F.to_date("occ_local").alias("day")), F.struct(F.lit("album").alias("kind"), F.date_add(F.to_date("occ_local"), 1).alias("day")))
-    return t.filter("ord % 50 = 0").select("source", F.col("event_type").alias("text"), F.inline(kinds)).select("source", c("day").cast("string").alias("day"), "kind", "text")
+    return t.select("source", F.col("event_type").alias("text"), F.inline(kinds)).select("source", c("day").cast("string").alias("day"), "kind", "text")
 
 
 @query("signal_match", "v_series", sql="""WITH s AS (SELECT ord AS sid, source, occ_local::DATE AS d, event_type FROM v_series WHERE ord % 50 = 0),
@@ -148,14 +148,20 @@ m AS (SELECT sid, e.ord, CASE WHEN s.source = e.source AND s.event_type = e.even
   FROM s JOIN v_series e ON e.occ_local::DATE = s.d AND e.ord <> sid AND (s.source = e.source OR (s.event_type = e.event_type AND e.ord % 10 = 3)))
 SELECT s.sid, b.ord, b.strength FROM s LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sid ORDER BY strength, ord) = 1) b ON b.sid = s.sid""")
 def _(t: DataFrame) -> DataFrame:
-    """Each dated signal to the best event of its day: of its source and kind, of its source, of its kind; none is an open issue."""
-    day = F.to_date("occ_local").alias("d")
-    s = t.filter("ord % 50 = 0").select(c("ord").alias("sid"), "source", day, "event_type")
-    e = t.select("ord", "source", day, "event_type")
-    by_source = s.join(e.withColumnRenamed("event_type", "kind"), ["source", "d"]).select("sid", "ord", F.when(c("event_type") == c("kind"), 1).otherwise(2).alias("strength"))
-    by_kind = s.drop("source").join(e.filter("ord % 10 = 3").drop("source"), ["event_type", "d"]).select("sid", "ord", F.lit(3).alias("strength"))
-    best = by_source.union(by_kind).filter("sid <> ord").groupBy("sid").agg(F.min(F.struct("strength", "ord")).alias("m"))
-    return s.join(best, "sid", "left").select("sid", "m.ord", "m.strength")
+    """Each dated signal to the best event of its day: of its source and kind, of its source, of its kind; none is an open issue.
+
+    Of each group the first two events are enough: the second is for the signal that is the first itself.
+    """
+    s = t.select(c("ord").alias("sid"), "source", F.to_date("occ_local").alias("d"), "event_type")
+    out = s
+    for strength, by in enumerate((["source", "d", "event_type"], ["source", "d"], ["d", "event_type"]), 1):
+        first = s.groupBy(*by).agg(F.min("sid").alias("one"))
+        second = s.join(first, by).filter("sid <> one").groupBy(*by).agg(F.min("sid").alias("two"))
+        pair = first.join(second, by, "left").select(*by, F.array("one", "two").alias(f"m{strength}"))
+        out = out.join(pair, by, "left")
+    other = lambda k: F.when(c("sid") == c(f"m{k}")[0], c(f"m{k}")[1]).otherwise(c(f"m{k}")[0])
+    best = F.coalesce(*(F.when(other(k).isNotNull(), F.struct(other(k).alias("ord"), F.lit(k).alias("strength"))) for k in (1, 2, 3)))
+    return out.select("sid", best.alias("m")).select("sid", "m.ord", "m.strength")
 
 
 _SPAN = ("1998-06-15", "1998-08-10")
