@@ -37,7 +37,9 @@ def feed_dates(feed: DataFrame, as_of: Column, weeks: int = 12) -> DataFrame:
     rows = feed.select("uid", F.to_date("start").alias("first"), part("FREQ").alias("freq"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)).alias("step"), part("BYDAY").alias("by"), F.to_date(part("UNTIL"), "yyyyMMdd").alias("until"), part("COUNT").try_cast("int").alias("most"))
     rows = rows.withColumn("supported", F.coalesce(F.col("freq").isin("DAILY", "WEEKLY"), F.lit(False)))
     last = F.least(F.date_add(F.to_date(as_of), 7 * weeks), F.coalesce("until", F.lit("9999-12-31").cast("date")))
-    days = F.when(F.col("supported") & (F.col("first") <= last), F.sequence(F.col("first"), last, F.expr("INTERVAL '1' DAY"))).otherwise(F.array("first"))
+    # Steps count from the first date wherever the days begin; only COUNT needs all days since then.
+    begin = F.when(F.col("most").isNull(), F.greatest(F.col("first"), F.date_sub(F.to_date(as_of), 1))).otherwise(F.col("first"))
+    days = F.when(~F.col("supported"), F.array("first")).when(begin <= last, F.sequence(begin, F.greatest(begin, last), F.expr("INTERVAL '1' DAY"))).otherwise(F.array().cast("array<date>"))
     codes = F.array(*map(F.lit, RULE_DAYS))
 
     def fits(d: Column) -> Column:

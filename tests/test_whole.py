@@ -5,6 +5,7 @@ import re
 
 import pytest
 from brindle.operators import match as M
+from brindle.operators import parse as R
 from brindle.plans import ORACLE_SQL, QUERIES
 from brindle.sources.adapters import view
 from pyspark.sql import functions as F
@@ -56,3 +57,20 @@ def test_signals_and_labels_read_all_rows(spark, duck, name):  # noqa: F811
     got = [tuple(r) for r in rows.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert len(got) == {"signal_match": 1000, "signal_explode": 2000}.get(name, len(got))
+
+
+def test_feed_holds_old_rules_and_those_that_begin_in_the_window(spark, duck):  # noqa: F811
+    """Against the query's SQL without the range of starts that it may hold."""
+    rows = QUERIES["feed_recurrence"](spark, SF)
+    sql = re.sub(r" WHERE start_local >= TIMESTAMP '1998-01-01 00:00:00' AND start_local < TIMESTAMP '1998-07-01 00:00:00'", "", ORACLE_SQL["feed_recurrence"])
+    got = as_set(rows)
+    assert got == set(duck.execute(f"SELECT {', '.join(rows.columns)} FROM ({sql})").fetchall())
+    starts = dict(duck.execute("SELECT 'L' || o_orderkey, o_orderdate::DATE FROM orders").fetchall())
+    assert min(starts[uid] for uid, *_ in got) < dt.date(1998, 1, 1) and max(starts[uid] for uid, *_ in got) >= dt.date(1998, 7, 1)
+
+
+def test_an_old_rule_keeps_its_steps_and_its_count(spark):
+    rules = [("a", "FREQ=DAILY;INTERVAL=3"), ("b", "FREQ=DAILY;COUNT=5"), ("c", "FREQ=DAILY;COUNT=3654"), ("d", "FREQ=DAILY;UNTIL=20150101")]
+    feed = spark.createDataFrame([(u, dt.datetime(2016, 1, 1, 20), r) for u, r in rules], "uid string, start timestamp_ntz, rule string")
+    got = sorted((r.uid, str(r.day)) for r in R.feed_dates(feed, F.lit("2026-01-02").cast("timestamp_ntz"), 1).collect())
+    assert got == [("a", "2026-01-02"), ("a", "2026-01-05"), ("a", "2026-01-08"), ("c", "2026-01-01")]
