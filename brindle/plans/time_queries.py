@@ -115,9 +115,13 @@ def _(t: DataFrame) -> DataFrame:
     return S.nights(t)
 
 
-@query("series_leaders", "v_listing")
-def _(t: DataFrame) -> DataFrame:
-    return S.leaders(t.filter("pool = 'pending'"))
+@query("series_leaders", "v_listing", "v_source", "v_venue")
+def _(t: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    """Over what is published: the venues with regular nights, then the active rows of reliable sources."""
+    active = t.filter("pool = 'active'").join(s.filter("unreliable").select("source"), "source", "left_anti")
+    active = active.select("id", "ord", T.weekday(c("start_local")).cast("int").alias("dow"), F.lit(False).alias("hub"), "location", "name")
+    hubs = v.filter("not coalesce(approximate, false)").select("id", (c("pos") - F.lit(1 << 60)).alias("ord"), c("dow").cast("int").alias("dow"), F.lit(True).alias("hub"), "location", "name")
+    return S.leaders(hubs.unionByName(active))
 
 
 @query("scrape_health", "v_series", sql="""SELECT source, count(*) AS raw, count(*) FILTER (value > 50) AS kept, CASE WHEN count(*) = 0 THEN 'skipped' WHEN count(*) FILTER (value > 50) = 0 THEN 'structure_missing'

@@ -6,6 +6,7 @@ import re
 import pytest
 from brindle.operators import match as M
 from brindle.operators import parse as R
+from brindle.operators import series as S
 from brindle.plans import ORACLE_SQL, QUERIES
 from brindle.sources.adapters import view
 from pyspark.sql import functions as F
@@ -74,3 +75,19 @@ def test_an_old_rule_keeps_its_steps_and_its_count(spark):
     feed = spark.createDataFrame([(u, dt.datetime(2016, 1, 1, 20), r) for u, r in rules], "uid string, start timestamp_ntz, rule string")
     got = sorted((r.uid, str(r.day)) for r in R.feed_dates(feed, F.lit("2026-01-02").cast("timestamp_ntz"), 1).collect())
     assert got == [("a", "2026-01-02"), ("a", "2026-01-05"), ("a", "2026-01-08"), ("c", "2026-01-01")]
+
+
+def test_leaders_compare_location_keys_and_hubs(spark):
+    t = listings(
+        spark, {"name": "Harbor Salsa", "location": "Club, 107 Main Street, Boston"}, {"name": "Harbor Salsa", "location": "107 MAIN ST"}, {"name": "Harbor Salsa", "location": "7 Main St"}, {"name": "Harbor Salsa", "location": "8 Main St"},
+        {"name": "Zouk", "location": None}, {"name": "Zouk", "location": ""}, {"name": "Zouk", "location": "Hall"}, {"name": "Harbor Salsa", "location": "107 Main St"}, {"name": "Zouk", "location": "H"},
+    ).withColumn("hub", F.col("id") == "L7")
+    got = {r.id: r.leader for r in S.leaders(t).collect()}
+    assert got == {"L0": "L0", "L1": "L0", "L2": "L0", "L3": "L3", "L4": "L4", "L5": "L4", "L6": "L6", "L7": "L7", "L8": "L6"}
+
+
+def test_leaders_of_all_published_rows(spark, duck):  # noqa: F811
+    got = {r.id: r.leader for r in QUERIES["series_leaders"](spark, SF).collect()}
+    ids = duck.execute("SELECT 'L' || o_orderkey FROM orders WHERE o_orderstatus = 'O' AND (o_orderkey % 25) % 7 <> 6 UNION ALL SELECT 'V' || s_suppkey FROM supplier WHERE s_suppkey % 8 <> 7").fetchall()
+    assert set(got) == {i for (i,) in ids} and all(got[leader] == leader for leader in got.values())
+    assert all(i[0] == leader[0] for i, leader in got.items())
