@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import content_words, distinctive_words, is_special_edition, normalize_name, shared_word_count
+from ..functions.names import WEEKDAYS, content_words, distinctive_words, is_special_edition, normalize_name, shared_word_count
 from ..functions.places import SAME_PLACE_KM, distance_km, place_text
+from ..functions.text import detect_styles
 from ..functions.timefn import minutes_of_day, seconds_between
 from ..functions.urls import url_key, url_rank
 
@@ -18,10 +19,11 @@ CELL = 0.005
 
 
 def prepared(listings: DataFrame) -> DataFrame:
-    """listings with the columns that pairs are judged by."""
-    norm = normalize_name(F.col("name"))
+    """listings with the columns that pairs are judged by. Columns hub (venue record or not) and canon (canonical place) may be there already."""
+    norm, has = normalize_name(F.col("name")), listings.columns
+    hub, canon = (F.coalesce("hub", F.lit(False)) if "hub" in has else F.lit(False)), (F.nullif("canon", F.lit("")) if "canon" in has else F.lit(None).cast("string"))
     return (
-        listings.withColumn("norm", norm).withColumn("words", content_words(F.col("norm"))).withColumn("telling", distinctive_words(F.col("words")))
+        listings.withColumn("hub", hub).withColumn("canon", canon).withColumn("norm", norm).withColumn("words", content_words(F.col("norm"))).withColumn("telling", distinctive_words(F.col("words")))
         .withColumn("place", place_text(F.col("location"))).withColumn("day", F.to_date("start_local")).withColumn("key", url_key(F.col("url")))
     )
 
@@ -61,6 +63,7 @@ def gradable_pairs(rows: DataFrame) -> DataFrame:
     kinds = {
         "id": (F.array("id"), F.array("id"), None, None), "url": (F.array(F.nullif(c("key"), F.lit(""))),) * 2 + (None, None),
         "place": (each(around(week), c("place")), F.array(join(week, c("place"))), 168, None), "place_series": (weekly(F.array("place")),) * 2 + (None, None),
+        "canon": (each(around(week), c("canon")), F.array(join(week, c("canon"))), 168, None), "canon_series": (weekly(F.array("canon")),) * 2 + (None, None),
         "cell": (each(cells, week), F.transform(around(week), lambda w: join(join(row, col), w)), 168, "km"), "cell_series": (weekly(cells), weekly(F.array(join(row, col))), None, "km"),
         "north": (F.when(far_north, each(rows_of_grid, week)), F.when(far_north, F.transform(around(week), lambda w: join(join(row), w))), 168, "km"),
         "north_series": (F.when(far_north, weekly(rows_of_grid)), F.when(far_north, weekly(F.array(join(row)))), None, "km"),
@@ -93,13 +96,14 @@ def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
-    """sides with grade: certain, review or null. The first rule that fits counts; a recorded verdict stands over all."""
+    """sides with grade: certain, review or null. The first rule that fits counts; a recorded verdict stands over all but a venue record and another."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     gap = F.abs(seconds_between(x("start_local"), y("start_local")))
     near = gap < 86400
     same_day = x("day") == y("day")
     km = distance_km(x("lat"), x("lng"), y("lat"), y("lng"))
     same_place = F.coalesce(km <= SAME_PLACE_KM, F.lit(False)) | F.coalesce(x("place") == y("place"), F.lit(False))
+    same_place = F.when(x("canon").isNotNull() & y("canon").isNotNull(), x("canon") == y("canon")).otherwise(same_place)
     exact = x("norm") == y("norm")
     inside = x("norm").contains(y("norm")) | y("norm").contains(x("norm"))
     smaller = F.least(F.size(x("words")), F.size(y("words")))
@@ -108,17 +112,23 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
     clock = F.abs(minutes_of_day(x("start_local")) - minutes_of_day(y("start_local")))
     clock = F.least(clock, 1440 - clock)
     both_recur = x("recurring") & y("recurring") & (F.dayofweek(x("start_local")) == F.dayofweek(y("start_local")))
+    known = lambda styles: F.array_except(styles, F.array(F.lit("other")))
+    sx, sy = known(detect_styles(x("name"))), known(detect_styles(y("name")))
+    other_styles = (F.size(F.array_except(sx, sy)) > 0) & (F.size(F.array_except(sy, sx)) > 0) & (F.size(sx) > 0) & (F.size(sy) > 0)
+    days = lambda name: F.array_compact(F.array(*(F.when(F.contains(F.lower(name), F.lit(d)), F.lit(d)) for d in WEEKDAYS)))
+    dx, dy = days(x("name")), days(y("name"))
+    other_days = x("recurring") & y("recurring") & (F.size(dx) > 0) & (F.size(dy) > 0) & ~F.arrays_overlap(dx, dy)
     certain, review = F.lit("certain"), F.lit("review")
     rules = (
-        F.when((x("key") == y("key")) & (x("key") != "") & near, certain).when(F.coalesce(x("norm"), F.lit("")) == "", None).when(F.coalesce(y("norm"), F.lit("")) == "", None)
+        F.when(x("id") == y("id"), certain).when((x("key") == y("key")) & (x("key") != "") & F.coalesce(near, F.lit(True)), certain).when(F.coalesce(x("norm"), F.lit("")) == "", None).when(F.coalesce(y("norm"), F.lit("")) == "", None)
         .when(same_day & same_place & (exact | inside | strong), certain).when(exact & same_place & near, certain)
-        .when(same_place & (exact | strong) & both_recur, F.when(clock > 120, review).otherwise(certain))
+        .when(same_place & (exact | strong) & both_recur, F.when(other_styles | (clock > 120), review).otherwise(certain))
         .when(exact & near, review).when(same_place & same_day, review).when(inside & near, review).when(strong & near, review)
-        .when(same_place & (exact | inside | strong) & (gap < 168 * 3600), review)
+        .when(exact & near.isNull(), review).when(same_place & (exact | inside | strong) & (gap < 168 * 3600) & ~F.coalesce(other_days, F.lit(False)), review)
     )
     if verdict is not None:
         rules = F.when(verdict == "same", certain).when(verdict == "different", None).otherwise(rules)
-    return sides.withColumn("grade", rules.cast("string"))
+    return sides.withColumn("grade", F.when(x("hub") == y("hub"), rules).cast("string"))
 
 
 def grade_pairs(listings: DataFrame) -> DataFrame:

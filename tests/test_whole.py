@@ -91,3 +91,20 @@ def test_leaders_of_all_published_rows(spark, duck):  # noqa: F811
     ids = duck.execute("SELECT 'L' || o_orderkey FROM orders WHERE o_orderstatus = 'O' AND (o_orderkey % 25) % 7 <> 6 UNION ALL SELECT 'V' || s_suppkey FROM supplier WHERE s_suppkey % 8 <> 7").fetchall()
     assert set(got) == {i for (i,) in ids} and all(got[leader] == leader for leader in got.values())
     assert all(i[0] == leader[0] for i, leader in got.items())
+
+
+def test_rules_of_single_pairs(spark):
+    """One pair for each rule, each in a place or name of its own."""
+    club = {"location": "Havana Club", "recurring": True}
+    later = dt.datetime(2026, 1, 16, 20)
+    t = listings(
+        spark, {**club, "name": "Havana Club Bachata Thursdays"}, {**club, "name": "Havana Club Salsa Thursdays", "start_local": later}, {"name": "Hub Night", "location": "B"}, {"name": "Hub Night", "location": "B"},
+        {"name": "One", "location": "C", "id": "S"}, {"name": "Two", "location": "D", "id": "S", "start_local": dt.datetime(2026, 3, 1, 9)}, {"name": "Ring", "location": "E", "url": "http://a.b/x"},
+        {"name": "Lamp", "location": "F", "url": "http://a.b/x", "start_local": None}, {"name": "Drum Fair", "location": "G"}, {"name": "Drum Fair", "location": "H", "start_local": None},
+        {"name": "Harbor Swing Monday Ball", "location": "I", "recurring": True, "start_local": dt.datetime(2026, 2, 2, 20)}, {"name": "Harbor Swing Friday Ball", "location": "I", "recurring": True, "start_local": dt.datetime(2026, 2, 6, 20)},
+        {"name": "Opera", "location": "Q1", "start_local": dt.datetime(2026, 5, 1, 9)}, {"name": "Opera", "location": "Q2", "start_local": dt.datetime(2026, 5, 1, 9)},
+        {"name": "Ballet", "location": "R", "start_local": dt.datetime(2026, 6, 1, 9)}, {"name": "Ballet", "location": "R", "start_local": dt.datetime(2026, 6, 1, 9)},
+    ).withColumn("hub", F.col("id") == "L3").withColumn("canon", F.expr("CASE WHEN location IN ('Q1', 'Q2') THEN 'q' WHEN id = 'L14' THEN 'r1' WHEN id = 'L15' THEN 'r2' END"))
+    got = as_set(M.grade_pairs(t))
+    assert got == as_set(all_grades(t))
+    assert got == {("L0", "L1", "review"), ("S", "S", "certain"), ("L6", "L7", "certain"), ("L8", "L9", "review"), ("L12", "L13", "certain"), ("L14", "L15", "review")}
