@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -109,24 +109,37 @@ def alignments(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     by which the query starts later), frames, errors (bits), with membership in the classes of classes().
 
     Recordings with the same codes are one class, named by its smallest rec_id, so copies are neither compared nor listed pairwise. Candidates share a
-    run of three integers at places of their own; of the offsets of a pair that with the most hits (of equal ones the smallest) is checked.
+    run of three integers, at any places: every offset of a pair with a hit is checked, and of those that pass, that with the most hits (of equal
+    ones the smallest) is listed. A stretch of one integer is one run with a length, so that it meets another in rows for its offsets alone.
     Rows without rec_id or codes are in no class.
     """
     named = classes(prints)
     one = staged(named.filter("rec_id = class").dropDuplicates(["class"]).select("class", "codes"), "audio-classes")
     queries = named.filter(F.col("rec_id") % step == 0).select("class").distinct()
-    runs = one.select("class", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("codes") - 2)), lambda i: F.xxhash64(F.slice("codes", i, 3)))).alias("at", "run"))
-    runs = runs.groupBy("class", "run").agg(F.min("at").alias("at"))
-    asked = runs.join(queries, "class").select(F.col("class").alias("query_class"), "run", F.col("at").alias("q_at"))
-    hits = asked.join(runs, "run").filter("query_class <> class").groupBy("query_class", "class", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = hits.groupBy("query_class", "class").agg(F.max_by("offset", F.struct("hits", -F.abs("offset"), -F.col("offset"))).alias("offset"))
-    pairs = best.join(one.select(F.col("class").alias("query_class"), F.col("codes").alias("q")), "query_class").join(one.select("class", F.col("codes").alias("c")), "class")
-    begin = F.greatest(F.lit(0), -F.col("offset"))
-    frames = F.least(F.size("q") - begin, F.size("c") - F.greatest(F.lit(0), F.col("offset")))
-    pairs = pairs.withColumn("frames", frames).filter(f"frames >= {LEAST_FRAMES}")
-    bits = F.zip_with(F.slice("q", begin + 1, F.col("frames")), F.slice("c", F.greatest(F.lit(0), F.col("offset")) + 1, F.col("frames")), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    out = pairs.withColumn("errors", F.aggregate(bits, F.lit(0), lambda a, x: a + x))
-    return out.filter(F.col("errors") <= F.col("frames") * BITS * MOST_ERRORS).select("query_class", "class", "offset", "frames", "errors")
+    last, code = F.greatest(F.lit(1), F.size("codes") - 2), (lambda i: F.get("codes", i - 1))
+    goes_on = lambda i: (code(i - 1) == code(i)) & (code(i) == code(i + 1)) & (code(i) == code(i + 2))
+    starts = one.select("class", "codes", last.alias("last"), F.filter(F.sequence(F.lit(1), last), lambda i: (i == 1) | ~goes_on(i)).alias("starts"))
+    run = lambda s, k: F.struct((s - 1).alias("at"), (F.coalesce(F.get("starts", k + 1), F.col("last") + 1) - s).alias("len"), F.xxhash64(F.slice("codes", s, 3)).alias("run"))
+    runs = starts.select("class", F.inline(F.transform("starts", run)))
+    asked = runs.join(queries, "class").select(F.col("class").alias("query_class"), "run", F.col("at").alias("q_at"), F.col("len").alias("q_len"))
+    met = asked.join(runs, "run").filter("query_class <> class").withColumn("d", F.explode(F.sequence(1 - F.col("q_len"), F.col("len") - 1)))
+    shared = F.least(F.col("q_len") - 1, F.col("len") - 1 - F.col("d")) - F.greatest(F.lit(0), -F.col("d")) + 1
+    hits = met.groupBy("query_class", "class", (F.col("at") - F.col("q_at") + F.col("d")).alias("offset")).agg(F.sum(shared).alias("hits"))
+    some = hits.groupBy("query_class", "class").agg(F.collect_list(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("early"), "offset")).alias("offsets"))
+    pairs = some.join(one.select(F.col("class").alias("query_class"), F.col("codes").alias("q")), "query_class").join(one.select("class", F.col("codes").alias("c")), "class")
+
+    def framed(o: Column) -> Column:
+        frames = F.least(F.size("q") - F.greatest(F.lit(0), -o["offset"]), F.size("c") - F.greatest(F.lit(0), o["offset"]))
+        return F.struct(o["hits"].alias("hits"), o["near"].alias("near"), o["early"].alias("early"), o["offset"].alias("offset"), frames.alias("frames"))
+
+    def tested(o: Column) -> Column:
+        bits = F.zip_with(F.slice("q", F.greatest(F.lit(0), -o["offset"]) + 1, o["frames"]), F.slice("c", F.greatest(F.lit(0), o["offset"]) + 1, o["frames"]), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        return F.struct(o["hits"].alias("hits"), o["near"].alias("near"), o["early"].alias("early"), o["offset"].alias("offset"), o["frames"].alias("frames"), F.aggregate(bits, F.lit(0), lambda a, x: a + x).alias("errors"))
+
+    long = F.filter(F.transform("offsets", framed), lambda o: o["frames"] >= LEAST_FRAMES)
+    passed = F.filter(F.transform(long, tested), lambda o: o["errors"] <= o["frames"] * BITS * MOST_ERRORS)
+    best = pairs.select("query_class", "class", F.array_max(passed).alias("m")).filter("m is not null")
+    return best.select("query_class", "class", "m.offset", "m.frames", "m.errors")
 
 
 def classes(prints: DataFrame) -> DataFrame:
