@@ -32,14 +32,13 @@ MEMORY = 200_000
 
 
 def shape(chunk: str) -> str:
-    """Case of the letters, then the marks around them: `THE!!` is A!, `anor***` is a*."""
+    """Case of the letters, 0 for digits, and the marks around them, each once: `THE!!` is A!, `anor***` is a*, `a17` is a0."""
     if chunk.isalpha():
         return _case(chunk)
-    head = chunk[:-1]
-    if head.isalpha():
-        return _case(head) + chunk[-1:]
-    out = "".join(dict.fromkeys(re.sub(r"[^\W\d_]+", lambda m: _case(m[0]), re.sub(r"\d+", "0", chunk))))
-    return out[:6]
+    head, last = chunk[:-1], chunk[-1:]
+    if head.isalpha() and not last.isdigit():
+        return _case(head) + last
+    return "".join(dict.fromkeys(re.sub(r"[^\W\d_]+", lambda m: _case(m[0]), re.sub(r"\d+", "0", chunk))))
 
 
 def _case(letters: str) -> str:
