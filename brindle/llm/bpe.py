@@ -16,28 +16,34 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, staged
+from .common import staged
 from .lexicon import Lexicon, compile_lexicon
 
 #: Entries of the lexicon, at most.
 LEXICON_WORDS = 32_768
-#: Distinct chunks that a task remembers.
+#: Distinct chunks that a worker remembers.
 MEMORY = 1_000_000
+#: Bytes of text whose chunks are told apart together.
+TOGETHER_BYTES = 16 << 20
+#: Marks that may end a word.
+_MARKS = "!#$%&*,.:;?"
 #: Letters of a piece from which a heap finds the next merge.
 LONG = 40
+#: Pieces, about equally long, that are merged at once.
+AT_ONCE = 16_384
 #: str.split() also cuts at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -212,8 +218,10 @@ class Encoder:
             else:
                 pieces[c] = [(p, None) for p in self.pieces(c)]
         distinct = list({p for ps in pieces.values() for p, i in ps if i is None})
-        short = [p for p in distinct if len(p) <= LONG]
-        known = dict(zip(short, self.merge_all(short), strict=True)) | {p: self.merge(p) for p in distinct if len(p) > LONG}
+        short = sorted((p for p in distinct if len(p) <= LONG), key=len)
+        known = {p: self.merge(p) for p in distinct if len(p) > LONG}
+        for at in range(0, len(short), AT_ONCE):
+            known.update(zip(short[at : at + AT_ONCE], self.merge_all(short[at : at + AT_ONCE]), strict=True))
         return {c: [x for p, i in ps for x in (known[p] if i is None else (i,))] for c, ps in pieces.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -223,15 +231,14 @@ class Encoder:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    counts: Counter[str] = Counter()
+    """Lower-cased alphabetic chunks of up to 64 letters and how often each is met, batch by batch."""
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(chunks(text.as_py()))
-        if len(counts) > MEMORY:
-            yield from arrow_batches(((w, n) for w, n in counts.items() if w.isalpha() and len(w) <= 64), schema, 32768)
-            counts.clear()
-    yield from arrow_batches(((w, n) for w, n in counts.items() if w.isalpha() and len(w) <= 64), schema, 32768)
+        for texts in slices(batch.column(0), 4 * TOGETHER_BYTES):
+            found = pc.ascii_split_whitespace(pc.drop_null(texts)).flatten()
+            found = found.filter(pc.and_(pc.utf8_is_alpha(found), pc.less_equal(pc.utf8_length(found), 64)))
+            counted = pc.utf8_lower(found).value_counts()
+            for at in range(0, len(counted), 65536):
+                yield pa.RecordBatch.from_arrays(counted.slice(at, 65536).flatten(), names=["word", "n"])
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> DataFrame:
@@ -266,104 +273,94 @@ def ship_lexicon(docs: DataFrame, file: str, limit: int = LEXICON_WORDS) -> str:
 
 
 class Memory:
-    """What was worked out of chunks: beyond MEMORY entries, those not asked for since it was last half full go."""
+    """Ids of chunks, as bytes, that were worked out: beyond MEMORY entries, those not asked for since it was last half full go."""
 
-    def __init__(self, work_out: Callable[[list[str]], dict[str, Any]], between: Any):
-        self.work_out, self.between = work_out, between
-        self.young: dict[str, Any] = {}
-        self.older: dict[str, Any] = {}
+    def __init__(self, work_out: Callable[[list[str]], Iterable[Any]], wide: np.dtype):
+        self.work_out, self.wide = work_out, wide
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def of(self, found: list[str]) -> list[Any]:
+    def of(self, distinct: list[str]) -> list[bytes]:
+        if len(self.young) > MEMORY // 2:
+            self.older, self.young = self.young, {}
         young = self.young
-        distinct = set(found)
-        if distinct.difference(young):
-            if len(young) > MEMORY // 2:
-                self.older, self.young = young, {}
-                young = self.young
-            missing = self._missing(distinct)
-            # A word and the mark that ends it are tokens apart: the two are put together.
-            marked = [c for c in missing if c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250"]
-            plain = set(missing).difference(marked) | self._missing({".", ",", *(c[:-1] for c in marked)})
-            if plain:
-                young.update(self.work_out(list(plain)))
-            for c in marked:
-                young[c] = young[c[:-1]] + self.between + young[c[-1]]
-        return [young[c] for c in found]
-
-    def _missing(self, wanted: set[str]) -> set[str]:
+        if missing := self._missing(distinct):
+            # Letters (still letters alone in lower case) and the marks that end them are tokens apart: the two are put together.
+            marked = {c: len(w) for c in missing if (w := c.rstrip(_MARKS)) != c and w.lower().isalpha() and max(w) < "\u0250"}
+            plain = [c for c in missing if c not in marked]
+            plain += self._missing({part for c, n in marked.items() for part in (c[:n], c[n:])}.difference(plain))
+            for c, ids in zip(plain, self.work_out(plain), strict=True):
+                young[c] = ids if isinstance(ids, bytes) else array(self.wide.char, ids).tobytes()
+            for c, n in marked.items():
+                young[c] = young[c[:n]] + young[c[n:]]
+        return [young[c] for c in distinct]
+
+    def _missing(self, wanted: Iterable[str]) -> list[str]:
         """Those of wanted that aren't known; what only the older half knows comes over."""
-        missing = wanted.difference(self.young)
-        if self.older:
-            back = {c: self.older[c] for c in missing if c in self.older}
-            self.young.update(back)
-            missing.difference_update(back)
+        young, older = self.young, self.older
+        missing = [c for c in wanted if c not in young]
+        if older:
+            young.update((c, older[c]) for c in missing if c in older)
+            missing = [c for c in missing if c not in young]
         return missing
 
 
-_held: dict[Any, tuple[Encoder, dict[Any, Memory]]] = {}
+def slices(texts: pa.Array, most: int = TOGETHER_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts, of at most so many bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
-def _worker(file: Broadcast, name: str, kind: Callable[[Encoder], Callable[[list[str]], dict[str, Any]]]) -> tuple[Encoder, Memory]:
-    """This worker's encoder and memory of chunks, kept between tasks."""
-    if name not in _held:
-        _held.clear()
-        _held[name] = Encoder(file.value, Lexicon(SparkFiles.get(name))), {}
-    encoder, memories = _held[name]
-    if kind not in memories:
-        memories[kind] = Memory(kind(encoder), " " if kind is _as_text else [])
-    return encoder, memories[kind]
-
-
-def _as_text(encoder: Encoder) -> Callable[[list[str]], dict[str, str]]:
-    return lambda chunks: {c: " ".join(map(str, ids)) for c, ids in encoder.ids_of(chunks).items()}
-
-
-def _as_ids(encoder: Encoder) -> Callable[[list[str]], dict[str, list[int]]]:
-    return encoder.ids_of
+def flat_ids(memory: Memory, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts one after another, and where each text's begin, with the end of the last. ASCII white space never lies inside
+    a token or a special token's string, so a text's ids are those of its runs of other characters."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    at = coded.indices.to_numpy()
+    raw = memory.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    counts = np.fromiter(map(len, raw), np.int64, len(raw)) // memory.wide.itemsize
+    known, starts = np.frombuffer(b"".join(raw), memory.wide), np.cumsum(counts) - counts
+    n = counts[at]
+    stops = np.cumsum(n)
+    ids = known[np.repeat(starts[at] - stops + n, n) + np.arange(stops[-1])]
+    return ids, np.concatenate([[0], stops])[split.offsets.to_numpy()]
 
 
-#: Texts whose chunks are worked out together, and characters of them.
-TOGETHER, TOGETHER_CHARS = 256, 4 << 20
+_held: dict[str, tuple[Encoder, Memory]] = {}
 
 
-def _groups(column: pa.Array) -> Iterator[list[list[str]]]:
-    """Chunks of texts, some texts at a time."""
-    held: list[list[str]] = []
-    size = 0
-    for text in column:
-        raw = text.as_py()
-        held.append(chunks(raw))
-        size += len(raw or "")
-        if len(held) >= TOGETHER or size >= TOGETHER_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _known(memory: Memory, column: pa.Array) -> Iterator[list[Any]]:
-    """Per text what is known of its chunks."""
-    for group in _groups(column):
-        everything = iter(memory.of([c for found in group for c in found]))
-        for found in group:
-            yield list(islice(everything, len(found)))
+def _worker(file: Broadcast, name: str) -> tuple[Encoder, Memory]:
+    """This worker's encoder and memory of chunks, kept between tasks."""
+    if name not in _held:
+        _held.clear()
+        encoder = Encoder(file.value, Lexicon(SparkFiles.get(name)))
+        _held[name] = encoder, Memory(lambda cs: encoder.ids_of(cs).values(), np.dtype("<i4"))
+    return _held[name]
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    encoder, memory = _worker(file, name, _as_text)
-    tokens = {str(i): t for i, t in encoder.tokens.items()}
+    encoder, memory = _worker(file, name)
+    size = max(encoder.tokens) + 1
+    decimal, shown = pa.array(map(str, range(size)), pa.large_string()), pa.array([encoder.tokens.get(i, "") for i in range(size)], pa.large_string())
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), _known(memory, batch.column("text")), strict=True):
-                ids = " ".join(parts).split()
-                decoded = " ".join([tokens[i] for i in ids])
-                yield doc_id, len(ids), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def sha(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
 
-    yield from arrow_batches(rows(), _DIGESTS)
+    for batch in batches:
+        at = 0
+        for texts in slices(batch.column("text")):
+            ids, bounds = flat_ids(memory, texts)
+            columns = [batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(bounds)), sha(decimal, ids, bounds), sha(shown, ids, bounds)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_DIGESTS)
+            at += len(texts)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, limit: int = LEXICON_WORDS) -> DataFrame:
@@ -379,10 +376,14 @@ def encode_digests(docs: DataFrame, path: str | None = None, limit: int = LEXICO
 
 
 def _ids(batches: Iterator[pa.RecordBatch], file: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
-    _, memory = _worker(file, name, _as_ids)
+    _, memory = _worker(file, name)
     for batch in batches:
-        out = [[i for part in parts for i in part] for parts in _known(memory, batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        at = 0
+        for texts in slices(batch.column("text")):
+            ids, bounds = flat_ids(memory, texts)
+            part = batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=[*batch.schema.names, "ids"])
+            at += len(texts)
 
 
 def encode(docs: DataFrame, path: str | None = None, limit: int = LEXICON_WORDS) -> DataFrame:

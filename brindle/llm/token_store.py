@@ -2,78 +2,97 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import chunks, tokenizer_json
+from .bpe import Memory, byte_letters, flat_ids, slices, tokenizer_json
 from .common import arrow_batches, shared_dir, staged
 from .wavelet import WaveletMatrix, build
 
 END_ID = 1
 #: A file is closed at this many ids; a longer document has a file of its own.
 SHARD_TOKENS = 4_000_000
-#: Documents of a part, and parts, at most: parts are ranges of doc_id, each written by one task.
-PART_DOCUMENTS, MOST_PARTS = 8192, 16_384
+#: Documents of a part, and parts, at most: parts are ranges of doc_id, each written by one task. Beyond, a part has more files, one after another.
+PART_DOCUMENTS, MOST_PARTS = 8192, 65_536
+
+#: Pieces that go to the tokenizer in one string.
+TOGETHER = 200
+#: The tokenizer's pieces of lower-cased text below U+0250: contractions, letters, single digits, marks. Python's \w takes the
+#: superscripts and fractions in, which are numbers to the tokenizer.
+_PIECES = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w \t-\r\x85\xa0]|_)+")
+_held: dict[int, tuple[Tokens, Memory]] = {}
+
+
+class Tokens:
+    """Ids, as bytes, of chunks of texts, by the tokenizers library.
+
+    Below U+0250 the tokenizer's normal form is lower case and its pieces are those of one pattern, so such chunks are cut here
+    and their pieces go to the library many in one string, to its model alone: a piece's end shows in its last id. Other
+    chunks, and those where a special token may stand, go to the whole tokenizer.
+    """
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(file)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(file) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}))
+        size = max(END_ID + 1, self.whole.get_vocab_size())
+        self.wide = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in self.bare.get_vocab().items() if t.endswith(self.bare.model.end_of_word_suffix)]] = True
+        self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk."""
+        odd = [i for i, c in enumerate(chunks) if "<|" in c or not c.isascii() and max(c) >= "\u0250"]
+        whole = {i: np.array(e.ids, self.wide).tobytes() for i, e in zip(odd, self.whole.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False), strict=True)}
+        cut = [[] if i in whole else _PIECES.findall(c.lower()) for i, c in enumerate(chunks)]
+        shown = [p.translate(self.letters) if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for ps in cut for p in ps]
+        encoded = self.bare.encode_batch_fast([" ".join(shown[i : i + TOGETHER]) for i in range(0, len(shown), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, self.wide), *(np.array(e.ids, self.wide) for e in encoded)])
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[np.cumsum([0, *map(len, cut)])] * self.wide.itemsize
+        raw, at = ids.tobytes(), stops.tolist()
+        return [whole[i] if i in whole else raw[at[i] : at[i + 1]] for i in range(len(chunks))]
 
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 1_000_000
-_held: dict[int, tuple[Any, dict[str, bytes], dict[str, bytes]]] = {}
 
 _ENCODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], file: Broadcast, bounds: list[int]) -> Iterator[pa.RecordBatch]:
-    """Ids by the tokenizers library, chunk by chunk: no token holds white space, so a text's ids are its chunks' ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     key = hash(file.value)
     if key not in _held:  # kept by the worker between tasks
         _held.clear()
-        _held[key] = Tokenizer.from_str(file.value), {}, {}
-        _held[key][0].no_truncation()
-        _held[key][0].no_padding()
-    tokenizer, known, older = _held[key]
-    kind = "H" if max(END_ID, tokenizer.get_vocab_size()) <= 1 << 16 else "I"
-    end = array(kind, [END_ID]).tobytes()
+        tokens = Tokens(file.value)
+        _held[key] = tokens, Memory(tokens.of, tokens.wide)
+    tokens, memory = _held[key]
     places = np.array(bounds, np.int64)
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = chunks(text.as_py())
-                if len(known) > REMEMBERED // 2:  # what is asked for again comes back from the older half
-                    older.clear()
-                    older.update(known)
-                    known.clear()
-                if new := set(found).difference(known):
-                    known.update((c, older[c]) for c in new if c in older)
-                    new.difference_update([c for c in new if c in known])
-                    # A word and the mark that ends it are tokens apart, so a word's ids serve for it with either mark.
-                    marked = [c for c in new if c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250"]
-                    new.difference_update(marked)
-                    new.update(c for c in [".", ",", *(m[:-1] for m in marked)] if c not in known)
-                    wanted = list(new)
-                    for c, e in zip(wanted, tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-                        known[c] = array(kind, e.ids).tobytes()
-                    for c in marked:
-                        known[c] = known[c[:-1]] + known[c[-1]]
-                part = 0 if doc_id is None else int(np.searchsorted(places, doc_id, "right"))
-                yield part, doc_id, b"".join([*map(known.__getitem__, found), end])
-
-    yield from arrow_batches(rows(), _ENCODED)
+    for batch in batches:
+        at = 0
+        for texts in slices(batch.column("text")):
+            ids, starts = flat_ids(memory, texts)
+            ended = np.insert(ids, starts[1:], END_ID).astype(tokens.wide)
+            edges = ((starts + np.arange(len(starts))) * tokens.wide.itemsize).astype(np.int32)
+            doc_id = batch.column("doc_id").slice(at, len(texts))
+            part = np.where(pc.is_null(doc_id).to_numpy(zero_copy_only=False), 0, np.searchsorted(places, pc.fill_null(doc_id, 0).to_numpy(), "right"))
+            raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges), pa.py_buffer(ended)])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, raw], schema=_ENCODED)
+            at += len(texts)
 
 
 _WRITTEN = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
@@ -128,9 +147,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> DataF
     cuts = [i / parts for i in range(1, parts)]
     bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), 100 * parts)).first()[0] or [])) if cuts else []
     file = tokenizer_json(path)
-    from tokenizers import Tokenizer
-
-    wide = "<u2" if max(END_ID, Tokenizer.from_str(file).get_vocab_size()) <= 1 << 16 else "<u4"
+    wide = Tokens(file).wide.str
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, file=spark.sparkContext.broadcast(file), bounds=bounds), "part int, doc_id long, ids binary")
     from pyarrow import fs
 
@@ -153,10 +170,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 part, shard = map(int, path.rsplit("/", 1)[-1].removesuffix(".wm").split("-"))
                 matrix = WaveletMatrix(content.as_buffer())
-                tokens, at = matrix.tokens(), 0
-                for doc_id, n in zip(*matrix.rows(), strict=True):
-                    yield part, shard, doc_id, at, int(n), zlib.crc32(tokens[at : at + n].astype("<u4").tobytes())
-                    at += int(n)
+                doc_ids, lengths = matrix.rows()
+                stops = np.cumsum(lengths)
+                if not (matrix.access_many(stops - 1) == END_ID).all():
+                    raise ValueError(f"{path}: a document lacks its end")
+                tokens, at = matrix.tokens().astype("<u4"), 0
+                for doc_id, stop in zip(doc_ids, stops.tolist(), strict=True):
+                    yield part, shard, doc_id, at, stop - at, zlib.crc32(tokens[at:stop])
+                    at = stop
 
     yield from arrow_batches(rows(), _READ)
 

@@ -66,21 +66,40 @@ def test_lexicon_shares_suffixes_and_finds_just_its_words(tmp_path):
     assert lexicon.states < 10
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 70_000])
+@pytest.mark.parametrize("n", [0, 1, 7, 512, 70_000, 200_001])
 def test_wavelet_matrix_answers_as_a_list_does(n):
     import numpy as np
 
     rnd = random.Random(n)
-    ids = np.array([rnd.choice([1, 5, 49407, rnd.randrange(50)]) for _ in range(n)], np.uint16)
+    ids = np.array([rnd.choice([1, 5, 49407, rnd.randrange(50), rnd.randrange(40_000)]) for _ in range(n)], np.uint16)
     m = WaveletMatrix(build(ids, [3, None], [n, 0]))
     assert m.tokens().tolist() == ids.tolist()
     assert m.rows()[0] == [3, None] and m.rows()[1].tolist() == [n, 0]
-    for i in rnd.sample(range(n), min(n, 20)):
+    some = sorted({0, n - 1, *rnd.sample(range(n), min(n, 300))}) if n else []
+    assert m.access_many(np.array(some, int)).tolist() == ids[some].tolist()
+    for i in some[:20]:
         assert m.access(i) == ids[i]
         assert m.count(5, 0, i) == (ids[:i] == 5).sum()
-    for token in (1, 49407, 60000, 1 << 20):
+    for token in (1, 17, 49407, 60000, 1 << 20):
         assert m.count(token) == (ids == token).sum()
-    assert m.occurrences(5, n // 2)[:15] == [i for i in range(n // 2, n) if ids[i] == 5][:15]
+        assert m.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
+    assert m.occurrences(5, n // 2, n - n // 8).tolist() == [i for i in range(n // 2, n - n // 8) if ids[i] == 5]
+    with pytest.raises(IndexError):
+        m.access(n)
+
+
+def test_a_wavelet_file_is_mapped_and_smaller_than_its_ids(tmp_path):
+    import mmap
+
+    import numpy as np
+
+    ids = np.random.default_rng(0).zipf(1.3, 300_000) % 49_000
+    (tmp_path / "t.wm").write_bytes(build(ids.astype(np.uint16), [1], [len(ids)]))
+    with open(tmp_path / "t.wm", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as held:
+        m = WaveletMatrix(held)
+        assert m.access(123_456) == ids[123_456] and m.count(7) == (ids == 7).sum()
+        assert len(held) < 1.6 * len(ids)
+        del m
 
 
 ROWS = [(5, "the lexicon of houses", "x"), (2, None, None), (None, "no id", "y"), (9, "", "z"), (5, "the lexicon of houses", "x"), (1, "Don't " * 4000, "w")]
