@@ -71,14 +71,8 @@ def unescape(x: str) -> str:
 
 #: Listings with the columns that pairs are judged by.
 PREPARED = f"""p AS (SELECT *, {norm("name")} AS norm, lower(trim(location)) AS place, start_local::DATE AS day, {key("url")} AS key FROM v_listing),
-pp AS (SELECT *, {words("norm")} AS words FROM p), prep AS (SELECT *, {telling("words")} AS telling FROM pp)"""
-
-#: Exact and, in sorted order, one-edit matches of two sorted word lists; both may be counted from the lists of a few distinct names.
-PAIRS = """cand AS (
-  SELECT DISTINCT a.id AS a, b.id AS b FROM
-    (SELECT id, ord, unnest([{'k': 'u', 'v': nullif(key, '')}, {'k': 'p', 'v': place || '|' || day::VARCHAR}, {'k': 'n', 'v': norm || '|' || day::VARCHAR}]) AS e FROM prep) a
-    JOIN (SELECT id, ord, unnest([{'k': 'u', 'v': nullif(key, '')}, {'k': 'p', 'v': place || '|' || day::VARCHAR}, {'k': 'n', 'v': norm || '|' || day::VARCHAR}]) AS e FROM prep) b
-    ON a.e.k = b.e.k AND a.e.v = b.e.v AND a.ord < b.ord)"""
+nw AS (SELECT name, norm, {words("norm")} AS words, [s for s in {styles("name")} if s <> 'other'] AS known, [d for d in {array(names.WEEKDAYS)} if contains(lower(name), d)] AS days FROM (SELECT DISTINCT name, norm FROM p)),
+nt AS (SELECT *, {telling("words")} AS telling FROM nw), prep AS (SELECT p.*, words, telling FROM p JOIN nt USING (name))"""
 
 
 def shared(a: str, b: str) -> str:
@@ -88,16 +82,32 @@ def shared(a: str, b: str) -> str:
       AND len([v for v in {b} if length(v) >= 3 AND NOT list_contains({a}, v) AND levenshtein(w, v) <= 1]) > 0]))"""
 
 
-GRADED = f"""g AS (
-  SELECT a, b, x.ord AS xo, y.ord AS yo, x.source AS xs, y.source AS ys, abs(date_diff('second', x.start_local, y.start_local)) AS gap, x.day = y.day AS same_day, x.norm = y.norm AS exact,
-    coalesce({km("x.lat", "x.lng", "y.lat", "y.lng")} <= 0.3, false) OR coalesce(x.place = y.place, false) AS same_place,
-    contains(x.norm, y.norm) OR contains(y.norm, x.norm) AS inside,
+#: What is true of two names, once for each two that are met.
+_NAMES = f"""np AS (SELECT x.name AS xn, y.name AS yn, x.norm = y.norm AS exact, contains(x.norm, y.norm) OR contains(y.norm, x.norm) AS inside, len(list_intersect(x.telling, y.telling)) > 0 AS telling_word,
     {shared("x.words", "y.words")} >= greatest(2.0, 0.5 * least(len(x.words), len(y.words))) AND len(list_intersect(x.telling, y.telling)) > 0 AS strong,
-    x.recurring AND y.recurring AND dayofweek(x.start_local) = dayofweek(y.start_local) AS both_recur,
-    abs(hour(x.start_local) - hour(y.start_local)) * 60 AS c0, x.key = y.key AND x.key <> '' AS same_url
-  FROM cand JOIN prep x ON x.id = a JOIN prep y ON y.id = b),
-graded AS (SELECT *, CASE WHEN same_url AND gap < 86400 THEN 'certain'
-    WHEN same_day AND same_place AND (exact OR inside OR strong) THEN 'certain' WHEN exact AND same_place AND gap < 86400 THEN 'certain'
-    WHEN same_place AND (exact OR strong) AND both_recur THEN CASE WHEN least(c0, 1440 - c0) > 120 THEN 'review' ELSE 'certain' END
-    WHEN exact AND gap < 86400 THEN 'review' WHEN same_place AND same_day THEN 'review' WHEN inside AND gap < 86400 THEN 'review'
-    WHEN strong AND gap < 86400 THEN 'review' WHEN same_place AND (exact OR inside OR strong) AND gap < 604800 THEN 'review' END AS grade FROM g)"""
+    len([s for s in x.known if NOT list_contains(y.known, s)]) > 0 AND len([s for s in y.known if NOT list_contains(x.known, s)]) > 0 AND len(x.known) > 0 AND len(y.known) > 0 AS other_styles,
+    len(x.days) > 0 AND len(y.days) > 0 AND len(list_intersect(x.days, y.days)) = 0 AS other_days FROM nt x, nt y)"""
+
+#: All pairs that start within a week, recur on one weekday, share an address, or have an unknown start: any other has no grade.
+PAIRS = f"""{_NAMES}, near AS (
+    SELECT x.ord AS xo, y.ord AS yo FROM prep x JOIN prep y ON x.start_local > y.start_local - INTERVAL 168 HOUR AND x.start_local < y.start_local + INTERVAL 168 HOUR WHERE x.ord < y.ord
+    UNION SELECT x.ord, y.ord FROM prep x JOIN prep y ON x.recurring AND y.recurring AND dayofweek(x.start_local) = dayofweek(y.start_local) AND x.ord < y.ord
+    UNION SELECT x.ord, y.ord FROM prep x JOIN prep y ON x.key = y.key AND x.key <> '' AND x.ord < y.ord
+    UNION SELECT least(x.ord, y.ord), greatest(x.ord, y.ord) FROM prep x JOIN prep y ON x.start_local IS NULL AND x.norm = y.norm AND x.ord <> y.ord),
+pr AS (
+  SELECT x.id AS a, y.id AS b, xo, yo, x.source AS xs, y.source AS ys, abs(date_diff('second', x.start_local, y.start_local)) AS gap, x.day = y.day AS same_day, coalesce(x.place = y.place, false) AS place_text,
+    coalesce({km("x.lat", "x.lng", "y.lat", "y.lng")} <= 0.3, false) AS close, coalesce({km("y.lat", "y.lng", "x.lat", "x.lng")} <= 0.3, false) AS close_back,
+    x.recurring AND y.recurring AND dayofweek(x.start_local) = dayofweek(y.start_local) AS both_recur, x.recurring AND y.recurring AS recurring,
+    abs(hour(x.start_local) * 60 + minute(x.start_local) - hour(y.start_local) * 60 - minute(y.start_local)) AS c0, x.key = y.key AND x.key <> '' AS same_url,
+    exact, inside, strong, telling_word, other_styles, other_days
+  FROM near JOIN prep x ON x.ord = xo JOIN prep y ON y.ord = yo JOIN np ON xn = x.name AND yn = y.name),
+cand AS (SELECT a, b FROM pr WHERE same_url OR ((place_text OR close OR close_back) AND (gap < 604800 OR both_recur AND (exact OR telling_word))) OR (exact AND gap IS NULL) OR ((exact OR inside OR telling_word) AND gap < 86400))"""
+
+#: The first rule that fits.
+GRADED = """g AS (SELECT *, place_text OR close AS same_place, gap < 86400 AS soon FROM pr),
+graded AS (SELECT *, CASE WHEN same_url AND coalesce(soon, true) THEN 'certain'
+    WHEN same_day AND same_place AND (exact OR inside OR strong) THEN 'certain' WHEN exact AND same_place AND soon THEN 'certain'
+    WHEN same_place AND (exact OR strong) AND both_recur THEN CASE WHEN other_styles OR least(c0, 1440 - c0) > 120 THEN 'review' ELSE 'certain' END
+    WHEN exact AND soon THEN 'review' WHEN same_place AND same_day THEN 'review' WHEN inside AND soon THEN 'review' WHEN strong AND soon THEN 'review'
+    WHEN exact AND gap IS NULL THEN 'review'
+    WHEN same_place AND (exact OR inside OR strong) AND gap < 604800 AND NOT (recurring AND other_days) THEN 'review' END AS grade FROM g)"""

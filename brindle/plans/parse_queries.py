@@ -35,7 +35,7 @@ def _(p: DataFrame) -> DataFrame:
     return R.jsonld_events(p.withColumn("html", html))
 
 
-@query("feed_recurrence", L, sql=f"""WITH f AS (SELECT id AS uid, start_local::DATE AS first, ord % 4 AS kind, ord % 3 + 1 AS step, CASE WHEN ord % 5 = 0 THEN DATE '1998-07-20' END AS until FROM v_listing WHERE start_local >= TIMESTAMP '1998-01-01 00:00:00' AND start_local < TIMESTAMP '1998-07-01 00:00:00'),
+@query("feed_recurrence", L, sql=f"""WITH f AS (SELECT id AS uid, start_local::DATE AS first, ord % 4 AS kind, ord % 3 + 1 AS step, CASE WHEN ord % 5 = 0 THEN DATE '1998-07-20' END AS until FROM v_listing),
 d AS (SELECT *, unnest(generate_series(first, least(DATE '1998-09-07', coalesce(until, DATE '9999-12-31')), INTERVAL 1 DAY))::DATE AS day FROM f WHERE kind < 2 AND first <= least(DATE '1998-09-07', coalesce(until, DATE '9999-12-31'))),
 h AS (SELECT uid, true AS supported, day FROM d WHERE CASE WHEN kind = 0 THEN date_diff('day', first, day) % step = 0 ELSE dayofweek(day) IN (1, 4) AND ((date_diff('day', DATE '1970-01-05', day) // 7) - (date_diff('day', DATE '1970-01-05', first) // 7)) % step = 0 END
   UNION ALL SELECT uid, false, first FROM f WHERE kind >= 2) SELECT uid, supported, day::VARCHAR AS day FROM h WHERE day BETWEEN DATE '1998-06-14' AND DATE '1998-09-07'""")
@@ -47,20 +47,24 @@ def _(t: DataFrame) -> DataFrame:
     return out.select("uid", "supported", c("day").cast("string").alias("day"))
 
 
+def _submissions(t: DataFrame) -> DataFrame:
+    """Pending rows as submissions of all kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ["weekly", "biweekly", "monthly", "once"])), (c("ord") % 4 + 1).cast("int"))
+    return t.filter("pool = 'pending'").select(c("id").alias("item"), kind.alias("recurrence_type"), (c("ord") % 7).cast("int").alias("dow"), (c("ord") % 4 + 1).cast("int").alias("nth"), F.when(c("ord") % 3 > 0, F.to_date("start_local")).alias("start"))
+
+
 @query("submission_dates", L, sql=f"""WITH s AS (SELECT id AS item, ord % 4 AS kind, ord % 7 AS dow, ord % 4 + 1 AS nth, CASE WHEN ord % 3 > 0 THEN start_local::DATE END AS start FROM v_listing WHERE pool = 'pending'),
 d AS (SELECT *, unnest(generate_series(DATE '1998-06-15', DATE '1998-09-07', INTERVAL 1 DAY))::DATE AS day FROM s), w AS (SELECT *, min(day) OVER (PARTITION BY item) AS f FROM d WHERE dayofweek(day) = dow)
 SELECT item, day::VARCHAR AS day FROM w WHERE kind = 0 OR (kind = 1 AND (floor(date_diff('day', coalesce(start, f), day) / 7.0)::INT % 2 + 2) % 2 = 0) OR (kind = 2 AND (day(day) + 6) // 7 = nth)
 UNION ALL SELECT item, start::VARCHAR FROM s WHERE kind = 3 AND start >= DATE '1998-06-15'""")
 def _(t: DataFrame) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ["weekly", "biweekly", "monthly", "once"])), (c("ord") % 4 + 1).cast("int"))
-    subs = t.filter("pool = 'pending'").select(c("id").alias("item"), kind.alias("recurrence_type"), (c("ord") % 7).cast("int").alias("dow"), (c("ord") % 4 + 1).cast("int").alias("nth"), F.when(c("ord") % 3 > 0, F.to_date("start_local")).alias("start"))
-    return R.submission_dates(subs, now())[0].select("item", c("day").cast("string").alias("day"))
+    return R.submission_dates(_submissions(t), now())[0].select("item", c("day").cast("string").alias("day"))
 
 
 @query("submission_needs_date", L, sql="""SELECT id AS item, CASE WHEN ord % 3 = 0 THEN 'no date' ELSE 'past' END AS reason FROM v_listing WHERE pool = 'pending' AND ord % 4 = 3 AND (ord % 3 = 0 OR start_local < TIMESTAMP '1998-06-15 00:00:00')""")
 def _(t: DataFrame) -> DataFrame:
-    subs = t.filter("pool = 'pending' and ord % 4 = 3").select(c("id").alias("item"), F.lit("once").alias("recurrence_type"), F.lit(0).alias("dow"), F.lit(1).alias("nth"), F.when(c("ord") % 3 > 0, F.to_date("start_local")).alias("start"))
-    return R.submission_dates(subs, now())[1]
+    """Of all submissions, those for one date that is missing or over."""
+    return R.submission_dates(_submissions(t), now())[1]
 
 
 @query("dates_in_text", L, sql="""SELECT id, array_to_string(list_sort(list_distinct([start_local::DATE::VARCHAR, (start_local::DATE + 40)::VARCHAR, (start_local::DATE + 3)::VARCHAR])), ',') AS dates FROM v_listing""")

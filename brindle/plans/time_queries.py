@@ -92,7 +92,7 @@ def _(t: DataFrame) -> DataFrame:
     return S.gaps(t).groupBy("series_id").agg(F.percentile("gap", 0.5).alias("gap"))
 
 
-@query("recurrence_label", "v_series", sql=f"""WITH d AS (SELECT DISTINCT series_id, occ_local::DATE AS d FROM v_series WHERE ord % 4 = 0), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY series_id ORDER BY d), d) AS gap FROM d)
+@query("recurrence_label", "v_series", sql=f"""WITH d AS (SELECT DISTINCT series_id, occ_local::DATE AS d FROM v_series), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY series_id ORDER BY d), d) AS gap FROM d)
 SELECT series_id, CASE WHEN count(*) < 2 THEN 'once' WHEN count(DISTINCT dayofweek(d)) > 1 THEN 'various days'
   WHEN count(DISTINCT (day(d) + 6) // 7) = 1 AND median(gap) BETWEEN 24 AND 35 THEN 'monthly on ' || min({D.day_name('d')}) WHEN median(gap) BETWEEN 6 AND 8 THEN 'weekly on ' || min({D.day_name('d')})
   WHEN median(gap) BETWEEN 13 AND 15 THEN 'every other ' || min({D.day_name('d')}) ELSE min({D.day_name('d')}) || 's' END AS label FROM g GROUP BY series_id""")
@@ -139,17 +139,17 @@ def _(t: DataFrame) -> DataFrame:
     return g.select("source", c("w.start").alias("day"), "n")
 
 
-@query("signal_explode", "v_series", sql="""SELECT source, occ_local::DATE::VARCHAR AS day, 'flyer' AS kind, event_type AS text FROM v_series WHERE ord % 50 = 0
-  UNION ALL SELECT source, (occ_local::DATE + 1)::VARCHAR, 'album', event_type FROM v_series WHERE ord % 50 = 0""")
+@query("signal_explode", "v_series", sql="""SELECT source, occ_local::DATE::VARCHAR AS day, 'flyer' AS kind, event_type AS text FROM v_series
+  UNION ALL SELECT source, (occ_local::DATE + 1)::VARCHAR, 'album', event_type FROM v_series""")
 def _(t: DataFrame) -> DataFrame:
     """Dates of posts as rows: source, day, text."""
     kinds = F.array(F.struct(F.lit("flyer").alias("kind"), F.to_date("occ_local").alias("day")), F.struct(F.lit("album").alias("kind"), F.date_add(F.to_date("occ_local"), 1).alias("day")))
     return t.select("source", F.col("event_type").alias("text"), F.inline(kinds)).select("source", c("day").cast("string").alias("day"), "kind", "text")
 
 
-@query("signal_match", "v_series", sql="""WITH s AS (SELECT ord AS sid, source, occ_local::DATE AS d, event_type FROM v_series WHERE ord % 50 = 0),
+@query("signal_match", "v_series", sql="""WITH s AS (SELECT ord AS sid, source, occ_local::DATE AS d, event_type FROM v_series),
 m AS (SELECT sid, e.ord, CASE WHEN s.source = e.source AND s.event_type = e.event_type THEN 1 WHEN s.source = e.source THEN 2 ELSE 3 END AS strength
-  FROM s JOIN v_series e ON e.occ_local::DATE = s.d AND e.ord <> sid AND (s.source = e.source OR (s.event_type = e.event_type AND e.ord % 10 = 3)))
+  FROM s JOIN v_series e ON e.occ_local::DATE = s.d AND e.ord <> sid AND (s.source = e.source OR (s.event_type = e.event_type)))
 SELECT s.sid, b.ord, b.strength FROM s LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sid ORDER BY strength, ord) = 1) b ON b.sid = s.sid""")
 def _(t: DataFrame) -> DataFrame:
     """Each dated signal to the best event of its day: of its source and kind, of its source, of its kind; none is an open issue.
