@@ -13,11 +13,16 @@ from ..functions.places import SAME_PLACE_KM, distance_km, place_text
 from ..functions.text import detect_styles
 from ..functions.timefn import minutes_of_day, seconds_between
 from ..functions.urls import url_key, url_rank
+from .stage import kept
 
 #: A cell of the grid that finds near places, in degrees: its neighbours cover SAME_PLACE_KM up to latitude 57.
 CELL = 0.005
 
 
+#: Columns that pairs are judged by, and ord and source.
+JUDGED = ["id", "ord", "source", "hub", "canon", "norm", "words", "telling", "styles_named", "days_named", "place", "day", "key", "start_local", "lat", "lng", "recurring"]
+
+
 def prepared(listings: DataFrame) -> DataFrame:
     """listings with the columns that pairs are judged by. Columns hub (venue record or not) and canon (canonical place) may be there already."""
     norm, has = normalize_name(F.col("name")), listings.columns
@@ -25,6 +30,8 @@ def prepared(listings: DataFrame) -> DataFrame:
     return (
         listings.withColumn("hub", hub).withColumn("canon", canon).withColumn("norm", norm).withColumn("words", content_words(F.col("norm"))).withColumn("telling", distinctive_words(F.col("words")))
         .withColumn("place", place_text(F.col("location"))).withColumn("day", F.to_date("start_local")).withColumn("key", url_key(F.col("url")))
+        .withColumn("styles_named", F.array_except(detect_styles(F.col("name")), F.array(F.lit("other"))))
+        .withColumn("days_named", F.array_compact(F.array(*(F.when(F.contains(F.lower("name"), F.lit(d)), F.lit(d)) for d in WEEKDAYS))))
     )
 
 
@@ -39,8 +46,9 @@ def candidate_pairs(listings: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def gradable_pairs(rows: DataFrame) -> DataFrame:
+def gradable_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b) of ids with their ords (ao, bo), ao before bo, of prepared rows: all that graded() can give a grade, and few others.
+    With others: pairs of a row and another table's row, no others.
 
     Each kind of key stands for a branch of the grade. One row probes with a key and its neighbours (days, weeks, cells), the other is found under
     its own; starts, distance and containment are tested in the join. Names that hold another are found by its first three letters. Cells get too
@@ -73,12 +81,22 @@ def gradable_pairs(rows: DataFrame) -> DataFrame:
     }
     carried = ["id", "ord", "start_local", "lat", "lng", "norm"]
 
-    def side(at: int) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v[2]).cast("int").alias("hours"), F.lit(v[3]).cast("string").alias("test"), F.coalesce(v[at], none).alias("blocks")) for k, v in kinds.items()))
-        return rows.select(*carried, F.explode(keys).alias("k")).select(*carried, "k.kind", "k.hours", "k.test", F.explode("k.blocks").alias("block")).filter("block is not null")
+    one_way = [k for k, v in kinds.items() if v[3] in ("in", "any")]  # both rows have to probe
+
+    def side(of: DataFrame, at: int, chosen: list[str]) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(kinds[k][2]).cast("int").alias("hours"), F.lit(kinds[k][3]).cast("string").alias("test"), F.coalesce(kinds[k][at], none).alias("blocks")) for k in chosen))
+        return of.select(*carried, F.explode(keys).alias("k")).select(*carried, "k.kind", "k.hours", "k.test", F.explode("k.blocks").alias("block")).filter("block is not null")
+
+    if others is None:
+        x, y = side(rows, 0, list(kinds)).alias("x"), side(rows, 1, list(kinds)).alias("y")
+        ordered = F.when(c("x.test").isin("in", "any"), c("x.ord") != c("y.ord")).otherwise(c("x.ord") < c("y.ord"))
+        return _meeting(x, y, ordered)
+    return _meeting(side(rows, 0, list(kinds)).alias("x"), side(others, 1, list(kinds)).alias("y"), F.lit(True)).union(_meeting(side(others, 0, one_way).alias("x"), side(rows, 1, one_way).alias("y"), F.lit(True))).distinct()
+
 
-    x, y = side(0).alias("x"), side(1).alias("y")
-    ordered = F.when(c("x.test").isin("in", "any"), c("x.ord") != c("y.ord")).otherwise(c("x.ord") < c("y.ord"))
+def _meeting(x: DataFrame, y: DataFrame, ordered: Column) -> DataFrame:
+    """Pairs whose probing key is the other's own, if their starts, distance or names fit."""
+    c = F.col
     km = F.least(*(distance_km(c(f"{p}.lat"), c(f"{p}.lng"), c(f"{q}.lat"), c(f"{q}.lng")) for p, q in ("xy", "yx"))) <= SAME_PLACE_KM
     fits = F.when(c("x.test") == "km", km).when(c("x.test") == "in", F.contains(c("y.norm"), c("x.norm"))).otherwise(F.lit(True))
     soon = c("x.hours").isNull() | (F.abs(seconds_between(c("x.start_local"), c("y.start_local"))) < c("x.hours") * 3600)
@@ -89,9 +107,9 @@ def gradable_pairs(rows: DataFrame) -> DataFrame:
 
 
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs with the columns of both rows, found by id and ord, as structs x and y."""
+    """pairs with what both rows are judged by, found by id and ord, as structs x and y."""
     for side, at, name in (("a", "ao", "x"), ("b", "bo", "y")):
-        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("ord").alias(at), F.struct(*rows.columns).alias(name)), [side, at])
+        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("ord").alias(at), F.struct(*JUDGED).alias(name)), [side, at])
     return pairs
 
 
@@ -112,11 +130,9 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
     clock = F.abs(minutes_of_day(x("start_local")) - minutes_of_day(y("start_local")))
     clock = F.least(clock, 1440 - clock)
     both_recur = x("recurring") & y("recurring") & (F.dayofweek(x("start_local")) == F.dayofweek(y("start_local")))
-    known = lambda styles: F.array_except(styles, F.array(F.lit("other")))
-    sx, sy = known(detect_styles(x("name"))), known(detect_styles(y("name")))
+    sx, sy = x("styles_named"), y("styles_named")
     other_styles = (F.size(F.array_except(sx, sy)) > 0) & (F.size(F.array_except(sy, sx)) > 0) & (F.size(sx) > 0) & (F.size(sy) > 0)
-    days = lambda name: F.array_compact(F.array(*(F.when(F.contains(F.lower(name), F.lit(d)), F.lit(d)) for d in WEEKDAYS)))
-    dx, dy = days(x("name")), days(y("name"))
+    dx, dy = x("days_named"), y("days_named")
     other_days = x("recurring") & y("recurring") & (F.size(dx) > 0) & (F.size(dy) > 0) & ~F.arrays_overlap(dx, dy)
     certain, review = F.lit("certain"), F.lit("review")
     rules = (
@@ -131,12 +147,26 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
     return sides.withColumn("grade", F.when(x("hub") == y("hub"), rules).cast("string"))
 
 
+def judged(listings: DataFrame) -> DataFrame:
+    """The columns that pairs are judged by, worked out once and kept: blocks and both sides of pairs read them."""
+    return kept(prepared(listings).select(*JUDGED))
+
+
 def grade_pairs(listings: DataFrame) -> DataFrame:
     """a, b, grade of the pairs that have a grade."""
-    rows = prepared(listings)
+    rows = judged(listings)
     return graded(with_sides(gradable_pairs(rows), rows)).filter("grade is not null").select("a", "b", "grade")
 
 
+def grade_against(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """id, other, grade: the graded pairs of a judged table's row with another's. Rows of one table aren't paired with each other."""
+    sides = with_sides(gradable_pairs(rows, others), rows.union(others))
+    g = graded(sides).filter("grade is not null").select("a", "b", "ao", "bo", "grade")
+    mine = rows.select(F.col("id").alias("_id"), F.col("ord").alias("_ord"))
+    way = lambda i, io, o: g.join(mine, (F.col(i) == F.col("_id")) & (F.col(io) == F.col("_ord"))).select(F.col(i).alias("id"), F.col(o).alias("other"), "grade")
+    return way("a", "ao", "b").union(way("b", "bo", "a"))
+
+
 def reason(sides: DataFrame) -> Column:
     """Why a pair is one: name test, date test, place, joined by +."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
@@ -146,27 +176,23 @@ def reason(sides: DataFrame) -> Column:
 
 
 def groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, group (the smallest id reachable) of linked ids: minimum labels spread over the links, and over labels, until none changes.
+    """node, group (the smallest id reachable) of linked ids.
 
-    Labels are checkpointed each round, in the folder of spark.checkpoint.dir.
+    Rounds of two steps hang a node's larger neighbours, then its smaller ones, to the smallest, until all point to it: their number grows
+    with the logarithm of a group. Links are kept each round, in the folder of spark.checkpoint.dir.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='brindle-')}")
-    edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = edges.union(edges.select("v", "u")).distinct().checkpoint()
-    labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("group")).withColumnRenamed("u", "node")
-    while True:
-        labels = labels.checkpoint()
-        seen = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("group").alias("low"))
-        step = labels.join(seen, labels.node == seen.u, "left").select("node", F.least("group", "low").alias("group"))
-        jump = step.select(F.col("node").alias("n2"), F.col("group").alias("g2"))
-        new = step.join(jump, F.col("group") == F.col("n2"), "left").select("node", F.least("group", F.coalesce("g2", "group")).alias("group")).checkpoint()
-        if not new.join(labels.withColumnRenamed("group", "old"), "node").filter("group <> old").limit(1).count():
-            return new
-        labels = new
+    c = F.col
+    links = kept(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    before = None
+    while (now := tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before:
+        before = now
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(c("u"), F.min("v")).alias("low"))
+        large = both.filter("v > u").join(low, "u").select(c("v").alias("u"), c("low").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        ends = F.array(F.struct(c("u"), c("low").alias("v")), F.struct(c("v").alias("u"), c("low").alias("v")))
+        links = kept(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+    return links.select(c("u").alias("node"), c("v").alias("group")).union(links.select("v", "v").distinct())
 
 
 def merged(rows: DataFrame, group: str, rank: str = "source_rank") -> DataFrame:

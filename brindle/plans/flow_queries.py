@@ -201,24 +201,45 @@ def _(t: DataFrame) -> DataFrame:
     return LC.archive_split(t, now())
 
 
-_HITS = """d AS (SELECT a AS id, b AS other, grade FROM graded WHERE grade IS NOT NULL UNION ALL SELECT b, a, grade FROM graded WHERE grade IS NOT NULL),
-best AS (SELECT d.id, min(struct_pack(grade := d.grade, pool := o.pool, other := d.other)) AS m FROM d JOIN v_listing o ON o.id = d.other WHERE o.pool <> 'pending' GROUP BY d.id)"""
 _REL = f"(coalesce(trusted, false) OR {D.styles('name')} <> ['other'] OR {D.has('name', X.TOPIC)})"
 _FAR = f"CASE WHEN lat IS NULL THEN coalesce(NOT list_contains({D.array(P.NEAR_STATES)}, nullif(regexp_extract(location, ', ([A-Z][A-Z])$', 1), '')), false) ELSE {D.km('lat', 'lng', str(P.CENTRE[0]), str(P.CENTRE[1]))} > 50 END"
-_ROUTE = f"""WITH {D.PREPARED}, {D.PAIRS}, {D.GRADED}, {_HITS}, r AS (SELECT l.id, CASE WHEN {_FAR} THEN 'rejected_out_of_area' WHEN NOT {_REL} THEN 'rejected_irrelevant'
-  WHEN m.grade = 'certain' AND m.pool = 'archive' THEN CASE WHEN end_local < {_NOW} - INTERVAL 24 HOUR THEN 'duplicate' ELSE 'reactivated' END WHEN m.grade = 'certain' THEN 'merged' WHEN m.grade = 'review' THEN 'pending'
-  WHEN end_local < {_NOW} - INTERVAL 24 HOUR THEN 'skipped_past' WHEN coalesce(noise, 0) >= 60 THEN 'quarantined' ELSE 'added' END AS status
-  FROM v_listing l LEFT JOIN best ON best.id = l.id LEFT JOIN v_source s ON s.source = l.source WHERE l.pool = 'pending')"""
-
-
-@query("route_new", L, "v_source", sql=f"{_ROUTE} SELECT id, status, CASE WHEN status IN ('added', 'merged', 'reactivated') THEN 'active' WHEN status IN ('pending', 'quarantined') THEN 'pending' WHEN starts_with(status, 'rejected') THEN 'rejected' END AS target FROM r")
-def _(t: DataFrame, s: DataFrame) -> DataFrame:
-    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, now())
-
-
-@query("reactivate", L, "v_source", sql=f"{_ROUTE} SELECT id FROM r WHERE status = 'reactivated'")
-def _(t: DataFrame, s: DataFrame) -> DataFrame:
-    return LC.route(t.filter("pool = 'pending'"), t.filter("pool <> 'pending'"), s, now()).filter("status = 'reactivated'").select("id")
+_OVER = f"({_NOW} - INTERVAL 24 HOUR)"
+_ROUTE = f"""WITH {D.PREPARED}, {D.PAIRS}, {D.GRADED}, v AS (SELECT item, last(choice ORDER BY seq) AS choice FROM v_decision GROUP BY item),
+bl AS (SELECT id, source, norm || '|' || coalesce(place, '') AS k FROM prep JOIN v ON item = ord WHERE pool = 'pending' AND choice = 'different'),
+kn AS (SELECT l.*, choice IS NOT DISTINCT FROM 'skip' AS held, source_rank FROM v_listing l LEFT JOIN v ON item = ord LEFT JOIN v_source s ON s.source = l.source WHERE pool <> 'pending'),
+d AS (SELECT a AS id, b AS other, grade FROM graded WHERE grade IS NOT NULL UNION ALL SELECT b, a, grade FROM graded WHERE grade IS NOT NULL),
+hits AS (SELECT d.id, grade, other, kn.ord, pool, held, end_local AS klast, source AS ks, source_rank AS kr, recurring AS krec FROM d JOIN kn ON kn.id = other),
+live AS (SELECT id, arg_min(grade, (grade, ord)) AS lg, arg_min(other, (grade, ord)) AS lo FROM hits WHERE pool = 'active' GROUP BY id),
+gone AS (SELECT * FROM hits WHERE pool = 'archive' QUALIFY row_number() OVER (PARTITION BY id ORDER BY grade, ord) = 1),
+f AS (SELECT p.id, p.ord, lo, gone.other AS go, CASE WHEN p.id IN (SELECT id FROM bl) OR (p.source || '~' || p.norm || '|' || coalesce(p.place, '')) IN (SELECT source || '~' || k FROM bl) THEN 'blocked' WHEN {_FAR} THEN 'rejected_out_of_area' WHEN NOT {_REL} THEN 'rejected_irrelevant'
+    WHEN gone.grade = 'certain' AND (lg IS NOT DISTINCT FROM 'certain' OR p.end_local < {_OVER} OR held) THEN 'duplicate'
+    WHEN gone.grade = 'certain' AND CASE WHEN ks = p.source AND p.recurring AND krec THEN greatest(p.end_local, klast) WHEN kr <= s.source_rank THEN klast ELSE p.end_local END >= {_OVER} THEN 'reactivated'
+    WHEN lg = 'certain' THEN 'merged' WHEN lg = 'review' THEN 'pending' WHEN p.end_local < {_OVER} THEN 'skipped_past' WHEN noise >= 60 THEN 'quarantined' ELSE 'added' END AS status
+  FROM prep p LEFT JOIN live ON live.id = p.id LEFT JOIN gone ON gone.id = p.id LEFT JOIN v_source s ON s.source = p.source WHERE p.pool = 'pending'),
+fresh AS (SELECT id FROM f WHERE status IN ('added', 'quarantined')),
+e AS (SELECT b AS id, arg_min(grade, (grade, xo)) AS eg, arg_min(a, (grade, xo)) AS eo FROM graded WHERE grade IS NOT NULL AND a IN (SELECT id FROM fresh) AND b IN (SELECT id FROM fresh) GROUP BY b),
+r AS (SELECT f.id, CASE WHEN eg = 'certain' THEN 'duplicate' WHEN eg = 'review' THEN 'pending' ELSE status END AS status,
+  CASE WHEN status IN ('added', 'quarantined') THEN eo WHEN status = 'duplicate' THEN coalesce(lo, go) WHEN status = 'reactivated' THEN go WHEN status IN ('merged', 'pending') THEN lo END AS other FROM f LEFT JOIN e ON e.id = f.id)"""
+
+
+def _routed(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    """Pending rows against the others. (Here an archived row whose last decision is to skip is held, a pending one that is different is blocked.)"""
+    v = M.latest(d, ["item"], ["seq"]).select("item", "choice")
+    decided = t.join(v, t.ord == v.item, "left")
+    known = decided.filter("pool <> 'pending'").withColumn("hold", F.when((c("pool") == "archive") & (c("choice") == "skip"), "cancelled")).drop("item", "choice")
+    refused = decided.filter("pool = 'pending' and choice = 'different'")
+    blocked = refused.select("id", "source", LC.block_key(normalize_name(c("name")), P.place_text(c("location"))).alias("key"))
+    return LC.route(t.filter("pool = 'pending'"), known, s, now(), blocked)
+
+
+@query("route_new", L, "v_source", "v_decision", sql=f"{_ROUTE} SELECT id, status, CASE WHEN status IN ('added', 'merged', 'reactivated') THEN 'active' WHEN status IN ('pending', 'quarantined') THEN 'pending' WHEN starts_with(status, 'rejected') THEN 'rejected' END AS target, other FROM r")
+def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    return _routed(t, s, d)
+
+
+@query("reactivate", L, "v_source", "v_decision", sql=f"{_ROUTE} SELECT id, other FROM r WHERE status = 'reactivated'")
+def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    return _routed(t, s, d).filter("status = 'reactivated'").select("id", "other")
 
 
 @query("apply_decisions", L, "v_decision", sql="""WITH v AS (SELECT item, last(choice ORDER BY seq) AS choice FROM v_decision GROUP BY item)

@@ -23,7 +23,7 @@ _GRADE = f"{_CAND}, {D.GRADED}"
 
 @query("candidate_pairs", L, sql=f"{_CAND} SELECT a, b FROM cand")
 def _(t: DataFrame) -> DataFrame:
-    return M.gradable_pairs(M.prepared(t)).select("a", "b")
+    return M.gradable_pairs(M.judged(t)).select("a", "b")
 
 
 @query("dedup_grade", L, sql=f"{_GRADE} SELECT a, b, grade FROM graded WHERE grade IS NOT NULL")
@@ -40,7 +40,7 @@ def _(t: DataFrame) -> DataFrame:
   CASE WHEN x.norm = y.norm THEN 'name' WHEN contains(x.norm, y.norm) OR contains(y.norm, x.norm) THEN 'partial_name' END, CASE WHEN x.day = y.day THEN 'day' END, CASE WHEN x.place = y.place THEN 'place' END) AS reason
   FROM cand JOIN prep x ON x.id = a JOIN prep y ON y.id = b""")
 def _(t: DataFrame) -> DataFrame:
-    rows = M.prepared(t)
+    rows = M.judged(t)
     sides = M.with_sides(M.gradable_pairs(rows), rows)
     return sides.select("a", "b", M.reason(sides).alias("reason"))
 
@@ -66,7 +66,7 @@ SELECT a, b, CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL E
 WHERE CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL ELSE grade END IS NOT NULL""")
 def _(t: DataFrame, d: DataFrame) -> DataFrame:
     """Recorded verdicts stand over the rules. (Here a verdict's key is the sum of the two ords, modulo 500.)"""
-    rows = M.prepared(t)
+    rows = M.judged(t)
     sides = M.with_sides(M.gradable_pairs(rows), rows)
     v = M.latest(d.filter("choice in ('same', 'different')"), ["item"], ["seq"]).select("item", "choice")
     sides = sides.join(v, (c("x.ord") + c("y.ord")) % 500 == c("item"), "left")
