@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Stop words, words that many titles share, weekdays, patterns.
 STOP_WORDS = ["the", "at", "in", "and", "of", "by", "a", "an", "y"]
@@ -74,6 +79,17 @@ def same_series(a: Column, b: Column) -> Column:
     return (a == b) | a.contains(b) | b.contains(a) | ((smaller > 0) & (shared_word_count(wa, wb) >= F.greatest(F.lit(2.0), smaller * 0.6)))
 
 
+@pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
+def to_ascii(text: Column) -> Column:
+    """Letters without their marks, compatible forms as plain ones; what has no ASCII form goes. Only texts that need it leave the JVM."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(_decomposed(F.when(~plain, text)))
+
+
 def is_special_edition(name: Column) -> Column:
     """A branded edition (anniversary, guest, holiday), by the normal name."""
     return F.coalesce(name.rlike(f"(?iU){SPECIAL_EDITION}"), F.lit(False))

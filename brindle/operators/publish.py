@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import normalize_name
+from ..functions.names import content_words, normalize_name, to_ascii
 from ..functions.text import detect_styles, parse_price
+from ..functions.timefn import seconds_between
 
 #: The tripwire: refuse below this share of the previous number of rows, where that was at least so many.
 LEAST_SHARE, LEAST_ROWS = 0.7, 20
@@ -15,16 +15,21 @@ LEAST_SHARE, LEAST_ROWS = 0.7, 20
 
 def slug_base(name: Column) -> Column:
     """Kebab case of a name's ASCII letters and digits, at most 60 characters."""
-    plain = F.translate(F.lower(name), "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy")
-    return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60), "-+$", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(to_ascii(name)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
 
 
-def unique_slugs(listings: DataFrame) -> DataFrame:
-    """id, slug: the base and eight characters of the id; of equal ones the smallest id keeps it, others add six of their id's md5."""
-    slug = F.concat_ws("-", slug_base(F.col("name")), F.lower(F.substring("id", 1, 3)))
-    rows = listings.select("id", slug.alias("slug"))
-    n = F.row_number().over(W.partitionBy("slug").orderBy("id"))
-    return rows.withColumn("n", n).select("id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.md5(F.col("id").cast("binary")), 1, 6))).alias("slug"))
+def unique_slugs(listings: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """id, slug: the base and the id's first eight characters. Of rows with one slug, that which the register (owners: slug, id) knows it by
+    keeps it, else the smallest id; the others have the first eight of their id's md5 instead. A slug's totals are joined, not its rows gathered."""
+    c = F.col
+    rows = listings.select("id", slug_base(c("name")).alias("base")).withColumn("slug", F.concat_ws("-", "base", F.lower(F.substring("id", 1, 8))))
+    if owners is None:
+        rows = rows.withColumn("owner", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(owners.groupBy("slug").agg(F.min("id").alias("owner")), "slug", "left")
+    per = rows.groupBy("slug").agg(F.coalesce(F.min(F.when(c("id") == c("owner"), c("id"))), F.min("id")).alias("keeper"))
+    other = F.concat_ws("-", "base", F.substring(F.md5(c("id").cast("binary")), 1, 8))
+    return rows.join(per, "slug").select("id", F.when(c("id") == c("keeper"), c("slug")).otherwise(other).alias("slug"))
 
 
 def feed(listings: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
@@ -43,22 +48,103 @@ def tripwire(now: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b).withColumn("refuse", (F.col("n_before") >= LEAST_ROWS) & (F.col("n_now") < F.col("n_before") * LEAST_SHARE))
 
 
-def resolve(register: DataFrame, listings: DataFrame) -> DataFrame:
-    """slug, target, reason of retired addresses: the live listing of the id (rename), else the first of name and place (rescrape), else ended."""
-    live = listings.filter("pool = 'active'")
-    by_id = live.select(F.col("id"), F.col("id").alias("same"))
-    by_name = live.groupBy(normalize_name(F.col("name")).alias("norm"), "location").agg(F.min_by("id", "ord").alias("again"))
-    rows = register.withColumn("norm", normalize_name(F.col("name"))).join(by_id, "id", "left").join(by_name, ["norm", "location"], "left")
-    reason = F.when(F.col("same").isNotNull(), "rename").when(F.col("again").isNotNull(), "rescrape").otherwise("ended")
-    return rows.select("slug", F.coalesce("same", "again").alias("target"), reason.alias("reason"))
-
-
-def flatten_chains(links: DataFrame, hops: int = 10) -> DataFrame:
-    """slug, target with alias chains followed for up to so many hops, doubling each round."""
-    out = links
-    done = 1
-    while done < hops:
-        nxt = out.select(F.col("slug").alias("target"), F.col("target").alias("further"))
-        out = out.join(nxt, "target", "left").select("slug", F.coalesce("further", "target").alias("target"))
-        done *= 2
-    return out
+def record(register: DataFrame, published: DataFrame, at: Column) -> DataFrame:
+    """The register with what is published now: slug, id, name, location, start_local, lat, lng, first_seen, last_seen.
+
+    A known slug keeps first_seen and takes what the published row has; a new one begins now. Slugs that aren't published stay as they are.
+    """
+    fields = ["id", "name", "location", "start_local", "lat", "lng"]
+    now = published.select("slug", *(F.col(f).alias(f"_{f}") for f in fields)).withColumn("_seen", at)
+    rows = register.join(now, "slug", "full")
+    return rows.select("slug", *(F.coalesce(f"_{f}", f).alias(f) for f in fields), F.coalesce("first_seen", "_seen").alias("first_seen"), F.coalesce("_seen", "last_seen").alias("last_seen"))
+
+
+def _venue(location: Column) -> Column:
+    return F.nullif(F.lower(F.trim(F.split(F.coalesce(location, F.lit("")), ",")[0])), F.lit(""))
+
+
+def retitled(register: DataFrame, live: DataFrame, least: float = 0.5, km: float = 0.2, days: int = 2) -> DataFrame:
+    """slug, target: the live row (by its slug) at the place, within the days, whose title is most alike (Jaccard of words, so much at least);
+    two equally alike give none.
+
+    One place: near by coordinates where both have them, else the first part of one address holds the other's. Rows meet by day and cell of a
+    grid, or by day and the first three letters of the shorter address.
+    """
+    c = F.col
+    cell = 0.005
+
+    def facts(t: DataFrame, mark: str) -> DataFrame:
+        words = content_words(normalize_name(c("name")))
+        return t.select(c("slug").alias(f"{mark}_slug"), c("start_local").alias(f"{mark}_start"), c("lat").alias(f"{mark}_lat"), c("lng").alias(f"{mark}_lng"), _venue(c("location")).alias(f"{mark}_venue"), words.alias(f"{mark}_words"), F.to_date("start_local").alias(f"{mark}_day"))
+
+    r, n = facts(register, "r"), facts(live, "n")
+
+    def keys(mark: str, around: bool) -> Column:
+        row, col, venue, day = F.floor(c(f"{mark}_lat") / cell), F.floor(c(f"{mark}_lng") / cell), c(f"{mark}_venue"), c(f"{mark}_day")
+        near = [F.concat_ws(",", row + i, col + j) for i in ((-1, 0, 1) if around else (0,)) for j in ((-1, 0, 1) if around else (0,))]
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(venue) - 2, F.lit(1))), lambda i: venue.substr(i, F.lit(3)))
+        head = F.substring(venue, 1, 3)
+        tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+        every = F.flatten(F.array_compact(F.array(F.when(row.isNotNull() & col.isNotNull(), tagged("g", F.array(*near))), tagged("<" if around else ">", F.array(head)), tagged(">" if around else "<", F.array_distinct(grams)))))
+        on = lambda shift: F.transform(every, lambda k: F.concat_ws("|", k, F.date_add(day, shift).cast("string")))
+        return F.explode(F.array_distinct(F.flatten(F.array(*map(on, range(-days, days + 1) if around else (0,))))))
+
+    # The register probes with the days around and the cells around; "<" finds addresses that hold its own, ">" those that it holds.
+    pairs = r.withColumn("k", keys("r", True)).join(n.withColumn("k", keys("n", False)), "k").dropDuplicates(["r_slug", "n_slug"])
+    dlat, dlng = (c("r_lat") - c("n_lat")) * 111.0, (c("r_lng") - c("n_lng")) * 111.0 * F.cos(F.radians((c("r_lat") + c("n_lat")) / 2))
+    text = F.contains(c("r_venue"), c("n_venue")) | F.contains(c("n_venue"), c("r_venue"))
+    there = F.coalesce(F.sqrt(dlat * dlat + dlng * dlng) <= km, text, F.lit(False))
+    alike = F.size(F.array_intersect("r_words", "n_words")) / F.greatest(F.size(F.array_union("r_words", "n_words")), F.lit(1))
+    fits = there & (F.abs(seconds_between(c("r_start"), c("n_start"))) <= days * 86400) & (c("r_slug") != c("n_slug")) & (F.size("r_words") > 0) & (F.size("n_words") > 0)
+    found = pairs.filter(fits).select(c("r_slug").alias("slug"), c("n_slug").alias("target"), alike.alias("x")).filter(c("x") >= least)
+    best = found.groupBy("slug").agg(F.max("x").alias("x")).join(found, ["slug", "x"]).groupBy("slug").agg(F.min("target").alias("target"), F.count("*").alias("n"))
+    return best.filter("n = 1").select("slug", "target")
+
+
+def resolve(register: DataFrame, published: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """slug, status, target, reason of the register's addresses: live; alias of the live slug of the row's id (renamed), of its group (same: node,
+    group; merged), of the first with its name and venue (rescraped), or of its title (retitled); else ended."""
+    c = F.col
+    live = published.select("slug", "id", "ord", "name", "location", "start_local", "lat", "lng")
+    target = F.min_by("slug", "ord")
+    by_id = live.groupBy("id").agg(target.alias("renamed"))
+    by_name = live.groupBy(normalize_name(c("name")).alias("norm"), F.coalesce(_venue(c("location")), F.lit("")).alias("venue")).agg(target.alias("rescraped")).filter("norm <> ''")
+    rows = register.withColumn("norm", normalize_name(c("name"))).withColumn("venue", F.coalesce(_venue(c("location")), F.lit("")))
+    rows = rows.join(live.select("slug", F.lit(True).alias("is_live")).distinct(), "slug", "left").join(by_id, "id", "left").join(by_name, ["norm", "venue"], "left")
+    if same is None:
+        rows = rows.withColumn("merged", F.lit(None).cast("string"))
+    else:
+        member = same.select(c("node").alias("id"), "group")
+        by_group = live.join(member, "id").groupBy("group").agg(target.alias("merged"))
+        rows = rows.join(member, "id", "left").join(by_group, "group", "left")
+    left = rows.filter("is_live is null and coalesce(renamed, merged, rescraped) is null")
+    titles = retitled(left.select("slug", "name", "location", "start_local", "lat", "lng"), live).withColumnRenamed("target", "retitled")
+    rows = rows.join(titles, "slug", "left")
+    kinds = ["renamed", "merged", "rescraped", "retitled"]
+    reason = F.coalesce(*(F.when(c(k).isNotNull(), F.lit(k)) for k in kinds))
+    status = F.when(c("is_live"), "live").when(reason.isNotNull(), "alias").otherwise("ended")
+    gone = c("is_live").isNull()
+    return rows.select("slug", status.alias("status"), F.when(gone, F.coalesce(*kinds)).alias("target"), F.when(gone, reason).alias("reason"))
+
+
+def flatten_chains(links: DataFrame, live: DataFrame | None = None, hops: int = 10) -> DataFrame:
+    """slug, target of aliases (slug, target): each followed for up to so many further hops. With live (slug): a target that isn't live is null.
+
+    Hops are joined in powers of two: 10 are 8 and 2.
+    """
+    step = links.select(F.col("slug").alias("at"), F.col("target").alias("to"))
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.join(second.select(F.col("at").alias("to"), F.col("to").alias("further")), "to", "left").select("at", F.coalesce("further", "to").alias("to"))
+
+    out = step
+    while hops:
+        if hops % 2:
+            out = then(out, step)
+        hops //= 2
+        if hops:
+            step = then(step, step)
+    out = out.select(F.col("at").alias("slug"), F.col("to").alias("target"))
+    if live is None:
+        return out
+    return out.join(live.select(F.col("slug").alias("target"), F.lit(True).alias("is_live")).distinct(), "target", "left").select("slug", F.when(F.col("is_live"), F.col("target")).alias("target"))

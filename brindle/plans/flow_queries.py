@@ -46,13 +46,17 @@ def _(t: DataFrame) -> DataFrame:
     return t.filter((c("pool") == "active") & (c("start_local") >= now())).select("id", "name", "start_local")
 
 
-_SLUG = """trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-') || '-' || lower(id[1:3])"""
-_SLUGS = f"s AS (SELECT id, pool, recurring, start_local, {_SLUG.format(x='name')} AS base FROM v_listing), u AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY id) = 1 THEN base ELSE base || '-' || md5(id)[1:6] END AS slug FROM s)"
+_BASE = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')[1:60]"
+_SLUGS = f"s AS (SELECT id, pool, recurring, start_local, {_BASE} AS base, {_BASE} || '-' || lower(id[1:8]) AS first FROM v_listing), u AS (SELECT *, CASE WHEN id = min(id) OVER (PARTITION BY first) THEN first ELSE base || '-' || md5(id)[1:8] END AS slug FROM s)"
 
 
-@query("slug_collisions", L, sql=f"WITH {_SLUGS} SELECT id, slug FROM u")
+@query("slug_collisions", L, sql=f"""WITH s AS (SELECT 'listing-' || id AS id, ord, pool, {_BASE} AS base FROM v_listing), o AS (SELECT base, arg_max(id, ord) AS owner FROM s WHERE pool = 'archive' AND ord % 2 = 1 GROUP BY base),
+k AS (SELECT s.id, base, coalesce(owner, min(id) OVER (PARTITION BY base)) AS keeper FROM s LEFT JOIN o USING (base)) SELECT id, base || '-' || CASE WHEN id = keeper THEN 'listing-' ELSE md5(id)[1:8] END AS slug FROM k""")
 def _(t: DataFrame) -> DataFrame:
-    return PB.unique_slugs(t)
+    """Ids that share their first eight characters. The register knows each slug by the last odd archived row."""
+    rows = t.withColumn("id", F.concat(F.lit("listing-"), "id"))
+    owners = rows.filter("pool = 'archive' and ord % 2 = 1").groupBy(F.concat(PB.slug_base(c("name")), F.lit("-listing-")).alias("slug")).agg(F.max_by("id", "ord").alias("id"))
+    return PB.unique_slugs(rows, owners)
 
 
 @query("sitemap_urls", L, sql=f"""WITH {_SLUGS} SELECT DISTINCT 'https://site.example/event/' || slug AS loc, CASE WHEN recurring THEN 'weekly' ELSE 'monthly' END AS changefreq, CASE WHEN start_local >= {_NOW} THEN 0.8 ELSE 0.4 END::DOUBLE AS priority
@@ -67,10 +71,10 @@ def _(t: DataFrame, r: DataFrame) -> DataFrame:
     return PB.unique_slugs(t).select("slug").union(r.select("slug")).distinct()
 
 
-@query("slug_diff", L, "v_registry", sql=f"WITH {_SLUGS}, r AS (SELECT 'salsa-social-' || lower(replace(id, 'gone', 'L')[1:3]) AS slug FROM v_registry UNION ALL SELECT slug FROM v_registry WHERE slug LIKE '%7') SELECT DISTINCT slug, 'new' AS kind FROM u WHERE slug NOT IN (SELECT slug FROM r) UNION ALL SELECT DISTINCT slug, 'retired' FROM r WHERE slug NOT IN (SELECT slug FROM u)")
+@query("slug_diff", L, "v_registry", sql=f"WITH {_SLUGS}, r AS (SELECT 'salsa-social-' || lower(replace(id, 'gone', 'L')[1:8]) AS slug FROM v_registry UNION ALL SELECT slug FROM v_registry WHERE slug LIKE '%7') SELECT DISTINCT slug, 'new' AS kind FROM u WHERE slug NOT IN (SELECT slug FROM r) UNION ALL SELECT DISTINCT slug, 'retired' FROM r WHERE slug NOT IN (SELECT slug FROM u)")
 def _(t: DataFrame, r: DataFrame) -> DataFrame:
     now = PB.unique_slugs(t).select("slug")
-    was = r.select(F.concat(F.lit("salsa-social-"), F.lower(F.substring(F.replace("id", F.lit("gone"), F.lit("L")), 1, 3))).alias("slug")).union(r.filter("slug like '%7'").select("slug"))
+    was = r.select(F.concat(F.lit("salsa-social-"), F.lower(F.substring(F.replace("id", F.lit("gone"), F.lit("L")), 1, 8))).alias("slug")).union(r.filter("slug like '%7'").select("slug"))
     return now.join(was, "slug", "left_anti").distinct().withColumn("kind", F.lit("new")).union(was.join(now, "slug", "left_anti").distinct().withColumn("kind", F.lit("retired")))
 
 
@@ -275,26 +279,54 @@ def _(t: DataFrame, d: DataFrame) -> DataFrame:
     return j
 
 
-@query("slug_resolve", "v_registry", L, sql=f"""WITH n AS (SELECT *, {D.norm('name')} AS norm FROM v_listing WHERE pool = 'active'), b AS (SELECT norm, location, arg_min(id, ord) AS again FROM n GROUP BY 1, 2), r AS (SELECT *, {D.norm('name')} AS norm FROM v_registry)
-SELECT r.slug, coalesce(n.id, again) AS target, CASE WHEN n.id IS NOT NULL THEN 'rename' WHEN again IS NOT NULL THEN 'rescrape' ELSE 'ended' END AS reason FROM r LEFT JOIN n ON n.id = r.id LEFT JOIN b ON b.norm = r.norm AND b.location = r.location""")
-def _(r: DataFrame, t: DataFrame) -> DataFrame:
-    return PB.resolve(r, t)
+_VENUE = "lower(trim(split_part(coalesce(location, ''), ',', 1)))"
+_LIVE = f"""{_SLUGS}, lv AS (SELECT l.*, slug, {D.norm('name')} AS norm, {_VENUE} AS venue, {D.words(D.norm('name'))} AS w FROM v_listing l JOIN u USING (id) WHERE l.pool = 'active'),
+rg AS (SELECT *, {D.norm('name')} AS norm, {_VENUE} AS venue, {D.words(D.norm('name'))} AS w FROM v_registry),
+tj AS (SELECT rg.slug, lv.slug AS target, len(list_intersect(rg.w, lv.w)) / len(list_distinct(rg.w || lv.w)) AS x FROM rg JOIN lv ON rg.start_local >= lv.start_local - INTERVAL 2 DAY AND rg.start_local <= lv.start_local + INTERVAL 2 DAY
+  WHERE coalesce(sqrt(((rg.lat - lv.lat) * 111) ** 2 + ((rg.lng - lv.lng) * 111 * cos(radians((rg.lat + lv.lat) / 2))) ** 2) <= 0.2, rg.venue <> '' AND lv.venue <> '' AND (contains(rg.venue, lv.venue) OR contains(lv.venue, rg.venue)))),
+tk AS (SELECT *, rank() OVER (PARTITION BY slug ORDER BY x DESC) AS rk FROM tj WHERE x >= 0.5), tt AS (SELECT slug, min(target) AS target FROM tk WHERE rk = 1 GROUP BY slug HAVING count(*) = 1)"""
+
+
+def _live(t: DataFrame) -> DataFrame:
+    return t.filter("pool = 'active'").join(PB.unique_slugs(t), "id")
+
+
+@query("slug_resolve", "v_registry", L, "v_decision", sql=f"""WITH RECURSIVE {_LIVE}, e AS (SELECT 'L' || item::VARCHAR AS u, 'L' || (item + seq)::VARCHAR AS v FROM v_decision WHERE choice = 'same'), ee AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS node, u AS other FROM ee UNION SELECT r.node, ee.v FROM reach r JOIN ee ON ee.u = r.other), grp AS (SELECT node, min(other) AS g FROM reach GROUP BY node),
+bi AS (SELECT id, arg_min(slug, ord) AS t FROM lv GROUP BY id), bg AS (SELECT g, arg_min(slug, ord) AS t FROM lv JOIN grp ON node = id GROUP BY g), bn AS (SELECT norm, venue, arg_min(slug, ord) AS t FROM lv GROUP BY 1, 2)
+SELECT rg.slug, CASE WHEN coalesce(bi.t, bg.t, bn.t, tt.target) IS NULL THEN 'ended' ELSE 'alias' END AS status, coalesce(bi.t, bg.t, bn.t, tt.target) AS target,
+  CASE WHEN bi.t IS NOT NULL THEN 'renamed' WHEN bg.t IS NOT NULL THEN 'merged' WHEN bn.t IS NOT NULL THEN 'rescraped' WHEN tt.target IS NOT NULL THEN 'retitled' END AS reason
+FROM rg LEFT JOIN bi ON bi.id = rg.id LEFT JOIN grp ON grp.node = rg.id LEFT JOIN bg ON bg.g = grp.g LEFT JOIN bn ON bn.norm = rg.norm AND bn.venue = rg.venue LEFT JOIN tt ON tt.slug = rg.slug""")
+def _(r: DataFrame, t: DataFrame, d: DataFrame) -> DataFrame:
+    """Retired addresses: by id, by verdicts that two are the same, by name and venue, by title."""
+    number = lambda x: F.concat(F.lit("L"), x.cast("string"))
+    same = M.groups(d.filter("choice = 'same'").select(number(c("item")).alias("a"), number(c("item") + c("seq")).alias("b")))
+    return PB.resolve(r, _live(t), same)
 
 
-@query("slug_retitle", "v_registry", L, sql=f"""WITH r AS (SELECT slug, location, start_local, {D.words(D.norm('name'))} AS w FROM v_registry), n AS (SELECT id, location, start_local, {D.words(D.norm('name'))} AS w FROM v_listing WHERE pool = 'active'),
-j AS (SELECT slug, id, len(list_intersect(r.w, n.w)) / len(list_distinct(r.w || n.w)) AS s FROM r JOIN n ON r.location = n.location AND abs(date_diff('second', r.start_local, n.start_local)) <= 172800),
-k AS (SELECT *, rank() OVER (PARTITION BY slug ORDER BY s DESC) AS rk FROM j WHERE s >= 0.3) SELECT slug, min(id) AS target FROM k WHERE rk = 1 GROUP BY slug HAVING count(*) = 1""")
+@query("slug_retitle", "v_registry", L, sql=f"WITH {_LIVE} SELECT slug, target FROM tt")
 def _(r: DataFrame, t: DataFrame) -> DataFrame:
     """The one live listing at the place within two days whose title is most alike; a tie gives none."""
-    return Q.retitled(r, t.filter("pool = 'active'"), 0.3)
+    return PB.retitled(r, _live(t))
 
 
-@query("slug_chain", "v_registry", sql="""WITH RECURSIVE l AS (SELECT slug, 'old-' || (regexp_extract(slug, '\\d+')::BIGINT + 1)::VARCHAR AS target FROM v_registry),
-h AS (SELECT slug, target, 1 AS n FROM l UNION ALL SELECT h.slug, l.target, n + 1 FROM h JOIN l ON l.slug = h.target WHERE n < 16) SELECT slug, arg_max(target, n) AS target FROM h GROUP BY slug""")
-def _(r: DataFrame) -> DataFrame:
-    """Alias chains followed to their ends. (Here each address points to the next number.)"""
+@query("slug_chain", "v_registry", L, sql="""WITH RECURSIVE l AS (SELECT slug, 'old-' || (regexp_extract(slug, '\\d+')::BIGINT + 1)::VARCHAR AS target FROM v_registry),
+h AS (SELECT slug, target, 0 AS n FROM l UNION ALL SELECT h.slug, l.target, n + 1 FROM h JOIN l ON l.slug = h.target WHERE n < 10), e AS (SELECT slug, arg_max(target, n) AS target FROM h GROUP BY slug)
+SELECT slug, CASE WHEN target IN (SELECT 'old-' || ord::VARCHAR FROM v_listing WHERE pool = 'active') THEN target END AS target FROM e""")
+def _(r: DataFrame, t: DataFrame) -> DataFrame:
+    """Alias chains followed to their ends; an end that isn't live is none. (Here each address points to the next number.)"""
     nxt = F.concat(F.lit("old-"), F.regexp_extract("slug", r"\d+", 0).cast("long") + 1)
-    return PB.flatten_chains(r.select("slug", nxt.alias("target")))
+    live = t.filter("pool = 'active'").select(F.concat(F.lit("old-"), c("ord").cast("string")).alias("slug"))
+    return PB.flatten_chains(r.select("slug", nxt.alias("target")), live)
+
+
+@query("slug_record", "v_registry", L, sql=f"""WITH {_SLUGS}, p AS (SELECT CASE WHEN ord % 4 = 0 THEN slug ELSE 'old-' || ord::VARCHAR END AS slug, l.id, name, location, start_local, lat, lng FROM v_listing l JOIN (SELECT id, slug FROM u) USING (id) WHERE pool = 'active')
+SELECT coalesce(p.slug, r.slug) AS slug, coalesce(p.id, r.id) AS id, coalesce(p.name, r.name) AS name, coalesce(p.lat, r.lat) AS lat, CASE WHEN r.slug IS NULL THEN {_NOW} ELSE r.start_local END AS first_seen, CASE WHEN p.slug IS NULL THEN r.start_local ELSE {_NOW} END AS last_seen FROM v_registry r FULL JOIN p ON p.slug = r.slug""")
+def _(r: DataFrame, t: DataFrame) -> DataFrame:
+    """The register after a publish: known addresses keep the time first seen. (Here live rows keep their old address unless their number divides by 4.)"""
+    live = _live(t).withColumn("slug", F.when(c("ord") % 4 == 0, c("slug")).otherwise(F.concat(F.lit("old-"), c("ord").cast("string"))))
+    known = r.withColumn("first_seen", c("start_local")).withColumn("last_seen", c("start_local"))
+    return PB.record(known, live, now()).select("slug", "id", "name", "lat", "first_seen", "last_seen")
 
 
 @query("page_meta", "v_link", sql=r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(html, '(?is)<meta[^>]*(?:property|name)="og:title"[^>]*content="([^"]*)"', 1) AS og_title,

@@ -58,8 +58,9 @@ SELECT page_id, url, CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 TH
     "v_registry": f"""
 SELECT 'old-' || CAST(o_orderkey AS STRING) AS slug,
   CASE o_orderkey % 4 WHEN 1 THEN 'L' || CAST(o_orderkey AS STRING) ELSE 'gone' || CAST(o_orderkey AS STRING) END AS id,
-  CASE o_orderkey % 4 WHEN 2 THEN 'Salsa Social' ELSE 'Harbor Salsa Reunion Festival' END AS name, {_HALL.format(k="o_custkey")} AS location,
-  o_orderdate AS start_local FROM {{orders}} WHERE o_orderkey % 4 <> 0""",
+  CASE o_orderkey % 4 WHEN 2 THEN 'Salsa Social' WHEN 3 THEN 'Annual Harbor Fair' ELSE 'Harbor Salsa Reunion Festival' END AS name, {_HALL.format(k="o_custkey")} AS location,
+  o_orderdate AS start_local, 42.36e0 + (o_custkey % 40 - 20) * 0.05e0 AS lat, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE -71.06e0 + (o_custkey % 25 - 12) * 0.05e0 END AS lng
+FROM {{orders}} WHERE o_orderkey % 4 <> 0""",
     "v_decision": """
 SELECT conv_id AS item, turn AS seq, role AS actor,
   CASE length(text) % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'different' WHEN 2 THEN 'approve' ELSE 'skip' END AS choice FROM {conversations}""",

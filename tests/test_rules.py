@@ -110,9 +110,41 @@ def test_leaders_follow_input_order(spark):
 
 
 def test_unique_slugs(spark):
-    rows = spark.createDataFrame([("L10", "Salsa Night"), ("L11", "Salsa  night!"), ("M1", "Fête")], "id string, name string")
+    rows = spark.createDataFrame([("fiesta-2026-a", "Salsa Night"), ("fiesta-2026-b", "Salsa  night!"), ("fiesta-2026-c", "salsa night"), ("M1", "Fête Ķilo Ș ﬁne")], "id string, name string")
     slugs = {r.id: r.slug for r in PB.unique_slugs(rows).collect()}
-    assert slugs["L10"] == "salsa-night-l10" and slugs["M1"] == "fete-m1" and len(set(slugs.values())) == 3
+    assert slugs["fiesta-2026-a"] == "salsa-night-fiesta-2" and slugs["M1"] == "fete-kilo-s-fine-m1" and len(set(slugs.values())) == 4
+    owners = spark.createDataFrame([("salsa-night-fiesta-2", "fiesta-2026-b"), ("fete-kilo-s-fine-m1", "gone")], "slug string, id string")
+    slugs = {r.id: r.slug for r in PB.unique_slugs(rows, owners).collect()}
+    assert slugs["fiesta-2026-b"] == "salsa-night-fiesta-2" and slugs["M1"] == "fete-kilo-s-fine-m1" and len(set(slugs.values())) == 4
+
+
+def test_alias_chains_end_after_ten_hops_and_at_what_is_not_live(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)] + [("x", "y")], "slug string, target string")
+    got = {r.slug: r.target for r in PB.flatten_chains(links).collect()}
+    assert got["n0"] == "n11" and got["n25"] == "n30" and got["x"] == "y"
+    live = spark.createDataFrame([("n30",)], "slug string")
+    got = {r.slug: r.target for r in PB.flatten_chains(links, live).collect()}
+    assert got["n19"] == "n30" and got["n18"] is None and got["x"] is None
+
+
+def test_addresses_resolve_in_order(spark):
+    at, fields = dt.datetime(2026, 1, 2, 20), "slug string, id string, ord long, name string, location string, start_local timestamp_ntz, lat double, lng double"
+    live = [
+        ("a-new", "A", 1, "Alpha Night", "Hall 1, Main St", at, 42.0, -71.0), ("b-new", "B", 2, "Beta Club Social", "Hall 2", at, None, None), ("still", "S", 3, "Still Here", "Hall 3", at, None, None),
+        ("tie1", "T", 4, "Gamma Big Ball", "Hall 4", at, None, None), ("tie2", "U", 5, "Gamma Big Ball", "Hall 4", at, None, None),
+    ]
+    old = [
+        ("still", "x", 0, "Other", "Hall 9", at, None, None), ("a-old", "A", 0, "Whatever", "Elsewhere", at, None, None), ("g-old", "G", 0, "Nothing", "Nowhere", at, None, None), ("n-old", "q", 0, "alpha night!", "HALL 1", at, None, None),
+        ("t-old", "q2", 0, "Beta Club", "The Hall 2 Annex", dt.datetime(2026, 1, 4, 19), None, None), ("t-near", "q3", 0, "Alpha Grand Night", "Far", at, 42.0010, -71.0), ("t-far", "q4", 0, "Alpha Grand Night", "Hall 1", at, 42.0030, -71.0),
+        ("late", "q5", 0, "Beta Club", "Hall 2", dt.datetime(2026, 1, 4, 21), None, None), ("tied", "q6", 0, "Gamma Big", "Hall 4", at, None, None),
+    ]
+    same = spark.createDataFrame([("G", "B"), ("B", "B")], "node string, group string")
+    got = {r.slug: (r.status, r.target, r.reason) for r in PB.resolve(spark.createDataFrame(old, fields), spark.createDataFrame(live, fields), same).collect()}
+    ended = ("ended", None, None)
+    assert got == {
+        "still": ("live", None, None), "a-old": ("alias", "a-new", "renamed"), "g-old": ("alias", "b-new", "merged"), "n-old": ("alias", "a-new", "rescraped"), "t-old": ("alias", "b-new", "retitled"),
+        "t-near": ("alias", "a-new", "retitled"), "t-far": ended, "late": ended, "tied": ended,
+    }
 
 
 def test_feed_rules(spark):
