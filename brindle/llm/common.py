@@ -35,7 +35,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Parts into which the rows of each key are dealt where they are joined by it.
+SALTS = 16
+
+
+def dealt_join(rows: DataFrame, per_key: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows joined by key with a table of at most one row for each; dealt by key and a hash of column salt, so that a hot key's rows meet
+    in SALTS tasks."""
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS))).join(copies, [key, "_salt"]).drop("_salt")
 
 
 def words(text: str | None) -> list[bytes]:

@@ -5,14 +5,17 @@ that could be broadcast. So text and automata are first brought together by anch
 smallest hash of a GRAM of words (its minimizer). Equal windows have equal anchors, so a window can only recur among the
 windows with its anchor. The windows of a document that follow one another with the same anchor are a segment;
 segments of equal words are one class. The classes of an anchor are a reference of its own, many anchors make a shard, and
-a shard's automaton is built in the task that streams the shard's classes through it.
+a shard's automaton is built in the task that streams the shard's classes through it. An anchor of more classes than a
+shard should hold (a line that many documents share) is taken apart as a Grace hash join takes a bucket apart: its classes
+are cut anew at longer anchors, parts of equal words become one, parts of one document alone go, and what is still too
+large is cut at longer ones yet, at last window by window, where a class is a window and an anchor has one class.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_batches, mix64, staged
+from .common import WordHashes, arrow_batches, dealt_join, mix64, staged
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 50, 10
+#: Words by which the anchors of a level are longer than those of the one before.
+LONGER = 15
 #: Positions that fit beside a hash in 64 bits; longer texts are cut for the search of anchors, with WINDOW - 1 words of overlap.
 PLACE_BITS = 20
 #: Words of a shard, about: it is closed at the end of an anchor.
 SHARD_WORDS = 20_000
-#: Anchors of more classes are split: each window counts as an anchor of its own.
-MOST_CLASSES = 1000
+#: Anchors of more classes are cut at longer anchors.
+MOST_CLASSES = 500
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,7 +103,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
             yield whole.slice(at, 65536)
 
 
-_WORDS = pa.schema([("anchor", pa.int64()), ("class", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary()), ("windows", pa.list_(pa.int64()))])
+_WORDS = pa.schema([("anchor", pa.int64()), ("class", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary())])
 
 
 def _class_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -108,16 +113,30 @@ def _class_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         for batch in batches:
             for packed, doc_id, wanted in zip(batch.column("packed"), batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 h = hashes(unpack.decompress(packed.as_py()).split())
-                if len(h) < window:
-                    continue
-                windows = _rolled(h, window)
                 for w in wanted:
-                    s, n = w["start"], w["n"]
-                    yield w["anchor"], w["class"], doc_id, w["last"], h[s : s + n + window - 1].tobytes(), windows[s : s + n].view(np.int64).tolist() if w["hot"] else None
+                    yield w["anchor"], w["class"], doc_id, w["last"], h[w["start"] : w["start"] + w["n"] + window - 1].tobytes()
 
     yield from arrow_batches(rows(), _WORDS)
 
 
+_CUT = pa.schema([*_WORDS, ("whole_anchor", pa.int64()), ("whole_class", pa.int64()), ("at", pa.int32())])
+
+
+def _cut_classes(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Classes cut at anchors of that many words."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for anchor, name, first, last, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "class", "first", "last", "words")), strict=True):
+                h = np.frombuffer(words, np.uint64)
+                anchors, names, starts, counts = segments(h, window, gram)
+                anchors = mix64(anchors + np.uint64(anchor & (1 << 64) - 1)).view(np.int64)
+                for a, c, s, n in zip(anchors.tolist(), names.view(np.int64).tolist(), starts.tolist(), counts.tolist(), strict=True):
+                    yield a, c, first, last, words[8 * s : 8 * (s + n + window - 1)], anchor, name, s
+
+    yield from arrow_batches(rows(), _CUT)
+
+
 _RUNS = pa.schema([("anchor", pa.int64()), ("class", pa.int64()), ("runs", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])))])
 
 
@@ -188,33 +207,42 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Ite
     yield from arrow_batches(rows(), _KEPT)
 
 
+def _of_shared(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The rows whose anchor is met in two documents or more, their ids being lo to hi."""
+    shared = rows.groupBy("anchor").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi")).filter("_lo < _hi").select("anchor")
+    return dealt_join(rows, shared, "anchor", "class")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document with such windows: doc_id, sub (crc32 of the text), spans (array of at, n): windows at .. at + n - 1 also
     start in a document with a smaller doc_id."""
     docs = _keyed(docs).filter("doc_id is not null")
     anchors = staged(docs.mapInArrow(partial(_anchors, window=window, gram=gram), "anchor long, class long, doc_id long, sub int, start int, n short"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    here = staged(anchors.join(shared, "anchor"), "shared-anchors")
+    here = staged(_of_shared(anchors, "doc_id", "doc_id"), "shared-anchors")
     classes = here.groupBy("anchor", "class").agg(F.min(F.struct("doc_id", "sub", "start", "n")).alias("f"), F.max("doc_id").alias("last"))
-    # A table of its own, at most one row per MOST_CLASSES classes, so that the join with it can be dealt anew where an anchor is hot.
-    hot = staged(here.select("anchor", "class").distinct().groupBy("anchor").count().filter(F.col("count") > MOST_CLASSES).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    classes = classes.join(hot, "anchor", "left")
-    wanted = classes.groupBy("f.doc_id", "f.sub").agg(F.collect_list(F.struct("anchor", "class", "last", F.col("f.start").alias("start"), F.col("f.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    wanted = classes.groupBy("f.doc_id", "f.sub").agg(F.collect_list(F.struct("anchor", "class", "last", F.col("f.start").alias("start"), F.col("f.n").alias("n"))).alias("wanted"))
     packed = docs.mapInArrow(_pack, "doc_id long, sub int, packed binary")
     texts = packed.join(wanted, ["doc_id", "sub"]).select("doc_id", "packed", "wanted")
-    words = staged(texts.mapInArrow(partial(_class_words, window=window), "anchor long, class long, first long, last long, words binary, windows array<long>"), "classes")
-
-    split = words.filter("windows is not null").select("anchor", "class", "first", "last", "words", F.posexplode("windows").alias("place", "one"))
-    size = 8 * window
-    alone = split.withColumn("words", F.expr(f"substring(words, place * 8 + 1, {size})"))
-    # Equal windows have equal words; those of one document alone need no reference.
-    alone = alone.groupBy("one").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words")).filter("first < last")
-    references = words.filter("windows is null").select("anchor", "class", "first", "words").union(alone.select(F.col("one").alias("anchor"), F.col("one").alias("class"), "first", "words"))
-    runs = staged(references.repartition("anchor").sortWithinPartitions("anchor", "first").mapInArrow(partial(_match, window=window), "anchor long, class long, runs array<struct<at:int,n:int,first:long>>"), "runs")
-
-    of_split = split.select("anchor", "class", "place", "one").join(runs.select(F.col("anchor").alias("one"), F.col("class").alias("_c"), "runs").filter("one = _c"), "one")
-    of_split = of_split.select("anchor", "class", F.col("place").alias("at"), F.lit(1).alias("n"), F.col("runs")[0]["first"].alias("first"))
-    known = runs.select("anchor", "class", F.inline("runs")).union(of_split)
+    level = staged(texts.mapInArrow(partial(_class_words, window=window), "anchor long, class long, first long, last long, words binary"), "classes")
+
+    settled: list[DataFrame] = []
+    cuts: list[DataFrame] = []
+    while gram < window:
+        gram = min(gram + LONGER, window)
+        hot = staged(level.groupBy("anchor").count().filter(F.col("count") > MOST_CLASSES).select("anchor"), "hot-anchors")
+        if hot.isEmpty():
+            break
+        settled.append(level.join(hot, "anchor", "left_anti"))
+        cut = level.join(hot, "anchor", "left_semi").mapInArrow(partial(_cut_classes, window=window, gram=gram), "anchor long, class long, first long, last long, words binary, whole_anchor long, whole_class long, at int")
+        cuts.append(staged(cut, "cut-classes"))
+        parts = cuts[-1].groupBy("anchor", "class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words"))
+        level = staged(_of_shared(parts, "first", "last").select("anchor", "class", "first", "last", "words"), "classes")
+    references = reduce(DataFrame.union, settled, level).select("anchor", "class", "first", "words")
+    runs = references.repartition("anchor").sortWithinPartitions("anchor", "first").mapInArrow(partial(_match, window=window), "anchor long, class long, runs array<struct<at:int,n:int,first:long>>")
+    known = found = staged(runs.select("anchor", "class", F.inline("runs")), "runs")
+    for cut in reversed(cuts):
+        whole = cut.select("anchor", "class", "whole_anchor", "whole_class", F.col("at").alias("_at")).join(known, ["anchor", "class"])
+        known = found.union(whole.select("whole_anchor", "whole_class", F.col("_at") + F.col("at"), "n", "first"))
     spans = here.select("anchor", "class", "doc_id", "sub", "start").join(known, ["anchor", "class"]).filter("first < doc_id")
     return spans.groupBy("doc_id", "sub").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"), "n")).alias("spans"))
 
