@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, staged
+from .common import WordHashes, dealt_join, mix64, staged
 from .components import components
 
 REGISTERS, MANTISSA, BANDS, BAND_ROWS = 256, 10, 42, 6
@@ -28,8 +28,8 @@ CELL = 2.0**-MANTISSA * float(np.log(2))
 SMALL = 6
 #: Candidates whose estimate is lower than the threshold by this many standard errors are dropped.
 SLACK = 5.0
-#: Members of a bucket that one task compares; larger buckets are dealt out by pairs of blocks.
-BLOCK = 4096
+#: Members of a bucket, and bytes of their sets, that a task holds at once, about; larger buckets are dealt out in blocks.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _ORDER = np.array([np.random.default_rng(b).permutation(REGISTERS) for b in range(REGISTERS)])
@@ -121,13 +121,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
 
 
 def _settle(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Links that join components among the members of one bucket (or of two blocks of it).
+    """Links that join components: of a block of a bucket's strays (the rows that ask) with a block of its members.
 
-    All members of different components are estimated, a row at a time; those that may be linked are compared on their full
-    sets, the likeliest first, unless links found before have joined them. A pair that shares an earlier band is left to that.
+    Members of other components are estimated, a stray at a time; those that may be linked are compared on their full
+    sets, the likeliest first, unless links found before have joined them. A pair that shares an earlier band is left to that,
+    one of two strays to the smaller.
     """
-    nodes, labels, sizes, blocks = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
-    band, across = group.column("band")[0].as_py(), group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    asks = group.column("asks").to_numpy(zero_copy_only=False)
+    nodes, labels, sizes, strays = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "stray"))
+    band = group.column("band")[0].as_py()
     sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     banded = sketches[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)[:, :band]
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in group.column("shingles").chunks for x in c]
@@ -139,18 +141,14 @@ def _settle(group: pa.Table, num: int, den: int) -> pa.Table:
         return x
 
     pairs: list[tuple[float, int, int]] = []
-    for x in range(len(nodes) - 1):
-        other = labels[x + 1 :] != labels[x]
-        if across:
-            other &= blocks[x + 1 :] != blocks[x]
-        ys = np.flatnonzero(other) + x + 1
-        small, large = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
-        ys = ys[den * small >= num * large]
+    for x in np.flatnonzero(asks).tolist():
+        small, large = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        ys = np.flatnonzero(~asks & (labels != labels[x]) & (~strays | (nodes > nodes[x])) & (den * small >= num * large))
         if not len(ys):
             continue
         equal = (sketches[ys] == sketches[x]).sum(axis=1)
         guess = estimate(equal, np.full(len(ys), float(sizes[x])), sizes[ys].astype(float))
-        near = guess >= _least(np.minimum(sizes[ys], sizes[x]), num / den)
+        near = guess >= _least(small[ys], num / den)
         ys, guess = ys[near], guess[near]
         if band and len(ys):
             fresh = ~(banded[ys] == banded[x]).all(axis=2).any(axis=1)
@@ -195,9 +193,9 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = staged(known.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     width = 2 * BAND_ROWS
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)))
-    bands = classes.select("node", F.posexplode(keys).alias("band", "key"))
+    bands = classes.select("node", "n_shingles", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
-    members = staged(bands.join(buckets, "key").select("key", "band", "node", "members", "first"), "members")
+    members = staged(dealt_join(bands, buckets, "key", "node").select("key", "band", "node", "n_shingles", "members", "first"), "members")
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     small = members.filter(f"members > 2 and members <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all"))
     rest = small.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
@@ -208,7 +206,8 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     more = _unsettled(members.filter(f"members > {SMALL}"), found, sets, num, den)
     found = staged(components(links.union(more)), "components")
     per_class = classes.select("name", "node").join(found, "node", "left").select("name", F.coalesce("component", "node").alias("component"))
-    out = sketches.join(per_class, "name", "left")
+    unnamed = sketches.filter("name is null").withColumn("component", F.lit(None).cast("long"))  # linked with nothing: kept out of the join
+    out = sketches.filter("name is not null").join(per_class, "name", "left").unionByName(unnamed)
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -216,16 +215,23 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 def _unsettled(members: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between members of a bucket that are in different components so far.
 
-    Only rows of buckets with more than one component move, each once for a bucket of up to BLOCK members; of a larger bucket,
-    once for each pair of blocks. Pairs are compared where the rows meet, and only links leave the task.
+    Strays, the members that aren't of the bucket's largest component, are compared with all its members of other components, in blocks
+    of both: each member moves once for each block of strays, each stray once for each block of members. Buckets of one
+    component don't move. Pairs are compared where the rows meet, and only links leave the task.
     """
-    labelled = members.join(found, "node", "left").select("key", "band", "node", "members", F.coalesce("component", "node").alias("component"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    here = staged(labelled.join(open_, "key"), "unsettled")
-    blocks = F.ceil(F.col("members") * F.when(F.col("members") > BLOCK, 2).otherwise(1) / BLOCK)
-    here = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    here = here.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    rows = here.join(sets, "node").select("key", "i", "j", "band", "node", "component", "block", "n_shingles", "sketch", "shingles")
+    labelled = members.join(found, "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    each = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    order = F.struct("n", "component")
+    n, size, most, most_size = F.sum("n"), F.sum("size"), F.max("n"), F.max_by("size", order)
+    in_blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size * 8 / BLOCK_BYTES))
+    open_ = each.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", order).alias("largest"), in_blocks(n, size).alias("blocks"), in_blocks(n - most, size - most_size).alias("stray_blocks"))
+    open_ = staged(open_.filter("components > 1").drop("components"), "open-buckets")  # a table of its own, so that the join with it can be split
+    here = staged(labelled.join(open_, "key").withColumn("stray", F.col("component") != F.col("largest")), "unsettled")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    asking = here.filter("stray").select("*", block("stray_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"))
+    asked = here.select("*", every("stray_blocks").alias("i"), block("blocks").alias("j"), F.lit(False).alias("asks"))
+    rows = asking.unionByName(asked).drop("n_shingles").join(sets, "node").select("key", "i", "j", "asks", "stray", "band", "node", "component", "n_shingles", "sketch", "shingles")
 
     def settle(group: pa.Table) -> pa.Table:
         return _settle(group, num, den)
