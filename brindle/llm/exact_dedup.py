@@ -17,10 +17,12 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import count
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,18 +36,21 @@ BUDGET = 96 << 20
 
 @dataclass(slots=True)
 class Group:
+    """Records of equal content. tag: of the first of them; members: what the records carry along (few: what marks a row's place goes by at once)."""
+
     digest: bytes
     content: bytes
     best: int | None
     rows: int
-    payload: Any
-    members: list[int | None] = field(default_factory=list)
+    payload: Any = None
+    tag: Any = None
+    members: list[tuple] = field(default_factory=list)
 
-    def absorb(self, doc_id: int | None, rows: int, payload: Any) -> None:
-        self.rows += rows
-        self.members.append(doc_id)
-        if doc_id is not None and (self.best is None or doc_id > self.best):
-            self.best, self.payload = doc_id, payload
+    def absorb(self, other: Group) -> None:
+        self.rows += other.rows
+        self.members += other.members
+        if other.best is not None and (self.best is None or other.best > self.best):
+            self.best, self.payload = other.best, other.payload
 
 
 class OpenTable:
@@ -67,7 +72,7 @@ class OpenTable:
 
     def add(self, group: Group) -> None:
         self.groups.append(group)
-        self.size += len(group.content) + 200
+        self.size += len(group.content) + 200 + 100 * len(group.members)
         if 2 * len(self.groups) > len(self.slots):
             self.slots = array("q", [-1]) * (4 * len(self.slots))
             for j in range(len(self.groups)):
@@ -83,34 +88,47 @@ class OpenTable:
         self.slots[i] = j
 
 
-def grace_groups(records: Iterable[Group], budget: int = BUDGET, level: int = 0) -> Iterator[Group]:
-    """Groups of equal content among records (each a group of its own, of one member or more)."""
-    table, spills = OpenTable(), None
-    for record in records:
-        if spills is None:
-            if (held := table.at(record.digest, record.content)) is not None:
-                for doc_id in record.members:
-                    held.absorb(doc_id, 0, record.payload)
-                held.rows += record.rows
-            else:
-                table.add(record)
-                if table.size > budget and len(table.groups) > 1 and level < 8 * len(record.digest) // FANOUT_BITS:
-                    spills = [tempfile.TemporaryFile() for _ in range(1 << FANOUT_BITS)]  # noqa: SIM115
-                    for group in table.groups:
-                        _spill(spills, group, level)
-                    table = OpenTable()
-        else:
-            _spill(spills, record, level)
-    yield from table.groups
-    for file in spills or ():
-        file.seek(0)
-        yield from grace_groups(_unspill(file), budget, level + 1)
-        file.close()
+class GraceTable:
+    """Takes records; beyond its budget, what it holds and what comes goes to spill files by the digest's next bits."""
 
+    def __init__(self, budget: int = BUDGET, level: int = 0):
+        self.budget, self.level = budget, level
+        self.table, self.spills = OpenTable(), None
 
-def _spill(files: list, g: Group, level: int) -> None:
-    nibble = g.digest[level // 2] >> (4 if level % 2 == 0 else 0) & 15
-    pickle.dump((g.digest, g.content, g.best, g.rows, g.payload, g.members), files[nibble], protocol=5)
+    def push(self, record: Group) -> Group | None:
+        """The group that the record joined; None if it began one or was spilled."""
+        if self.spills is not None:
+            self._spill(record)
+            return None
+        held = self.table.at(record.digest, record.content)
+        if held is not None:
+            held.absorb(record)
+            self.table.size += 100 * len(record.members)
+        else:
+            self.table.add(record)
+        if self.table.size > self.budget and len(self.table.groups) > 1 and self.level < 8 * len(record.digest) // FANOUT_BITS:
+            self.spills = [tempfile.TemporaryFile() for _ in range(1 << FANOUT_BITS)]  # noqa: SIM115
+            for group in self.table.groups:
+                self._spill(group)
+            self.table = OpenTable()
+        return held
+
+    def _spill(self, g: Group) -> None:
+        nibble = g.digest[self.level // 2] >> (4 if self.level % 2 == 0 else 0) & 15
+        pickle.dump((g.digest, g.content, g.best, g.rows, g.payload, g.tag, g.members), self.spills[nibble], protocol=5)
+
+    def finish(self) -> Iterator[tuple[Group, Group | None]]:
+        """(group, record) for each spilled record that joins a group, (group, None) for each group once it is whole."""
+        for group in self.table.groups:
+            yield group, None
+        for file in self.spills or ():
+            file.seek(0)
+            part = GraceTable(self.budget, self.level + 1)
+            for record in _unspill(file):
+                if (held := part.push(record)) is not None:
+                    yield held, record
+            yield from part.finish()
+            file.close()
 
 
 def _unspill(file: Any) -> Iterator[Group]:
@@ -129,10 +147,10 @@ def _records(batches: Iterable[pa.RecordBatch], extra: list[str] | None) -> Iter
         for doc_id, text, row in zip(ids, batch.column("text"), others, strict=True):
             raw = text.as_py()
             content = (raw or "").encode("utf-8", "surrogatepass").lower()
-            yield Group(hashlib.sha256(content).digest(), content, doc_id, 1, None if extra is None else (raw, *row), [doc_id])
+            yield Group(hashlib.sha256(content).digest(), content, doc_id, 1, None if extra is None else (raw, *row))
 
 
-_MARK = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("rep_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("text", pa.binary())])
+_MARK = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("best", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("text", pa.binary())])
 
 
 def _bucket(digest: bytes) -> int:
@@ -140,38 +158,43 @@ def _bucket(digest: bytes) -> int:
 
 
 def _local_marks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """One row with the text per distinct text of the task, rows without text for its further copies."""
+    """One row with the text per distinct text of the task, and rows without text, as they are met, for its further copies."""
+    context = TaskContext.get()
+    tags = count((context.partitionId() if context else 0) << 40)
+
+    def copy(group: Group, record: Group) -> tuple:
+        return hash(record.tag), record.best, group.tag[0], None, 0, group.digest, None
 
     def rows() -> Iterator[tuple]:
-        for g in grace_groups(_records(batches, None), budget):
-            yield _bucket(g.digest), g.best, g.best, g.rows, g.digest, g.content
-            skipped = False
-            for doc_id in g.members:
-                if doc_id == g.best and not skipped:
-                    skipped = True
-                else:
-                    yield hash((doc_id, g.best)), doc_id, g.best, 0, g.digest, None
+        table = GraceTable(budget)
+        for record in _records(batches, None):
+            record.tag = next(tags), record.best
+            if (held := table.push(record)) is not None:
+                yield copy(held, record)
+        for group, record in table.finish():
+            if record is not None:
+                yield copy(group, record)
+            else:
+                tag, doc_id = group.tag
+                yield _bucket(group.digest), doc_id, tag, group.best, group.rows, group.digest, group.content
 
     yield from arrow_batches(rows(), _MARK)
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("rep_id", pa.int64()), ("digest", pa.binary()), ("found_id", pa.int64()), ("found_n", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.binary()), ("found_id", pa.int64()), ("found_n", pa.int64())])
 
 
 def _resolve_marks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    passing: list[pa.RecordBatch] = []
-
-    def records() -> Iterator[Group]:
-        for batch in batches:
-            copies = batch.filter(pc.equal(batch.column("n"), 0))
-            if copies.num_rows:
-                none = pa.nulls(copies.num_rows, pa.int64())
-                passing.append(pa.RecordBatch.from_arrays([copies.column("doc_id"), copies.column("rep_id"), copies.column("digest"), none, none], schema=_FOUND))
-            for _, doc_id, _, n, digest, text in zip(*(c.to_pylist() for c in batch.filter(pc.greater(batch.column("n"), 0)).columns), strict=True):
-                yield Group(digest, text or b"", doc_id, n, None, [doc_id])
-
-    yield from arrow_batches(((doc_id, doc_id, g.digest, g.best, g.rows) for g in grace_groups(records(), budget) for doc_id in g.members), _FOUND)
-    yield from passing
+    """Copies pass through; the texts of tasks, at most one of each for each task, meet their equals."""
+    table = GraceTable(budget)
+    for batch in batches:
+        copies = batch.filter(pc.equal(batch.column("n"), 0))
+        if copies.num_rows:
+            none = pa.nulls(copies.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([copies.column("doc_id"), copies.column("tag"), copies.column("digest"), none, none], schema=_FOUND)
+        for _, doc_id, tag, best, n, digest, text in zip(*(c.to_pylist() for c in batch.filter(pc.greater(batch.column("n"), 0)).columns), strict=True):
+            table.push(Group(digest, text or b"", best, n, None, tag, [(tag, doc_id)]))
+    yield from arrow_batches(((doc_id, tag, g.digest, g.best, g.rows) for g, record in table.finish() if record is None for tag, doc_id in g.members), _FOUND)
 
 
 def mark_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -182,10 +205,10 @@ def mark_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     has keep_id null and keeps them. Rows that repeat a doc_id and its text count in group_size and share its decision.
     Other columns are ignored. An empty table gives no rows.
     """
-    spark_schema = "bucket long, doc_id long, rep_id long, n long, digest binary, text binary"
+    spark_schema = "bucket long, doc_id long, tag long, best long, n long, digest binary, text binary"
     local = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_local_marks, budget=budget), spark_schema)
-    found = local.repartition("bucket").mapInArrow(partial(_resolve_marks, budget=budget), "doc_id long, rep_id long, digest binary, found_id long, found_n long")
-    same = W.partitionBy("rep_id", "digest")  # at most the rows that one task read
+    found = local.repartition("bucket").mapInArrow(partial(_resolve_marks, budget=budget), "doc_id long, tag long, digest binary, found_id long, found_n long")
+    same = W.partitionBy("tag")  # the copies of a text that one task read
     out = found.withColumn("keep_id", F.max("found_id").over(same)).withColumn("group_size", F.max("found_n").over(same))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -194,7 +217,12 @@ def _local_rows(batches: Iterator[pa.RecordBatch], budget: int, columns: list[st
     at = {c: i for i, c in enumerate(c for c in columns if c not in ("doc_id", "text"))}
 
     def rows() -> Iterator[tuple]:
-        for g in grace_groups(_records(batches, list(at)), budget):
+        table = GraceTable(budget)
+        for record in _records(batches, list(at)):
+            table.push(record)
+        for g, record in table.finish():
+            if record is not None:
+                continue
             raw, *others = g.payload
             yield (*(g.best if c == "doc_id" else raw if c == "text" else others[at[c]] for c in columns), _bucket(g.digest))
 

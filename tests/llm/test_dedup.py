@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from brindle.llm import exact_dedup, near_dedup, substring_dedup
 from brindle.llm.components import components
-from brindle.llm.exact_dedup import Group, grace_groups
+from brindle.llm.exact_dedup import GraceTable, Group
 from brindle.llm.suffix_automaton import NO_DOCUMENT, SuffixAutomaton
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -64,17 +64,31 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 5: 5, 7: 5, 9: 5, 1: 1, **{200 + i: 1 for i in range(50)}}
 
 
+def grace_groups(records, budget):
+    table, joined = GraceTable(budget), []
+    for r in records:
+        if (g := table.push(r)) is not None:
+            joined.append((g.tag, r.tag))
+    groups = []
+    for g, r in table.finish():
+        if r is None:
+            groups.append(g)
+        else:
+            joined.append((g.tag, r.tag))
+    return groups, joined
+
+
 def test_grace_table_spills_and_finds_all_groups():
     import hashlib
 
     rnd = random.Random(1)
     contents = [bytes([rnd.randrange(256)]) * 300 for _ in range(3000)]
-    records = (Group(hashlib.sha256(c).digest(), c, i, 1, None, [i]) for i, c in enumerate(contents))
-    groups = list(grace_groups(records, budget=20_000))
+    groups, joined = grace_groups((Group(hashlib.sha256(c).digest(), c, i, 1, None, i) for i, c in enumerate(contents)), 20_000)
     assert sorted(g.content for g in groups) == sorted(set(contents))
-    assert all(g.best == max(i for i, c in enumerate(contents) if c == g.content) and g.rows == contents.count(g.content) == len(g.members) for g in groups)
-    clash = [Group(b"d" * 32, bytes([c]), i, 1, None, [i]) for i, c in enumerate(b"abcabca")]  # equal digests, other contents
-    assert sorted((g.content, g.rows) for g in grace_groups(clash, budget=100)) == [(b"a", 3), (b"b", 2), (b"c", 2)]
+    assert all(g.best == max(i for i, c in enumerate(contents) if c == g.content) and g.rows == contents.count(g.content) and g.tag == contents.index(g.content) for g in groups)
+    assert sorted([t for _, t in joined] + [g.tag for g in groups]) == list(range(3000)) and all(contents[a] == contents[b] for a, b in joined)
+    clash = (Group(b"d" * 32, bytes([c]), i, 1, None, i) for i, c in enumerate(b"abcabca"))  # equal digests, other contents
+    assert sorted((g.content, g.rows) for g in grace_groups(clash, 100)[0]) == [(b"a", 3), (b"b", 2), (b"c", 2)]
 
 
 def test_exact_dedup_odd_rows(spark):
@@ -118,7 +132,7 @@ def passages(seed=0):
     return docs + [(500, docs[3][1]), (501, docs[3][1] + " more"), (502, None), (503, ""), (504, "r " * 400), (505, "r " * 300)]
 
 
-@pytest.mark.parametrize("most", [1000, 3])
+@pytest.mark.parametrize("most", [1000, 3, 1])
 def test_removed_passages_match_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MOST_CLASSES", most)
     for docs, window in ((passages(), 15), (passages(1), 50), (texts(spark), 50)):
@@ -143,8 +157,9 @@ def test_removal_odd_rows(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_large_buckets_are_settled_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    docs = family(150, 90, 9, 3)
-    got = near_dedup.near_components(spark.createDataFrame(docs, "doc_id long, text string"), 2)
-    assert sorted(map(tuple, got.collect())) == brute.near(docs, 2)
+@pytest.mark.parametrize("block", [8, 40])
+def test_large_buckets_are_settled_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    for docs in (family(150, 90, 9, 3), family(120, 60, 14, 4)):
+        got = near_dedup.near_components(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+        assert sorted(map(tuple, got.collect())) == brute.near(docs, 2)
