@@ -35,9 +35,9 @@ from .lexicon import Lexicon, compile_lexicon
 #: Entries of the lexicon, at most.
 LEXICON_WORDS = 32_768
 #: Distinct chunks that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 600_000
 #: Bytes of text whose chunks are told apart together.
-TOGETHER_BYTES = 16 << 20
+TOGETHER_BYTES = 8 << 20
 #: Marks that may end a word.
 _MARKS = "!#$%&*,.:;?"
 #: Letters of a piece from which a heap finds the next merge.
