@@ -29,7 +29,7 @@ SMALL = 6
 #: Candidates whose estimate is lower than the threshold by this many standard errors are dropped.
 SLACK = 5.0
 #: Members of a bucket, and bytes of their sets, that a task holds at once, about; larger buckets are dealt out in blocks.
-BLOCK, BLOCK_BYTES = 4096, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 _ORDER = np.array([np.random.default_rng(b).permutation(REGISTERS) for b in range(REGISTERS)])
