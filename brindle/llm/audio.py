@@ -7,6 +7,8 @@ integers give candidates; the most common offset of a pair of recordings aligns
 
 from __future__ import annotations
 
+import io
+import wave
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import arrow_batches, staged
 
 RATE, FRAME, HOP = 4000, 512, 256
 PITCHES, BITS, SPAN = 12, 16, 8
@@ -90,18 +92,62 @@ def sonify(vector: np.ndarray) -> np.ndarray:
     return (np.sin(2 * np.pi * hz[:, None] * t) * loud[:, None]).ravel().astype(np.float32)
 
 
+def wav(samples: np.ndarray) -> bytes:
+    """A WAV file of one channel of 16 bits at RATE; the loudest sample is full scale."""
+    held = io.BytesIO()
+    with wave.open(held, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(RATE)
+        f.writeframes((samples / max(1e-9, float(np.abs(samples).max(initial=0))) * 32767).astype("<i2").tobytes())
+    return held.getvalue()
+
+
+def samples_of(file: bytes | None) -> np.ndarray | None:
+    """Samples at RATE of a WAV file of 8, 16 or 32 bits: the mean of its channels, interpolated. None for what is no such file."""
+    try:
+        with wave.open(io.BytesIO(file or b""), "rb") as f:
+            kind, channels, rate = {1: "u1", 2: "<i2", 4: "<i4"}[f.getsampwidth()], f.getnchannels(), f.getframerate()
+            raw = f.readframes(f.getnframes())
+    except (wave.Error, EOFError, KeyError):
+        return None
+    width = np.dtype(kind).itemsize * channels
+    found = np.frombuffer(raw[: len(raw) // width * width], kind).reshape(-1, channels).mean(axis=1)
+    found = (found - 128) / 128 if kind == "u1" else found / float(np.iinfo(kind).max)
+    if rate != RATE and len(found):
+        found = np.interp(np.arange(int(len(found) * RATE / rate)) * (rate / RATE), np.arange(len(found)), found)
+    return found.astype(np.float32)
+
+
+_AUDIO = pa.schema([("rec_id", pa.int64()), ("audio", pa.binary())])
+
+
+def _sonified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for rec_id, vector in zip(batch.column("rec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                usable = [v for v in vector or () if v is not None and np.isfinite(v)]
+                yield rec_id, wav(sonify(np.array(usable))) if usable else None
+
+    yield from arrow_batches(rows(), _AUDIO)
+
+
+def sonified(vectors: DataFrame) -> DataFrame:
+    """rec_id, audio (WAV) of vectors (rec_id, vector): stands for a media column where tables hold none. A null or empty vector has null audio."""
+    return vectors.select("rec_id", "vector").mapInArrow(_sonified, "rec_id long, audio binary")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = []
-        for vector in batch.column("vector").to_pylist():
-            usable = [v for v in vector or () if v is not None and np.isfinite(v)]
-            prints.append(codes(chroma(sonify(np.array(usable)))).tolist() if usable else [])
+        found = (samples_of(x.as_py()) for x in batch.column("audio"))
+        prints = [codes(chroma(x)).tolist() if x is not None else [] for x in found]
         yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.array(prints, pa.list_(pa.int32()))], names=["rec_id", "codes"])
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """rec_id, codes of recordings (rec_id, vector); a null or empty vector has no codes."""
-    return recordings.select("rec_id", "vector").mapInArrow(_fingerprints, "rec_id long, codes array<int>")
+    """rec_id, codes of recordings (rec_id, audio: bytes of a WAV file). Null, empty, too short or unreadable audio has no codes. Rows that repeat
+    an id keep a row each; other columns are ignored; an empty table gives no rows. A recording is decoded in the memory of one task."""
+    return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "audio").mapInArrow(_fingerprints, "rec_id long, codes array<int>")
 
 
 def alignments(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
@@ -150,7 +196,7 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def match_report(recordings: DataFrame, step: int = QUERY_STEP) -> DataFrame:
-    """Per recording: rec_id, class (null without codes), n_codes, and aligned: how many other classes a query's class aligns with (null where the
+    """Per recording (rec_id, audio): rec_id, class (null without codes), n_codes, and aligned: how many other classes a query's class aligns with (null where the
     class holds no query), the best one's id, offset, and bit error rate. Recordings of one class align without errors."""
     prints = staged(fingerprints(recordings), "audio-prints")
     found = alignments(prints, step)

@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_automata": lambda spark, d: substring_dedup.removal_digests(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup.mark_copies(table(spark, d, "documents")),
     "op8_wavelet_tokens": lambda spark, d: token_store.round_trip(table(spark, d, "documents")),
-    "op9_chroma_fingerprints": lambda spark, d: audio.match_report(table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "embedding as vector")),
+    "op9_chroma_fingerprints": lambda spark, d: audio.match_report(audio.sonified(table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "embedding as vector"))),
     "op10_bpe_lexicon": lambda spark, d: bpe.encode_digests(table(spark, d, "documents")),
 }
 

