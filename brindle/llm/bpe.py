@@ -405,7 +405,8 @@ def _texts(batches: Iterator[pa.RecordBatch], file: Broadcast) -> Iterator[pa.Re
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """rows with a column decoded, the text of the array in column ids (null: empty)."""
+    """rows with a column decoded (in place of one of that name), the text of the array in column ids. A null or empty array gives an empty text;
+    null and unknown ids are left out; repeated rows stay; an empty table gives no rows."""
     from pyspark.sql.types import StringType, StructType
 
     rows = rows.drop("decoded")

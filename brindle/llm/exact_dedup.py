@@ -230,7 +230,11 @@ def _local_rows(batches: Iterator[pa.RecordBatch], budget: int, columns: list[st
 
 
 def drop_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs with one row of each group of mark_copies: that with the largest doc_id, all its columns."""
+    """docs with one row of each group of mark_copies: that with the largest doc_id, all its columns.
+
+    Null and empty texts are one group. Rows without doc_id rank lowest, a group of only such rows keeps one of them, as does a group whose
+    largest doc_id is repeated. Other columns are carried whatever their names; an empty table gives no rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 

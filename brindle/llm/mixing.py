@@ -13,6 +13,8 @@ POINTS, STEP = 1 << 31, 1_327_217_885
 #: A source's words are used at most this many times.
 MOST_PASSES = 3
 CELL_BITS = 21
+#: Hexadecimal digits of a document's shuffle key that tell its run: a source has 16 to that power of runs, each summed in a task.
+RUN_DIGITS = 5
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -55,15 +57,9 @@ def schedule(targets: DataFrame, total: int, block_words: int) -> DataFrame:
     return running_start(placed.withColumn("run", F.shiftright("slot", 12)), "sid", "run", ["slot"], F.lit(1), "block").select("slot", "sid", "block")
 
 
-def mix_pieces(docs: DataFrame, block_words: int | None = None) -> DataFrame:
-    """The mix: per document and slot that takes words of it: the document's row, slot, first_word (of the document),
-    n_words; a row with slot null and n_words 0 for a document that is not taken.
-
-    Within its source, documents are shuffled by md5 of the id and laid end to end, MOST_PASSES times; block b is the
-    words [b * block_words, (b + 1) * block_words) of that. block_words: by default 1 / 65536 of all words, at most 2048.
-    Null or empty texts have size 0 and are never taken; repeated rows count as separate documents; null sources
-    form one source; other columns are ignored; an empty table gives no rows.
-    """
+def mix_passes(docs: DataFrame, block_words: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """What the mix takes of each document: the document's row (row, doc_id, source, size, source_size, target), pass, begin and end in its source's
+    row of words (one with pass null for a document that is not taken); the slots of the mix; words of a block."""
     sizes = staged(sized(docs), "mix-sizes")
     targets = staged(source_targets(sizes), "mix-targets")
     first = targets.select("total").first()
@@ -77,11 +73,23 @@ def mix_pieces(docs: DataFrame, block_words: int | None = None) -> DataFrame:
     )
     rows = sizes.withColumn("row", F.monotonically_increasing_id()).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shuffle", F.md5(F.col("doc_id").cast("string").cast("binary"))).fillna("", ["shuffle"])
-    rows = rows.withColumn("run", F.substring("shuffle", 1, 3))
+    rows = rows.withColumn("run", F.substring("shuffle", 1, RUN_DIGITS))
     rows = running_start(rows, "sid", "run", ["shuffle", "doc_id", "size", "row"], F.col("size"), "start")
     passes = F.when((F.col("size") > 0) & (F.col("start") < F.col("taken_words")), F.sequence(F.lit(0).cast("long"), F.least(F.lit(MOST_PASSES - 1).cast("long"), F.expr("(taken_words - start - 1) div greatest(source_size, 1)"))))
     rows = rows.withColumn("pass", F.explode_outer(passes)).withColumn("begin", F.col("pass") * F.col("source_size") + F.col("start"))
-    rows = rows.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("taken_words")))
+    return rows.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("taken_words"))), slots, size_of_block
+
+
+def mix_pieces(docs: DataFrame, block_words: int | None = None) -> DataFrame:
+    """The mix: per document and slot that takes words of it: the document's row, slot, first_word (of the document),
+    n_words; a row with slot null and n_words 0 for a document that is not taken.
+
+    Within its source, documents are shuffled by md5 of the id and laid end to end, MOST_PASSES times; block b is the
+    words [b * block_words, (b + 1) * block_words) of that. block_words: by default 1 / 65536 of all words, at most 2048.
+    Null or empty texts have size 0 and are never taken; repeated rows count as separate documents; null sources
+    form one source; other columns are ignored; an empty table gives no rows.
+    """
+    rows, slots, size_of_block = mix_passes(docs, block_words)
     block = F.sequence(F.expr(f"begin div {size_of_block}"), F.expr(f"(end - 1) div {size_of_block}"))
     rows = rows.withColumn("block", F.explode_outer(F.when(F.col("pass").isNotNull(), block)))
     from_, to = F.greatest("begin", F.col("block") * size_of_block), F.least("end", (F.col("block") + 1) * size_of_block)
@@ -96,9 +104,22 @@ def mix_taken(docs: DataFrame, block_words: int | None = None) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents in the mix, each as often as the words that were taken of it fill it, rounded; same columns as docs."""
-    times = mix_taken(docs).groupBy("doc_id").agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(docs["*"], F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
+    """What the mix takes, as documents with the columns of docs: one for each pass that takes a document. A pass takes it whole, but where the
+    source's share ends within it: then the text is its first words, joined by a space.
+
+    A null or empty text is never taken. Rows that repeat a doc_id are documents of their own; those without doc_id are mixed like others; null
+    sources form one source; an empty table gives no rows.
+    """
+    taken = mix_passes(docs)[0].filter("pass is not null").select("doc_id", "size", "source", "row", (F.col("end") - F.col("begin")).alias("_words"))
+    same = ["doc_id", "size", "source"]  # rows alike in these stand for each other
+    taken = taken.select(*(F.col(c).alias(f"_{c}") for c in same), "_words", F.dense_rank().over(W.partitionBy(*same).orderBy("row")).alias("_k"))
+    rows = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)))
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("doc_id", "_n", "source").orderBy("text")))
+    c = F.col
+    met = rows.join(taken, c("doc_id").eqNullSafe(c("_doc_id")) & (c("_n") == c("_size")) & c("source").eqNullSafe(c("_source")) & (c("_i") == c("_k")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), c("_words").cast("int")), " ")
+    text = F.when(c("_words") < c("_n"), cut).otherwise(c("text"))
+    return met.select(*(text.alias("text") if name == "text" else c(name) for name in docs.columns))
 
 
 ORACLE = r"""

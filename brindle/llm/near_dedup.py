@@ -240,7 +240,11 @@ def _unsettled(members: DataFrame, found: DataFrame, sets: DataFrame, num: int,
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the documents that near_components doesn't keep; same columns."""
+    """docs without the documents that near_components doesn't keep; same columns, whatever their names.
+
+    Texts without words are linked with nothing and stay. Rows without doc_id stay. Rows that repeat a doc_id are one document and stay or go
+    together. An empty table gives no rows.
+    """
     keep = near_components(docs, k, num, den).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.filter("doc_id is null"))
 

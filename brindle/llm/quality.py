@@ -218,6 +218,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that score predicts 0 for; same columns."""
+    """docs without those that score predicts 0 for; same columns, whatever their names.
+
+    A null or empty text is judged as a zero vector, a null id like any other; repeated rows are kept or go together; without labelled
+    documents all stay; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     return docs.mapInArrow(partial(_score, model=sent, keep=docs.columns), docs.schema)
