@@ -12,27 +12,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality network doesn't reject."""
+    """The documents that the quality network doesn't reject. Null and empty texts are scored too; repeated rows go or stay together."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
+    """Of equal texts, the document with the largest doc_id. Null and empty texts are equal; one of several rows without doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest doc_id. Texts without words and rows
+    without doc_id stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
+    """The documents of the mix, one for each pass that takes them; the one at the end of a source's share is cut there. Texts without words go."""
     return mixing.mix_documents(docs)
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Token ids of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256. A null or empty text has none."""
     return bpe.encode_digests(docs)
 
 
