@@ -365,7 +365,8 @@ def _(p: DataFrame) -> DataFrame:
     return hrefs.join(p.select(F.regexp_extract("url", r"^[^#?]+", 0).alias("href")), "href", "left_anti")
 
 
-@query("link_harvest", "v_link")
+@query("link_harvest", "v_link", sql=r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]+)"', 1) AS hs FROM v_link), x AS (SELECT page_id, regexp_replace(unnest(hs), '[?#].*$', '') AS href, generate_subscripts(hs, 1) AS i FROM h),
+d AS (SELECT page_id, href, min(i) AS i FROM x GROUP BY page_id, href) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, href FROM d QUALIFY href <> ''""")
 def _(p: DataFrame) -> DataFrame:
     """Links of a page without query and fragment, in order, each once."""
     found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r'(?i)href="([^"]+)"'), F.lit(1)), lambda x: F.regexp_replace(x, r"[?#].*$", "")))
@@ -401,11 +402,12 @@ def _(t: DataFrame, k: DataFrame) -> DataFrame:
     return t.filter("pool = 'active'").select("id").join(A.verification(t, k), "id").filter("status <> 'confirmed'")
 
 
-@query("report_merge", L, "v_claim", sql=f"WITH {_STATUS}, fresh AS (SELECT id, status FROM st WHERE regexp_extract(id, '\\d+')::INT % 3 = 0) SELECT id, status FROM fresh UNION ALL SELECT id, 'carried' FROM v_listing WHERE pool = 'active' AND id NOT IN (SELECT id FROM fresh)")
+@query("report_merge", L, "v_claim", sql=f"WITH {_STATUS}, fresh AS (SELECT id, status FROM st WHERE regexp_extract(id, '\\d+')::INT % 3 = 0) SELECT id, status, true AS checked FROM fresh UNION ALL SELECT id, CASE WHEN location IS NULL THEN 'no_source' ELSE 'confirmed' END, false FROM v_listing WHERE pool = 'active' AND ord % 2 = 0 AND id NOT IN (SELECT id FROM fresh)")
 def _(t: DataFrame, k: DataFrame) -> DataFrame:
-    """Checked rows replace theirs; rows not checked stay while they are active."""
+    """Checked rows replace theirs; rows not checked stay as they were while their listing is live. (Here the report before held even rows.)"""
+    before = t.filter("ord % 2 = 0").select("id", F.when(c("location").isNull(), "no_source").otherwise("confirmed").alias("status"))
     fresh = A.verification(t, k).filter(F.regexp_extract("id", r"\d+", 0).cast("int") % 3 == 0)
-    return fresh.union(t.filter("pool = 'active'").join(fresh, "id", "left_anti").select("id", F.lit("carried")))
+    return A.merge_report(before, fresh, t.filter("pool = 'active'"))
 
 
 @query("stale_rows", L, sql=f"SELECT id FROM v_listing WHERE pool = 'active' AND (ord % 4 = 0 OR start_local - INTERVAL 1 DAY * (ord % 30) < {_NOW} - INTERVAL 14 DAY)")

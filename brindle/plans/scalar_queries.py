@@ -270,22 +270,25 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.truncate_words(c("text"), 300).alias("preview"))
 
 
-@query("excerpt", "v_text")
+@query("excerpt", "v_text", sql="SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'with') - 60), 120) AS excerpt FROM v_text")
 def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.excerpt_around(c("text"), "with").alias("excerpt"))
 
 
-@query("display_text", "v_text")
+@query("display_text", "v_text", sql=r"""WITH k AS (SELECT doc_id, text, array_to_string([x for x in string_split(text, chr(10)) if NOT (regexp_matches(x, '\p{L}') AND
+    length(regexp_replace(x, '[^\p{Lu}]', '', 'g')) > 0.65 * length(regexp_replace(x, '[^\p{L}]', '', 'g')))], chr(10)) AS kept FROM v_text) SELECT doc_id, CASE WHEN trim(kept) = '' THEN text ELSE kept END AS shown FROM k""")
 def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.display_text(c("text")).alias("shown"))
 
 
-@query("snippet", "v_text")
+@query("snippet", "v_text", sql=r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\s+', ' ', 'g')) AS p FROM v_text),
+s AS (SELECT *, regexp_extract(p, '^(.{20,150}?[.!?])(\s|$)', 1) AS first, regexp_extract(p[1:150], '(?s)^(.*)\s', 1) AS cut FROM p)
+SELECT doc_id, CASE WHEN length(p) <= 150 THEN p WHEN first <> '' THEN first ELSE regexp_replace(CASE WHEN cut = '' THEN p[1:150] ELSE cut END, '[\s,;:.\-]+$', '') || '…' END AS snippet FROM s""")
 def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.snippet(c("text")).alias("snippet"))
 
 
-@query("clock_lines", L)
+@query("clock_lines", L, sql="SELECT id, 'doors ' || strftime(start_local, '%-I:%M %p') AS lines FROM v_listing")
 def _(t: DataFrame) -> DataFrame:
     text = F.concat(c("name"), F.lit("\ndoors "), F.date_format("start_local", "h:mm a"), F.lit("\nfree\ndoors "), F.date_format("start_local", "h:mm a"))
     return t.select("id", F.array_join(X.clock_lines(text), "|").alias("lines"))
@@ -296,7 +299,8 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("page_id", X.page_text(c("html")).alias("body"))
 
 
-@query("cancel_mentions", "v_text")
+@query("cancel_mentions", "v_text", sql=f"""WITH t AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN 'If it rains this will be ' ELSE 'Note: ' END || CASE WHEN doc_id % 2 = 0 THEN 'cancelled. ' ELSE 'on. ' END || text)[1:5000] AS t FROM v_text)
+SELECT doc_id, len([b for b in regexp_extract_all(t, {D.q('(?is)(.{0,80})' + X.CANCELLED)}, 1) if NOT regexp_matches(b, {D.q('(?i)' + X.CONDITIONAL)})]) > 0 AS cancelled FROM t""")
 def _(t: DataFrame) -> DataFrame:
     text = F.concat(F.when(c("doc_id") % 3 == 0, "If it rains this will be ").otherwise("Note: "), F.when(c("doc_id") % 2 == 0, "cancelled. ").otherwise("on. "), c("text"))
     return t.select("doc_id", X.cancellation_mention(text).alias("cancelled"))

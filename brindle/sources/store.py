@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,11 @@ from pyspark.sql.types import StructType
 def read_pool(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A pool's JSON. A missing file is an empty pool; one that can't be parsed is an error, never an empty pool."""
     try:
-        files = spark.read.format("binaryFile").load(path).select("length").limit(1).collect()
+        files = spark.read.format("binaryFile").load(path).agg(F.count("*").alias("n"), F.min("length").alias("least")).first()
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    if not files or not files[0]["length"]:  # files without bytes have no rows here
-        raise ValueError(f"{path} is empty")
+    if not files["n"] or not files["least"]:  # a file without bytes may have no row here
+        raise ValueError(f"{path} is empty, or holds an empty file")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -34,22 +35,26 @@ def write_snapshot(df: DataFrame, path: str, version: str | None = None) -> str:
     version = version or f"v{int(time.time() * 1000)}"
     df.write.parquet(f"{path}/{version}")
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_current.next")
-    _rename(spark, f"{path}/_current.next", f"{path}/_current")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pointer = hadoop.Path(f"{path}/.current-{uuid.uuid4().hex}")
+    out = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(pointer)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _rename(spark, pointer.toString(), f"{path}/CURRENT")
     return version
 
 
 def _rename(spark: SparkSession, old: str, new: str) -> None:
-    jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
-    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"can't move {old} to {new}")
+    """Moves a file over another in one step, so that there is always one of them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(old), hadoop.Path(new)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, over)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
 
 
 def append_log(df: DataFrame, path: str) -> None:
