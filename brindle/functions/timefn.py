@@ -120,3 +120,63 @@ def occurrence_instants(*times: Column) -> Column:
 def display_start(occurrences: Column, as_of: Column) -> Column:
     """The first occurrence from midnight of as_of on, else the first of all."""
     return F.coalesce(F.array_min(F.filter(occurrences, lambda t: t >= F.date_trunc("day", as_of).cast("timestamp_ntz"))), F.array_min(occurrences))
+
+
+#: The zone of times that name none.
+ZONE = "America/New_York"
+_OFFSET = r"(?i)(Z|[+-]\d{2}(?::?\d{2})?)$"
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc_clock(instant: Column) -> Column:
+    """The UTC wall clock (TIMESTAMP_NTZ) of an instant (TIMESTAMP), whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch()).cast("timestamp_ntz")
+
+
+def _at_utc(clock: Column) -> Column:
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), clock))
+
+
+def instant_of(local: Column, zone: str = ZONE) -> Column:
+    """The instant of a wall clock. One that occurs twice when clocks go back is the first; one that is skipped moves on by the hour that is lost."""
+    return _at_utc(F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
+
+
+def local_of(instant: Column, zone: str = ZONE) -> Column:
+    """The wall clock (TIMESTAMP_NTZ) of an instant."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_clock(instant))
+
+
+def parse_instant(text: Column, zone: str = ZONE) -> Column:
+    """The instant of an ISO text: with Z or an offset as it says, without on the zone's wall clock. Null for anything else."""
+    mark = F.regexp_extract(text, _OFFSET, 1)
+    has_time = text.rlike(r"\d[T ]\d{1,2}:")
+    naive = F.regexp_replace(text, F.lit(_OFFSET), F.lit(""))
+    zoned = has_time & (mark != "")
+    clock = F.when(zoned, naive).otherwise(text).try_cast("timestamp_ntz")
+    digits = F.rpad(F.regexp_replace(mark, "[^0-9]", ""), 4, "0")
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    shift = F.when(F.upper(mark) == "Z", 0).when(mark.startswith("-"), minutes).otherwise(-minutes)
+    return F.when(zoned, _at_utc(F.timestamp_add("MINUTE", shift, clock).cast("timestamp_ntz"))).otherwise(instant_of(clock, zone))
+
+
+def iso_local(instant: Column, zone: str = ZONE) -> Column:
+    """`2026-07-01T20:00:00-04:00`: the wall clock with its offset."""
+    local = local_of(instant, zone)
+    offset = F.timestamp_diff("MINUTE", utc_clock(instant), local)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    sign = F.when(offset < 0, "-").otherwise("+")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, two(F.floor(F.abs(offset) / 60)), F.lit(":"), two(F.abs(offset) % 60))
+
+
+def local_day(instant: Column, zone: str = ZONE) -> Column:
+    return F.to_date(local_of(instant, zone))
+
+
+def day_bounds(day: Column, zone: str = ZONE) -> Column:
+    """struct(first, end): the instants at which a local day begins and the next one does; 23 to 25 hours apart."""
+    midnight = lambda d: instant_of(d.cast("timestamp_ntz"), zone)
+    return F.struct(midnight(day).alias("first"), midnight(F.date_add(day, 1)).alias("end"))

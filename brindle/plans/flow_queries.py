@@ -3,13 +3,15 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions import text as X
-
+from ..functions import timefn as T
 from ..functions.names import normalize_name
 from ..operators import audit as A
 from ..operators import lifecycle as LC
@@ -418,17 +420,79 @@ def _(t: DataFrame) -> DataFrame:
     return t.filter("pool = 'active'").select("id").join(fresh, "id", "left_anti")
 
 
-@query("readiness", L, "v_claim", sql=f"""WITH {_STATUS}, x AS (SELECT 'coordinates' AS check_name, count(*) AS n FROM v_listing WHERE pool = 'active' AND lat IS NULL UNION ALL SELECT 'start_hours', count(*) FROM v_listing WHERE pool = 'active' AND hour(start_local) BETWEEN 1 AND 8
-  UNION ALL SELECT 'verification', count(*) FROM st WHERE pool = 'active' AND status LIKE '%mismatch' UNION ALL SELECT 'pending_review', count(*) FROM v_listing WHERE pool = 'pending' UNION ALL SELECT 'no_place', count(*) FROM v_listing WHERE pool = 'none')
-SELECT check_name, CASE WHEN n = 0 THEN 'ok' WHEN check_name = 'start_hours' THEN 'warning' ELSE 'blocker' END AS status, n FROM x""")
-def _(t: DataFrame, k: DataFrame) -> DataFrame:
-    return Q.readiness(t, A.verification(t, k))
-
-
-@query("publish_gate", L, "v_claim", sql=f"WITH {_STATUS} SELECT (SELECT count(*) FROM v_listing WHERE pool = 'pending') = 0 AND (SELECT count(*) FROM st WHERE pool = 'active' AND status LIKE '%mismatch') = 0 AS open, (SELECT count(*) FROM v_listing WHERE pool = 'pending') AS questions")
-def _(t: DataFrame, k: DataFrame) -> DataFrame:
-    r = Q.readiness(t, A.verification(t, k))
-    return r.agg((F.count_if((c("status") == "blocker") & c("check_name").isin("pending_review", "verification")) == 0).alias("open"), F.max(F.when(c("check_name") == "pending_review", c("n"))).alias("questions"))
+_CANCEL = f"len([b for b in regexp_extract_all(html[1:5000], {D.q('(?is)(.{0,80})' + X.CANCELLED)}, 1) if NOT regexp_matches(b, {D.q('(?i)' + X.CONDITIONAL)})]) > 0"
+_SPLIT = "[w for w in list_distinct(string_split_regex({x}, '\\s+')) if w NOT IN ('', 'the', 'at', 'in')]"
+_PAGES = f"""pf AS (SELECT page_id, error, status AS http, {_CANCEL} AS cancel_word FROM v_link WHERE page_id < 40),
+kf AS (SELECT * FROM v_claim QUALIFY row_number() OVER (PARTITION BY listing_ord ORDER BY claim_no, claim_id, claim_place NULLS FIRST, claim_local) = 1),
+ff AS (SELECT l.*, error, http, cancel_word, listing_ord IS NOT NULL AS structured, CASE claim_id % 9 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'scheduled' END AS declared, CASE WHEN ord % 6 = 0 AND abs(date_diff('second', claim_local, start_local)) <= 900 THEN NULL ELSE claim_local END AS sstart,
+  lower(coalesce(claim_place, '')) AS theirs, lower(coalesce(location, '')) AS mine, CASE WHEN ord % 8 = 0 THEN '' WHEN ord % 8 = 1 THEN 'https://www.facebook.com/events/' || ord::VARCHAR WHEN ord % 8 = 2 THEN 'https://instagram.com/p/' || ord::VARCHAR ELSE url END AS link,
+  s.trusted FROM v_listing l LEFT JOIN pf ON page_id = ord % 40 LEFT JOIN kf ON listing_ord = ord LEFT JOIN v_source s ON s.source = l.source),
+fw AS (SELECT *, {_SPLIT.format(x='mine')} AS mw, {_SPLIT.format(x='theirs')} AS tw FROM ff),
+vp AS (SELECT id, pool, CASE WHEN ord % 11 = 0 THEN 'confirmed' WHEN link = '' THEN CASE WHEN trusted AND ord % 3 = 0 THEN 'calendar_only' ELSE 'no_source' END WHEN ord % 8 = 1 THEN 'needs_browser' WHEN ord % 8 = 2 THEN 'unverifiable' WHEN error IS NOT NULL THEN 'unreachable' WHEN http >= 400 THEN 'page_gone'
+  WHEN declared = 'cancelled' THEN 'cancelled' WHEN declared IS NULL AND cancel_word THEN 'needs_review' WHEN NOT structured THEN 'reachable_only' WHEN sstart IS NOT NULL AND NOT recurring AND sstart::DATE <> start_local::DATE THEN 'date_mismatch'
+  WHEN mine <> '' AND theirs <> '' AND NOT contains(mine, theirs) AND NOT contains(theirs, mine) AND len(mw) > 0 AND len(tw) > 0 AND len(list_intersect(mw, tw)) < greatest(1.0, 0.3 * least(len(mw), len(tw))) THEN 'location_mismatch'
+  WHEN (sstart IS NOT NULL AND NOT recurring) OR theirs <> '' OR declared = 'scheduled' THEN 'confirmed' ELSE 'reachable_only' END AS status FROM fw)"""
+
+
+def _verified(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
+    """Statuses of all listings. (Here a listing's page is the one of its number modulo 40, its linked data its first claim; every eighth has no link, the
+    next two social ones; every eleventh was seen in a browser.)"""
+    first = k.groupBy(c("listing_ord").alias("ord")).agg(F.min(F.struct("claim_no", "claim_id", "claim_place", "claim_local")).alias("k"))
+    pages = p.filter("page_id < 40").select(c("page_id").alias("page"), "error", c("status").alias("http"), X.cancellation_mention(c("html")).alias("cancel_word"))
+    link = F.when(c("ord") % 8 == 0, "").when(c("ord") % 8 == 1, F.concat(F.lit("https://www.facebook.com/events/"), c("ord").cast("string"))).when(c("ord") % 8 == 2, F.concat(F.lit("https://instagram.com/p/"), c("ord").cast("string"))).otherwise(c("url"))
+    rows = t.withColumn("url", link).join(first, "ord", "left").join(pages, c("ord") % 40 == c("page"), "left").join(s.select("source", "trusted"), "source", "left")
+    declared = F.when(c("k.claim_id") % 9 == 0, "cancelled").when(c("k.claim_id") % 9 == 1, "scheduled")
+    facts = rows.select(
+        "id", "error", "http", "cancel_word", c("k").isNotNull().alias("structured"), declared.alias("declared"), c("k.claim_local").alias("source_start"), c("k.claim_place").alias("source_place"), F.when(c("ord") % 6 == 0, c("start_local")).alias("fetched_at"),
+        F.when(c("ord") % 11 == 0, "confirmed").alias("attested"), now().alias("attested_until"), "trusted", F.when(c("ord") % 3 == 0, now() - F.expr("INTERVAL '3' DAY")).alias("searched_at"),
+    )
+    return A.verify(rows, facts, now())
+
+
+@query("verify_page", L, "v_claim", "v_link", "v_source", sql=f"WITH {_PAGES} SELECT id, status FROM vp")
+def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
+    return _verified(t, k, p, s)
+
+
+_READY = f"""{_PAGES}, {D.PREPARED}, {D.PAIRS}, {D.GRADED}, act AS (SELECT * FROM v_listing WHERE pool = 'active'),
+n AS (SELECT 'scraper_health' AS check_name, (SELECT count(*) FROM (SELECT s.source FROM v_source s LEFT JOIN v_listing l ON l.source = s.source GROUP BY s.source HAVING coalesce(max(start_local) < {_NOW} - INTERVAL 48 HOUR, true))) AS hard, 0 AS soft
+  UNION ALL SELECT 'facebook_evidence', (SELECT count(*) FROM act WHERE start_local > {_NOW} + INTERVAL 5 MINUTE OR start_local < {_NOW} - INTERVAL 14 DAY), 0 UNION ALL SELECT 'pending_review', (SELECT count(*) FROM v_listing WHERE pool = 'pending'), 0
+  UNION ALL SELECT 'rejected_audit', (SELECT count(*) FROM v_listing WHERE {_FAR} AND pool = 'pending'), 0 UNION ALL SELECT 'facebook_signals', (SELECT count(*) FROM act a WHERE a.ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)), 0
+  UNION ALL SELECT 'coordinates', (SELECT count(*) FROM act WHERE lat IS NULL OR lng IS NULL), 0 UNION ALL SELECT 'verification', (SELECT count(*) FROM vp WHERE pool = 'active' AND status NOT IN ('confirmed', 'calendar_only', 'reachable_only')), (SELECT count(*) FROM vp WHERE pool = 'active' AND status = 'reachable_only')
+  UNION ALL SELECT 'active_duplicates', (SELECT count(*) FROM graded WHERE grade IS NOT NULL AND a IN (SELECT id FROM act) AND b IN (SELECT id FROM act)), 0 UNION ALL SELECT 'venue_conflicts', (SELECT count(DISTINCT a.id) FROM act a JOIN v_venue v ON v.location = a.location AND v.dow = dayofweek(a.start_local)), 0
+  UNION ALL SELECT 'publish_coordinates', (SELECT count(*) FROM act a LEFT JOIN v_source s USING (source) WHERE (lat IS NULL OR lng IS NULL) AND NOT coalesce(unreliable, false)), 0 UNION ALL SELECT 'start_hours', (SELECT count(*) FROM act WHERE hour(start_local) BETWEEN 1 AND 8), 0
+  UNION ALL SELECT 'publish_tripwire', (SELECT count(*) FROM (SELECT (SELECT count(*) FROM act) AS a, (SELECT count(*) FROM v_listing) AS b) WHERE b >= 20 AND a < b * 0.7), 0 UNION ALL SELECT 'generated_artifacts', (SELECT count(*) FROM act WHERE ord % 10 = 1), 0),
+rd AS (SELECT check_name, CASE WHEN hard > 0 THEN CASE WHEN check_name IN ('rejected_audit', 'facebook_signals', 'generated_artifacts') THEN 'warning' ELSE 'blocker' END WHEN soft > 0 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN hard > 0 THEN hard ELSE soft END AS n FROM n)"""
+
+
+def _ready(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    """Findings of every check. (Here captures are as old as the row's start, signals are the even rows, the published file lacks rows whose number ends in 1.)"""
+    live = t.filter("pool = 'active'")
+    status = _verified(t, k, p, s).join(live.select("id"), "id", "left_semi")
+    good = ["confirmed", "calendar_only", "reachable_only"]
+    seen = t.groupBy("source").agg(F.max("start_local").alias("last_run"))
+    stale = s.join(seen, "source", "left").filter(F.coalesce(c("last_run") < now() - F.expr("INTERVAL '48' HOUR"), F.lit(True)))
+    day = F.to_date("start_local")
+    unmatched = live.filter("ord % 2 = 0").select("source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
+    conflicts = live.join(v.select("location", c("dow").cast("int").alias("dow")), ["location"]).filter(F.dayofweek("start_local") - 1 == c("dow")).select("id").distinct()
+    evidence = live.filter((c("start_local") > now() + F.expr("INTERVAL '5' MINUTE")) | (c("start_local") < now() - F.expr("INTERVAL '14' DAY")))
+    bare = live.filter("lat is null or lng is null")
+    checks = {
+        "scraper_health": stale, "facebook_evidence": evidence, "pending_review": t.filter("pool = 'pending'"), "rejected_audit": t.filter("pool = 'pending'").filter(P.is_out_of_area(c("lat"), c("lng"), c("location"))), "facebook_signals": unmatched,
+        "coordinates": bare, "verification": status.filter(~c("status").isin(good)), "reachable_only": status.filter("status = 'reachable_only'"), "active_duplicates": M.grade_pairs(live), "venue_conflicts": conflicts,
+        "publish_coordinates": bare.join(s.filter("unreliable").select("source"), "source", "left_anti"), "start_hours": live.filter(T.implausible_start_hour(c("start_local"))), "publish_tripwire": PB.tripwire(live, t).filter("refuse"), "generated_artifacts": live.filter("ord % 10 = 1"),
+    }
+    return Q.readiness(reduce(DataFrame.union, (Q.findings(rows, name) for name, rows in checks.items())))
+
+
+@query("readiness", L, "v_claim", "v_link", "v_source", "v_venue", sql=f"WITH {_READY} SELECT * FROM rd")
+def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    return _ready(t, k, p, s, v)
+
+
+@query("publish_gate", L, "v_claim", "v_link", "v_source", "v_venue", sql=f"WITH {_READY}, {_VERDICT.replace('v AS (', 'lk AS (', 1)}, o AS (SELECT (SELECT count(*) FROM rd WHERE status = 'blocker') AS blockers, (SELECT count(*) FROM v_listing WHERE pool = 'pending') AS questions, (SELECT count(*) FROM lk WHERE verdict = 'broken') AS broken) SELECT blockers = 0 AND questions = 0 AND broken = 0 AS open, * FROM o")
+def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    return Q.publish_gate(_ready(t, k, p, s, v), t.filter("pool = 'pending'"), A.link_health(p))
 
 
 @query("worklist_kinds", L, "v_claim", sql=f"""WITH {_STATUS}, q AS (SELECT id, CASE status WHEN 'date_mismatch' THEN 'date' ELSE 'location' END AS kind FROM st WHERE pool = 'active' AND status LIKE '%mismatch' UNION ALL SELECT id, 'new' FROM v_listing WHERE pool = 'pending'

@@ -168,6 +168,29 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", day.cast("string").alias("day"), F.datediff(day, F.lit("1970-01-01").cast("date")).alias("epoch_day"), T.weekday(c("start_local")).alias("dow"), T.minutes_of_day(c("start_local")).alias("clock"))
 
 
+_NY = "'America/New_York'"
+_UTC = f"(({{x}} AT TIME ZONE {_NY}) AT TIME ZONE 'UTC')"
+
+
+def _first_utc(x: str) -> str:
+    """UTC clock of a New York wall clock, of two the first."""
+    u = _UTC.format(x=x)
+    return f"CASE WHEN (({u} - INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE {_NY} = {x} THEN {u} - INTERVAL 1 HOUR ELSE {u} END"
+
+
+@query("local_instants", L, sql=f"""WITH u AS (SELECT id, CASE ord % 3 WHEN 0 THEN {_first_utc('start_local')} WHEN 1 THEN start_local ELSE start_local + INTERVAL 210 MINUTE END AS utc FROM v_listing),
+l AS (SELECT *, (utc AT TIME ZONE 'UTC') AT TIME ZONE {_NY} AS local FROM u), d AS (SELECT *, date_diff('minute', utc, local) AS shift, {_UTC.format(x='(local::DATE)::TIMESTAMP')} AS a, {_UTC.format(x='(local::DATE + 1)::TIMESTAMP')} AS b FROM l)
+SELECT id, utc, local::DATE::VARCHAR AS day, strftime(local, '%Y-%m-%dT%H:%M:%S') || CASE shift WHEN -240 THEN '-04:00' ELSE '-05:00' END AS iso, a AS day_utc, date_diff('hour', a, b) AS hours FROM d""")
+def _(t: DataFrame) -> DataFrame:
+    """Starts as texts without zone, with Z, and with an offset, read as instants; their local days, which last 23 to 25 hours."""
+    text = F.date_format("start_local", "yyyy-MM-dd'T'HH:mm:ss")
+    at = T.parse_instant(F.when(c("ord") % 3 == 0, text).when(c("ord") % 3 == 1, F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("-03:30"))))
+    day = T.local_day(at)
+    bounds = T.day_bounds(day)
+    first, end = T.utc_clock(bounds["first"]), T.utc_clock(bounds["end"])
+    return t.select("id", T.utc_clock(at).alias("utc"), day.cast("string").alias("day"), T.iso_local(at).alias("iso"), first.alias("day_utc"), F.timestamp_diff("HOUR", first, end).alias("hours"))
+
+
 @query("weekday_hist", L, sql=f"SELECT {D.day_name('start_local')} AS day, count(*) AS n FROM v_listing GROUP BY 1")
 def _(t: DataFrame) -> DataFrame:
     return t.groupBy(T.weekday_name(c("start_local")).alias("day")).agg(F.count("*").alias("n"))
