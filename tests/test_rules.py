@@ -158,3 +158,29 @@ def test_linked_data(spark):
     html = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Event"],"name":"A &amp; B","startDate":"2026","location":"Hall","offers":{"price":0}},{"@type":"Place"}]}</script><script type="application/ld+json">{oops</script>'
     got = R.jsonld_events(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
     assert [tuple(r) for r in got] == [(1, "A & B", "2026", "Hall", "Free")]
+
+
+@pytest.mark.parametrize(
+    ("text", "utc", "iso"),
+    [
+        ("2026-07-01T20:00:00", "2026-07-02 00:00:00", "2026-07-01T20:00:00-04:00"), ("2026-01-01 20:00", "2026-01-02 01:00:00", "2026-01-01T20:00:00-05:00"), ("2026-07-01T20:00:00Z", "2026-07-01 20:00:00", "2026-07-01T16:00:00-04:00"),
+        ("2026-07-01T20:00:00+0530", "2026-07-01 14:30:00", "2026-07-01T10:30:00-04:00"), ("2026-07-01T20:00:00-07", "2026-07-02 03:00:00", "2026-07-01T23:00:00-04:00"), ("2026-03-08T02:30:00", "2026-03-08 07:30:00", "2026-03-08T03:30:00-04:00"),
+        ("2026-11-01T01:30:00", "2026-11-01 05:30:00", "2026-11-01T01:30:00-04:00"), ("2026-11-01T06:30:00Z", "2026-11-01 06:30:00", "2026-11-01T01:30:00-05:00"), ("2026-07-01", "2026-07-01 04:00:00", "2026-07-01T00:00:00-04:00"), ("soon", None, None), ("", None, None),
+    ],
+)
+def test_instants(spark, text, utc, iso):
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            at = T.parse_instant(F.lit(text))
+            got = spark.range(1).select(T.utc_clock(at).cast("string").alias("u"), T.iso_local(at).alias("i")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert (got.u, got.i) == (utc, iso)
+
+
+def test_local_days_last_as_long_as_the_clock_says(spark):
+    days = [dt.date(2026, 3, 8), dt.date(2026, 7, 1), dt.date(2026, 11, 1)]
+    b = T.day_bounds(F.col("d"))
+    rows = spark.createDataFrame([(d,) for d in days], "d date").select(F.timestamp_diff("HOUR", b["first"], b["end"]).alias("h")).collect()
+    assert [r.h for r in rows] == [23, 24, 25]
