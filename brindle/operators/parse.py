@@ -113,3 +113,8 @@ def heading_dates(pages: DataFrame, heading: str) -> DataFrame:
     dates = F.array_distinct(F.regexp_extract_all(after, F.lit(rf"(?i)\b((?:{'|'.join(m[:3] for m in MONTHS)})[a-z]* \d{{1,2}})\b"), F.lit(1)))
     hours = F.regexp_extract(after, r"(?i)(\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s*-\s*\d{1,2}(?::\d{2})?\s*(?:am|pm))", 1)
     return pages.select("page_id", F.explode(dates).alias("day_text"), hours.alias("hours"))
+
+
+def declares_empty(html: Column, widget: str = r"(?i)data-hook=\"?events", none: str = r"(?i)\"(?:count|total)\"\s*:\s*0\b") -> Column:
+    """Whether a page says that it lists nothing: its widget is there, with a count of 0. A page without the widget is broken instead."""
+    return F.coalesce(html.rlike(widget) & html.rlike(none), F.lit(False))

@@ -11,6 +11,7 @@ from ..functions import places as P
 from ..functions import text as X
 from ..functions import timefn as T
 from ..functions import urls as U
+from ..operators import places as PL
 from ..sources.adapters import AS_OF
 from . import duck as D
 from .registry import query
@@ -133,33 +134,34 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", P.is_out_of_area(c("lat"), c("lng"), c("location")).alias("far"))
 
 
-_ALIASES = [("Hall 1,", "hall one"), ("Hall 2", "hall two"), ("Hall 3, 103 Main Street, Boston, MA", "hall three"), ("Main Street", "main")]
+_HEAD = "split_part(location, ',', 1)"
 
 
-@query("canonical_place", L, sql=f"""WITH a AS (SELECT * FROM (VALUES {', '.join(f"({i}, {D.q(k.lower())}, {D.q(v)})" for i, (k, v) in enumerate(_ALIASES))}) AS t(pos, alias, k))
-SELECT id, (SELECT k FROM a WHERE contains(lower(trim(location)), alias) ORDER BY (lower(trim(location)) <> alias)::INT, pos LIMIT 1) AS place FROM v_listing""")
-def _(t: DataFrame) -> DataFrame:
-    """The exact alias, else the first contained one; distinct places meet the alias list, listings only their place."""
-    places = t.select(P.place_text(c("location")).alias("p")).filter("p is not null").distinct()
-    hits = [F.when(c("p") == k.lower(), F.struct(F.lit(0), F.lit(i), F.lit(v))).when(c("p").contains(k.lower()), F.struct(F.lit(1), F.lit(i), F.lit(v))) for i, (k, v) in enumerate(_ALIASES)]
-    keyed = places.select("p", F.array_min(F.array(*hits))["col3"].alias("place"))
-    return t.withColumn("p", P.place_text(c("location"))).join(keyed, "p", "left").select("id", "place")
+@query("canonical_place", L, "v_venue", sql=f"""WITH a AS (SELECT lower(trim({_HEAD})) AS alias, id AS k, pos FROM v_venue UNION ALL SELECT lower(trim(location)), 'whole ' || id, pos + 1000000 FROM v_venue), p AS (SELECT DISTINCT lower(trim(location)) AS p FROM v_listing),
+m AS (SELECT p, arg_min(k, ((p <> alias)::INT, pos)) AS place FROM p JOIN a ON contains(p, alias) GROUP BY p) SELECT id, place FROM v_listing LEFT JOIN m ON p = lower(trim(location))""")
+def _(t: DataFrame, v: DataFrame) -> DataFrame:
+    """The exact alias, else the first contained one. (Here a venue's name is an alias of it, its whole address one of another place.)"""
+    short = v.select(F.split("location", ",")[0].alias("alias"), c("id").alias("place"), "pos")
+    whole = v.select(c("location").alias("alias"), F.concat(F.lit("whole "), "id").alias("place"), (c("pos") + 1_000_000).alias("pos"))
+    return PL.canonical(t, short.union(whole))
 
 
-@query("infer_location", L, sql="""SELECT id, coalesce(location, CASE WHEN contains(url, 'host7.') THEN 'Host Seven Hall' WHEN contains(url, 'host') THEN 'Host House' END) AS place FROM v_listing""")
-def _(t: DataFrame) -> DataFrame:
-    """The longest known venue named in the text."""
-    venues = {"host7.": "Host Seven Hall", "host": "Host House"}
-    best = F.array_max(F.array(*(F.when(c("url").contains(k), F.struct(F.lit(len(k)).alias("n"), F.lit(v).alias("v"))) for k, v in venues.items())))["v"]
-    return t.select("id", F.coalesce("location", best).alias("place"))
+@query("infer_location", L, "v_venue", sql=f"""WITH k AS (SELECT lower({_HEAD}) AS key, location AS place, pos FROM v_venue), x AS (SELECT id, location, lower('tonight at ' || CASE WHEN ord % 3 = 0 THEN 'Hall ' || (ord % 50)::VARCHAR ELSE 'home' END || '!') AS t FROM v_listing),
+m AS (SELECT t, arg_max(place, (length(key), -pos)) AS named FROM (SELECT DISTINCT t FROM x WHERE location IS NULL) JOIN k ON contains(t, key) GROUP BY t) SELECT id, coalesce(location, named) AS place FROM x LEFT JOIN m USING (t)""")
+def _(t: DataFrame, v: DataFrame) -> DataFrame:
+    """The location, else the longest known venue named in the text."""
+    text = F.concat(F.lit("Tonight at "), F.when(c("ord") % 3 == 0, F.concat(F.lit("Hall "), (c("ord") % 50).cast("string"))).otherwise("home"), F.lit("!"))
+    return PL.inferred(t, text, v.select(F.split("location", ",")[0].alias("name"), c("location").alias("place"), "pos"))
 
 
-@query("lookup_place", L, "v_venue", sql="""WITH v AS (SELECT lower(split_part(location, ',', 1)) AS k, min(pos) AS pos FROM v_venue GROUP BY 1)
-SELECT id, v.pos FROM v_listing LEFT JOIN v ON lower(trim(split_part(location, ',', 1))) = v.k""")
+@query("lookup_place", L, "v_venue", sql=f"""WITH k AS (SELECT lower(trim({_HEAD})) AS key, pos FROM v_venue WHERE pos % 2 = 0 UNION ALL SELECT lower(trim(split_part(location, ',', 2))), pos FROM v_venue),
+x AS (SELECT id, lower(trim(location)) AS a, lower(trim({_HEAD})) AS h FROM v_listing), d AS (SELECT DISTINCT a, h FROM x WHERE a IS NOT NULL),
+m AS (SELECT a, coalesce(min(pos) FILTER (key = h), min(pos) FILTER (regexp_matches(' ' || h || ' ', '[^a-z0-9]' || key || '[^a-z0-9]')), min(pos) FILTER (regexp_matches(key, '^[0-9]+ ') AND regexp_matches(' ' || a || ' ', '[^a-z0-9]' || key || '[^a-z0-9]'))) AS pos FROM d, k GROUP BY a)
+SELECT id, pos FROM x LEFT JOIN m USING (a)""")
 def _(t: DataFrame, v: DataFrame) -> DataFrame:
-    """Known venue of the text before the first comma."""
-    known = v.groupBy(F.lower(F.split("location", ",")[0]).alias("k")).agg(F.min("pos").alias("pos"))
-    return t.withColumn("k", F.lower(F.trim(F.split("location", ",")[0]))).join(known, "k", "left").select("id", "pos")
+    """Known places: names of halls with an even number before the first comma, street addresses anywhere."""
+    names = v.filter("pos % 2 = 0").select(F.split("location", ",")[0].alias("key"), "pos")
+    return PL.looked_up(t, names.union(v.select(F.split("location", ",")[1].alias("key"), "pos")))
 
 
 @query("local_days", L, sql="SELECT id, start_local::DATE::VARCHAR AS day, date_diff('day', DATE '1970-01-01', start_local::DATE) AS epoch_day, dayofweek(start_local) AS dow, hour(start_local) * 60 + minute(start_local) AS clock FROM v_listing")
