@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import content_words, normalize_name, to_ascii
 from ..functions.text import detect_styles, parse_price
-from ..functions.timefn import seconds_between
+from ..functions.timefn import display_start, parse_clock_range, seconds_between
+from . import match, series
+from . import venues as venue_dates
+from .stage import kept
 
 #: The tripwire: refuse below this share of the previous number of rows, where that was at least so many.
 LEAST_SHARE, LEAST_ROWS = 0.7, 20
@@ -42,6 +45,72 @@ def feed(listings: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+#: Weeks ahead for which venue nights are expanded; clock and hours of a night without either.
+WEEKS_AHEAD, DEFAULT_START, DEFAULT_HOURS = 8, 20 * 60, 3
+_ROW = ["id", "ord", "hub", "source", "source_rank", "name", "start_local", "end_local", "location", "lat", "lng", "cost", "url", "recurring"]
+
+
+def venue_rows(nights: DataFrame) -> DataFrame:
+    """A row per venue of its nights (id, pos, name, location, time_text, day): the next one, with its clock; past midnight it ends the next day."""
+    c = F.col
+    span = parse_clock_range(c("time_text"))
+    start = F.timestamp_add("MINUTE", F.coalesce(span["start"], F.lit(DEFAULT_START)), c("day").cast("timestamp_ntz")).cast("timestamp_ntz")
+    length = F.coalesce(F.pmod(span["stop"] - span["start"] - 1, F.lit(1440)) + 1, F.lit(DEFAULT_HOURS * 60)).cast("int")
+    first = nights.groupBy("id").agg(F.min(F.struct("day", "pos", "name", "location", "time_text")).alias("n")).select("id", "n.*").withColumn("start_local", start)
+    none = lambda t: F.lit(None).cast(t)
+    return first.select(
+        "id", (c("pos") - F.lit(1 << 60)).alias("ord"), F.lit(True).alias("hub"), F.lit("venues").alias("source"), F.lit(-1).alias("source_rank"), "name", "start_local",
+        F.timestamp_add("MINUTE", length, c("start_local")).cast("timestamp_ntz").alias("end_local"), "location", none("double").alias("lat"), none("double").alias("lng"), none("string").alias("cost"), none("string").alias("url"), F.lit(True).alias("recurring"),
+    )
+
+
+def compose(listings: DataFrame, venues: DataFrame, sources: DataFrame, as_of: Column, excluded: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """What a publish ships, in the order of starts: id, name, start, stop, place, lat, lng, price, styles, url, dates, members, archived, search_only, slug.
+
+    Live rows of reliable sources, without those that fold into a venue's night, and the regular venues' next nights: certain pairs become one row, series
+    one row with all dates, a stale start moves to the next date and its end with it. Archived rows follow as they are, and venues without fixed dates that
+    no coming live row covers, without a start. excluded: id, day of nights that don't take place. Slugs are unique over all of them.
+    """
+    c = F.col
+    today = F.to_date(as_of)
+    nights = venue_dates.expand(venues, today, F.date_add(today, 7 * WEEKS_AHEAD - 1))
+    if excluded is not None:
+        nights = nights.join(excluded, ["id", "day"], "left_anti")
+    fixed, loose = nights.filter("not coalesce(approximate, false)"), venues.filter("coalesce(approximate, false)")
+    reliable = listings.join(sources.filter("unreliable").select("source"), "source", "left_anti").join(sources.select("source", "source_rank"), "source", "left")
+    live = reliable.filter("pool = 'active'").withColumn("source_rank", F.coalesce("source_rank", F.lit(1 << 30))).withColumn("hub", F.lit(False))
+    folded = venue_dates.verdicts(venue_dates.overlaps(venue_dates.collisions(live, fixed))).filter("verdict = 'fold'").select("id")
+    rows = kept(venue_rows(fixed).select(*_ROW).unionByName(live.join(folded, "id", "left_anti").select(*_ROW)))
+    same = match.groups(match.grade_pairs(rows).filter("grade = 'certain'"))
+    grouped = rows.join(same, rows.id == same.node, "left").withColumn("g", F.coalesce("group", "id"))
+    one = match.merged(grouped, "g").join(rows.select("id", "ord", "hub", "end_local"), "id")
+    one = kept(one.select("id", "ord", "hub", "name", "start_local", "end_local", "location", "lat", "lng", "cost", "url", "recurring", "members"))
+    led = one.join(series.leaders(one), "id")
+    order = F.struct("ord")
+    first = {k: F.min_by(k, F.when(c(k).isNotNull(), order)).alias(k) for k in ("location", "lat", "lng", "cost", "url")}
+    own = F.min_by(F.struct("id", "name", "start_local", "end_local"), order)
+    whole = led.groupBy("leader").agg(own.alias("o"), *first.values(), F.sum("members").alias("members"), F.array_sort(F.collect_set("start_local")).alias("dates"))
+    start = F.coalesce(display_start(c("dates"), as_of), c("o.start_local"))
+    moved = F.timestamp_diff("MICROSECOND", c("o.start_local"), start)
+    stop = F.timestamp_add("MICROSECOND", moved, c("o.end_local")).cast("timestamp_ntz")
+    some = lambda t: [t[k] if k in t else c(k) for k in ("location", "lat", "lng", "cost", "url")]
+    no = F.lit(False)
+    out = whole.select(c("o.id").alias("id"), c("o.name").alias("name"), start.alias("start"), stop.alias("stop"), *some({}), "dates", "members", no.alias("archived"), no.alias("search_only"))
+    none = F.array().cast("array<timestamp_ntz>")
+    past = reliable.filter("pool = 'archive'").select("id", "name", c("start_local").alias("start"), c("end_local").alias("stop"), *some({}), none.alias("dates"), F.lit(1).cast("long").alias("members"), F.lit(True).alias("archived"), no.alias("search_only"))
+    covered = live.filter(c("start_local") >= as_of).select("location").distinct()
+    no_time, no_point, no_text = (F.lit(None).cast(t) for t in ("timestamp_ntz", "double", "string"))
+    bare = {"lat": no_point.alias("lat"), "lng": no_point.alias("lng"), "cost": no_text.alias("cost"), "url": no_text.alias("url")}
+    ghosts = loose.join(covered, "location", "left_anti").select("id", "name", no_time.alias("start"), no_time.alias("stop"), *some(bare), none.alias("dates"), F.lit(1).cast("long").alias("members"), no.alias("archived"), F.lit(True).alias("search_only"))
+    everything = kept(out.unionByName(past).unionByName(ghosts))
+    named = everything.join(unique_slugs(everything, owners), "id")
+    shown = named.select(
+        "id", "name", "start", "stop", F.coalesce("location", F.lit("")).alias("place"), "lat", "lng", parse_price(c("cost")).cast("double").alias("price"), F.array_join(detect_styles(c("name")), ",").alias("styles"),
+        "url", "dates", "members", "archived", "search_only", "slug",
+    )
+    return shown.orderBy(F.col("start").asc_nulls_last(), "id")
+
+
 def tripwire(now: DataFrame, before: DataFrame) -> DataFrame:
     """n_now, n_before, refuse: whether too few rows are left to publish."""
     a, b = now.agg(F.count("*").alias("n_now")), before.agg(F.count("*").alias("n_before"))

@@ -169,6 +169,13 @@ def _(t: DataFrame, s: DataFrame) -> DataFrame:
     return PB.feed(t, s, now())
 
 
+@query("publish_snapshot", L, "v_venue", "v_source")
+def _(t: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
+    """The whole publish: venues, folding, merging, series, roll-forward, archive, search-only rows, slugs, order."""
+    out = PB.compose(t, v, s, now())
+    return out.select("id", "name", "start", "stop", "place", "price", "styles", F.size("dates").cast("long").alias("dates"), "members", "archived", "search_only", "slug")
+
+
 @query("tripwire", L, sql="SELECT a.n AS n_now, b.n AS n_before, b.n >= 20 AND a.n < b.n * 0.7 AS refuse FROM (SELECT count(*) AS n FROM v_listing WHERE pool = 'active') a, (SELECT count(*) AS n FROM v_listing) b")
 def _(t: DataFrame) -> DataFrame:
     return PB.tripwire(t.filter("pool = 'active'"), t)
