@@ -20,10 +20,11 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_batches, dealt_join, mix64, staged
+from .common import WORD, WordHashes, arrow_batches, dealt_join, mix64, staged, words
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW, GRAM = 50, 10
@@ -127,12 +128,12 @@ def _cut_classes(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            for anchor, name, first, last, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "class", "first", "last", "words")), strict=True):
-                h = np.frombuffer(words, np.uint64)
+            for anchor, name, first, last, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "class", "first", "last", "words")), strict=True):
+                h = np.frombuffer(raw, np.uint64)
                 anchors, names, starts, counts = segments(h, window, gram)
                 anchors = mix64(anchors + np.uint64(anchor & (1 << 64) - 1)).view(np.int64)
                 for a, c, s, n in zip(anchors.tolist(), names.view(np.int64).tolist(), starts.tolist(), counts.tolist(), strict=True):
-                    yield a, c, first, last, words[8 * s : 8 * (s + n + window - 1)], anchor, name, s
+                    yield a, c, first, last, raw[8 * s : 8 * (s + n + window - 1)], anchor, name, s
 
     yield from arrow_batches(rows(), _CUT)
 
@@ -269,6 +270,43 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+#: Words of a reference that is broadcast, at most: its automaton takes some 400 bytes a word in each worker.
+BROADCAST_WORDS = 100_000
+
+
+def _stream(batches: Iterator[pa.RecordBatch], reference: Broadcast, window: int) -> Iterator[pa.RecordBatch]:
+    hashes, automaton = WordHashes(), SuffixAutomaton()
+    for text in reference.value:
+        automaton.add(hashes(words(text)).tolist(), 0)
+    automaton.close()
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                found = words(text.as_py())
+                spans = [{"at": at, "n": 1} for at, first in enumerate(automaton.firsts(hashes(found).tolist(), window)) if first == 0]
+                left = _cut(found, spans, window)
+                yield doc_id, len(found), len(found) - len(left), b" ".join(left)
+
+    yield from arrow_batches(rows(), _KEPT)
+
+
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
+    """remove_repeats against a table of its own (reference: text), say a benchmark: words in a window that a reference text holds go.
+
+    The reference's automaton is broadcast, so its size is counted first; beyond BROADCAST_WORDS it is an error: put the texts before the
+    documents, with smaller ids, and use remove_repeats. Null and empty texts hold nothing. Documents don't see each other; repeated rows and null
+    ids stay as they are; an empty reference removes nothing; an empty table gives no rows.
+    """
+    size = reference.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0)).alias("n")).first()["n"]
+    if size > BROADCAST_WORDS:
+        raise ValueError(f"a reference of {size} words is too large to broadcast")
+    texts = [r["text"] for r in reference.filter("text is not null").select("text").distinct().collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(texts)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_stream, reference=sent, window=window), "doc_id long, n_words long, n_removed long, kept binary")
+    return out.withColumn("kept", F.col("kept").cast("string"))
+
+
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 k AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),

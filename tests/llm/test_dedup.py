@@ -163,3 +163,21 @@ def test_large_buckets_are_settled_in_blocks(spark, monkeypatch, block):
     for docs in (family(150, 90, 9, 3), family(120, 60, 14, 4)):
         got = near_dedup.near_components(spark.createDataFrame(docs, "doc_id long, text string"), 2)
         assert sorted(map(tuple, got.collect())) == brute.near(docs, 2)
+
+
+def test_removal_against_a_reference(spark, monkeypatch):
+    for seed, window in ((0, 15), (1, 50)):
+        docs = [(d, t) for d, t in passages(seed)]
+        known = [t for d, t in docs if d % 7 == 3] + [None, ""]
+        first = {tuple(brute.words(t)[i : i + window]) for t in known for i in range(len(brute.words(t)) - window + 1)}
+        want = []
+        for d, t in docs:
+            w = brute.words(t)
+            gone = {j for i in range(len(w) - window + 1) if tuple(w[i : i + window]) in first for j in range(i, i + window)}
+            want.append((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+        frame, reference = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in known], "text string")
+        assert sorted(map(tuple, substring_dedup.remove_reference(frame, reference, window).collect())) == sorted(want)
+    assert substring_dedup.remove_reference(frame.limit(0), reference).count() == 0
+    monkeypatch.setattr(substring_dedup, "BROADCAST_WORDS", 10)
+    with pytest.raises(ValueError, match="too large"):
+        substring_dedup.remove_reference(frame, reference)
