@@ -502,10 +502,27 @@ def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> D
     return Q.publish_gate(_ready(t, k, p, s, v), t.filter("pool = 'pending'"), A.link_health(p))
 
 
-@query("worklist_kinds", L, "v_claim", sql=f"""WITH {_STATUS}, q AS (SELECT id, CASE status WHEN 'date_mismatch' THEN 'date' ELSE 'location' END AS kind FROM st WHERE pool = 'active' AND status LIKE '%mismatch' UNION ALL SELECT id, 'new' FROM v_listing WHERE pool = 'pending'
-  UNION ALL SELECT id, 'big_event' FROM v_listing WHERE pool = 'active' AND {D.has(D.norm('name'), X.BIG_NAME)}) SELECT kind, count(*) AS n, min(id) AS example FROM q GROUP BY kind""")
-def _(t: DataFrame, k: DataFrame) -> DataFrame:
-    return Q.worklist(t, A.verification(t, k)).groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("example"))
+_WORK = f"""{_READY}, {_AGREE.replace(chr(10) + "g AS (", chr(10) + "ga AS (")}, dup AS (SELECT id, min(other) AS other FROM (SELECT a AS id, b AS other FROM graded WHERE grade IS NOT NULL UNION ALL SELECT b, a FROM graded WHERE grade IS NOT NULL) WHERE other IN (SELECT id FROM act) GROUP BY id),
+q AS (SELECT l.id, CASE WHEN dup.id IS NULL THEN 'new' ELSE 'possible_duplicate' END AS kind, other FROM v_listing l LEFT JOIN dup ON dup.id = l.id WHERE pool = 'pending'
+  UNION ALL SELECT a, 'active_duplicate', b FROM graded WHERE grade IS NOT NULL AND a IN (SELECT id FROM act) AND b IN (SELECT id FROM act)
+  UNION ALL SELECT id, CASE status WHEN 'date_mismatch' THEN 'date' WHEN 'location_mismatch' THEN 'location' WHEN 'no_source' THEN 'no_link' WHEN 'cancelled' THEN 'cancelled' WHEN 'needs_review' THEN 'cancelled' ELSE 'broken_link' END, NULL FROM vp
+    WHERE pool = 'active' AND status IN ('date_mismatch', 'location_mismatch', 'no_source', 'cancelled', 'needs_review', 'page_gone', 'unreachable')
+  UNION ALL SELECT act.id, 'link_date_conflict', NULL FROM act JOIN ga ON listing_ord = ord WHERE date = 'disagree' UNION ALL SELECT act.id, 'link_location_conflict', NULL FROM act JOIN ga ON listing_ord = ord WHERE place = 'disagree'
+  UNION ALL SELECT DISTINCT a.id, 'venue_conflict', NULL FROM act a JOIN v_venue v ON v.location = a.location AND v.dow = dayofweek(a.start_local)
+  UNION ALL SELECT a.id, 'signal', NULL FROM act a WHERE a.ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)
+  UNION ALL SELECT id, 'rejected', NULL FROM v_listing WHERE {_FAR} AND pool = 'pending' UNION ALL SELECT id, 'big_event', NULL FROM act WHERE {D.has(D.norm('name'), X.BIG_NAME)})"""
+
+
+@query("worklist_kinds", L, "v_claim", "v_link", "v_source", "v_venue", sql=f"WITH {_WORK} SELECT kind, count(*) AS n, min(id) AS example, count(DISTINCT other) AS others FROM q GROUP BY kind")
+def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    live = t.filter("pool = 'active'")
+    day = F.to_date("start_local")
+    signals = live.filter("ord % 2 = 0").select("id", "source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
+    conflicts = live.join(v.select("location", c("dow").cast("int").alias("dow")), "location").filter(F.dayofweek("start_local") - 1 == c("dow")).select("id").distinct()
+    far = t.filter("pool = 'pending'").filter(P.is_out_of_area(c("lat"), c("lng"), c("location")))
+    claims = A.claim_agreement(t, k).join(t.select("id", c("ord").alias("listing_ord")), "listing_ord").select("id", "date", "place")
+    q = Q.worklist(t, M.grade_pairs(t), _verified(t, k, p, s), claims, conflicts, signals, far)
+    return q.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("example"), F.countDistinct("other").alias("others"))
 
 
 @query("auto_fixes", L, sql=f"SELECT id, 'drop_past' AS fix FROM v_listing WHERE pool = 'pending' AND end_local < {_NOW} - INTERVAL 24 HOUR UNION ALL SELECT id, 'archive_cancelled' FROM v_listing WHERE pool = 'active' AND ord % 97 = 0")
