@@ -152,10 +152,22 @@ def judged(listings: DataFrame) -> DataFrame:
     return kept(prepared(listings).select(*JUDGED))
 
 
-def grade_pairs(listings: DataFrame) -> DataFrame:
-    """a, b, grade of the pairs that have a grade."""
+def grade_pairs(listings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """a, b, grade of the pairs that have a grade. verdicts (a, b in any order, verdict: same or different, one for each pair) stand over the rules, and
+    pairs with one are judged wherever they are."""
     rows = judged(listings)
-    return graded(with_sides(gradable_pairs(rows), rows)).filter("grade is not null").select("a", "b", "grade")
+    pairs = gradable_pairs(rows)
+    if verdicts is None:
+        return graded(with_sides(pairs, rows)).filter("grade is not null").select("a", "b", "grade")
+    known = verdicts.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "verdict").filter("lo <> hi")
+    end = lambda at, o: rows.select(F.col("id").alias(at), F.col("ord").alias(o))
+    told = known.join(end("lo", "_lo"), "lo").join(end("hi", "_hi"), "hi")
+    first = F.col("_lo") < F.col("_hi")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    told = told.select(pick("lo", "hi").alias("a"), pick("hi", "lo").alias("b"), pick("_lo", "_hi").alias("ao"), pick("_hi", "_lo").alias("bo"))
+    sides = with_sides(pairs.union(told).distinct(), rows)
+    sides = sides.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left")
+    return graded(sides, F.col("verdict")).filter("grade is not null").select("a", "b", "grade")
 
 
 def grade_against(rows: DataFrame, others: DataFrame) -> DataFrame:

@@ -61,16 +61,14 @@ def _(t: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min(F.struct("grade", "ord", "other")).alias("m")).select("id", "m.other", "m.grade")
 
 
-@query("verdict_override", L, "v_decision", sql=f"""{_GRADE}, v AS (SELECT item, last(choice ORDER BY seq) AS choice FROM v_decision WHERE choice IN ('same', 'different') GROUP BY item)
-SELECT a, b, CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL ELSE grade END AS grade FROM graded LEFT JOIN v ON item = (xo + yo) % 500
-WHERE CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL ELSE grade END IS NOT NULL""")
+@query("verdict_override", L, "v_decision", sql=f"""{_GRADE}, v AS (SELECT 'L' || item::VARCHAR AS va, 'L' || (item + seq)::VARCHAR AS vb, last(choice ORDER BY seq, actor) AS choice FROM v_decision WHERE choice IN ('same', 'different') AND seq > 0 GROUP BY 1, 2),
+w AS (SELECT v.* FROM v JOIN v_listing x ON x.id = va JOIN v_listing y ON y.id = vb), f AS (SELECT coalesce(a, va) AS a, coalesce(b, vb) AS b, CASE choice WHEN 'same' THEN 'certain' WHEN 'different' THEN NULL ELSE grade END AS grade
+  FROM (SELECT a, b, grade FROM graded WHERE grade IS NOT NULL) FULL JOIN w ON a = va AND b = vb) SELECT * FROM f WHERE grade IS NOT NULL""")
 def _(t: DataFrame, d: DataFrame) -> DataFrame:
-    """Recorded verdicts stand over the rules. (Here a verdict's key is the sum of the two ords, modulo 500.)"""
-    rows = M.judged(t)
-    sides = M.with_sides(M.gradable_pairs(rows), rows)
-    v = M.latest(d.filter("choice in ('same', 'different')"), ["item"], ["seq"]).select("item", "choice")
-    sides = sides.join(v, (c("x.ord") + c("y.ord")) % 500 == c("item"), "left")
-    return M.graded(sides, c("choice")).filter("grade is not null").select("a", "b", "grade")
+    """Recorded verdicts stand over the rules. (Here a decision is about the listing of its item's number and that of item plus seq.)"""
+    name = lambda x: F.concat(F.lit("L"), x.cast("string"))
+    v = d.filter("choice in ('same', 'different') and seq > 0").groupBy("item", "seq").agg(F.max_by("choice", "actor").alias("verdict"))
+    return M.grade_pairs(t, v.select(name(c("item") + c("seq")).alias("a"), name(c("item")).alias("b"), "verdict"))
 
 
 @query("url_pairs", L, sql=f"WITH k AS (SELECT id, ord, {D.key('url')} AS k FROM v_listing) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.k = y.k AND x.ord < y.ord AND x.k <> ''")
