@@ -79,31 +79,36 @@ def gradable_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFram
         "word": (F.flatten(F.transform(c("telling"), lambda w: each(around(day), w))), F.transform(c("telling"), lambda w: join(day, w)), 24, None),
         "inside": (each(around(day), F.when(F.length(norm) > 2, norm.substr(1, 3)).when(norm.isNotNull(), "")), F.transform(F.concat(grams, F.array(F.lit(""))), lambda g: join(day, g)), 24, "in"),
     }
-    carried = ["id", "ord", "start_local", "lat", "lng", "norm"]
-
+    number = {k: i for i, k in enumerate(kinds)}
+    of = lambda test: [number[k] for k, v in kinds.items() if test(v)]
+    hours = F.when(c("x.kind").isin(of(lambda v: v[2] == 168)), 168).when(c("x.kind").isin(of(lambda v: v[2] == 24)), 24)
+    near, within, unknown_start = of(lambda v: v[3] == "km"), of(lambda v: v[3] == "in"), of(lambda v: v[3] == "any")
     one_way = [k for k, v in kinds.items() if v[3] in ("in", "any")]  # both rows have to probe
 
     def side(of: DataFrame, at: int, chosen: list[str]) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(kinds[k][2]).cast("int").alias("hours"), F.lit(kinds[k][3]).cast("string").alias("test"), F.coalesce(kinds[k][at], none).alias("blocks")) for k in chosen))
-        return of.select(*carried, F.explode(keys).alias("k")).select(*carried, "k.kind", "k.hours", "k.test", F.explode("k.blocks").alias("block")).filter("block is not null")
-
-    if others is None:
-        x, y = side(rows, 0, list(kinds)).alias("x"), side(rows, 1, list(kinds)).alias("y")
-        ordered = F.when(c("x.test").isin("in", "any"), c("x.ord") != c("y.ord")).otherwise(c("x.ord") < c("y.ord"))
-        return _meeting(x, y, ordered)
-    return _meeting(side(rows, 0, list(kinds)).alias("x"), side(others, 1, list(kinds)).alias("y"), F.lit(True)).union(_meeting(side(others, 0, one_way).alias("x"), side(rows, 1, one_way).alias("y"), F.lit(True))).distinct()
-
+        """A row per key: the kind's number and a hash of it and the block, and what the kind's test needs."""
+        keys = F.array(*(F.struct(F.lit(number[k]).cast("byte").alias("kind"), F.coalesce(kinds[k][at], none).alias("blocks")) for k in chosen))
+        each = of.select("id", "ord", "start_local", "lat", "lng", "norm", F.explode(keys).alias("k")).select("id", "ord", "start_local", "lat", "lng", "norm", "k.kind", F.explode("k.blocks").alias("block")).filter("block is not null")
+        only = lambda name, some: F.when(c("kind").isin(some), c(name)).alias(name)
+        return each.select("id", "ord", "start_local", only("lat", near), only("lng", near), only("norm", within), "kind", F.xxhash64("kind", "block").alias("key"))
 
-def _meeting(x: DataFrame, y: DataFrame, ordered: Column) -> DataFrame:
-    """Pairs whose probing key is the other's own, if their starts, distance or names fit."""
-    c = F.col
     km = F.least(*(distance_km(c(f"{p}.lat"), c(f"{p}.lng"), c(f"{q}.lat"), c(f"{q}.lng")) for p, q in ("xy", "yx"))) <= SAME_PLACE_KM
-    fits = F.when(c("x.test") == "km", km).when(c("x.test") == "in", F.contains(c("y.norm"), c("x.norm"))).otherwise(F.lit(True))
-    soon = c("x.hours").isNull() | (F.abs(seconds_between(c("x.start_local"), c("y.start_local"))) < c("x.hours") * 3600)
-    found = x.join(y, (c("x.kind") == c("y.kind")) & (c("x.block") == c("y.block"))).filter(ordered & soon & fits)
+    fits = F.when(c("x.kind").isin(near), km).when(c("x.kind").isin(within), F.contains(c("y.norm"), c("x.norm"))).otherwise(F.lit(True))
+    soon = hours.isNull() | (F.abs(seconds_between(c("x.start_local"), c("y.start_local"))) < hours * 3600)
     first = c("x.ord") < c("y.ord")
     pick = lambda w, n: F.when(first == F.lit(w), c(f"x.{n}")).otherwise(c(f"y.{n}"))
-    return found.select(pick(True, "id").alias("a"), pick(False, "id").alias("b"), pick(True, "ord").alias("ao"), pick(False, "ord").alias("bo")).distinct()
+
+    def meeting(x: DataFrame, y: DataFrame, ordered: Column) -> DataFrame:
+        """Pairs whose probing key is the other's own, if their starts, distance or names fit."""
+        found = x.alias("x").join(y.alias("y"), (c("x.key") == c("y.key")) & (c("x.kind") == c("y.kind"))).filter(ordered & soon & fits)
+        return found.select(pick(True, "id").alias("a"), pick(False, "id").alias("b"), pick(True, "ord").alias("ao"), pick(False, "ord").alias("bo"))
+
+    every = list(kinds)
+    if others is None:
+        ordered = F.when(c("x.kind").isin(within + unknown_start), c("x.ord") != c("y.ord")).otherwise(first)
+        return meeting(side(rows, 0, every), side(rows, 1, every), ordered).distinct()
+    yes = F.lit(True)
+    return meeting(side(rows, 0, every), side(others, 1, every), yes).union(meeting(side(others, 0, one_way), side(rows, 1, one_way), yes)).distinct()
 
 
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
