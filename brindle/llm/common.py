@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,17 +115,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def running_start(df: DataFrame, key: str, cell: str, order: list[str], value: Column, out: str) -> DataFrame:
+def running_start(df: DataFrame, key: str, cell: str, order: list[str], value: Column, out: str, coarse: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sum of value over the rows of the same key that come before, by (cell, order).
 
-    Sums of cells come first, then sums within a cell, so that no task holds all rows of a hot key.
+    Sums of cells come first, then sums within a cell, so that no task holds all rows of a hot key. coarse: a coarser cell of a cell, in the same order,
+    by which the cells of a key are summed in turn, where they are many.
     """
     from pyspark.sql import Window as W
 
     df = df.withColumn("_v", value)
     per = df.groupBy(key, cell).agg(F.sum("_v").alias("_n"))
-    before = W.partitionBy(key).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
-    base = per.select(key, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    if coarse is None:
+        before = W.partitionBy(key).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+        base = per.select(key, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    else:
+        base = running_start(per.withColumn("_coarse", coarse(F.col(cell))), key, "_coarse", [cell], F.col("_n"), "_from").select(key, cell, F.col("_from").alias("_base"))
     inner = W.partitionBy(key, cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     held = df.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
     return held.join(base, [key, cell]).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_v")

@@ -13,8 +13,8 @@ POINTS, STEP = 1 << 31, 1_327_217_885
 #: A source's words are used at most this many times.
 MOST_PASSES = 3
 CELL_BITS = 21
-#: Hexadecimal digits of a document's shuffle key that tell its run: a source has 16 to that power of runs, each summed in a task.
-RUN_DIGITS = 5
+#: Hexadecimal digits of a document's shuffle key that tell its run: a source has 16 to that power of runs, summed by half the digits first.
+RUN_DIGITS = 6
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def mix_passes(docs: DataFrame, block_words: int | None = None) -> tuple[DataFra
     rows = sizes.withColumn("row", F.monotonically_increasing_id()).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shuffle", F.md5(F.col("doc_id").cast("string").cast("binary"))).fillna("", ["shuffle"])
     rows = rows.withColumn("run", F.substring("shuffle", 1, RUN_DIGITS))
-    rows = running_start(rows, "sid", "run", ["shuffle", "doc_id", "size", "row"], F.col("size"), "start")
+    rows = running_start(rows, "sid", "run", ["shuffle", "doc_id", "size", "row"], F.col("size"), "start", lambda run: F.substring(run, 1, RUN_DIGITS // 2))
     passes = F.when((F.col("size") > 0) & (F.col("start") < F.col("taken_words")), F.sequence(F.lit(0).cast("long"), F.least(F.lit(MOST_PASSES - 1).cast("long"), F.expr("(taken_words - start - 1) div greatest(source_size, 1)"))))
     rows = rows.withColumn("pass", F.explode_outer(passes)).withColumn("begin", F.col("pass") * F.col("source_size") + F.col("start"))
     return rows.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("taken_words"))), slots, size_of_block
