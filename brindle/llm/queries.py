@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_store, toxicity
+from . import audio, bpe, chat, dialogue_repair, exact_dedup, mixing, near_dedup, quality, secrets, substring_dedup, token_store, toxicity, variants
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {
     "op8_wavelet_tokens": lambda spark, d: token_store.round_trip(table(spark, d, "documents")),
     "op9_chroma_fingerprints": lambda spark, d: audio.match_report(audio.sonified(table(spark, d, "embeddings").selectExpr("vec_id as rec_id", "embedding as vector"))),
     "op10_bpe_lexicon": lambda spark, d: bpe.encode_digests(table(spark, d, "documents")),
+    "op11_secret_guess_cost": lambda spark, d: secrets.secret_digests(table(spark, d, "documents")),
+    "op12_dialogue_repair": lambda spark, d: dialogue_repair.repair_conversations(table(spark, d, "conversations")),
+    "op13_spelling_variants": lambda spark, d: variants.spelling_variants(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
