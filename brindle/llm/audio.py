@@ -8,6 +8,8 @@ integers give candidates; the most common offset of a pair of recordings aligns
 from __future__ import annotations
 
 import io
+import math
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -22,6 +24,10 @@ RATE, FRAME, HOP = 4000, 512, 256
 PITCHES, BITS, SPAN = 12, 16, 8
 #: Of the bits along an alignment, at most this share may differ; an alignment has at least so many frames.
 MOST_ERRORS, LEAST_FRAMES = 0.15, 24
+#: Share of the loudest frame's energy up to which a frame is silent, and what stands for the integer of a place in silence: it matches nothing.
+FLOOR, NO_CODE = 1e-4, -1
+#: Zero crossings on each side of the resampling kernel.
+LOBES = 16
 #: Recordings whose id this divides are the queries.
 QUERY_STEP = 100
 
@@ -38,14 +44,16 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
-    """Frames by pitch classes, each frame of unit length (silent: zeros)."""
+    """Frames by pitch classes, each frame of unit length; zeros for a silent one, FLOOR below the recording's loudest."""
     n = 1 + (len(samples) - FRAME) // HOP if len(samples) >= FRAME else 0
     if not n:
         return np.zeros((0, PITCHES), np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n] * _WINDOW
     power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
     out = np.stack([power[:, p == _BINS].sum(axis=1) for p in range(PITCHES)], axis=1)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    loud = out.sum(axis=1, keepdims=True)
+    silent = loud <= max(FLOOR * float(loud.max()), 1e-9)
+    return np.where(silent, 0, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def _filters() -> np.ndarray:
@@ -58,7 +66,7 @@ _FILTERS = _filters()
 
 
 def codes(frames: np.ndarray) -> np.ndarray:
-    """A packed integer for each place that SPAN frames fit."""
+    """A packed integer for each place that SPAN frames fit; NO_CODE where more than half of them are silent."""
     n = len(frames) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.int32)
@@ -80,7 +88,8 @@ def codes(frames: np.ndarray) -> np.ndarray:
             third = max(1, width // 3)
             value = 2 * area(third, 2 * third, low, low + height) - area(0, 3 * third, low, low + height) + area(third, 2 * third, low, low + height)
         out |= (value > 0).astype(np.int64) << bit
-    return out.astype(np.int32)
+    voiced = np.concatenate([[0], frames.any(axis=1).cumsum()])
+    return np.where(2 * (voiced[SPAN:] - voiced[:-SPAN]) >= SPAN, out, NO_CODE).astype(np.int32)
 
 
 def sonify(vector: np.ndarray) -> np.ndarray:
@@ -103,20 +112,61 @@ def wav(samples: np.ndarray) -> bytes:
     return held.getvalue()
 
 
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """samples at RATE: a windowed sinc that lets through what both rates can hold, one set of weights for each phase of the two rates."""
+    common = math.gcd(rate, RATE)
+    step, phases = rate // common, RATE // common
+    cutoff = min(1.0, RATE / rate)
+    half = math.ceil(LOBES / cutoff)
+    taps = np.arange(-half + 1, half + 1)
+    away = (np.arange(phases)[:, None] * step % phases) / phases - taps  # of each tap from the place of a phase's output
+    weights = (cutoff * np.sinc(cutoff * away) * np.where(np.abs(away) < half, np.cos(np.pi * away / (2 * half)) ** 2, 0)).astype(np.float32)
+    n = len(samples) * phases // step
+    padded = np.concatenate([np.zeros(half, np.float32), samples.astype(np.float32), np.zeros(half + step, np.float32)])
+    out = np.empty(n, np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half)
+    for begin in range(0, n, 1 << 14):
+        k = np.arange(begin, min(n, begin + (1 << 14)))
+        out[k] = np.einsum("ij,ij->i", windows[k * step // phases + 1], weights[k % phases])
+    return out
+
+
 def samples_of(file: bytes | None) -> np.ndarray | None:
-    """Samples at RATE of a WAV file of 8, 16 or 32 bits: the mean of its channels, interpolated. None for what is no such file."""
-    try:
-        with wave.open(io.BytesIO(file or b""), "rb") as f:
-            kind, channels, rate = {1: "u1", 2: "<i2", 4: "<i4"}[f.getsampwidth()], f.getnchannels(), f.getframerate()
-            raw = f.readframes(f.getnframes())
-    except (wave.Error, EOFError, KeyError):
+    """Samples at RATE of a WAV file: integers of 8, 16, 24 or 32 bits or floats of 32 or 64, the mean of the channels. None for what is no such file.
+
+    A chunk that is cut short counts as far as it goes. Samples that aren't finite are silence.
+    """
+    file = file or b""
+    if len(file) < 12 or file[:4] != b"RIFF" or file[8:12] != b"WAVE":
+        return None
+    at, layout, raw = 12, None, None
+    while at + 8 <= len(file) and raw is None:
+        name, size = file[at : at + 4], int.from_bytes(file[at + 4 : at + 8], "little")
+        body = file[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            kind = int.from_bytes(body[24:26], "little") if kind == 0xFFFE and len(body) >= 26 else kind  # the extensible form names its kind further on
+            layout = kind, channels, rate, bits
+        elif name == b"data":
+            raw = body
+        at += 8 + size + size % 2
+    if layout is None or raw is None or not layout[1] or not layout[2]:
+        return None
+    kind, channels, rate, bits = layout
+    if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
         return None
-    width = np.dtype(kind).itemsize * channels
-    found = np.frombuffer(raw[: len(raw) // width * width], kind).reshape(-1, channels).mean(axis=1)
-    found = (found - 128) / 128 if kind == "u1" else found / float(np.iinfo(kind).max)
-    if rate != RATE and len(found):
-        found = np.interp(np.arange(int(len(found) * RATE / rate)) * (rate / RATE), np.arange(len(found)), found)
-    return found.astype(np.float32)
+    width = bits // 8 * channels
+    raw = raw[: len(raw) // width * width]
+    if bits == 24:  # as the upper three bytes of 32 bits
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        found = wide.view("<i4").ravel() / 2.0**31
+    elif kind == 3:
+        found = np.nan_to_num(np.frombuffer(raw, f"<f{bits // 8}").astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+    else:
+        found = (np.frombuffer(raw, np.uint8) - 128.0) / 128 if bits == 8 else np.frombuffer(raw, f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    found = found.reshape(-1, channels).mean(axis=1)
+    return resampled(found, rate) if rate != RATE and len(found) else found.astype(np.float32)
 
 
 _AUDIO = pa.schema([("rec_id", pa.int64()), ("audio", pa.binary())])
@@ -145,14 +195,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """rec_id, codes of recordings (rec_id, audio: bytes of a WAV file). Null, empty, too short or unreadable audio has no codes. Rows that repeat
+    """rec_id, codes of recordings (rec_id, audio: bytes of a WAV file). Null, empty, too short or unreadable audio has no codes; places in
+    silence have NO_CODE, which matches nothing. Rows that repeat
     an id keep a row each; other columns are ignored; an empty table gives no rows. A recording is decoded in the memory of one task."""
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "audio").mapInArrow(_fingerprints, "rec_id long, codes array<int>")
 
 
 def alignments(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     """Queries (rec_id divisible by step) against all recordings. Per pair of classes that align: query_class, class, offset (frames
-    by which the query starts later), frames, errors (bits), with membership in the classes of classes().
+    by which the query starts later), frames (where both are heard), errors (bits), with membership in the classes of classes().
 
     Recordings with the same codes are one class, named by its smallest rec_id, so copies are neither compared nor listed pairwise. Candidates share a
     run of three integers, at any places: every offset of a pair with a hit is checked, and of those that pass, that with the most hits (of equal
@@ -165,8 +216,9 @@ def alignments(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     last, code = F.greatest(F.lit(1), F.size("codes") - 2), (lambda i: F.get("codes", i - 1))
     goes_on = lambda i: (code(i - 1) == code(i)) & (code(i) == code(i + 1)) & (code(i) == code(i + 2))
     starts = one.select("class", "codes", last.alias("last"), F.filter(F.sequence(F.lit(1), last), lambda i: (i == 1) | ~goes_on(i)).alias("starts"))
-    run = lambda s, k: F.struct((s - 1).alias("at"), (F.coalesce(F.get("starts", k + 1), F.col("last") + 1) - s).alias("len"), F.xxhash64(F.slice("codes", s, 3)).alias("run"))
-    runs = starts.select("class", F.inline(F.transform("starts", run)))
+    silent = lambda s: F.exists(F.slice("codes", s, 3), lambda x: x == NO_CODE)
+    run = lambda s, k: F.struct((s - 1).alias("at"), (F.coalesce(F.get("starts", k + 1), F.col("last") + 1) - s).alias("len"), F.xxhash64(F.slice("codes", s, 3)).alias("run"), silent(s).alias("silent"))
+    runs = starts.select("class", F.inline(F.filter(F.transform("starts", run), lambda r: ~r["silent"]))).drop("silent")
     asked = runs.join(queries, "class").select(F.col("class").alias("query_class"), "run", F.col("at").alias("q_at"), F.col("len").alias("q_len"))
     met = asked.join(runs, "run").filter("query_class <> class").withColumn("d", F.explode(F.sequence(1 - F.col("q_len"), F.col("len") - 1)))
     shared = F.least(F.col("q_len") - 1, F.col("len") - 1 - F.col("d")) - F.greatest(F.lit(0), -F.col("d")) + 1
@@ -179,18 +231,19 @@ def alignments(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
         return F.struct(o["hits"].alias("hits"), o["near"].alias("near"), o["early"].alias("early"), o["offset"].alias("offset"), frames.alias("frames"))
 
     def tested(o: Column) -> Column:
-        bits = F.zip_with(F.slice("q", F.greatest(F.lit(0), -o["offset"]) + 1, o["frames"]), F.slice("c", F.greatest(F.lit(0), o["offset"]) + 1, o["frames"]), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-        return F.struct(o["hits"].alias("hits"), o["near"].alias("near"), o["early"].alias("early"), o["offset"].alias("offset"), o["frames"].alias("frames"), F.aggregate(bits, F.lit(0), lambda a, x: a + x).alias("errors"))
+        a, b = (F.slice(x, F.greatest(F.lit(0), way * o["offset"]) + 1, o["frames"]) for x, way in (("q", -1), ("c", 1)))
+        bits = F.filter(F.zip_with(a, b, lambda x, y: F.when((x != NO_CODE) & (y != NO_CODE), F.bit_count(x.bitwiseXOR(y)))), lambda x: x.isNotNull())
+        return F.struct(o["hits"].alias("hits"), o["near"].alias("near"), o["early"].alias("early"), o["offset"].alias("offset"), F.size(bits).alias("frames"), F.aggregate(bits, F.lit(0), lambda a, x: a + x).alias("errors"))
 
     long = F.filter(F.transform("offsets", framed), lambda o: o["frames"] >= LEAST_FRAMES)
-    passed = F.filter(F.transform(long, tested), lambda o: o["errors"] <= o["frames"] * BITS * MOST_ERRORS)
+    passed = F.filter(F.transform(long, tested), lambda o: (o["frames"] >= LEAST_FRAMES) & (o["errors"] <= o["frames"] * BITS * MOST_ERRORS))
     best = pairs.select("query_class", "class", F.array_max(passed).alias("m")).filter("m is not null")
     return best.select("query_class", "class", "m.offset", "m.frames", "m.errors")
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """rec_id, codes, class: the smallest rec_id with the same codes."""
-    known = prints.filter("rec_id is not null and size(codes) > 0").withColumn("name", F.sha2(F.array_join("codes", ","), 256))
+    """rec_id, codes, class: the smallest rec_id with the same codes. A recording that is silent throughout is in none."""
+    known = prints.filter(F.col("rec_id").isNotNull() & F.exists("codes", lambda x: x != NO_CODE)).withColumn("name", F.sha2(F.array_join("codes", ","), 256))
     first = known.groupBy("name").agg(F.min("rec_id").alias("class"))
     return known.join(first, "name").select("rec_id", "codes", "class")
 
@@ -205,5 +258,5 @@ def match_report(recordings: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     named = classes(prints)
     asked = named.filter(F.col("rec_id") % step == 0).select("class").distinct().join(top, F.col("class") == F.col("query_class"), "left")
     per = asked.select("class", F.coalesce("n", F.lit(0)).alias("aligned"), F.col("best.class").alias("best_class"), F.col("best.offset").alias("offset"), F.round("best.rate", 6).alias("error_rate"))
-    rows = prints.select("rec_id", F.size("codes").alias("n_codes")).join(named.select("rec_id", "class").distinct(), "rec_id", "left")
+    rows = prints.select("rec_id", F.size(F.filter("codes", lambda x: x != NO_CODE)).alias("n_codes")).join(named.select("rec_id", "class").distinct(), "rec_id", "left")
     return rows.join(per, "class", "left").select("rec_id", "class", "n_codes", "aligned", "best_class", "offset", "error_rate")

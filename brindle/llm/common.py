@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on one machine (tests) one of our own. On a cluster no
+    local folder would be seen by all, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{os.path.join(tempfile.gettempdir(), f'brindle-{os.getpid()}')}"
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -47,6 +50,14 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or where docs has a column of it, with underscores behind it. Names differ beyond case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Parts into which the rows of each key are dealt where they are joined by it.
 SALTS = 16
 

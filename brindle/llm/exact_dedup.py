@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, free_name
 
 FANOUT_BITS = 4
 #: Bytes of distinct text that a table may hold before it spills.
@@ -238,16 +238,16 @@ def drop_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
-    columns = docs.columns
-    held = StructType([*docs.schema.fields]).add("_bucket", LongType())
+    columns, bucket = docs.columns, free_name(docs, "bucket")
+    held = StructType([*docs.schema.fields]).add(bucket, LongType())
     local = docs.mapInArrow(partial(_local_rows, budget=budget, columns=columns, schema=to_arrow_schema(held)), held)
-    return local.repartition("_bucket").select(*columns).mapInArrow(partial(_final_rows, budget=budget, columns=columns, schema=to_arrow_schema(docs.schema)), docs.schema)
+    return local.repartition(F.col(bucket)).drop(bucket).mapInArrow(partial(_final_rows, budget=budget, columns=columns, schema=to_arrow_schema(docs.schema)), docs.schema)
 
 
 def _final_rows(batches: Iterator[pa.RecordBatch], budget: int, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    wide = pa.schema([*schema, pa.field("_bucket", pa.int64())])
+    wide = pa.schema([*schema, pa.field("", pa.int64())])
     for batch in _local_rows(batches, budget, columns, wide):
-        yield batch.select(columns).cast(schema)
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=schema)
 
 
 ORACLE = """

@@ -108,18 +108,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     source's share ends within it: then the text is its first words, joined by a space.
 
     A null or empty text is never taken. Rows that repeat a doc_id are documents of their own; those without doc_id are mixed like others; null
-    sources form one source; an empty table gives no rows.
+    sources form one source; other columns are carried whatever their names; an empty table gives no rows.
     """
     taken = mix_passes(docs)[0].filter("pass is not null").select("doc_id", "size", "source", "row", (F.col("end") - F.col("begin")).alias("_words"))
     same = ["doc_id", "size", "source"]  # rows alike in these stand for each other
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in same), "_words", F.dense_rank().over(W.partitionBy(*same).orderBy("row")).alias("_k"))
-    rows = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)))
+    rows = docs.select("doc_id", "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("_n"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("doc_id", "_n", "source").orderBy("text")))
     c = F.col
     met = rows.join(taken, c("doc_id").eqNullSafe(c("_doc_id")) & (c("_n") == c("_size")) & c("source").eqNullSafe(c("_source")) & (c("_i") == c("_k")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), c("_words").cast("int")), " ")
     text = F.when(c("_words") < c("_n"), cut).otherwise(c("text"))
-    return met.select(*(text.alias("text") if name == "text" else c(name) for name in docs.columns))
+    return met.select(*((text if name == "text" else c("_row")[name]).alias(name) for name in docs.columns))
 
 
 ORACLE = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, dealt_join, mix64, staged
+from .common import WordHashes, dealt_join, free_name, mix64, staged
 from .components import components
 
 REGISTERS, MANTISSA, BANDS, BAND_ROWS = 256, 10, 42, 6
@@ -245,8 +245,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Texts without words are linked with nothing and stay. Rows without doc_id stay. Rows that repeat a doc_id are one document and stay or go
     together. An empty table gives no rows.
     """
-    keep = near_components(docs, k, num, den).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.filter("doc_id is null"))
+    own = free_name(docs, "kept_id")
+    keep = near_components(docs, k, num, den).filter("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col(own), "left_semi").union(docs.filter("doc_id is null"))
 
 
 ORACLE = r"""

@@ -113,3 +113,57 @@ def test_recall_against_all_offsets(spark):
     want = {(q, c) for q, x in prints if q % 4 == 0 for c, y in prints if c != q and every_offset(x, y)}
     assert {(i, i + 1) for i in range(0, 160, 4)} <= want
     assert len(want & found) >= 0.9 * len(want) and found <= want
+
+
+def song(seed, notes=64):
+    return audio.sonify(np.random.default_rng(seed).normal(size=notes))
+
+
+def test_silence_aligns_with_nothing(spark):
+    quiet = np.zeros(6 * audio.RATE, np.float32)
+    hiss = np.random.default_rng(0).normal(scale=1e-3, size=len(quiet)).astype(np.float32)
+    rows = [(i, audio.wav(np.concatenate([quiet if i % 2 else hiss, song(i), quiet]))) for i in range(12)]
+    rows += [(100, audio.wav(np.concatenate([quiet, quiet, song(3)]))), (101, audio.wav(quiet)), (102, audio.wav(np.concatenate([quiet, quiet])))]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "rec_id long, audio binary"))
+    found = {(r.query_class, r["class"]) for r in audio.alignments(prints, 1).collect()}
+    assert found == {(3, 100), (100, 3)}
+    report = {r.rec_id: r for r in audio.match_report(spark.createDataFrame(rows, "rec_id long, audio binary"), 1).collect()}
+    assert report[101]["class"] is None and report[102].n_codes == 0 and report[0].aligned == 0 and report[100].best_class == 3
+
+
+def test_wav_of_every_width():
+    import struct
+
+    tune = song(2).astype(np.float64)
+    tune /= np.abs(tune).max() * 1.01
+
+    def file(kind, bits, raw, extensible=False):
+        body = struct.pack("<HHIIHH", 0xFFFE if extensible else kind, 1, audio.RATE, audio.RATE * bits // 8, bits // 8, bits)
+        body += struct.pack("<HHIH14s", 22, bits, 0, kind, b"") if extensible else b""
+        return b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", len(body)) + body + b"data" + struct.pack("<I", len(raw)) + raw
+
+    deep = (tune * (2**31 - 1)).astype("<i4")
+    three = deep.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    forms = [file(1, 24, three), file(1, 24, three, True), file(1, 32, deep.tobytes()), file(3, 32, tune.astype("<f4").tobytes()), file(3, 64, tune.tobytes()), file(1, 24, three + b"\1")]
+    plain = audio.codes(audio.chroma(audio.samples_of(file(1, 16, (tune * 32767).astype("<i2").tobytes()))))
+    assert len(plain) > 100
+    for form in forms:
+        got = audio.codes(audio.chroma(audio.samples_of(form)))
+        assert len(got) == len(plain) and np.bitwise_count((got ^ plain).astype(np.uint32)).mean() < 0.1
+    assert audio.samples_of(file(1, 12, b"ab")) is None and audio.samples_of(b"RIFF") is None and len(audio.samples_of(file(1, 16, b""))) == 0
+    assert np.isfinite(audio.samples_of(file(3, 32, np.array([np.nan, np.inf, 1], "<f4").tobytes()))).all()
+
+
+def test_other_rates_keep_what_lies_above_out():
+    rate = 44_100
+    t = np.arange(8 * rate) / rate
+    notes = [110 * 2 ** (n / 12) for n in (0, 4, 7, 9, 12, 16)]
+    low = sum(np.sin(2 * np.pi * f * t) * (np.floor(t * (i + 1)) % 2) for i, f in enumerate(notes))
+    high = low + 0.8 * sum(np.sin(2 * np.pi * f * t) for f in (2_450, 3_300, 5_100, 9_000))
+    a, b = (audio.codes(audio.chroma(audio.resampled(x.astype(np.float32), rate))) for x in (low, high))
+    assert len(a) == len(b) > 100 and np.bitwise_count((a ^ b).astype(np.uint32)).mean() / audio.BITS < 0.02
+    exact = np.sin(2 * np.pi * 440 * np.arange(8 * audio.RATE) / audio.RATE)
+    assert np.abs(audio.resampled(np.sin(2 * np.pi * 440 * t).astype(np.float32), rate)[500:-500] - exact[500:-500]).max() < 0.01
+    for other in (1_000, 3_999, 8_000, 22_050, 192_000):
+        up = audio.resampled(np.sin(2 * np.pi * 300 * np.arange(other) / other).astype(np.float32), other)
+        assert abs(len(up) - audio.RATE) <= 1 and np.abs(up[400:-400] - np.sin(2 * np.pi * 300 * np.arange(len(up)) / audio.RATE)[400:-400]).max() < 0.02

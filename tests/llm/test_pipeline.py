@@ -61,3 +61,17 @@ def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()) == [2, 3, 4, 5]
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Names that stages might use within; values stay with their rows."""
+    extra = ["_id", "_bucket", "bucket", "kept_id", "_size", "_n", "_i", "_k", "_row", "_words", "row"]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in extra)
+    rows = [(i, f"word number {i} stands here alone in the text of document {i * i} for once", "en", "ab"[i % 2], i, *(100 * i + j for j in range(len(extra)))) for i in range(12)]
+    docs = spark.createDataFrame([*rows, (99, rows[3][1], "en", "a", 3, *rows[3][5:])], fields)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for stage in (lambda d: quality.keep_good(d, labels), *(lambda d, f=f: f(spark, d, SF) for _, f in corpus_pipeline.STAGES[1:4])):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert list(r[5:]) == [100 * r.n_chars + j for j in range(len(extra))]
