@@ -1,4 +1,4 @@
-"""A corpus from raw documents: quality, exact copies, near copies, mix of sources, token ids."""
+"""A corpus from raw documents: quality, exact copies, near copies, mix of sources, token ids. All stages but the last carry extra columns, whatever their names."""
 
 from __future__ import annotations
 
