@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unescape
-from ..functions.timefn import DAYS, nth_weekday, weekday
+from ..functions.timefn import DAYS, ZONE, nth_weekday, weekday
+from .calendar import clock_of
 
 # Month names, formats of captures, limits of a capture's age.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -32,9 +33,10 @@ def jsonld_events(pages: DataFrame, types: list[str] = EVENT_TYPES) -> DataFrame
 
 def feed_dates(feed: DataFrame, as_of: Column, weeks: int = 12) -> DataFrame:
     """uid, day of a calendar feed (uid, start NTZ, rule text) within [as_of - 1 day, + weeks]: FREQ DAILY or WEEKLY with INTERVAL, BYDAY, UNTIL
-    and COUNT. A rule of another kind gives its start alone; supported says which."""
+    and COUNT. A rule of another kind gives its start alone; supported says which. An UNTIL with a time ends at its local day. calendar.calendar_feed reads whole
+    feeds, with rules of all frequencies."""
     part = lambda k: F.nullif(F.regexp_extract("rule", rf"{k}=([^;]+)", 1), F.lit(""))
-    rows = feed.select("uid", F.to_date("start").alias("first"), part("FREQ").alias("freq"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)).alias("step"), part("BYDAY").alias("by"), F.to_date(part("UNTIL"), "yyyyMMdd").alias("until"), part("COUNT").try_cast("int").alias("most"))
+    rows = feed.select("uid", F.to_date("start").alias("first"), part("FREQ").alias("freq"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)).alias("step"), part("BYDAY").alias("by"), F.to_date(F.when(part("UNTIL").rlike("Z$"), F.convert_timezone(F.lit("UTC"), F.lit(ZONE), clock_of(part("UNTIL")))).otherwise(clock_of(part("UNTIL")))).alias("until"), part("COUNT").try_cast("int").alias("most"))
     rows = rows.withColumn("supported", F.coalesce(F.col("freq").isin("DAILY", "WEEKLY"), F.lit(False)))
     last = F.least(F.date_add(F.to_date(as_of), 7 * weeks), F.coalesce("until", F.lit("9999-12-31").cast("date")))
     # Steps count from the first date wherever the days begin; only COUNT needs all days since then.

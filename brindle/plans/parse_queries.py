@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import DAYS
+from ..operators import calendar as K
 from ..operators import parse as R
 from ..operators import publish as PB
 from ..sources.adapters import AS_OF
@@ -48,6 +49,48 @@ def _(t: DataFrame) -> DataFrame:
     return out.select("uid", "supported", c("day").cast("string").alias("day"))
 
 
+#: Kinds of entries, by the listing's number: rule, and SQL for the days d of it from the first day f on.
+_WEEK = "(date_diff('day', DATE '1970-01-05', {}) // 7)"
+_KINDS = [
+    ("FREQ=DAILY;INTERVAL=3;UNTIL=19980901T035959Z", "date_diff('day', f, d) % 3 = 0"),
+    ("FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TH", f"dayofweek(d) IN (1, 4) AND ({_WEEK.format('d')} - {_WEEK.format('f')}) % 2 = 0"),
+    ("FREQ=MONTHLY;BYDAY=2FR", "dayofweek(d) = 5 AND day(d) BETWEEN 8 AND 14"),
+    ("FREQ=MONTHLY;BYDAY=-1SU;INTERVAL=2", "dayofweek(d) = 0 AND month(d + 7) <> month(d) AND (year(d) * 12 + month(d) - year(f) * 12 - month(f)) % 2 = 0"),
+    ("FREQ=MONTHLY;BYMONTHDAY=15,-1", "(day(d) = 15 OR d = last_day(d))"),
+    ("FREQ=YEARLY;BYMONTH=7,8;BYDAY=1SA;UNTIL=19980820", "month(d) IN (7, 8) AND dayofweek(d) = 6 AND day(d) <= 7 AND d <= DATE '1998-08-20'"),
+    ("FREQ=WEEKLY;COUNT=400", "date_diff('day', f, d) % 7 = 0 AND date_diff('day', f, d) < 2800"),
+    ("FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "dayofweek(d) BETWEEN 1 AND 5 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest([1, 2, 3]) AS k) WHERE dayofweek(d + k::INT) BETWEEN 1 AND 5 AND month(d + k::INT) = month(d))"),
+    ("", "d = f"),
+]
+_CASE = lambda i: " ".join(f"WHEN {k} THEN {v[i]}" for k, v in enumerate(_KINDS))
+_OWN = "CASE ord % 3 WHEN 0 THEN 3 WHEN 1 THEN -4 ELSE 0 END"
+
+
+@query("calendar_feed", L, sql=f"""WITH e AS (SELECT 'F' || ord::VARCHAR AS uid, ord, ord % 9 AS kind, name, start_local AS s, start_local::DATE AS f, greatest(date_diff('second', start_local, end_local), 0) AS len FROM v_listing),
+d AS (SELECT e.*, unnest(CASE WHEN kind = 8 THEN [f] ELSE generate_series(greatest(f, DATE '1998-06-10'), DATE '1998-09-12', INTERVAL 1 DAY)::DATE[] END) AS d FROM e WHERE kind = 8 OR f <= DATE '1998-09-12'),
+h AS (SELECT *, d + (s - s::DATE) AS t0 FROM d WHERE CASE kind {_CASE(1)} END), x AS (SELECT *, t0 + INTERVAL 1 HOUR * ({_OWN}) AS t FROM h WHERE NOT (ord % 2 = 0 AND d = DATE '1998-07-20')),
+w AS (SELECT * FROM x WHERE t >= TIMESTAMP '1998-06-14 12:00:00' AND (kind = 8 OR t <= TIMESTAMP '1998-09-06 12:00:00') AND (kind > 0 OR t <= TIMESTAMP '1998-08-31 23:59:59') AND NOT (ord % 5 = 0 AND d = DATE '1998-07-06'))
+SELECT uid, min(name) AS name, min(t)::VARCHAR AS start, (min(t) + INTERVAL 1 SECOND * CASE WHEN ord % 4 = 0 THEN CASE WHEN kind = 8 THEN 0 ELSE 7200 END ELSE min(len) END)::VARCHAR AS stop, string_agg(t::VARCHAR, ' ' ORDER BY t) AS dates, 'https://cal.example/e?id=' || ord::VARCHAR AS url FROM w GROUP BY uid, ord, kind
+UNION ALL SELECT uid, 'Moved', '1998-07-07 21:30:00', '1998-07-07 21:30:00', '1998-07-07 21:30:00', 'https://cal.example/e?id=' || ord::VARCHAR FROM e WHERE ord % 5 = 0""")
+def _(t: DataFrame) -> DataFrame:
+    """A feed for each listing, in all forms: zones, folded lines, excluded days, replaced dates, alarms, rules of all frequencies."""
+    stamp = lambda x: F.date_format(x, "yyyyMMdd'T'HHmmss")
+    form = lambda name, x: F.when(c("ord") % 3 == 0, F.concat(F.lit(f"{name};TZID=America/Los_Angeles:"), stamp(x))).when(c("ord") % 3 == 1, F.concat(F.lit(f"{name}:"), stamp(x), F.lit("Z"))).otherwise(F.concat(F.lit(f"{name}:"), stamp(x)))
+    rule = F.element_at(F.array(*(F.lit(k) for k, _ in _KINDS)), (c("ord") % len(_KINDS) + 1).cast("int"))
+    clock = F.timestamp_diff("SECOND", F.date_trunc("day", "start_local").cast("timestamp_ntz"), c("start_local")).cast("int")
+    on = lambda day: F.timestamp_add("SECOND", clock, F.lit(day).cast("timestamp_ntz"))
+    uid = F.concat(F.lit("UID:F"), c("ord").cast("string"))
+    again = F.when(c("ord") % 5 == 0, F.concat_ws("\n", F.lit("BEGIN:VEVENT"), uid, form("RECURRENCE-ID", on("1998-07-06")), F.lit("DTSTART:19980707T213000\nSUMMARY:Moved"), F.concat(F.lit("URL:https://cal.example/e?id="), c("ord").cast("string")), F.lit("END:VEVENT")))
+    text = F.concat_ws(
+        "\n", F.lit("BEGIN:VCALENDAR\nVERSION:2.0\nBEGIN:VEVENT"), uid, F.concat(F.lit("SUMMARY:"), F.substring("name", 1, 4), F.lit("\n "), F.regexp_replace(F.expr("substring(name, 5)"), ",", r"\\,")), form("DTSTART", c("start_local")), F.when(c("ord") % 4 > 0, form("DTEND", F.greatest("start_local", "end_local"))),
+        F.when(rule != "", F.concat(F.lit("RRULE:"), rule)), F.when(c("ord") % 2 == 0, F.when(c("ord") % 4 == 0, F.lit("EXDATE;VALUE=DATE:19980720")).otherwise(form("EXDATE", on("1998-07-20")))),
+        F.lit("BEGIN:VALARM\nSUMMARY:Alarm\nDTSTART:20000101\nEND:VALARM"), F.concat(F.lit("URL:https://cal.example/e?id="), c("ord").cast("string"), F.lit("&fbclid=x1")), F.lit("END:VEVENT"), again, F.lit("END:VCALENDAR"),
+    )
+    out = K.calendar_feed(t.select(c("ord").alias("feed"), text.alias("text")), now())
+    said = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return out.select("uid", "name", said("start").alias("start"), said("stop").alias("stop"), F.array_join(F.transform("dates", said), " ").alias("dates"), "url")
+
+
 def _submissions(t: DataFrame) -> DataFrame:
     """Pending rows as submissions of all kinds."""
     kind = F.element_at(F.array(*map(F.lit, ["weekly", "biweekly", "monthly", "once"])), (c("ord") % 4 + 1).cast("int"))
