@@ -35,15 +35,15 @@ def is_out_of_area(lat: Column, lng: Column, location: Column) -> Column:
 
 
 def location_key(location: Column) -> Column:
-    """The street address with short street words, else the first line, lower case without marks."""
+    """The street address with short street words, else the first line, lower case without marks. Words have letters of any script."""
     low = F.lower(location)
 
     def squeeze(c: Column) -> Column:
         return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
-    address = squeeze(F.nullif(F.regexp_extract(low, ADDRESS, 0), F.lit("")))
+    address = squeeze(F.nullif(F.regexp_extract(low, f"(?U){ADDRESS}", 0), F.lit("")))
     for full, short in STREET_WORDS.items():
-        address = F.regexp_replace(address, rf"\b{full}\b", short)
+        address = F.regexp_replace(address, rf"(?U)\b{full}\b", short)
     return F.coalesce(address, squeeze(F.regexp_extract(low, r"^\s*([^\n]*)", 1)))
 
 

@@ -103,9 +103,18 @@ def excerpt_around(text: Column, token: str, width: int = 120) -> Column:
 
 
 def cancellation_mention(html: Column) -> Column:
-    """A word of cancellation in the first 5000 characters without a condition in the 80 before it."""
-    hits = F.regexp_extract_all(F.substring(html, 1, 5000), F.lit(f"(?is)(.{{0,80}}){CANCELLED}"), F.lit(1))
-    return F.exists(hits, lambda before: ~F.coalesce(before.rlike(f"(?i){CONDITIONAL}"), F.lit(False)))
+    """A word of cancellation in the first 5000 characters without a condition in the 80 before it, each mention on its own."""
+    head = F.substring(html, 1, 5000)
+    parts, mentions = F.split(head, f"(?i){CANCELLED}"), F.regexp_extract_all(head, F.lit(f"(?i){CANCELLED}"), F.lit(0))
+
+    def look(state: Column, at: Column) -> Column:
+        """state: where the last mention ended, whether one so far has no condition."""
+        begins = state["end"] + F.length(F.get(parts, at))
+        before = F.substring(head, F.greatest(F.lit(1), begins - 79), F.least(F.lit(80), begins))
+        return F.struct((begins + F.length(F.get(mentions, at))).alias("end"), (state["found"] | ~before.rlike(f"(?i){CONDITIONAL}")).alias("found"))
+
+    each = F.when(F.size(mentions) > 0, F.sequence(F.lit(0), F.size(mentions) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(each, F.struct(F.lit(0).alias("end"), F.lit(False).alias("found")), look, lambda s: s["found"])
 
 
 def clock_lines(text: Column, most: int = 6) -> Column:

@@ -63,6 +63,14 @@ def day_name(ts: str) -> str:
     return f"{array(DAYS)}[dayofweek({ts}) + 1]"
 
 
+def cancelled(x: str) -> str:
+    """Whether any mention of a cancellation in the first 5000 characters has no condition in the 80 before it."""
+    head = f"({x})[1:5000]"
+    parts, said = f"string_split_regex({head}, {q('(?i)' + text.CANCELLED)})", f"regexp_extract_all({head}, {q('(?i)' + text.CANCELLED)})"
+    before = f"array_to_string([({parts})[j] || CASE WHEN j < i THEN ({said})[j] ELSE '' END for j in range(1, i + 1)], '')"
+    return f"len([i for i in range(1, len({said}) + 1) if NOT regexp_matches(right({before}, 80), {q('(?i)' + text.CONDITIONAL)})]) > 0"
+
+
 def unescape(x: str) -> str:
     for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {q(entity)}, {q(to)})"

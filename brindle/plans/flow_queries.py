@@ -411,11 +411,11 @@ def _(t: DataFrame, k: DataFrame) -> DataFrame:
     return t.filter("pool = 'active'").select("id").join(A.verification(t, k), "id").filter("status <> 'confirmed'")
 
 
-@query("report_merge", L, "v_claim", sql=f"WITH {_STATUS}, fresh AS (SELECT id, status FROM st WHERE regexp_extract(id, '\\d+')::INT % 3 = 0) SELECT id, status, true AS checked FROM fresh UNION ALL SELECT id, CASE WHEN location IS NULL THEN 'no_source' ELSE 'confirmed' END, false FROM v_listing WHERE pool = 'active' AND ord % 2 = 0 AND id NOT IN (SELECT id FROM fresh)")
+@query("report_merge", L, "v_claim", sql=f"WITH {_STATUS}, fresh AS (SELECT id, status FROM st WHERE start_local >= {_NOW}) SELECT id, status, true AS checked FROM fresh UNION ALL SELECT id, CASE WHEN location IS NULL THEN 'no_source' ELSE 'confirmed' END, false FROM v_listing WHERE pool = 'active' AND id NOT IN (SELECT id FROM fresh)")
 def _(t: DataFrame, k: DataFrame) -> DataFrame:
-    """Checked rows replace theirs; rows not checked stay as they were while their listing is live. (Here the report before held even rows.)"""
-    before = t.filter("ord % 2 = 0").select("id", F.when(c("location").isNull(), "no_source").otherwise("confirmed").alias("status"))
-    fresh = A.verification(t, k).filter(F.regexp_extract("id", r"\d+", 0).cast("int") % 3 == 0)
+    """Checked rows replace theirs; rows not checked stay as they were while their listing is live. (Here coming listings were checked; the report before has all.)"""
+    before = t.select("id", F.when(c("location").isNull(), "no_source").otherwise("confirmed").alias("status"))
+    fresh = A.verification(t, k).join(t.filter(c("start_local") >= now()).select("id"), "id", "left_semi")
     return A.merge_report(before, fresh, t.filter("pool = 'active'"))
 
 
@@ -427,13 +427,13 @@ def _(t: DataFrame) -> DataFrame:
     return t.filter("pool = 'active'").select("id").join(fresh, "id", "left_anti")
 
 
-_CANCEL = f"len([b for b in regexp_extract_all(html[1:5000], {D.q('(?is)(.{0,80})' + X.CANCELLED)}, 1) if NOT regexp_matches(b, {D.q('(?i)' + X.CONDITIONAL)})]) > 0"
+_CANCEL = D.cancelled('html')
 _SPLIT = "[w for w in list_distinct(string_split_regex({x}, '\\s+')) if w NOT IN ('', 'the', 'at', 'in')]"
-_PAGES = f"""pf AS (SELECT page_id, error, status AS http, {_CANCEL} AS cancel_word FROM v_link WHERE page_id < 40),
+_PAGES = f"""pf AS (SELECT page_id, error, status AS http, {_CANCEL} AS cancel_word FROM v_link),
 kf AS (SELECT * FROM v_claim QUALIFY row_number() OVER (PARTITION BY listing_ord ORDER BY claim_no, claim_id, claim_place NULLS FIRST, claim_local) = 1),
 ff AS (SELECT l.*, error, http, cancel_word, listing_ord IS NOT NULL AS structured, CASE claim_id % 9 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'scheduled' END AS declared, CASE WHEN ord % 6 = 0 AND abs(date_diff('second', claim_local, start_local)) <= 900 THEN NULL ELSE claim_local END AS sstart,
   lower(coalesce(claim_place, '')) AS theirs, lower(coalesce(location, '')) AS mine, CASE WHEN ord % 8 = 0 THEN '' WHEN ord % 8 = 1 THEN 'https://www.facebook.com/events/' || ord::VARCHAR WHEN ord % 8 = 2 THEN 'https://instagram.com/p/' || ord::VARCHAR ELSE url END AS link,
-  s.trusted FROM v_listing l LEFT JOIN pf ON page_id = ord % 40 LEFT JOIN kf ON listing_ord = ord LEFT JOIN v_source s ON s.source = l.source),
+  s.trusted FROM v_listing l LEFT JOIN pf ON page_id = ord % (SELECT count(*) FROM v_link) LEFT JOIN kf ON listing_ord = ord LEFT JOIN v_source s ON s.source = l.source),
 fw AS (SELECT *, {_SPLIT.format(x='mine')} AS mw, {_SPLIT.format(x='theirs')} AS tw FROM ff),
 vp AS (SELECT id, pool, CASE WHEN ord % 11 = 0 THEN 'confirmed' WHEN link = '' THEN CASE WHEN trusted AND ord % 3 = 0 THEN 'calendar_only' ELSE 'no_source' END WHEN ord % 8 = 1 THEN 'needs_browser' WHEN ord % 8 = 2 THEN 'unverifiable' WHEN error IS NOT NULL THEN 'unreachable' WHEN http >= 400 THEN 'page_gone'
   WHEN declared = 'cancelled' THEN 'cancelled' WHEN declared IS NULL AND cancel_word THEN 'needs_review' WHEN NOT structured THEN 'reachable_only' WHEN sstart IS NOT NULL AND NOT recurring AND sstart::DATE <> start_local::DATE THEN 'date_mismatch'
@@ -442,12 +442,12 @@ vp AS (SELECT id, pool, CASE WHEN ord % 11 = 0 THEN 'confirmed' WHEN link = '' T
 
 
 def _verified(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    """Statuses of all listings. (Here a listing's page is the one of its number modulo 40, its linked data its first claim; every eighth has no link, the
+    """Statuses of all listings. (Here a listing's page is the one of its number modulo the number of pages, its linked data its first claim; every eighth has no link, the
     next two social ones; every eleventh was seen in a browser.)"""
     first = k.groupBy(c("listing_ord").alias("ord")).agg(F.min(F.struct("claim_no", "claim_id", "claim_place", "claim_local")).alias("k"))
-    pages = p.filter("page_id < 40").select(c("page_id").alias("page"), "error", c("status").alias("http"), X.cancellation_mention(c("html")).alias("cancel_word"))
+    pages = p.select(c("page_id").alias("page"), "error", c("status").alias("http"), X.cancellation_mention(c("html")).alias("cancel_word"))
     link = F.when(c("ord") % 8 == 0, "").when(c("ord") % 8 == 1, F.concat(F.lit("https://www.facebook.com/events/"), c("ord").cast("string"))).when(c("ord") % 8 == 2, F.concat(F.lit("https://instagram.com/p/"), c("ord").cast("string"))).otherwise(c("url"))
-    rows = t.withColumn("url", link).join(first, "ord", "left").join(pages, c("ord") % 40 == c("page"), "left").join(s.select("source", "trusted"), "source", "left")
+    rows = t.withColumn("url", link).join(first, "ord", "left").join(p.agg(F.count("*").alias("n_pages"))).join(pages, c("ord") % c("n_pages") == c("page"), "left").join(s.select("source", "trusted"), "source", "left")
     declared = F.when(c("k.claim_id") % 9 == 0, "cancelled").when(c("k.claim_id") % 9 == 1, "scheduled")
     facts = rows.select(
         "id", "error", "http", "cancel_word", c("k").isNotNull().alias("structured"), declared.alias("declared"), c("k.claim_local").alias("source_start"), c("k.claim_place").alias("source_place"), F.when(c("ord") % 6 == 0, c("start_local")).alias("fetched_at"),
@@ -464,7 +464,7 @@ def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
 _READY = f"""{_PAGES}, {D.PREPARED}, {D.PAIRS}, {D.GRADED}, act AS (SELECT * FROM v_listing WHERE pool = 'active'),
 n AS (SELECT 'scraper_health' AS check_name, (SELECT count(*) FROM (SELECT s.source FROM v_source s LEFT JOIN v_listing l ON l.source = s.source GROUP BY s.source HAVING coalesce(max(start_local) < {_NOW} - INTERVAL 48 HOUR, true))) AS hard, 0 AS soft
   UNION ALL SELECT 'facebook_evidence', (SELECT count(*) FROM act WHERE start_local > {_NOW} + INTERVAL 5 MINUTE OR start_local < {_NOW} - INTERVAL 14 DAY), 0 UNION ALL SELECT 'pending_review', (SELECT count(*) FROM v_listing WHERE pool = 'pending'), 0
-  UNION ALL SELECT 'rejected_audit', (SELECT count(*) FROM v_listing WHERE {_FAR} AND pool = 'pending'), 0 UNION ALL SELECT 'facebook_signals', (SELECT count(*) FROM act a WHERE a.ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)), 0
+  UNION ALL SELECT 'rejected_audit', (SELECT count(*) FROM v_listing WHERE {_FAR} AND pool = 'pending'), 0 UNION ALL SELECT 'facebook_signals', (SELECT count(*) FROM act a WHERE a.recurring AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)), 0
   UNION ALL SELECT 'coordinates', (SELECT count(*) FROM act WHERE lat IS NULL OR lng IS NULL), 0 UNION ALL SELECT 'verification', (SELECT count(*) FROM vp WHERE pool = 'active' AND status NOT IN ('confirmed', 'calendar_only', 'reachable_only')), (SELECT count(*) FROM vp WHERE pool = 'active' AND status = 'reachable_only')
   UNION ALL SELECT 'active_duplicates', (SELECT count(*) FROM graded WHERE grade IS NOT NULL AND a IN (SELECT id FROM act) AND b IN (SELECT id FROM act)), 0 UNION ALL SELECT 'venue_conflicts', (SELECT count(DISTINCT a.id) FROM act a JOIN v_venue v ON v.location = a.location AND v.dow = dayofweek(a.start_local)), 0
   UNION ALL SELECT 'publish_coordinates', (SELECT count(*) FROM act a LEFT JOIN v_source s USING (source) WHERE (lat IS NULL OR lng IS NULL) AND NOT coalesce(unreliable, false)), 0 UNION ALL SELECT 'start_hours', (SELECT count(*) FROM act WHERE hour(start_local) BETWEEN 1 AND 8), 0
@@ -473,14 +473,14 @@ rd AS (SELECT check_name, CASE WHEN hard > 0 THEN CASE WHEN check_name IN ('reje
 
 
 def _ready(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
-    """Findings of every check. (Here captures are as old as the row's start, signals are the even rows, the published file lacks rows whose number ends in 1.)"""
+    """Findings of every check. (Here captures are as old as the row's start, signals are the recurring rows, the published file lacks rows whose number ends in 1.)"""
     live = t.filter("pool = 'active'")
     status = _verified(t, k, p, s).join(live.select("id"), "id", "left_semi")
     good = ["confirmed", "calendar_only", "reachable_only"]
     seen = t.groupBy("source").agg(F.max("start_local").alias("last_run"))
     stale = s.join(seen, "source", "left").filter(F.coalesce(c("last_run") < now() - F.expr("INTERVAL '48' HOUR"), F.lit(True)))
     day = F.to_date("start_local")
-    unmatched = live.filter("ord % 2 = 0").select("source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
+    unmatched = live.filter("recurring").select("source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
     conflicts = live.join(v.select("location", c("dow").cast("int").alias("dow")), ["location"]).filter(F.dayofweek("start_local") - 1 == c("dow")).select("id").distinct()
     evidence = live.filter((c("start_local") > now() + F.expr("INTERVAL '5' MINUTE")) | (c("start_local") < now() - F.expr("INTERVAL '14' DAY")))
     bare = live.filter("lat is null or lng is null")
@@ -509,7 +509,7 @@ q AS (SELECT l.id, CASE WHEN dup.id IS NULL THEN 'new' ELSE 'possible_duplicate'
     WHERE pool = 'active' AND status IN ('date_mismatch', 'location_mismatch', 'no_source', 'cancelled', 'needs_review', 'page_gone', 'unreachable')
   UNION ALL SELECT act.id, 'link_date_conflict', NULL FROM act JOIN ga ON listing_ord = ord WHERE date = 'disagree' UNION ALL SELECT act.id, 'link_location_conflict', NULL FROM act JOIN ga ON listing_ord = ord WHERE place = 'disagree'
   UNION ALL SELECT DISTINCT a.id, 'venue_conflict', NULL FROM act a JOIN v_venue v ON v.location = a.location AND v.dow = dayofweek(a.start_local)
-  UNION ALL SELECT a.id, 'signal', NULL FROM act a WHERE a.ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)
+  UNION ALL SELECT a.id, 'signal', NULL FROM act a WHERE a.recurring AND NOT EXISTS (SELECT 1 FROM act b WHERE b.source = a.source AND b.start_local::DATE = a.start_local::DATE + 1)
   UNION ALL SELECT id, 'rejected', NULL FROM v_listing WHERE {_FAR} AND pool = 'pending' UNION ALL SELECT id, 'big_event', NULL FROM act WHERE {D.has(D.norm('name'), X.BIG_NAME)})"""
 
 
@@ -517,7 +517,7 @@ q AS (SELECT l.id, CASE WHEN dup.id IS NULL THEN 'new' ELSE 'possible_duplicate'
 def _(t: DataFrame, k: DataFrame, p: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
     live = t.filter("pool = 'active'")
     day = F.to_date("start_local")
-    signals = live.filter("ord % 2 = 0").select("id", "source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
+    signals = live.filter("recurring").select("id", "source", F.date_add(day, 1).alias("d")).join(live.select("source", day.alias("d")), ["source", "d"], "left_anti")
     conflicts = live.join(v.select("location", c("dow").cast("int").alias("dow")), "location").filter(F.dayofweek("start_local") - 1 == c("dow")).select("id").distinct()
     far = t.filter("pool = 'pending'").filter(P.is_out_of_area(c("lat"), c("lng"), c("location")))
     claims = A.claim_agreement(t, k).join(t.select("id", c("ord").alias("listing_ord")), "listing_ord").select("id", "date", "place")

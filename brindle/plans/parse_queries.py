@@ -138,10 +138,10 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", R.read_date(text).alias("at"))
 
 
-@query("api_flatten", L, "lineitem", sql="""SELECT id, coalesce('$' || floor(m)::INT::VARCHAR, nullif(cost, '')) AS price, coalesce(n, 0) AS details FROM v_listing LEFT JOIN (SELECT l_orderkey, min(l_extendedprice) AS m, count(*) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY 1) ON l_orderkey = ord WHERE start_local IS NOT NULL""")
+@query("api_flatten", L, "lineitem", sql="""SELECT id, coalesce('$' || floor(m)::INT::VARCHAR, nullif(cost, '')) AS price, coalesce(n, 0) AS details FROM v_listing LEFT JOIN (SELECT l_orderkey, min(l_extendedprice) AS m, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = ord WHERE start_local IS NOT NULL""")
 def _(t: DataFrame, li: DataFrame) -> DataFrame:
     """Search hits with their details, the detail preferred."""
-    d = li.filter("l_linenumber < 3").groupBy(c("l_orderkey").alias("ord")).agg(F.min("l_extendedprice").alias("m"), F.count("*").alias("n"))
+    d = li.groupBy(c("l_orderkey").alias("ord")).agg(F.min("l_extendedprice").alias("m"), F.count("*").alias("n"))
     j = t.filter("start_local is not null").join(d, "ord", "left")
     return j.select("id", F.coalesce(F.concat(F.lit("$"), F.floor("m").cast("string")), F.nullif("cost", F.lit(""))).alias("price"), F.coalesce("n", F.lit(0)).alias("details"))
 

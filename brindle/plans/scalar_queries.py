@@ -122,10 +122,14 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("id", X.clean_location(raw).alias("place"))
 
 
-@query("location_key", L, sql=r"""WITH k AS (SELECT id, regexp_extract(lower(location), '\d+\s+[\w\s]+(?:st|ave|blvd|rd|dr|ln|way|ct|pl|pkwy|drive|street|avenue)\b') AS addr FROM v_listing)
-SELECT id, regexp_replace(trim(regexp_replace(regexp_replace(nullif(addr, ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')), '\bstreet\b', 'st', 'g') AS place_key FROM k""")
+_STREETS = "CASE ord % 3 WHEN 0 THEN location WHEN 1 THEN replace(location, 'Main Street', 'Peña Street') ELSE replace(location, 'Main Street', 'Ångström Avenue') END"
+
+
+@query("location_key", L, sql=rf"""WITH k AS (SELECT id, regexp_extract(lower({_STREETS}), '\d+\s+[\p{{L}}\p{{M}}\p{{N}}_\s]+(?:st|ave|blvd|rd|dr|ln|way|ct|pl|pkwy|drive|street|avenue)\b') AS addr FROM v_listing)
+SELECT id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(nullif(addr, ''), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')), '\bstreet\b', 'st', 'g'), '\bavenue\b', 'ave', 'g') AS place_key FROM k""")
 def _(t: DataFrame) -> DataFrame:
-    return t.select("id", P.location_key(c("location")).alias("place_key"))
+    """Streets with letters beyond ASCII among them."""
+    return t.select("id", P.location_key(F.expr(_STREETS)).alias("place_key"))
 
 
 @query("geo_fence", L, sql=f"""SELECT id, CASE WHEN lat IS NULL THEN coalesce(NOT list_contains({D.array(P.NEAR_STATES)}, nullif(regexp_extract(location, ', ([A-Z][A-Z])$', 1), '')), false)
@@ -324,11 +328,14 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("page_id", X.page_text(c("html")).alias("body"))
 
 
-@query("cancel_mentions", "v_text", sql=f"""WITH t AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN 'If it rains this will be ' ELSE 'Note: ' END || CASE WHEN doc_id % 2 = 0 THEN 'cancelled. ' ELSE 'on. ' END || text)[1:5000] AS t FROM v_text)
-SELECT doc_id, len([b for b in regexp_extract_all(t, {D.q('(?is)(.{0,80})' + X.CANCELLED)}, 1) if NOT regexp_matches(b, {D.q('(?i)' + X.CONDITIONAL)})]) > 0 AS cancelled FROM t""")
+#: What a text begins with: conditions, then mentions, with and without each other.
+_NEWS = ["If it rains this will be cancelled. ", "Tonight is cancelled. If it rains tomorrow is cancelled too. ", "Note: postponed. ", "In case of snow, postponed; if not, canceled. ", "All is on. ", "Weather permitting; all that was said long before about the night, the band and the hall stays as it was: rescheduled. "]
+_NEWS_SQL = f"(CASE doc_id % {len(_NEWS)} " + " ".join(f"WHEN {i} THEN {D.q(s)}" for i, s in enumerate(_NEWS)) + " END || text)"
+
+
+@query("cancel_mentions", "v_text", sql=f"SELECT doc_id, {D.cancelled('t')} AS cancelled FROM (SELECT doc_id, {_NEWS_SQL} AS t FROM v_text)")
 def _(t: DataFrame) -> DataFrame:
-    text = F.concat(F.when(c("doc_id") % 3 == 0, "If it rains this will be ").otherwise("Note: "), F.when(c("doc_id") % 2 == 0, "cancelled. ").otherwise("on. "), c("text"))
-    return t.select("doc_id", X.cancellation_mention(text).alias("cancelled"))
+    return t.select("doc_id", X.cancellation_mention(F.concat(F.element_at(F.array(*map(F.lit, _NEWS)), (c("doc_id") % len(_NEWS) + 1).cast("int")), "text")).alias("cancelled"))
 
 
 @query("offset_shift", L, "v_claim", sql="""SELECT l.ord, claim_no, CASE WHEN abs(abs(date_diff('second', start_local, claim_local)) - 14400) < 60 THEN 4 WHEN abs(abs(date_diff('second', start_local, claim_local)) - 18000) < 60 THEN 5 END AS shift
