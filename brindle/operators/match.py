@@ -13,6 +13,7 @@ from ..functions.places import SAME_PLACE_KM, distance_km, place_text
 from ..functions.text import detect_styles
 from ..functions.timefn import minutes_of_day, seconds_between
 from ..functions.urls import url_key, url_rank
+from .grading import graded_pairs
 from .stage import kept
 
 #: A cell of the grid that finds near places, in degrees: its neighbours cover SAME_PLACE_KM up to latitude 57.
@@ -159,29 +160,26 @@ def judged(listings: DataFrame) -> DataFrame:
 
 def grade_pairs(listings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """a, b, grade of the pairs that have a grade. verdicts (a, b in any order, verdict: same or different, one for each pair) stand over the rules, and
-    pairs with one are judged wherever they are."""
+    pairs with one are judged wherever they are; a venue record and another row have no grade."""
     rows = judged(listings)
-    pairs = gradable_pairs(rows)
+    found = graded_pairs(rows).select("a", "b", "grade")
     if verdicts is None:
-        return graded(with_sides(pairs, rows)).filter("grade is not null").select("a", "b", "grade")
+        return found
     known = verdicts.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "verdict").filter("lo <> hi")
-    end = lambda at, o: rows.select(F.col("id").alias(at), F.col("ord").alias(o))
-    told = known.join(end("lo", "_lo"), "lo").join(end("hi", "_hi"), "hi")
+    end = lambda at: rows.select(F.col("id").alias(at), F.col("ord").alias(f"_{at}"), F.col("hub").alias(f"hub_{at}"))
+    told = known.join(end("lo"), "lo").join(end("hi"), "hi").filter("verdict = 'same' and hub_lo = hub_hi")
     first = F.col("_lo") < F.col("_hi")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    told = told.select(pick("lo", "hi").alias("a"), pick("hi", "lo").alias("b"), pick("_lo", "_hi").alias("ao"), pick("_hi", "_lo").alias("bo"))
-    sides = with_sides(pairs.union(told).distinct(), rows)
-    sides = sides.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left")
-    return graded(sides, F.col("verdict")).filter("grade is not null").select("a", "b", "grade")
+    left = found.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(known, ["lo", "hi"], "left_anti")
+    return left.select("a", "b", "grade").union(told.select(pick("lo", "hi").alias("a"), pick("hi", "lo").alias("b"), F.lit("certain").alias("grade")))
 
 
 def grade_against(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """id, other, grade: the graded pairs of a judged table's row with another's. Rows of one table aren't paired with each other."""
-    sides = with_sides(gradable_pairs(rows, others), rows.union(others))
-    g = graded(sides).filter("grade is not null").select("a", "b", "ao", "bo", "grade")
-    mine = rows.select(F.col("id").alias("_id"), F.col("ord").alias("_ord"))
-    way = lambda i, io, o: g.join(mine, (F.col(i) == F.col("_id")) & (F.col(io) == F.col("_ord"))).select(F.col(i).alias("id"), F.col(o).alias("other"), "grade")
-    return way("a", "ao", "b").union(way("b", "bo", "a"))
+    """id, ord, other, other_ord, grade: the graded pairs of a judged table's row with another's. Rows of one table aren't paired with each other; no ord is in both."""
+    g = graded_pairs(rows, others)
+    mine = rows.select(F.col("ord").alias("_ord"))
+    way = lambda i, io, o, oo: g.join(mine, F.col(io) == F.col("_ord"), "left_semi").select(F.col(i).alias("id"), F.col(io).alias("ord"), F.col(o).alias("other"), F.col(oo).alias("other_ord"), "grade")
+    return way("a", "ao", "b", "bo").union(way("b", "bo", "a", "ao"))
 
 
 def reason(sides: DataFrame) -> Column:
@@ -212,9 +210,9 @@ def groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(c("u").alias("node"), c("v").alias("group")).union(links.select("v", "v").distinct())
 
 
-def merged(rows: DataFrame, group: str, rank: str = "source_rank") -> DataFrame:
-    """One row per group: the winner (lowest source rank, then ord) keeps its own values, gaps are filled in that order; `Free` gives way to an
-    amount; addresses are collected one per host, the fittest first."""
+def merged(rows: DataFrame, group: str, rank: str = "source_rank", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group: the winner (lowest source rank, then ord) keeps its own values, those of carry too, gaps are filled in that order; `Free` gives way
+    to an amount; addresses are collected one per host, the fittest first."""
     order = F.struct(F.col(rank), F.col("ord"))
     first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), order)) for c in ("location", "lat", "lng", "cost")}
     amount = F.min_by("cost", F.when(F.col("cost").startswith("$"), order))
@@ -222,7 +220,7 @@ def merged(rows: DataFrame, group: str, rank: str = "source_rank") -> DataFrame:
     out = rows.groupBy(group).agg(
         F.min_by("id", order).alias("id"), F.min_by("name", order).alias("name"), F.min_by("start_local", order).alias("start_local"), first["location"].alias("location"),
         first["lat"].alias("lat"), first["lng"].alias("lng"), F.when(F.coalesce(first["cost"], F.lit("")).isin("Free", ""), F.coalesce(amount, first["cost"])).otherwise(first["cost"]).alias("cost"),
-        F.max("recurring").alias("recurring"), F.transform(urls, lambda u: u["url"]).alias("urls"), F.count("*").alias("members"),
+        F.max("recurring").alias("recurring"), F.transform(urls, lambda u: u["url"]).alias("urls"), F.count("*").alias("members"), *(F.min_by(k, order).alias(k) for k in carry),
     )
     return out.withColumn("url", F.get("urls", F.lit(0)))
 

@@ -83,7 +83,7 @@ def compose(listings: DataFrame, venues: DataFrame, sources: DataFrame, as_of: C
     rows = kept(venue_rows(fixed).select(*_ROW).unionByName(live.join(folded, "id", "left_anti").select(*_ROW)))
     same = match.groups(match.grade_pairs(rows).filter("grade = 'certain'"))
     grouped = rows.join(same, rows.id == same.node, "left").withColumn("g", F.coalesce("group", "id"))
-    one = match.merged(grouped, "g").join(rows.select("id", "ord", "hub", "end_local"), "id")
+    one = match.merged(grouped, "g", carry=("ord", "hub", "end_local"))
     one = kept(one.select("id", "ord", "hub", "name", "start_local", "end_local", "location", "lat", "lng", "cost", "url", "recurring", "members"))
     led = one.join(series.leaders(one), "id")
     order = F.struct("ord")
@@ -132,42 +132,46 @@ def _venue(location: Column) -> Column:
     return F.nullif(F.lower(F.trim(F.split(F.coalesce(location, F.lit("")), ",")[0])), F.lit(""))
 
 
+def rare_first(names: DataFrame) -> DataFrame:
+    """name, title: the distinct content words of each distinct name, those first that the fewest names have."""
+    words = names.distinct().select("name", F.explode(content_words(normalize_name(F.col("name")))).alias("word"))
+    held = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    return held.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("title"))
+
+
+def telling_head(title: Column, least: float) -> Column:
+    """The words of a title, rarest first, of which two titles share one if their words are at least so much alike (Jaccard)."""
+    return F.slice(title, 1, F.size(title) - F.ceil(F.size(title) * least).cast("int") + 1)
+
+
 def retitled(register: DataFrame, live: DataFrame, least: float = 0.5, km: float = 0.2, days: int = 2) -> DataFrame:
     """slug, target: the live row (by its slug) at the place, within the days, whose title is most alike (Jaccard of words, so much at least);
     two equally alike give none.
 
-    One place: near by coordinates where both have them, else the first part of one address holds the other's. Rows meet by day and cell of a
-    grid, or by day and the first three letters of the shorter address.
+    One place: near by coordinates where both have them, else the first part of one address holds the other's. Titles that are alike enough share one of
+    their rarest words, so rows meet by such a word and a near day, each two by the first that they share, and are tested where they meet.
     """
     c = F.col
-    cell = 0.005
+    titles = kept(rare_first(register.select("name").union(live.select("name"))))
 
     def facts(t: DataFrame, mark: str) -> DataFrame:
-        words = content_words(normalize_name(c("name")))
-        return t.select(c("slug").alias(f"{mark}_slug"), c("start_local").alias(f"{mark}_start"), c("lat").alias(f"{mark}_lat"), c("lng").alias(f"{mark}_lng"), _venue(c("location")).alias(f"{mark}_venue"), words.alias(f"{mark}_words"), F.to_date("start_local").alias(f"{mark}_day"))
-
-    r, n = facts(register, "r"), facts(live, "n")
-
-    def keys(mark: str, around: bool) -> Column:
-        row, col, venue, day = F.floor(c(f"{mark}_lat") / cell), F.floor(c(f"{mark}_lng") / cell), c(f"{mark}_venue"), c(f"{mark}_day")
-        near = [F.concat_ws(",", row + i, col + j) for i in ((-1, 0, 1) if around else (0,)) for j in ((-1, 0, 1) if around else (0,))]
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(venue) - 2, F.lit(1))), lambda i: venue.substr(i, F.lit(3)))
-        head = F.substring(venue, 1, 3)
-        tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
-        every = F.flatten(F.array_compact(F.array(F.when(row.isNotNull() & col.isNotNull(), tagged("g", F.array(*near))), tagged("<" if around else ">", F.array(head)), tagged(">" if around else "<", F.array_distinct(grams)))))
-        on = lambda shift: F.transform(every, lambda k: F.concat_ws("|", k, F.date_add(day, shift).cast("string")))
-        return F.explode(F.array_distinct(F.flatten(F.array(*map(on, range(-days, days + 1) if around else (0,))))))
-
-    # The register probes with the days around and the cells around; "<" finds addresses that hold its own, ">" those that it holds.
-    pairs = r.withColumn("k", keys("r", True)).join(n.withColumn("k", keys("n", False)), "k").dropDuplicates(["r_slug", "n_slug"])
+        named = t.join(titles, "name")
+        return named.select(c("slug").alias(f"{mark}_slug"), c("start_local").alias(f"{mark}_start"), c("lat").alias(f"{mark}_lat"), c("lng").alias(f"{mark}_lng"), _venue(c("location")).alias(f"{mark}_venue"), c("title").alias(f"{mark}_words"), telling_head(c("title"), least).alias(f"{mark}_head"))
+
+    def keyed(rows: DataFrame, mark: str, shifts: range) -> DataFrame:
+        on = F.array(*(F.date_add(F.to_date(f"{mark}_start"), i) for i in shifts))
+        return rows.withColumn("word", F.explode(f"{mark}_head")).withColumn("day", F.explode(on))
+
+    r, n = keyed(facts(register, "r"), "r", range(-days, days + 1)), keyed(facts(live, "n"), "n", range(1))
     dlat, dlng = (c("r_lat") - c("n_lat")) * 111.0, (c("r_lng") - c("n_lng")) * 111.0 * F.cos(F.radians((c("r_lat") + c("n_lat")) / 2))
     text = F.contains(c("r_venue"), c("n_venue")) | F.contains(c("n_venue"), c("r_venue"))
     there = F.coalesce(F.sqrt(dlat * dlat + dlng * dlng) <= km, text, F.lit(False))
-    alike = F.size(F.array_intersect("r_words", "n_words")) / F.greatest(F.size(F.array_union("r_words", "n_words")), F.lit(1))
-    fits = there & (F.abs(seconds_between(c("r_start"), c("n_start"))) <= days * 86400) & (c("r_slug") != c("n_slug")) & (F.size("r_words") > 0) & (F.size("n_words") > 0)
-    found = pairs.filter(fits).select(c("r_slug").alias("slug"), c("n_slug").alias("target"), alike.alias("x")).filter(c("x") >= least)
-    best = found.groupBy("slug").agg(F.max("x").alias("x")).join(found, ["slug", "x"]).groupBy("slug").agg(F.min("target").alias("target"), F.count("*").alias("n"))
-    return best.filter("n = 1").select("slug", "target")
+    both = F.size(F.array_intersect("r_words", "n_words"))
+    alike = both / (F.size("r_words") + F.size("n_words") - both)
+    fits = there & (F.abs(seconds_between(c("r_start"), c("n_start"))) <= days * 86400) & (c("r_slug") != c("n_slug")) & (c("word") == F.element_at(F.array_intersect("r_head", "n_head"), 1))
+    found = kept(r.join(n, ["word", "day"]).filter(fits).select(c("r_slug").alias("slug"), c("n_slug").alias("target"), alike.alias("x")).filter(c("x") >= least))
+    one = found.join(found.groupBy("slug").agg(F.max("x").alias("x")), ["slug", "x"]).groupBy("slug").agg(F.min("target").alias("target"), F.count("*").alias("n"))
+    return one.filter("n = 1").select("slug", "target")
 
 
 def resolve(register: DataFrame, published: DataFrame, same: DataFrame | None = None) -> DataFrame:

@@ -247,7 +247,7 @@ def _routed(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
 
 @query("route_new", L, "v_source", "v_decision", sql=f"{_ROUTE} SELECT id, status, CASE WHEN status IN ('added', 'merged', 'reactivated') THEN 'active' WHEN status IN ('pending', 'quarantined') THEN 'pending' WHEN starts_with(status, 'rejected') THEN 'rejected' END AS target, other FROM r")
 def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
-    return _routed(t, s, d)
+    return _routed(t, s, d).drop("ord")
 
 
 @query("reactivate", L, "v_source", "v_decision", sql=f"{_ROUTE} SELECT id, other FROM r WHERE status = 'reactivated'")
