@@ -178,7 +178,7 @@ def resolve(register: DataFrame, published: DataFrame, same: DataFrame | None =
     """slug, status, target, reason of the register's addresses: live; alias of the live slug of the row's id (renamed), of its group (same: node,
     group; merged), of the first with its name and venue (rescraped), or of its title (retitled); else ended."""
     c = F.col
-    live = published.select("slug", "id", "ord", "name", "location", "start_local", "lat", "lng")
+    live = kept(published.select("slug", "id", "ord", "name", "location", "start_local", "lat", "lng"))  # read for each kind of alias
     target = F.min_by("slug", "ord")
     by_id = live.groupBy("id").agg(target.alias("renamed"))
     by_name = live.groupBy(normalize_name(c("name")).alias("norm"), F.coalesce(_venue(c("location")), F.lit("")).alias("venue")).agg(target.alias("rescraped")).filter("norm <> ''")
