@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, staged
 
 #: Words of the corpus that a guesser tries, the most frequent first: bounds what is sent to every task.
 WORDS = 20_000
@@ -165,7 +165,14 @@ _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 def word_ranks(docs: DataFrame, words: int = WORDS) -> dict[str, int]:
     """The most frequent words of all texts, counted over all of them, by rank: at most `words`, each of at most WORD_CHARS characters."""
     counted = docs.select("text").mapInArrow(_words, "word string, n long").filter(F.length("word") <= WORD_CHARS[1])
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()  # bounded by `words`
+    counted = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # How many words there are of each size of n, in eighths of a power of two: those up to the size that fills the list are sorted, not all.
+    size, least, held = F.floor(F.log2("n") * 8), 0, 0
+    for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect():
+        least, held = r["size"], held + r.words
+        if held >= words:
+            break
+    top = counted.filter(size >= least).orderBy(F.desc("n"), "word").limit(words).collect()  # bounded by `words`
     return {r.word: i for i, r in enumerate(top, 1)}
 
 
