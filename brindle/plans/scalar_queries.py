@@ -299,6 +299,20 @@ def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.truncate_words(c("text"), 300).alias("preview"))
 
 
+#: Tokens that overlap each other and themselves.
+_TOKENS = ["the", "he", "ere", "ion", "nan"]
+
+
+@query("highlight_spans", "v_text", sql=f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM v_text), k AS (SELECT unnest({D.array(_TOKENS)}) AS k), p AS (SELECT doc_id, t, unnest(range(0, length(t))) AS pos FROM t),
+h AS (SELECT doc_id, pos AS start, max(pos + length(k)) AS stop FROM p, k WHERE substr(t, pos + 1, length(k)) = k GROUP BY 1, 2),
+g AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM h),
+i AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY start) AS n FROM g), s AS (SELECT doc_id, n, min(start) AS start, max(stop) AS stop FROM i GROUP BY 1, 2)
+SELECT t.doc_id, coalesce(md5(string_agg(start || '-' || stop, ',' ORDER BY start)), md5('')) AS spans, count(start) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id""")
+def _(t: DataFrame) -> DataFrame:
+    spans = t.select("doc_id", X.highlight_spans(c("text"), _TOKENS).alias("s"))
+    return spans.select("doc_id", F.md5(F.array_join(F.transform("s", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")).alias("spans"), F.size("s").cast("long").alias("n"))
+
+
 @query("excerpt", "v_text", sql="SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'with') - 60), 120) AS excerpt FROM v_text")
 def _(t: DataFrame) -> DataFrame:
     return t.select("doc_id", X.excerpt_around(c("text"), "with").alias("excerpt"))
