@@ -107,30 +107,30 @@ def excerpt_around(text: Column, token: str, width: int = 120) -> Column:
 def highlight_spans(text: Column, tokens: list[str]) -> Column:
     """Sorted array of (start, stop) in characters, stop exclusive: what any hit of any token covers, in either case. Hits that overlap or touch are one span.
 
-    The text is cut before each hit, so that the pieces' lengths tell where hits are; a fold over them in order joins the spans. Empty tokens hit nothing.
+    For each token the text is cut before its hits, so that the pieces' lengths tell where they are; a fold over all hits in order joins them.
+    Empty tokens hit nothing.
     """
     tokens = sorted({t.lower() for t in tokens if t})
-    none = F.array().cast("array<struct<start:int,stop:int>>")
+    spans = "array<struct<start:int,stop:int>>"
+    none = F.array().cast(spans)
     if not tokens:
         return F.when(text.isNotNull(), none)
-    low = F.lower(text)
-    quoted = "|".join(re.escape(t) for t in tokens)
-    lengths = F.transform(F.split(F.concat(F.lit("\u0000"), low), f"(?={quoted})"), lambda x: F.length(x))  # a hit at the start is a cut too
-    reach = lambda at: F.greatest(*(F.when(F.substr(low, at + 1, F.lit(len(t))) == t, F.lit(len(t))).otherwise(0) for t in tokens), F.lit(0))
-
-    def take(state: Column, length: Column) -> Column:
-        """state: where the next piece begins; the spans that are done; the open one."""
-        at = state["at"] + length
-        hit = F.struct(at.alias("start"), (at + reach(at)).alias("stop"))
-        open_ = state["open"]
-        joins = open_["stop"] >= at
-        done = F.when(joins | open_["stop"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(open_)))
-        return F.struct(at.alias("at"), done.alias("done"), F.when(joins, F.struct(open_["start"].alias("start"), F.greatest(open_["stop"], hit["stop"]).alias("stop"))).otherwise(hit).alias("open"))
-
-    nothing = F.lit(None).cast("struct<start:int,stop:int>")
-    end = lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-    hits = F.slice(lengths, 1, F.size(lengths) - 1)  # a piece's end is the next hit
-    return F.when(text.isNotNull(), F.aggregate(hits, F.struct(F.lit(-1).alias("at"), none.alias("done"), nothing.alias("open")), take, end))
+    low = F.concat(F.lit("\u0000"), F.lower(text))  # a hit at the start is a cut too
+
+    def hits(token: str) -> Column:
+        lengths = F.transform(F.split(low, f"(?={re.escape(token)})"), lambda x: F.length(x))
+        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["found"], F.array(F.struct((s["at"] + n).alias("start"), (s["at"] + n + len(token)).alias("stop")))).alias("found"))
+        return F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), F.struct(F.lit(-1).alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    def join(state: Column, hit: Column) -> Column:
+        """state: the spans that are done, and the open one."""
+        touches = state["stop"] >= hit["start"]
+        done = F.when(touches | (state["stop"] < 0), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), state["stop"].alias("stop")))))
+        return F.struct(done.alias("done"), F.when(touches, state["start"]).otherwise(hit["start"]).alias("start"), F.greatest(state["stop"], hit["stop"]).alias("stop"))
+
+    closed = lambda s: F.when(s["stop"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))))
+    start = F.struct(none.alias("done"), F.lit(0).alias("start"), F.lit(-1).alias("stop"))
+    return F.when(text.isNotNull(), F.aggregate(F.array_sort(F.concat(*map(hits, tokens))), start, join, closed))
 
 
 def cancellation_mention(html: Column) -> Column:

@@ -303,8 +303,9 @@ def _(t: DataFrame) -> DataFrame:
 _TOKENS = ["the", "he", "ere", "ion", "nan"]
 
 
-@query("highlight_spans", "v_text", sql=f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM v_text), k AS (SELECT unnest({D.array(_TOKENS)}) AS k), p AS (SELECT doc_id, t, unnest(range(0, length(t))) AS pos FROM t),
-h AS (SELECT doc_id, pos AS start, max(pos + length(k)) AS stop FROM p, k WHERE substr(t, pos + 1, length(k)) = k GROUP BY 1, 2),
+@query("highlight_spans", "v_text", sql=f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM v_text), k AS (SELECT unnest({D.array(_TOKENS)}) AS k), ch AS (SELECT doc_id, unnest(string_split(t, '')) AS x, generate_subscripts(string_split(t, ''), 1) - 1 AS pos FROM t),
+n AS (SELECT doc_id, pos, x || lead(x, 1, '') OVER w AS two, x || lead(x, 1, '') OVER w || lead(x, 2, '') OVER w AS three FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT doc_id, pos AS start, max(pos + length(k)) AS stop FROM n JOIN k ON k = two OR k = three GROUP BY 1, 2),
 g AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM h),
 i AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY start) AS n FROM g), s AS (SELECT doc_id, n, min(start) AS start, max(stop) AS stop FROM i GROUP BY 1, 2)
 SELECT t.doc_id, coalesce(md5(string_agg(start || '-' || stop, ',' ORDER BY start)), md5('')) AS spans, count(start) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id""")
