@@ -23,6 +23,20 @@ _NAME, _PLACE = ["norm", "words", "telling", "styles_named", "days_named"], ["pl
 c = F.col
 
 
+def micros(t: Column) -> Column:
+    """A wall clock as microseconds."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+
+
+def least_gap(xs: Column, ys: Column) -> Column:
+    """The least distance of an element of one array to one of the other, null where one is empty: the nearest two are neighbours in the order of both, so
+    one walk over them finds it."""
+    tagged = lambda a, side: F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("best"))
+    step = lambda at, e: F.struct(e["t"].alias("t"), e["side"].alias("side"), F.when(at["side"] != e["side"], F.least(at["best"], e["t"] - at["t"])).otherwise(at["best"]).alias("best"))
+    return F.aggregate(F.array_sort(F.concat(tagged(xs, 0), tagged(ys, 1))), start, step, lambda at: at["best"])
+
+
 def _numbered(rows: DataFrame, columns: list[str], number: str) -> tuple[DataFrame, DataFrame]:
     """The distinct values of columns with a number each, and rows with it."""
     key = F.to_json(F.struct(*columns)).alias("class_key")
@@ -74,23 +88,25 @@ def same_places(places: DataFrame) -> DataFrame:
 def graded_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """a, b, ao, bo, grade of all pairs of prepared rows that have a grade, a before b in ord; with others, of a row and another table's row, no others.
 
-    The first that fits, between rows that are both or neither a venue record: one id, or one address and starts within a day or unknown (certain);
+    The first that fits, between rows that are both or neither a venue record: one id, or one address and nights (starts; column all_nights has them all) within a day or unknown (certain);
     related names within a day (certain at one place; else review); one name and an unknown start (review); one place and day
     (review); related names at one place within a week (review), or that recur on one weekday (certain, but review for other styles or clocks).
     """
     columns = ["id", "ord", "hub", "key", "start_local", "recurring", *_NAME, *_PLACE]
-    every = rows.select(*columns, F.lit(True).alias("mine"))
+    dated = any("all_nights" in side.columns for side in (rows, others) if side is not None)
+    nights = lambda side: [(c("all_nights") if "all_nights" in side.columns else F.lit(None).cast("array<timestamp_ntz>")).alias("all_nights")] if dated else []
+    every = rows.select(*columns, *nights(rows), F.lit(True).alias("mine"))
     if others is not None:
-        every = every.union(others.select(*columns, F.lit(False)))
+        every = every.union(others.select(*columns, *nights(others), F.lit(False)))
     names, every = _numbered(every, _NAME, "nid")
     places, every = _numbered(every, _PLACE, "pid")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    every = kept(every.select("id", "ord", "hub", "mine", "nid", "pid", "recurring", F.coalesce("norm", F.lit("")).alias("norm"), F.coalesce("key", F.lit("")).alias("url"), F.timestamp_diff("MICROSECOND", epoch, c("start_local")).alias("t")))
+    all_nights = [F.transform("all_nights", micros).alias("ts")] if dated else []
+    every = kept(every.select("id", "ord", "hub", "mine", "nid", "pid", "recurring", F.coalesce("norm", F.lit("")).alias("norm"), F.coalesce("key", F.lit("")).alias("url"), micros(c("start_local")).alias("t"), *all_nights))
     related, same = kept(related_names(names)), kept(same_places(places))
     day, week = F.floor(c("t") / DAY), F.floor(c("t") / (7 * DAY))
     dow = F.pmod(day, F.lit(7))
     around = lambda x: F.array(x - 1, x, x + 1)
-    facts = ["id", "ord", "mine", "nid", "pid", "recurring", "url", "t"]
+    facts = ["id", "ord", "mine", "nid", "pid", "recurring", "url", "t", *(["ts"] if dated else [])]
 
     def own(key: Column, rows: DataFrame = every) -> DataFrame:
         return rows.select(F.struct(*facts).alias("y"), key.alias("k")).filter("k is not null")
@@ -107,7 +123,12 @@ def graded_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     gap = F.abs(c("x.t") - c("y.t"))
     near = gap < DAY
     forward = c("x.ord") < c("y.ord")
-    one_id, one_url = c("x.id") == c("y.id"), (c("x.url") == c("y.url")) & (c("x.url") != "") & F.coalesce(near, F.lit(True))
+    one_night = near
+    if dated:
+        of = lambda side: F.coalesce(c(f"{side}.ts"), F.array_compact(F.array(c(f"{side}.t"))))
+        one_night = F.when(c("x.ts").isNull() & c("y.ts").isNull(), near).otherwise(least_gap(of("x"), of("y")) < DAY)
+    same_url = (c("x.url") == c("y.url")) & (c("x.url") != "")
+    one_id, one_url = c("x.id") == c("y.id"), F.when(same_url, F.coalesce(one_night, F.lit(True))).otherwise(F.lit(False))
     told = F.coalesce(one_id | one_url, F.lit(False))
     once = (c("x.nid") != c("y.nid")) | forward  # a name's rows meet each other both ways
     flags = ["exact", "inside", "strong", "strong_back", "other_styles", "other_days"]
@@ -120,8 +141,18 @@ def graded_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
         out.append(met.select(pick("id", True).alias("a"), pick("id", False).alias("b"), pick("ord", True).alias("ao"), pick("ord", False).alias("bo"), (F.lit(grade) if isinstance(grade, str) else grade).alias("grade")))
 
     found(meet(asking(every, key("id")), own(key("id"))).filter(forward if others is None else c("x.mine")).filter(one_id), "certain")
-    addressed = F.when(c("url") != "", key("url"))
-    found(meet(asking(every, addressed), own(addressed)).filter(forward if others is None else c("x.mine")).filter(one_url & ~one_id), "certain")
+    # rows of one address meet by its nights, those without any by the address alone
+    addressed = every.filter("url <> ''")
+    at_night = addressed.withColumn("o", F.explode(F.coalesce("ts", F.array("t")))) if dated else addressed.withColumn("o", c("t"))
+    at_night, night = at_night.filter("o is not null"), F.floor(c("o") / DAY)
+    asked = at_night.select(F.struct(*facts).alias("x"), c("o").alias("xo"), "hub", "url", F.explode(around(night)).alias("d")).select("x", "xo", key("url", "d").alias("k"))
+    answering = at_night.select(F.struct(*facts).alias("y"), c("o").alias("yo"), key("url", night).alias("k"))
+    found(meet(asked, answering, "xo", "yo").filter(forward if others is None else c("x.mine")).filter(same_url & ~one_id & (F.abs(c("xo") - c("yo")) < DAY)), "certain")
+    if dated:  # two series may share many nights
+        out[-1] = out[-1].distinct()
+    none_known = lambda side: c(f"{side}t").isNull() & (c(f"{side}ts").isNull() if dated else F.lit(True))
+    dateless = meet(asking(addressed.filter(none_known("")), key("url")), own(key("url"), addressed))
+    found(dateless.filter(same_url & ~one_id & (~none_known("y.") | (forward if others is None else c("x.mine")))), "certain")
 
     clock = F.abs(F.floor(c("x.t") / 60_000_000) % 1440 - F.floor(c("y.t") / 60_000_000) % 1440)
     clock = F.least(clock, 1440 - clock)

@@ -13,7 +13,7 @@ from ..functions.places import SAME_PLACE_KM, distance_km, place_text
 from ..functions.text import detect_styles
 from ..functions.timefn import minutes_of_day, seconds_between
 from ..functions.urls import url_key, url_rank
-from .grading import graded_pairs
+from .grading import DAY, graded_pairs, least_gap, micros
 from .stage import kept
 
 #: A cell of the grid that finds near places, in degrees: its neighbours cover SAME_PLACE_KM up to latitude 57.
@@ -25,8 +25,13 @@ JUDGED = ["id", "ord", "source", "hub", "canon", "norm", "words", "telling", "st
 
 
 def prepared(listings: DataFrame) -> DataFrame:
-    """listings with the columns that pairs are judged by. Columns hub (venue record or not) and canon (canonical place) may be there already."""
+    """listings with the columns that pairs are judged by. Columns hub (venue record or not) and canon (canonical place) may be there already. Where there is a column
+    recurrences (times of further nights), a row with some recurs, and all_nights has them all, its start among them, in order."""
     norm, has = normalize_name(F.col("name")), listings.columns
+    if "recurrences" in has:
+        nights = F.array_compact(F.coalesce("recurrences", F.array().cast("array<timestamp_ntz>")))
+        dates = F.when(F.size(nights) > 0, F.array_sort(F.array_distinct(F.array_compact(F.concat(nights, F.array(F.col("start_local").cast("timestamp_ntz")))))))
+        listings = listings.withColumn("all_nights", dates).withColumn("recurring", F.coalesce("recurring", F.lit(False)) | dates.isNotNull())
     hub, canon = (F.coalesce("hub", F.lit(False)) if "hub" in has else F.lit(False)), (F.nullif("canon", F.lit("")) if "canon" in has else F.lit(None).cast("string"))
     return (
         listings.withColumn("hub", hub).withColumn("canon", canon).withColumn("norm", norm).withColumn("words", content_words(F.col("norm"))).withColumn("telling", distinctive_words(F.col("words")))
@@ -112,10 +117,14 @@ def gradable_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFram
     return meeting(side(rows, 0, every), side(others, 1, every), yes).union(meeting(side(others, 0, one_way), side(rows, 1, one_way), yes)).distinct()
 
 
+def _judged_by(rows: DataFrame) -> list[str]:
+    return [*JUDGED, "all_nights"] if "all_nights" in rows.columns else JUDGED
+
+
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs with what both rows are judged by, found by id and ord, as structs x and y."""
     for side, at, name in (("a", "ao", "x"), ("b", "bo", "y")):
-        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("ord").alias(at), F.struct(*JUDGED).alias(name)), [side, at])
+        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("ord").alias(at), F.struct(*_judged_by(rows)).alias(name)), [side, at])
     return pairs
 
 
@@ -141,8 +150,12 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
     dx, dy = x("days_named"), y("days_named")
     other_days = x("recurring") & y("recurring") & (F.size(dx) > 0) & (F.size(dy) > 0) & ~F.arrays_overlap(dx, dy)
     certain, review = F.lit("certain"), F.lit("review")
+    one_night = near
+    if "all_nights" in sides.schema["x"].dataType.names:
+        nights = lambda of: F.transform(F.coalesce(of("all_nights"), F.array_compact(F.array(of("start_local")))), micros)
+        one_night = least_gap(nights(x), nights(y)) < DAY
     rules = (
-        F.when(x("id") == y("id"), certain).when((x("key") == y("key")) & (x("key") != "") & F.coalesce(near, F.lit(True)), certain).when(F.coalesce(x("norm"), F.lit("")) == "", None).when(F.coalesce(y("norm"), F.lit("")) == "", None)
+        F.when(x("id") == y("id"), certain).when((x("key") == y("key")) & (x("key") != "") & F.coalesce(one_night, F.lit(True)), certain).when(F.coalesce(x("norm"), F.lit("")) == "", None).when(F.coalesce(y("norm"), F.lit("")) == "", None)
         .when(same_day & same_place & (exact | inside | strong), certain).when(exact & same_place & near, certain)
         .when(same_place & (exact | strong) & both_recur, F.when(other_styles | (clock > 120), review).otherwise(certain))
         .when(exact & near, review).when(same_place & same_day, review).when(inside & near, review).when(strong & near, review)
@@ -155,7 +168,8 @@ def graded(sides: DataFrame, verdict: Column | None = None) -> DataFrame:
 
 def judged(listings: DataFrame) -> DataFrame:
     """The columns that pairs are judged by, worked out once and kept: blocks and both sides of pairs read them."""
-    return kept(prepared(listings).select(*JUDGED))
+    rows = prepared(listings)
+    return kept(rows.select(*_judged_by(rows)))
 
 
 def grade_pairs(listings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

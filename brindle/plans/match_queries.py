@@ -31,6 +31,17 @@ def _(t: DataFrame) -> DataFrame:
     return M.grade_pairs(t)
 
 
+_DATED = f"""{_CAND}, {D.GRADED}""".replace("v_listing", "v_dated").replace("WHEN same_url AND coalesce(soon, true) THEN", "WHEN same_url AND (xo, yo) IN (SELECT mx, my FROM met) THEN")
+_MET = """, met AS (SELECT DISTINCT x.ord AS mx, y.ord AS my FROM occ x JOIN occ y ON x.url = y.url AND x.ord < y.ord AND x.o > y.o - INTERVAL 24 HOUR AND x.o < y.o + INTERVAL 24 HOUR),
+g AS ("""
+
+
+@query("dated_pairs", "v_dated", sql=_DATED.replace("cand AS (", "occ AS (SELECT DISTINCT ord, url, unnest(list_append(coalesce(recurrences, []), start_local)) AS o FROM v_dated), cand AS (").replace(", g AS (", _MET) + " SELECT a, b, grade FROM graded WHERE grade IS NOT NULL")
+def _(t: DataFrame) -> DataFrame:
+    """Listings of one address are one where any nights of theirs are within a day, not their starts alone."""
+    return M.grade_pairs(t)
+
+
 @query("pair_totals", L, sql=f"{_GRADE} SELECT grade, count(*) AS n FROM graded WHERE grade IS NOT NULL GROUP BY grade")
 def _(t: DataFrame) -> DataFrame:
     return M.grade_pairs(t).groupBy("grade").agg(F.count("*").alias("n"))

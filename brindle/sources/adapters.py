@@ -69,6 +69,12 @@ SELECT conv_id AS item, turn AS seq, role AS actor,
 SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN substring(p_name, 1, length(p_name) - 1) ELSE p_name END AS variant FROM {part}""",
 }
 
+#: Listings that share their organizer's address; those that recur list further nights.
+VIEWS["v_dated"] = f"""
+SELECT v.ord, v.id, v.pool, v.source, v.name, v.start_local, v.end_local, v.location, v.lat, v.lng, v.cost, 'https://club.example/c' || CAST(o.o_custkey AS STRING) AS url, v.recurring, r.recurrences
+FROM ({VIEWS["v_listing"].strip()}) v JOIN {{orders}} o ON o.o_orderkey = v.ord
+  LEFT JOIN (SELECT l_orderkey, array_agg(l_shipdate + INTERVAL '1' HOUR * (l_orderkey % 24)) AS recurrences FROM {{lineitem}} GROUP BY l_orderkey) r ON r.l_orderkey = v.ord AND v.recurring"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables of a folder."""
