@@ -130,6 +130,7 @@ def graded_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     same_url = (c("x.url") == c("y.url")) & (c("x.url") != "")
     one_id, one_url = c("x.id") == c("y.id"), F.when(same_url, F.coalesce(one_night, F.lit(True))).otherwise(F.lit(False))
     told = F.coalesce(one_id | one_url, F.lit(False))
+    apart = ~told if dated else ~one_id  # starts a day or more apart rule one address out, other nights don't
     once = (c("x.nid") != c("y.nid")) | forward  # a name's rows meet each other both ways
     flags = ["exact", "inside", "strong", "strong_back", "other_styles", "other_days"]
     with_names = every.join(related.withColumnRenamed("p", "nid"), "nid")
@@ -185,9 +186,9 @@ def graded_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     named_at = with_names.join(same.select(c("p").alias("pid"), c("q").alias("at"), "same", "same_back"), "pid")
     more = (*flags, "same", "same_back")
     weeks = every.select(F.struct(*facts).alias("y"), "hub", "nid", "pid", F.explode(around(week)).alias("w")).select("y", key("nid", "pid", "w").alias("k"))
-    in_week = meet(asking(named_at, key("q", "at", week), *more), weeks, *more).filter(once & there & (gap >= DAY) & (gap < 7 * DAY) & ~one_id & (c("exact") | c("inside") | strong))
+    in_week = meet(asking(named_at, key("q", "at", week), *more), weeks, *more).filter(once & there & (gap >= DAY) & (gap < 7 * DAY) & apart & (c("exact") | c("inside") | strong))
     found(in_week, F.when((c("exact") | strong) & weekly, series).when(~(both & c("other_days")), "review"))
     again = F.when(c("recurring"), key("q", "at", dow))
-    later = meet(asking(named_at, again, *more), own(F.when(c("recurring"), key("nid", "pid", dow))), *more).filter(once & there & weekly & (gap >= 7 * DAY) & ~one_id & (c("exact") | strong))
+    later = meet(asking(named_at, again, *more), own(F.when(c("recurring"), key("nid", "pid", dow))), *more).filter(once & there & weekly & (gap >= 7 * DAY) & apart & (c("exact") | strong))
     found(later, series)
     return reduce(DataFrame.unionByName, out).filter("grade is not null")
