@@ -250,6 +250,16 @@ def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
     return _routed(t, s, d).drop("ord")
 
 
+@query("ingest_pools", L, "v_source", "v_decision", sql=f"""{_ROUTE}, fo AS (SELECT other, r.id FROM r WHERE status IN ('merged', 'reactivated')), gr AS (
+  SELECT other AS g, l.id, ord + {1 << 40} AS o, name, location, source FROM fo JOIN v_listing l ON l.id = fo.id UNION ALL SELECT l.id, l.id, ord, name, location, source FROM v_listing l WHERE l.id IN (SELECT other FROM fo))
+SELECT r.id, ord, CASE status WHEN 'added' THEN 'active' ELSE 'pending' END AS pool, name, location, 1 AS members FROM r JOIN v_listing l ON l.id = r.id WHERE status IN ('added', 'pending', 'quarantined')
+UNION ALL SELECT g, min(o), 'active', arg_min(name, (source_rank, o)), arg_min(location, (source_rank, o)) FILTER (location IS NOT NULL), count(*) FROM gr JOIN v_source s ON s.source = gr.source GROUP BY g""")
+def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    """The rows that a run changes: new ones, and known ones with what was folded into them."""
+    changed = LC.upserts(t.filter("pool = 'pending'"), _routed(t, s, d), t.filter("pool <> 'pending'"), s)
+    return changed.select("id", "ord", "pool", "name", "location", "members")
+
+
 @query("reactivate", L, "v_source", "v_decision", sql=f"{_ROUTE} SELECT id, other FROM r WHERE status = 'reactivated'")
 def _(t: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
     return _routed(t, s, d).filter("status = 'reactivated'").select("id", "other")
