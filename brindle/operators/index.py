@@ -32,8 +32,8 @@ def _part(gram: Column, parts: int) -> Column:
 
 
 def build_index(records: DataFrame, parts: int = PARTS) -> DataFrame:
-    """part, gram, field, ord, id, at: where (characters from 0, ascending) a field has each piece of one to PIECE characters. A token has no
-    blanks, so pieces with blanks aren't kept. A text is cut into characters once; long ones cost what their length is."""
+    """part, gram, field, ord, id, at: a row for each place (in characters, from 0) at which a field has a piece of one to PIECE characters. A token
+    has no blanks, so pieces with blanks aren't kept. A text is cut into characters once; long ones cost what their length is. Nothing is shuffled."""
     n = F.size("chars")
 
     def pieces(k: int) -> Column:
@@ -42,13 +42,12 @@ def build_index(records: DataFrame, parts: int = PARTS) -> DataFrame:
 
     rows = records.select("ord", "id", "field", F.split("text", "").alias("chars"))
     found = rows.select("ord", "id", "field", F.inline(F.concat(*(pieces(k) for k in range(1, PIECE + 1))))).filter(~F.col("gram").rlike(r"(?U)\s"))
-    held = found.groupBy("gram", "field", "ord", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return held.select(_part(F.col("gram"), parts), "gram", "field", "ord", "id", "at")
+    return found.select(_part(F.col("gram"), parts), "gram", "field", "ord", "id", "at")
 
 
 def write_index(index: DataFrame, path: str, files: int = 8) -> None:
     """The index as files: a folder for each part, its rows by piece, a part's rows (frequent pieces too) over several files and tasks."""
-    index.repartition("part", F.pmod(F.xxhash64("ord"), F.lit(files))).sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(path)
+    index.repartition("part", F.pmod(F.xxhash64("ord"), F.lit(files))).sortWithinPartitions("part", "gram", "field", "ord").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +63,7 @@ def _token_hits(index: DataFrame, tokens: DataFrame, parts: int) -> DataFrame:
     starts = F.when(n <= PIECE, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), n - PIECE, F.lit(PIECE)), F.array(n - PIECE))))
     asked = tokens.select("token", F.size(starts).alias("pieces"), F.explode(starts).alias("offset")).withColumn("gram", F.substring(c("token"), c("offset") + 1, F.lit(PIECE)))
     rows = index.join(asked.withColumn("part", _part(c("gram"), parts)), ["part", "gram"])
-    at = F.when(c("pieces") == 1, F.slice("at", 1, 1)).otherwise(c("at"))  # where it begins first is all that one piece has to tell
-    placed = rows.select("token", "pieces", "field", "ord", "id", F.explode(at).alias("at"), "offset").withColumn("at", c("at") - c("offset")).repartition("ord", "id")
+    placed = rows.select("token", "pieces", "field", "ord", "id", (c("at") - c("offset")).alias("at")).repartition("ord", "id")
     whole = placed.groupBy("ord", "id", "token", "field", "at", "pieces").agg(F.count("*").alias("n")).filter(c("n") == c("pieces"))
     fields = whole.filter(~c("field").isin(BEGINNING) | (c("at") == 0)).select("ord", "id", "token", "field").distinct()
     weight = F.create_map(*(F.lit(x) for pair in FIELDS.items() for x in pair))[c("field")]
