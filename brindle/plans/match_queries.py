@@ -12,6 +12,7 @@ from ..functions import timefn as T
 from ..functions import urls as U
 from ..functions.names import SPECIAL_EDITION
 from ..operators import match as M
+from ..operators import merging as MG
 from . import duck as D
 from .registry import query
 
@@ -171,6 +172,32 @@ def _(t: DataFrame) -> DataFrame:
     return M.merged(rows, "g").select("g", "id", "name", "location", "cost", "recurring", "members", "url")
 
 
+def _first(x: str, told: str | None = None) -> str:
+    return f"arg_min({x}, k) FILTER ({told or f'{x} IS NOT NULL'})"
+
+
+_KEEP = f"""o AS (SELECT *, source_rank * 1000000000000 + ord AS k FROM v_copy), i AS (SELECT g, id, min(k) AS k, arg_min_null(source, k) AS source, arg_max(start_local, ord) AS s, arg_max(end_local, ord) AS e, arg_max(recurrences, ord) AS r, bool_or(recurring OR recurrences IS NOT NULL) AS series FROM o GROUP BY g, id),
+hd AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY g ORDER BY k) = 1), kp AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY g ORDER BY NOT series, k) = 1), an AS (SELECT g, arg_min(r, k) AS r FROM i GROUP BY g),
+fr AS (SELECT i.* FROM i JOIN kp ON kp.g = i.g AND kp.source = i.source WHERE kp.r IS NOT NULL AND i.r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY i.g ORDER BY greatest(list_max(i.r), i.s) DESC, i.s DESC NULLS LAST, i.k) = 1),
+da AS (SELECT hd.g, coalesce(fr.s, kp.s, hd.s) AS s, coalesce(fr.e, kp.e, hd.e) AS e, coalesce(fr.r, kp.r, an.r) AS r FROM hd JOIN kp USING (g) JOIN an USING (g) LEFT JOIN fr USING (g)),
+lk AS (SELECT g, k, unnest([url] || urls) AS u, generate_subscripts([url] || urls, 1) AS pos FROM o), lh AS (SELECT *, {D.key('u')} AS key FROM lk WHERE trim(u) <> '' QUALIFY row_number() OVER (PARTITION BY g, {D.host('u')} ORDER BY k, pos) = 1),
+dr AS (SELECT g, {D.key('d')} AS key, min(d) AS d FROM (SELECT g, unnest(dropped_urls) AS d FROM o) GROUP BY ALL), lm AS (SELECT lh.*, dr.key IS NOT NULL AS gone, bool_and(dr.key IS NOT NULL) OVER (PARTITION BY lh.g) AS all_gone FROM lh LEFT JOIN dr ON dr.g = lh.g AND dr.key = lh.key),
+lv AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {D.rank('u')}, k, pos) AS fit FROM lm WHERE NOT gone OR all_gone), ll AS (SELECT g, max(u) FILTER (fit = 1) AS url, string_agg(u, ' ' ORDER BY k, pos) FILTER (fit > 1) AS urls FROM lv GROUP BY g), dd AS (SELECT g, string_agg(d, ' ' ORDER BY d) AS dropped FROM dr GROUP BY g),
+m AS (SELECT g, arg_min(id, k) AS id, arg_min_null(source, k) AS source, arg_min(name, k) AS name, bool_or(recurring) AS recurring, coalesce(arg_min_null(location_override, k), {_first('location')}) AS location, coalesce({_first('lat', 'lat IS NOT NULL AND lng IS NOT NULL')}, arg_min_null(lat, k)) AS lat, coalesce({_first('lng', 'lat IS NOT NULL AND lng IS NOT NULL')}, arg_min_null(lng, k)) AS lng,
+  CASE WHEN {_first('cost', "trim(cost) <> ''")} = 'Free' THEN coalesce({_first('cost', "contains(cost, '$')")}, 'Free') ELSE {_first('cost', "trim(cost) <> ''")} END AS cost, array_to_string(coalesce({_first('styles', "styles <> ['other']")}, arg_min_null(styles, k)), ' ') AS styles, {_first('schedule')} AS schedule, {_first('location_override')} AS location_override, {_first('description', "description <> ''")} AS description,
+  {_first('special')} AS special, {_first('ruling')} AS ruling, {_first('verified_at')} AS verified_at, {_first('verified_status')} AS verified_status, {_first('verified_note')} AS verified_note, {_first('fixed_start')} AS fs, arg_min_null(fixed_end, k) FILTER (fixed_start IS NOT NULL) AS fe, count(*) AS members FROM o GROUP BY g)"""
+
+
+@query("merge_rules", "v_copy", sql=f"""WITH {_KEEP} SELECT m.* EXCLUDE (fs, fe), coalesce(fs, s) AS start_local, coalesce(fe, e) AS end_local, len(r) AS nights, list_max(r) AS last_night, url, coalesce(urls, '') AS urls, coalesce(dropped, '') AS dropped FROM m JOIN da USING (g) LEFT JOIN ll USING (g) LEFT JOIN dd USING (g)""")
+def _(t: DataFrame) -> DataFrame:
+    """Groups of copies merged by every field's rule."""
+    fixed = F.when(c("fixed_start").isNotNull(), F.struct(c("fixed_start").alias("start_local"), c("fixed_end").alias("end_local")))
+    out = MG.merge_rows(t.withColumn("time_override", fixed), "g").drop("time_override")
+    text = lambda x: F.coalesce(F.array_join(x, " "), F.lit(""))
+    nights = F.when(c("recurrences").isNotNull(), F.size("recurrences").cast("long"))
+    return out.select("*", nights.alias("nights"), F.array_max("recurrences").alias("last_night"), text("dropped_urls").alias("dropped")).drop("recurrences", "dropped_urls").withColumn("urls", text("urls")).withColumn("styles", F.array_join("styles", " "))
+
+
 @query("merge_winner", L, sql=f"""WITH n AS (SELECT *, {D.norm('name')} AS norm FROM v_listing) SELECT norm, source, id FROM n QUALIFY row_number() OVER (PARTITION BY norm, location ORDER BY ord % 25, ord) = 1""")
 def _(t: DataFrame) -> DataFrame:
     return M.winners(M.prepared(t), ["norm", "location"], [c("ord") % 25, c("ord")]).select("norm", "source", "id")

@@ -75,6 +75,17 @@ SELECT v.ord, v.id, v.pool, v.source, v.name, v.start_local, v.end_local, v.loca
 FROM ({VIEWS["v_listing"].strip()}) v JOIN {{orders}} o ON o.o_orderkey = v.ord
   LEFT JOIN (SELECT l_orderkey, array_agg(l_shipdate + INTERVAL '1' HOUR * (l_orderkey % 24)) AS recurrences FROM {{lineitem}} GROUP BY l_orderkey) r ON r.l_orderkey = v.ord AND v.recurring"""
 
+#: Copies of listings, eight to a group, some of one id; with what merging has to choose from.
+VIEWS["v_copy"] = f"""
+SELECT 'G' || CAST(CAST(floor(ord / 8) AS BIGINT) AS STRING) AS g, 'I' || CAST(ord - CASE WHEN ord % 4 = 1 THEN 1 ELSE 0 END AS STRING) AS id, ord, CASE WHEN ord % 5 = 0 THEN NULL ELSE 'src' || CAST(ord % 2 AS STRING) END AS source,
+  (ord * 5) % 3 AS source_rank, name, CASE WHEN ord % 11 = 0 THEN NULL ELSE start_local END AS start_local, end_local, recurring, recurrences, CASE WHEN ord % 10 = 3 THEN 'weekly ' || id END AS schedule, location,
+  CASE WHEN ord % 41 = 0 THEN 'Annex of ' || id END AS location_override, lat, CASE WHEN ord % 6 = 1 THEN NULL ELSE lng END AS lng, CASE ord % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'about ' || id END AS description, cost,
+  CASE ord % 3 WHEN 0 THEN split('other', ',') WHEN 1 THEN NULL ELSE split('salsa,' || id, ',') END AS styles, CASE WHEN ord % 50 = 7 THEN true END AS special, CASE WHEN ord % 30 = 2 THEN 'keep ' || id END AS ruling,
+  CASE WHEN ord % 6 = 5 THEN start_local END AS verified_at, CASE WHEN ord % 6 = 4 THEN 'confirmed' END AS verified_status, CASE WHEN ord % 8 = 6 THEN 'seen by ' || id END AS verified_note,
+  CASE ord % 4 WHEN 0 THEN 'https://www.facebook.com/events/' || id WHEN 1 THEN '' ELSE url END AS url, split(url || '/more,https://club' || CAST(ord % 2 AS STRING) || '.example/' || id, ',') AS urls,
+  CASE WHEN ord % 9 = 0 THEN split(url || ',https://www.facebook.com/events/' || id || ',https://club0.example/' || id, ',') END AS dropped_urls, CASE WHEN ord % 37 = 0 THEN start_local + INTERVAL '1' HOUR END AS fixed_start, CASE WHEN ord % 74 = 0 THEN end_local + INTERVAL '2' HOUR END AS fixed_end
+FROM ({VIEWS["v_dated"].strip()})"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables of a folder."""
