@@ -26,6 +26,12 @@ def _told(name: str) -> Column:
     return F.when(F.size(name) > 0, F.col(name)) if kind.startswith("array") else F.col(name)
 
 
+def _beside(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what other has for the keys; a null key is a key like others."""
+    named = other.select(*(F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in other.columns))
+    return rows.join(named, [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys], "left").drop(*(f"_{k}" for k in keys))
+
+
 def _dates(rows: DataFrame, group: str) -> DataFrame:
     """group, dates (start_local, end_local), recurrences of the schedule that stays."""
     c, order = F.col, F.struct("source_rank", "ord")
@@ -47,8 +53,8 @@ def _dates(rows: DataFrame, group: str) -> DataFrame:
     return one.select(group, *(pick(n).alias(n) for n in ("start_local", "end_local", "recurrences")))
 
 
-def _links(rows: DataFrame, group: str) -> DataFrame:
-    """group, url, urls, dropped_urls: of each host the first link; none that was dropped, unless nothing else is left; the fittest is url."""
+def _links(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """group, url, urls; and group, dropped_urls: of each host the first link; none that was dropped, unless nothing else is left; the fittest is url."""
     c = F.col
     all_urls = F.concat(F.array("url"), F.coalesce("urls", F.array().cast("array<string>")))
     links = rows.select(group, "source_rank", "ord", F.posexplode(all_urls).alias("pos", "link")).filter("trim(link) <> ''").withColumn("key", url_key(c("link")))
@@ -56,18 +62,18 @@ def _links(rows: DataFrame, group: str) -> DataFrame:
     order = F.struct("source_rank", "ord", "pos")
     one = links.groupBy(group, host.alias("host")).agg(F.min(order).alias("at"), F.min_by(F.struct("link", "key"), order).alias("l")).select(group, "at", "l.link", "l.key")
     gone = rows.select(group, F.explode("dropped_urls").alias("dropped")).filter("trim(dropped) <> ''").groupBy(group, url_key(c("dropped")).alias("key")).agg(F.min("dropped").alias("dropped"))
-    held = one.join(gone.select(group, "key", F.lit(True).alias("is_gone")), [group, "key"], "left").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "link", F.coalesce("is_gone", F.lit(False)).alias("gone")))).alias("l"))
+    held = _beside(one, gone.select(group, "key", F.lit(True).alias("is_gone")), [group, "key"]).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "link", F.coalesce("is_gone", F.lit(False)).alias("gone")))).alias("l"))
     live = F.filter("l", lambda x: ~x["gone"])
     stays = held.select(group, F.when(F.size(live) > 0, live).otherwise(c("l")).alias("l"))
     best = F.array_min(F.transform("l", lambda x: F.struct(url_rank(x["link"]).alias("fit"), x["at"].alias("at"), x["link"].alias("link"))))["link"]
     told = stays.withColumn("url", best).select(group, "url", F.filter(F.transform("l", lambda x: x["link"]), lambda x: x != c("url")).alias("urls"))
     dropped = gone.groupBy(group).agg(F.array_sort(F.collect_set("dropped")).alias("dropped_urls"))
-    return told.join(dropped, group, "full")
+    return told, dropped
 
 
 def merge_rows(rows: DataFrame, group: str, ticketing: tuple[str, ...] = ()) -> DataFrame:
     """group, members and COLUMNS but ord and source_rank: one row for each group. Rows are taken by source_rank, then ord (ord is unique); the first is the
-    winner and gives id, source and name. A group may be of any size: all is combined before each shuffle, only links are listed, one for each host.
+    winner and gives id, source and name. Rows without group are one group. A group may be of any size: all is combined before each shuffle, only links are listed, one for each host.
 
     - The schedule (start, end, recurrences) is that of the first row that is a series (recurring, or with recurrences), else the winner's. Copies of one id
       are one row there, whose dates are those that came last. Where the series' source has several with recurrences, the one that reaches furthest stays (then
@@ -93,7 +99,10 @@ def merge_rows(rows: DataFrame, group: str, ticketing: tuple[str, ...] = ()) ->
         F.min_by(F.struct("id", "source", "name", "location_override", "lat", "lng", "styles"), order).alias("w"), F.max(F.coalesce("recurring", F.lit(False))).alias("recurring"), first(_told("location")).alias("_location"), first(point).alias("_point"),
         first(_told("cost")).alias("_cost"), first(paid).alias("_paid"), first(styled).alias("_styles"), F.count("*").alias("members"), *(first(_told(k)).alias(k) for k in _FILLED),
     )
-    out = agg.join(_dates(whole, group).alias("d"), group, "left").join(_links(whole, group), group, "left")
+    dates = _dates(whole, group).select(group, F.struct("start_local", "end_local", "recurrences").alias("d"))
+    out = _beside(agg, dates, [group])
+    for links in _links(whole, group):
+        out = _beside(out, links, [group])
     when = {k: F.coalesce(c(f"time_override.{k}"), c(f"d.{k}")) for k in ("start_local", "end_local")}
     cost = F.when(F.lower(F.trim("_cost")) == "free", F.coalesce("_paid", "_cost")).otherwise(c("_cost"))
     location = F.coalesce(F.when(F.trim("w.location_override") != "", c("w.location_override")), c("_location"))

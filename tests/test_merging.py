@@ -17,7 +17,7 @@ def random_row(r, n):
     day = lambda: T0 + dt.timedelta(days=r.randrange(9), hours=r.randrange(3))
     link = lambda: f"https://{some(r, 'a.example', 'www.facebook.com/events', 'fb.me', 'b.example')}/{r.randrange(3)}"
     return {
-        "g": f"g{r.randrange(40)}", "id": f"i{r.randrange(12)}", "ord": n, "source": some(r, "s", "t", None, ""), "source_rank": r.randrange(3), "name": f"n{n}", "start_local": some(r, None, day(), day()), "end_local": some(r, None, day()),
+        "g": some(r, None, *(f"g{i}" for i in range(40))), "id": f"i{r.randrange(12)}", "ord": n, "source": some(r, "s", "t", None, ""), "source_rank": r.randrange(3), "name": f"n{n}", "start_local": some(r, None, day(), day()), "end_local": some(r, None, day()),
         "recurring": some(r, None, False, True), "recurrences": some(r, None, None, [], sorted([day(), day()])), "schedule": some(r, None, "", f"sch{n}"), "location": some(r, None, " ", f"loc{n}"), "location_override": some(r, None, None, "", f"over{n}"),
         "lat": some(r, None, 1.0 * n), "lng": some(r, None, 2.0 * n), "description": some(r, None, "", f"text{n}"), "cost": some(r, None, "", "Free", "free ", f"${n}", f"{n} USD"), "styles": some(r, None, [], ["other"], ["salsa", f"x{n}"]),
         "special": some(r, None, None, False, True), "ruling": some(r, None, "", f"rule{n}"), "verified_at": some(r, None, day()), "verified_status": some(r, None, "confirmed"), "verified_note": some(r, None, "", "seen"), "url": some(r, None, "", link()),
