@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_styles, extract_cost
@@ -25,10 +26,11 @@ def parsed_rule(rule: Column, frequencies: list[str] = FREQUENCIES) -> Column:
     part = lambda k: rule_part(rule, k)
     numbers = lambda k: F.transform(F.split(part(k), ","), lambda x: F.trim(x).try_cast("int"))
     step = F.coalesce(part("INTERVAL"), F.lit("1")).try_cast("int")
+    by_day = lambda x: F.struct(F.array_position(F.array(*map(F.lit, CODES)), F.substring(x, -2, 2)).cast("int").alias("day"), F.nullif(F.regexp_extract(x, r"^([+-]?\d+)", 1), F.lit("")).try_cast("int").alias("n"))
     other = F.greatest(*(part(k).isNotNull() for k in UNFOLLOWED))
     week_begins = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CODES)), part("WKST")), F.lit(0)), F.lit(2)) - 2  # 0 is Monday
     return F.struct(
-        part("FREQ").alias("freq"), part("COUNT").try_cast("int").alias("count"), part("UNTIL").alias("until"), F.split(part("BYDAY"), r"\s*,\s*").alias("by"), numbers("BYSETPOS").alias("positions"), numbers("BYMONTH").alias("months"),
+        part("FREQ").alias("freq"), part("COUNT").try_cast("int").alias("count"), part("UNTIL").alias("until"), F.transform(F.split(part("BYDAY"), r"\s*,\s*"), by_day).alias("by"), numbers("BYSETPOS").alias("positions"), numbers("BYMONTH").alias("months"),
         numbers("BYMONTHDAY").alias("month_days"), step.alias("step"), week_begins.alias("week_begins"), F.coalesce(part("FREQ").isin(frequencies) & (step >= 1) & ~other, F.lit(False)).alias("followed"),
     )
 
@@ -54,8 +56,8 @@ def rule_days(rows: DataFrame, first: Column, begin: Column, end: Column) -> Dat
         from_back = F.ceil(F.when(of_year, F.datediff(year_end(d), d) + 1).otherwise(left) / 7)
 
         def named(e: Column) -> Column:
-            n = F.regexp_extract(e, r"^([+-]?\d+)", 1).try_cast("int")
-            return (F.substring(e, -2, 2) == F.element_at(F.array(*map(F.lit, CODES)), F.dayofweek(d))) & (n.isNull() | freq.isin("DAILY", "WEEKLY") | (n == from_front) | (n == -from_back))
+            n = e["n"]
+            return (e["day"] == F.dayofweek(d)) & (n.isNull() | freq.isin("DAILY", "WEEKLY") | (n == from_front) | (n == -from_back))
 
         plain = by.isNull() & month_days.isNull()
         on = F.coalesce(F.exists(by, named), F.lit(True)) & F.coalesce(F.array_contains(month_days, F.day(d)) | F.array_contains(month_days, -left), F.lit(True)) & F.coalesce(F.array_contains(months, F.month(d)), F.lit(True))
@@ -68,7 +70,12 @@ def rule_days(rows: DataFrame, first: Column, begin: Column, end: Column) -> Dat
     since = F.when(count.isNull(), F.greatest(first, begin)).otherwise(first)
     low, high = F.when(positions.isNull(), since).otherwise(opens(since)), F.when(positions.isNull(), end).otherwise(closes(end))
     none = F.array().cast("array<date>")
-    fitting = F.when(followed & (low <= high), F.filter(F.sequence(low, F.greatest(low, high), F.expr("INTERVAL '1' DAY")), fits)).otherwise(none)
+    # a rule of one day for each period is walked in its own steps from first on, any other day by day
+    stride = F.when(followed, F.when(freq == "DAILY", step.cast("long")).when((freq == "WEEKLY") & by.isNull(), step.cast("long") * 7))
+    ahead = F.greatest(F.datediff(low, first), F.lit(0))
+    low = F.when(stride.isNotNull(), F.try_add(first, (F.ceil(ahead / stride) * stride).try_cast("int"))).otherwise(low)
+    walk = F.sequence(low, F.greatest(low, high), F.make_interval(days=F.coalesce(stride, F.lit(1)).try_cast("int")))
+    fitting = F.when(followed & (low <= high), F.filter(walk, fits)).otherwise(none)
 
     def at(d: Column, i: Column) -> Column:
         """The day, if it is at a position of its period; days are sorted, so a period's are together."""
@@ -89,9 +96,10 @@ def properties(feeds: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all(unfolded, F.lit(r"(?is)(?:^|\n)BEGIN:VEVENT\s*?\n(.*?)\nEND:VEVENT"), F.lit(1))
     rows = feeds.select("feed", F.posexplode(blocks).alias("pos", "entry"))
     lines = F.split(F.regexp_replace("entry", r"(?is)BEGIN:(\w+)\s*?\n.*?END:\1", ""), r"\n")
-    line = r'^([A-Za-z0-9-]+)((?:;[A-Za-z0-9-]+=(?:"[^"]*"|[^":;]*))*):(.*)$'
-    prop = lambda x: F.struct(F.upper(F.regexp_extract(x, line, 1)).alias("name"), F.regexp_extract(x, line, 2).alias("params"), F.trim(F.regexp_extract(x, line, 3)).alias("value"))
-    return rows.select("feed", "pos", F.filter(F.transform(lines, prop), lambda p: p["name"] != "").alias("props"))
+    line = r'^([A-Za-z0-9-]+)((?:;[A-Za-z0-9-]+=(?:"[^"]*"|[^":;]*))*):(.*)\R?\z'  # matched once: name, parameters and value are set apart by line ends, which no line has
+    apart = F.filter(F.transform(lines, lambda x: F.split(F.regexp_replace(x, line, "$1\n$2\n$3"), r"\n")), lambda x: F.size(x) == 3)
+    prop = lambda x: F.struct(F.when(x[0].rlike("[a-z]"), F.upper(x[0])).otherwise(x[0]).alias("name"), x[1].alias("params"), F.trim(x[2]).alias("value"))
+    return rows.select("feed", "pos", F.transform(apart, prop).alias("props"))
 
 
 def plain_text(value: Column) -> Column:
@@ -101,10 +109,10 @@ def plain_text(value: Column) -> Column:
     return value
 
 
-def zone_of(params: Column, value: Column, known: str) -> Column:
-    """The zone that a time is told in: UTC for a Z, that of TZID if it is known (a text of names between |), else ZONE."""
+def zone_of(params: Column, value: Column, known: list[str]) -> Column:
+    """The zone that a time is told in: UTC for a Z, that of TZID if it is known, else ZONE."""
     named = F.regexp_replace(F.regexp_extract(params, r"(?i);TZID=([^;:]*)", 1), '"', "")
-    return F.when(value.rlike("(?i)Z$"), "UTC").when((named != "") & F.lit(known).contains(F.concat(F.lit("|"), named, F.lit("|"))), named).otherwise(ZONE)
+    return F.when(value.rlike("(?i)Z$"), "UTC").when(named.isin(known), named).otherwise(ZONE)
 
 
 def clock_of(value: Column) -> Column:
@@ -132,15 +140,16 @@ def calendar_feed(feeds: DataFrame, as_of: Column, weeks: int = WEEKS) -> DataFr
     or broken text has no entries.
     """
     c = F.col
-    zones = f"|{'|'.join(sorted(feeds.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds()))}|"
+    zones = sorted(feeds.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
     get = lambda name: F.get(F.filter("props", lambda p: p["name"] == name), F.lit(0))
     value = lambda name: get(name)["value"]
     start, stop, again = get("DTSTART"), get("DTEND"), get("RECURRENCE-ID")
-    rows = properties(feeds).select(
+    # a file of feeds may be one task, so they are spread; all that is done for a feed stays where it is dealt then
+    rows = properties(feeds.repartition("feed")).select(
         "feed", F.coalesce(F.nullif(value("UID"), F.lit("")), F.concat_ws("-", F.lit("ics"), c("feed").cast("string"), "pos")).alias("uid"), "pos", "props", F.coalesce(plain_text(value("SUMMARY")), F.lit("Untitled Event")).alias("name"), F.coalesce(plain_text(value("LOCATION")), F.lit("")).alias("location"),
         F.coalesce(plain_text(value("DESCRIPTION")), F.lit("")).alias("description"), value("URL").alias("address"), value("RRULE").alias("rule"), parsed_rule(value("RRULE")).alias("parts"), clock_of(start["value"]).alias("clock"), zone_of(start["params"], start["value"], zones).alias("zone"),
         clock_of(stop["value"]).alias("stop_clock"), zone_of(stop["params"], stop["value"], zones).alias("stop_zone"), clock_of(again["value"]).alias("again_clock"), zone_of(again["params"], again["value"], zones).alias("again_zone"), (F.upper(value("STATUS")) == "CANCELLED").alias("cancelled"),
-    ).filter("clock is not null")
+    )
     to = lambda zone, clock, target=F.lit(ZONE): F.convert_timezone(zone, target, clock)
     since, last = (as_of - F.expr("INTERVAL '24' HOUR")).cast("timestamp_ntz"), F.timestamp_add("DAY", F.lit(7 * weeks - 1), as_of).cast("timestamp_ntz")
     until_text = c("parts.until")
@@ -162,8 +171,9 @@ def calendar_feed(feeds: DataFrame, as_of: Column, weeks: int = WEEKS) -> DataFr
     left = F.filter(F.array_sort(F.array_distinct(F.concat(clocks, "added"))), lambda t: ~F.array_contains("gone", t) & ~F.array_contains("gone_days", F.to_date(t)))
     length = F.coalesce(F.timestamp_diff("SECOND", c("clock"), to(c("stop_zone"), c("stop_clock"), c("zone"))), F.when(c("rule").isNotNull(), HOURS * 3600), F.lit(0)).cast("int")
     rows = rows.withColumn("recurring", c("rule").isNotNull()).withColumn("dates", F.transform(left, lambda t: to(c("zone"), t))).withColumn("seconds", length)
-    replaced = rows.filter("again_clock is not null").groupBy("feed", "uid").agg(F.collect_set(to(c("again_zone"), c("again_clock"))).alias("replaced"))
-    rows = rows.join(replaced, ["feed", "uid"], "left").withColumn("dates", F.when(c("again_clock").isNull() & c("replaced").isNotNull(), F.filter("dates", lambda t: ~F.array_contains("replaced", t))).otherwise(c("dates")))
+    replaced = F.collect_set(F.when(c("clock").isNotNull() & c("feed").isNotNull(), to(c("again_zone"), c("again_clock")))).over(W.partitionBy("feed", "uid"))
+    rows = rows.withColumn("replaced", replaced).filter("clock is not null")  # after the window, as a filter before it would have entries read twice
+    rows = rows.withColumn("dates", F.when(c("again_clock").isNull(), F.filter("dates", lambda t: ~F.array_contains("replaced", t))).otherwise(c("dates")))
     ahead = F.filter("dates", lambda t: (t >= since) & (~c("recurring") | ~c("followed") | (t <= F.timestamp_add("DAY", F.lit(7 * weeks - 1), as_of).cast("timestamp_ntz"))))
     rows = rows.withColumn("dates", ahead).filter((F.size("dates") > 0) & ~F.coalesce("cancelled", F.lit(False))).withColumn("start", F.get("dates", F.lit(0)))
     both = F.concat_ws(" ", "name", "description")

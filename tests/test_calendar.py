@@ -75,3 +75,12 @@ def test_no_rule_crashes(spark):
     rules = ["", ";;", "FREQ=", "FREQ=WEEKLY;INTERVAL=0", "FREQ=WEEKLY;INTERVAL=x", "FREQ=MONTHLY;BYDAY=99XX,,", "FREQ=YEARLY;BYMONTH=13", "FREQ=DAILY;COUNT=-2", "FREQ=DAILY;COUNT=x", "FREQ=MONTHLY;BYSETPOS=0", "FREQ=WEEKLY;UNTIL=20269999T000000Z", "FREQ=WEEKLY;WKST=??"]
     got = read(spark, *(feed(f"UID:r|DTSTART:20260704T100000|RRULE:{rule}") for rule in rules))
     assert {f for f, _ in got} == {0, 1, 2, 3, 4, 8, 10, 11}
+
+
+def test_feeds_of_one_file_are_spread_and_read_once(spark):
+    """A file of feeds is one task, which did all the work, and entries were parsed a second time for what they replace."""
+    texts = [(i, feed(f"UID:{i}|DTSTART:20260701T213000|RRULE:FREQ=WEEKLY;INTERVAL=2;COUNT=9", f"UID:{i}|RECURRENCE-ID:20260715T213000|DTSTART:20260716T200000")) for i in range(40)]
+    out = calendar_feed(spark.createDataFrame(texts, "feed int, text string").coalesce(1), F.lit("2026-06-15 12:00:00").cast("timestamp_ntz"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(feed") == 1
+    assert sorted((r.feed, *clocks(r)) for r in out.collect()) == sorted(x for i in range(40) for x in ((i, "0701 2130", "0729 2130", "0812 2130", "0826 2130"), (i, "0716 2000")))
