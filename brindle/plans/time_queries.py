@@ -89,7 +89,8 @@ def _(t: DataFrame) -> DataFrame:
 @query("median_gap", "v_series", sql="""WITH d AS (SELECT DISTINCT series_id, occ_local::DATE AS d FROM v_series), g AS (SELECT series_id, date_diff('day', lag(d) OVER (PARTITION BY series_id ORDER BY d), d) AS gap FROM d)
 SELECT series_id, median(gap) AS gap FROM g WHERE gap IS NOT NULL GROUP BY series_id""")
 def _(t: DataFrame) -> DataFrame:
-    return S.gaps(t).groupBy("series_id").agg(F.percentile("gap", 0.5).alias("gap"))
+    """The median of the days between a series' dates; a series of one date has no gap and no row."""
+    return S.gaps(t).filter("gap is not null").groupBy("series_id").agg(F.percentile("gap", 0.5).alias("gap"))
 
 
 @query("recurrence_label", "v_series", sql=f"""WITH d AS (SELECT DISTINCT series_id, occ_local::DATE AS d FROM v_series), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY series_id ORDER BY d), d) AS gap FROM d)
