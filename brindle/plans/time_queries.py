@@ -206,7 +206,7 @@ def _(t: DataFrame, v: DataFrame) -> DataFrame:
 @query("hub_verdicts", "v_listing", "v_venue", sql=f"""{_OVER}, f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1)
 SELECT id, hub, CASE WHEN {D.has(D.norm('lname'), SPECIAL_EDITION)} THEN 'keep_special' WHEN meets AND len(list_intersect({D.words(D.norm('lname'))}, {D.words(D.norm('hname'))})) > 0 THEN 'fold' ELSE 'keep' END AS verdict FROM f""")
 def _(t: DataFrame, v: DataFrame) -> DataFrame:
-    return V.verdicts(V.overlaps(V.collisions(t, V.expand(v, *_SPAN)))).select("id", "hub", "verdict")
+    return V.verdicts(V.overlaps(V.collisions(t, V.first_nights(V.expand(v, *_SPAN))))).select("id", "hub", "verdict")
 
 
 @query("irregular_cover", "v_listing", "v_venue", sql="""SELECT v.id, count(l.id) > 0 AS confirmed, arg_min(l.url, (l.start_local, l.ord)) AS url FROM v_venue v LEFT JOIN v_listing l ON l.location = v.location
