@@ -157,3 +157,28 @@ def test_classes_of_copies_stand_for_all_pairs(spark):
     assert dict(map(tuple, CP.first_grades(judged).collect())) == first and dict(map(tuple, CP.totals(judged).collect())) == n
     sure = spark.createDataFrame([(a, b) for a, _, b, _, grade in all_pairs if grade == "certain"], "a string, b string")
     assert as_set(M.groups(CP.certain_links(judged))) == as_set(M.groups(sure)) != set()
+
+
+def test_first_matches_of_a_batch_by_classes_of_copies(spark):
+    """A batch against known rows, and its earlier rows, as by all pairs: copies in batch and pools, ids that are in several, missing ids."""
+    draw, rows = random.Random(5), []
+    for _ in range(120):
+        row = {"name": draw.choice(["Harbor Salsa", "Harbor Salsa Social", "Zouk Lab", "Blue Door Swing", "Swing at Blue Door", "Box", ""]), "location": draw.choice([None, "A", "B"]), "recurring": draw.random() < 0.4}
+        row |= {"start_local": draw.choice([None, *(dt.datetime(2026, 1, d, h) for d in (2, 3, 9) for h in (1, 20, 23))]), "url": draw.choice(["", "https://a.example/x", "https://b.example/y"])}
+        rows += [row] * draw.choice([1, 1, 2, 4])
+    t = listings(spark, *rows).withColumn("pool", F.element_at(F.array(F.lit("active"), F.lit("archive"), F.lit("pending"), F.lit(None)), (F.crc32(F.encode("id", "UTF-8")) % 4 + 1).cast("int")))
+    t = t.withColumn("id", F.when(F.col("ord") % 31 == 5, "twice").when(F.col("ord") % 31 == 6, None).otherwise(F.col("id"))).localCheckpoint()
+    new, old = M.judged(t.filter("ord % 3 = 1").withColumn("ord", F.col("ord") + 1000)), M.judged(t.filter("ord % 3 <> 1"), "pool")
+    pool_of, want = {r.ord: r.pool for r in old.collect()}, {}
+    for r in M.grade_against(new, old).collect():
+        at = want.setdefault(r.ord, {})
+        pool = pool_of[r.other_ord]
+        at[pool], at["own"] = min(at.get(pool, ("z", 0)), (r.grade, r.other_ord)), at.get("own", False) or (r.id is not None and r.id == r.other and pool in ("active", "archive"))
+    got = {r.ord: r for r in CP.first_known(new, old).collect()}
+    assert set(got) == set(want) and any(x["own"] for x in want.values())
+    for o, r in got.items():
+        assert bool(r.own) == want[o]["own"] and all((r[p] and tuple(r[p])) == want[o].get(p) for p in CP.POOLS)
+    earlier = {}
+    for r in M.graded_pairs(new).collect():
+        earlier[r.bo] = min(earlier.get(r.bo, ("z",)), (r.grade, r.ao, r.a or ""))
+    assert {r.ord: (r.grade, r.other or "") for r in CP.earlier_matches(new).collect()} == {o: (g, a) for o, (g, _, a) in earlier.items()}
