@@ -6,6 +6,7 @@ import random
 
 from brindle.functions.places import KM_PER_DEGREE
 from brindle.operators import copies as CP
+from brindle.operators import leads as LD
 from brindle.operators import match as M
 from brindle.operators import parse as R
 from brindle.operators import series as S
@@ -182,3 +183,23 @@ def test_first_matches_of_a_batch_by_classes_of_copies(spark):
     for r in M.graded_pairs(new).collect():
         earlier[r.bo] = min(earlier.get(r.bo, ("z",)), (r.grade, r.ao, r.a or ""))
     assert {r.ord: (r.grade, r.other or "") for r in CP.earlier_matches(new).collect()} == {o: (g, a) for o, (g, _, a) in earlier.items()}
+
+
+def test_leads_and_nights_are_those_of_all_pairs(spark):
+    """Few names, places and addresses on two days, so that addresses are shared by names and places, and many have more than eight."""
+    draw = random.Random(9)
+    pick = lambda xs: draw.choice(xs)
+    held = [(pick([1, 2]), pick(["a", "b", "c", None]), pick(["A", "B", "C", None]), pick([f"u{i}" for i in range(14)] + [None]), i) for i in range(70)]
+    few = [(3, pick(["a", "b"]), pick(["A", "B"]), pick([f"u{i}" for i in range(25)]), 100 + i) for i in range(30)] + [(4, "a", pick(["A", "B"]), f"u{i % 9}", 200 + i) for i in range(5)] + [(4, "b", "A", f"u{i}", 300 - i) for i in range(20)]
+    waits = [(f"w{i}", pick([1, 2, 3, 4, None]), pick(["a", "b", "c", "d", None]), pick(["A", "B", "C", None])) for i in range(60)]
+    got = as_set(LD.first_leads(spark.createDataFrame(waits, "id string, day int, norm string, location string"), spark.createDataFrame(held + few, "day int, norm string, location string, url string, ord long")))
+    want = set()
+    for i, day, norm, place in waits:
+        at = {}
+        for d, n, p, url, o in held + few:
+            for prio, same in ((1, n == norm and n is not None), (2, p == place and p is not None)):
+                if d == day and same:
+                    was = at.get(url, (9, 10**9))
+                    at[url] = (min(was[0], prio), min(was[1], o))
+        want |= {(i, url, at[url][0]) for url in sorted(at, key=at.get)[:8]}
+    assert got == want
