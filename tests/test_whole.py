@@ -203,3 +203,11 @@ def test_leads_and_nights_are_those_of_all_pairs(spark):
                     at[url] = (min(was[0], prio), min(was[1], o))
         want |= {(i, url, at[url][0]) for url in sorted(at, key=at.get)[:8]}
     assert got == want
+
+
+def test_pairs_are_spread_from_classes_of_copies(spark, monkeypatch):
+    """All pairs of copies, over several blocks of a class, with an id that is there twice."""
+    monkeypatch.setattr(CP, "_BLOCK", 2)
+    rows = [{"name": "Harbor Salsa", "location": "A"}] * 5 + [{"name": "Swing at Blue Door", "location": "B"}] * 3 + [{"name": "Blue Door Swing", "location": "A", "start_local": None}] * 2 + [{"name": "Harbor Salsa Social", "location": "A"}] * 3
+    t = listings(spark, *rows).withColumn("id", F.when(F.col("ord").isin(1, 6), "twice").otherwise(F.col("id")))
+    assert sorted(map(tuple, M.grade_pairs(t).collect())) == sorted(map(tuple, all_grades(t).collect())) != []
