@@ -49,9 +49,10 @@ def canonical(listings: DataFrame, aliases: DataFrame) -> DataFrame:
 def inferred(listings: DataFrame, text: Column, venues: DataFrame) -> DataFrame:
     """id, place: the location, else what follows a pin mark in a text, else the longest venue (name, place, pos) named in it."""
     rows = listings.select("id", "location", F.lower(text).alias("text"), F.nullif(F.trim(F.regexp_extract(text, "\U0001f4cd([^\\n]+)", 1)), F.lit("")).alias("pinned"))
-    keys = venues.select(F.lower("name").alias("key"), "place", "pos")
-    per = held(rows.filter("location is null"), keys).groupBy("text").agg(F.max_by("place", F.struct(F.length("key"), -F.col("pos"))).alias("named"))
-    return rows.join(per, "text", "left").select("id", F.coalesce("location", "pinned", "named").alias("place"))
+    keys = venues.groupBy(F.lower("name").alias("key")).agg(F.min_by("place", "pos").alias("place"), F.min("pos").alias("pos"))  # of venues of one name the first is named
+    told, asking = rows.filter("coalesce(location, pinned) is not null"), rows.filter("coalesce(location, pinned) is null")  # a text that many rows have is joined for those alone that need it
+    per = held(asking, keys).groupBy("text").agg(F.max_by("place", F.struct(F.length("key"), -F.col("pos"))).alias("named"))
+    return told.select("id", F.coalesce("location", "pinned").alias("place")).union(asking.join(per, "text", "left").select("id", F.col("named").alias("place")))
 
 
 def looked_up(listings: DataFrame, known: DataFrame) -> DataFrame:
