@@ -200,7 +200,7 @@ o AS (SELECT *, CASE WHEN b IS NOT NULL THEN (hour(start_local) * 60 < CASE WHEN
 @query("window_overlap", "v_listing", "v_venue", sql=f"{_OVER} SELECT id, hub, meets FROM o")
 def _(t: DataFrame, v: DataFrame) -> DataFrame:
     """Half-open times of the night; a venue past midnight runs on, a listing without end lasts three hours, unknown clocks give null."""
-    return V.overlaps(V.collisions(t, V.expand(v, *_SPAN))).select("id", "hub", "meets")
+    return V.overlapping(t, V.expand(v, *_SPAN))
 
 
 @query("hub_verdicts", "v_listing", "v_venue", sql=f"""{_OVER}, f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1)

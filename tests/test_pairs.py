@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from brindle.operators import match as M
+from brindle.operators import venues as V
 from pyspark.sql import functions as F
 from test_rules import listings
 
@@ -50,3 +51,13 @@ def test_reasons_need_no_join_of_pairs_with_their_rows(spark):
     assert "Exchange" not in above(told, "Union")
     joined = M.with_sides(M.gradable_pairs(rows), rows)
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, joined.select("a", "b", M.reason(joined)).collect()))
+
+
+def test_overlaps_come_up_where_they_are_given_out(spark):
+    t = some_listings(spark, 200, 5).withColumn("day", F.to_date("start_local")).withColumn("end_local", F.expr("start_local + INTERVAL '1' HOUR * (ord % 5 - 1)"))
+    clocks = F.array(*map(F.lit, ["9:00 PM - 2:00 AM", "late", "1:00 PM - 5:00 PM"]))
+    nights = t.filter("location is not null and ord < 60").select(F.concat(F.lit("V"), "ord").alias("id"), F.col("ord").alias("pos"), "name", F.element_at(clocks, (F.col("ord") % 3 + 1).cast("int")).alias("time_text"), "location", "day")
+    found = V.overlapping(t, nights)
+    assert "Exchange" not in above(found, "Generate explode") and "Join" not in above(found, "Exchange")
+    told = V.overlaps(V.collisions(t, nights)).select("id", "hub", "meets")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, told.collect()), key=repr) != []
