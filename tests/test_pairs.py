@@ -3,8 +3,12 @@
 import datetime as dt
 import random
 
+from brindle.functions import places as P
+from brindle.functions.timefn import seconds_between
+from brindle.operators import blocks as B
 from brindle.operators import match as M
 from brindle.operators import venues as V
+from brindle.plans import QUERIES
 from pyspark.sql import functions as F
 from test_rules import listings
 
@@ -61,3 +65,41 @@ def test_overlaps_come_up_where_they_are_given_out(spark):
     assert "Exchange" not in above(found, "Generate explode") and "Join" not in above(found, "Exchange")
     told = V.overlaps(V.collisions(t, nights)).select("id", "hub", "meets")
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, told.collect()), key=repr) != []
+
+
+def test_pairs_by_keys_are_spread_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 3)
+    t = some_listings(spark, 120, 6)
+    keys = {"url": F.nullif("url", F.lit("")), "place": F.col("location")}
+    found = M.candidate_pairs(t, keys)
+    assert "Exchange" not in above(found, "Generate explode") and "Join" not in above(found, "Exchange")
+
+    def told(t):
+        x, y = (t.select(F.struct("id", "ord", *(k.alias(n) for n, k in keys.items())).alias(s)) for s in "xy")
+        return {tuple(r) for r in x.join(y, F.expr("x.ord < y.ord and (x.url = y.url or x.place = y.place)")).select("x.id", "y.id").collect()}
+
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(set(got)) and set(got) == told(t) != set()
+    shared = t.withColumn("id", F.when(F.col("ord") % 10 == 0, "same").otherwise(F.col("id")))
+    got = list(map(tuple, M.candidate_pairs(shared, keys).collect()))
+    assert len(got) == len(set(got)) and set(got) == told(shared)
+
+
+def query(name):
+    return next(f.__closure__ for n, f in QUERIES.items() if n == name)[0].cell_contents
+
+
+def test_pairs_of_a_place_are_spread_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 3)
+    t = some_listings(spark, 150, 7)
+    near, band = query("same_place")(t), query("band_join")(t)
+    for found in (near, band):
+        assert "Exchange" not in above(found, "Generate explode")
+    x, y = (t.select(F.struct("id", "ord", "location", "lat", "lng", "start_local").alias(s)) for s in "xy")
+    both = x.join(y, F.expr("x.ord < y.ord"))
+    day = F.to_date("x.start_local") == F.to_date("y.start_local")
+    km = P.distance_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")) <= P.SAME_PLACE_KM
+    told = both.filter(day & M.any_of(km, P.place_text(F.col("x.location")) == P.place_text(F.col("y.location")))).select("x.id", "y.id")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, told.collect())) != []
+    told = both.filter((F.col("x.location") == F.col("y.location")) & (F.abs(seconds_between(F.col("x.start_local"), F.col("y.start_local"))) < 86400)).select("x.id", "y.id", day)
+    assert sorted(map(tuple, band.collect())) == sorted(map(tuple, told.collect())) != []
