@@ -19,10 +19,10 @@ L = "v_listing"
 _FOUND = " + ".join(f"CASE WHEN {test} THEN {w} ELSE 0 END" for test, w in [(f"contains({f}, t)", I.FIELDS[f]) for f in ("name", "location", "organizer", "styles", "text")] + [("starts_with(day, t)", I.FIELDS["day"])])
 
 
-def _records(t: DataFrame, s: DataFrame) -> DataFrame:
+def _records(rows: DataFrame, s: DataFrame) -> DataFrame:
     """(Here what a listing costs stands for its text.)"""
-    rows = t.join(s.select("source", "organizer"), "source", "left")
-    return I.search_record(rows.select("ord", "id", "name", "location", "organizer", X.detect_styles(c("name")).alias("styles"), T.weekday_name(c("start_local")).alias("day"), c("cost").alias("text")))
+    named = rows.join(s.select("source", "organizer"), "source", "left")
+    return I.search_record(named.select("ord", "id", "name", "location", "organizer", X.detect_styles(c("name")).alias("styles"), "day", c("cost").alias("text")))
 
 
 @query("search_index", L, "v_source", sql=f"""WITH f AS (SELECT ord, id, pool, lower(name) AS name, lower(coalesce(location, '')) AS location, lower(coalesce(organizer, '')) AS organizer, array_to_string({D.styles('name')}, ' ') AS styles, lower({D.day_name('start_local')}) AS day, lower(coalesce(cost, '')) AS text
@@ -34,7 +34,8 @@ def _(t: DataFrame, s: DataFrame) -> DataFrame:
     """The eight best live listings of each search, by all six fields. (Here the searches are archived titles' first words with a day's beginning, organizers and titles.)"""
     first = F.concat_ws(" ", F.split(F.lower("name"), " ")[0], F.substring(F.lower(T.weekday_name(c("start_local"))), 1, 3))
     searches = t.filter("pool = 'archive'").select(first.alias("query")).union(s.select("organizer")).union(t.select("name")).distinct()
-    return I.search(I.build_index(_records(t.filter("pool = 'active'"), s)), searches).select("query", "id", "score")
+    rows = t.filter("pool = 'active'").select("ord", "id", "name", "location", "source", "cost", T.weekday_name(c("start_local")).alias("day"))
+    return I.search_rows(rows, searches, lambda some: _records(some, s)).select("query", "id", "score")
 
 
 _SETS = [["check_name", "source", "pool"], ["check_name", "source"], ["check_name", "pool"], ["check_name"], []]
