@@ -1,6 +1,7 @@
 """Answers and what they change, batches with repeated ids, spans of hits."""
 
 import datetime as dt
+import time
 
 from brindle.functions.text import highlight_spans
 from brindle.operators import answers, lifecycle
@@ -53,3 +54,12 @@ def test_spans_of_hits(spark):
     got = [r.s if r.s is None else [tuple(x) for x in r.s] for r in df.select(highlight_spans(F.col("t"), ["the", "aa", "hem", ""]).alias("s")).collect()]
     assert got == [[], None, [(0, 4)], [(0, 3), (4, 8), (10, 13)], [(2, 5)], [(1, 4), (6, 9), (10, 13)], []]
     assert df.select(highlight_spans(F.col("t"), []).alias("s")).first().s == []
+
+
+def test_spans_of_a_text_with_very_many_hits(spark):
+    n = 200_000
+    df = spark.createDataFrame([("the x " * n,)], "t string")
+    began = time.time()
+    last = df.select(highlight_spans(F.col("t"), ["the", "he"]).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+    assert (last.n, tuple(last.last)) == (n, (6 * n - 6, 6 * n - 3))
+    assert time.time() - began < 30  # the work was the square of the hits
