@@ -2,8 +2,12 @@
 
 import datetime as dt
 import random
+import unicodedata
 
+import pandas as pd
+from brindle.functions import names as N
 from brindle.operators import publish as PB
+from pyspark.sql.functions import pandas_udf
 
 SCHEMA = "slug string, name string, location string, start_local timestamp_ntz, lat double, lng double"
 WORDS = {"Harbor Salsa": {"harbor", "salsa"}, "Harbor Salsa Reunion": {"harbor", "salsa", "reunion"}, "Zouk Lab": {"zouk", "lab"}, "Zouk Harbor": {"zouk", "harbor"}}
@@ -45,3 +49,36 @@ def test_rows_alike_in_title_place_and_start_have_one_answer(spark):
     assert {x.slug: x.target for x in got} == by_hand(register, live) != {} and len(got) == len({x.slug for x in got})
     titles = PB.alike_titles(r, n, 0.5).collect()  # each two titles once, however many rows have them
     assert len(titles) == len({(x.r_name, x.n_name) for x in titles}) == sum(len(a & b) / len(a | b) >= 0.5 for a in WORDS.values() for b in WORDS.values())
+
+
+def test_only_names_that_are_not_ascii_pass_through_python(spark, monkeypatch):
+    @pandas_udf("string")
+    def decomposed(text: pd.Series) -> pd.Series:
+        assert len(text) == 0 or not text.map(lambda t: t is None or t.isascii()).any()
+        return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+    monkeypatch.setattr(N, "_decomposed", decomposed)
+    t = spark.createDataFrame([("a1", "Harbor Salsa!"), ("b2", "Café Ñandú"), ("c3", None), ("d4", "-- 日本 --"), ("e5", "")], "id string, name string")
+    assert {tuple(r) for r in PB.unique_slugs(t).collect()} == {("a1", "harbor-salsa-a1"), ("b2", "cafe-nandu-b2"), ("c3", "c3"), ("d4", "-d4"), ("e5", "-e5")}
+    assert {(r.id, r.name) for r in PB.unique_slugs(t, carry=("name",)).collect()} == {(r.id, r.name) for r in t.collect()}
+
+
+def test_addresses_are_resolved_by_classes_of_name_and_location(spark, monkeypatch):
+    names, places = ["Harbor Salsa", "Zouk Lab", None], ["Hall 1, Main", "Annex", None]
+    day = dt.datetime(2026, 1, 5)
+    register = [(f"r{i}", f"R{i}", names[i % 3], places[i // 3 % 3], day, None, None) for i in range(90)] + [("twice", "T", "Zouk Harbor", "Hall 1, Main", day, None, None)] * 2
+    live = [("n1", "N1", 1, "Harbor Salsa #4", "Hall 1, Side", day, None, None), ("n2", "R4", 2, "Other", "Far", day, None, None), ("n3", "N3", 3, "Zouk Lab", "", day, None, None), ("n4", "N4", 4, "Harbor Salsa", "HALL 1", day, None, None), ("n5", "N5", 5, "Zouk", "Hall 1", day, None, None)]
+    sizes = {}
+    kept = PB.kept
+    monkeypatch.setattr(PB, "kept", lambda df: sizes.setdefault(tuple(df.columns), kept(df)))
+    r = spark.createDataFrame(register, "slug string, id string, name string, location string, start_local timestamp_ntz, lat double, lng double")
+    n = spark.createDataFrame(live, "slug string, id string, ord long, name string, location string, start_local timestamp_ntz, lat double, lng double")
+    same = spark.createDataFrame([("R7", "g"), ("N3", "g"), ("R13", "alone")], "node string, group string")
+    got = PB.resolve(r, n, same).collect()
+    assert sizes["name", "location"].count() == 10  # names are made normal once for each class, not for each row
+    want = {s: ("alias", "n1", "rescraped") for s in (f"r{i}" for i in range(90) if i % 3 == 0 and i // 3 % 3 == 0)}
+    want |= {s: ("alias", "n3", "rescraped") for s in (f"r{i}" for i in range(90) if i % 3 == 1 and i // 3 % 3 == 2)}
+    want |= {s: ("alias", "n5", "retitled") for s in (f"r{i}" for i in range(90) if i % 3 == 1 and i // 3 % 3 == 0)}
+    want |= {"r4": ("alias", "n2", "renamed"), "r7": ("alias", "n3", "merged"), "twice": ("alias", "n5", "retitled")}
+    assert {x.slug: tuple(x[1:]) for x in got} == {s: want.get(s, ("ended", None, None)) for s in (x[0] for x in register)}
+    assert len(got) == len(register)
