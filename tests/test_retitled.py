@@ -82,3 +82,21 @@ def test_addresses_are_resolved_by_classes_of_name_and_location(spark, monkeypat
     want |= {"r4": ("alias", "n2", "renamed"), "r7": ("alias", "n3", "merged"), "twice": ("alias", "n5", "retitled")}
     assert {x.slug: tuple(x[1:]) for x in got} == {s: want.get(s, ("ended", None, None)) for s in (x[0] for x in register)}
     assert len(got) == len(register)
+
+
+def test_the_best_within_days_is_found_without_meeting_one_by_one(spark):
+    pick = random.Random(5)
+    time = lambda: dt.datetime(2026, 1, 1 + pick.randrange(9), pick.choice([0, 7, 20]), 0, 0, pick.choice([0, 1]))
+    asked = list({(pick.choice("ab"), pick.randrange(2), time()) for _ in range(90)})
+    seen = list({(pick.choice("ab"), pick.randrange(2), pick.choice([0.5, 0.6, 1.0]), time()): (pick.choice([1, 1, 2]), f"n{i}") for i in range(14)}.items())
+    a = spark.createDataFrame(asked, "r_name string, r_place long, r_start timestamp_ntz")
+    s = spark.createDataFrame([(*k, *v) for k, v in seen], "r_name string, r_place long, x double, n_start timestamp_ntz, n long, target string")
+    want = {}
+    for name, place, start in asked:
+        near = [(x, n, slug) for (r, p, x, at), (n, slug) in seen if (r, p) == (name, place) and abs(at - start) <= dt.timedelta(days=2)]
+        best = [(n, slug) for x, n, slug in near if x == max(near)[0]]
+        if [n for n, _ in best] == [1]:
+            want[name, place, start] = best[0][1]
+    found = PB.best_within(a, s, 2)
+    assert {tuple(r[:3]): r.target for r in found.collect()} == want and 10 < len(want) < len(asked) - 10
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
