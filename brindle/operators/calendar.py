@@ -134,7 +134,7 @@ def entry_url(url: Column, description: Column) -> Column:
 def calendar_feed(feeds: DataFrame, as_of: Column, weeks: int = WEEKS) -> DataFrame:
     """Coming entries of feeds (feed, text): feed, uid, name, start, stop, location, description, url, styles, cost, recurring, dates, followed.
 
-    Times are told on ZONE's clock. A rule goes by the clock of the zone its entry names; dates from a day before as_of to some weeks on count, less those
+    Times are told on ZONE's clock; one of its own clock stays as stated, also in the hour that is skipped in spring, and a length is that of the clocks. A rule goes by the clock of the zone its entry names; dates from a day before as_of to some weeks on count, less those
     of EXDATE and those that another entry of the uid replaces (RECURRENCE-ID); one with RDATE has these too. UNTIL ends a rule at its instant, a date
     at the end of its day. A rule that isn't followed gives its start. Entries without a start, cancelled ones and those without a coming date are left out; a null
     or broken text has no entries.
@@ -150,7 +150,8 @@ def calendar_feed(feeds: DataFrame, as_of: Column, weeks: int = WEEKS) -> DataFr
         F.coalesce(plain_text(value("DESCRIPTION")), F.lit("")).alias("description"), value("URL").alias("address"), value("RRULE").alias("rule"), parsed_rule(value("RRULE")).alias("parts"), clock_of(start["value"]).alias("clock"), zone_of(start["params"], start["value"], zones).alias("zone"),
         clock_of(stop["value"]).alias("stop_clock"), zone_of(stop["params"], stop["value"], zones).alias("stop_zone"), clock_of(again["value"]).alias("again_clock"), zone_of(again["params"], again["value"], zones).alias("again_zone"), (F.upper(value("STATUS")) == "CANCELLED").alias("cancelled"),
     )
-    to = lambda zone, clock, target=F.lit(ZONE): F.convert_timezone(zone, target, clock)
+    # a clock of the target's own zone stays as it is told, also one that the zone skips in spring
+    to = lambda zone, clock, target=F.lit(ZONE): F.when(zone == target, clock).otherwise(F.convert_timezone(zone, target, clock))
     since, last = (as_of - F.expr("INTERVAL '24' HOUR")).cast("timestamp_ntz"), F.timestamp_add("DAY", F.lit(7 * weeks - 1), as_of).cast("timestamp_ntz")
     until_text = c("parts.until")
     until = F.when(until_text.rlike(r"^\d{8}$"), F.timestamp_add("SECOND", F.lit(86399), clock_of(until_text))).when(until_text.rlike("Z$"), to(F.lit("UTC"), clock_of(until_text), c("zone"))).otherwise(clock_of(until_text)).cast("timestamp_ntz")
