@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, dealt_join, staged
+from .common import arrow_batches, staged
 
 #: Letters of a run. Their number bounds how many words share a pair of nodes: words that differ in one place differ by a letter there.
 LETTERS = "a-zÀ-ÿ"
@@ -145,7 +145,7 @@ def near_words(paths: DataFrame, reversed_paths: DataFrame) -> DataFrame:
     and a shorter word meet once; else 1) and for each place where a letter may be inserted (kind 0). Words that
     share a pair differ in one letter, so there are no more of them than letters, and one word without the letter.
     """
-    both = paths.join(reversed_paths.select("word", F.col("nodes").alias("ends")), "word").withColumn("m", F.size("fresh"))
+    both = paths.join(reversed_paths.select("word", F.col("nodes").alias("ends")).hint("merge"), "word").withColumn("m", F.size("fresh"))
     skipped = "transform(fresh, (new, i) -> struct(nodes[i] as p, ends[m - 1 - i] as s, if(new, 2, 1) as kind))"
     inserted = "transform(nodes, (p, i) -> struct(p, ends[m - i] as s, 0 as kind))"
     keys = both.select("rank", "n", F.explode(F.expr(f"concat({skipped}, {inserted})")).alias("k")).select("k.p", "k.s", F.struct("k.kind", "n", (-F.col("rank")).alias("rank")).alias("w"))
@@ -160,24 +160,26 @@ def group_variants(words: DataFrame, ratio: int = 10) -> DataFrame:
     least `ratio` times the word's n; its root is the last of its forms' forms.
 
     Every near word counts, however many there are. A form is `ratio` times as frequent as its word, so chains are as short as the
-    logarithm of the largest n, and doubling follows them in a few joins. An empty table gives no rows.
+    logarithm of the largest n, and doubling follows them in a few joins. An empty table gives no rows. Both sides of a join are
+    shuffled: the size of a file says little of that of its rows in memory, and tables of words judged by it went whole to the driver and to all tasks. No form
+    has many words: a word has no more near words than places times letters.
     """
     words = staged(words, "words")
     paths = staged(trie_paths(words), "forward-paths")
     near = near_words(paths, trie_paths(words, forward=False))
-    known = staged(paths.select("word", "n", "rank").join(near, "rank", "left"), "near-words")
+    known = staged(paths.select("word", "n", "rank").join(near.hint("merge"), "rank", "left"), "near-words")
     formed = (F.col("best.n") >= ratio * F.col("n")) & F.col("best").isNotNull()
     links = staged(known.filter(formed).select("rank", (-F.col("best.rank")).alias("form_rank"), (-F.col("best.rank")).alias("root_rank")), "forms")
     most, reach = words.agg(F.max("n")).first()[0] or 0, 1
     while ratio**reach <= most:
         on = links.select(F.col("rank").alias("root_rank"), F.col("root_rank").alias("further"))
-        ends = links.join(on, "root_rank", "left_anti")
-        links = staged(dealt_join(links, on, "root_rank", "rank").select("rank", "form_rank", F.col("further").alias("root_rank")).unionByName(ends.select("rank", "form_rank", "root_rank")), "forms")
+        ends = links.join(on.hint("merge"), "root_rank", "left_anti")
+        links = staged(links.join(on.hint("merge"), "root_rank").select("rank", "form_rank", F.col("further").alias("root_rank")).unionByName(ends.select("rank", "form_rank", "root_rank")), "forms")
         reach *= 2
     named = known.select("rank", "word", "n")
     for role in ("form", "root"):
-        links = dealt_join(links, named.select(F.col("rank").alias(f"{role}_rank"), F.col("word").alias(role), F.col("n").alias(f"{role}_n")), f"{role}_rank", "rank")
-    out = known.join(links, "rank", "left")
+        links = links.join(named.select(F.col("rank").alias(f"{role}_rank"), F.col("word").alias(role), F.col("n").alias(f"{role}_n")).hint("merge"), f"{role}_rank")
+    out = known.join(links.hint("merge"), "rank", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
 
 
